@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.shared import _GOLDEN, materialise, mix, shingles, slices, text_key
+from tidemark.llm.shared import _GOLDEN, materialise, mix, release, shingles, slices, text_key
 
 #: Texts of similarity 0.8 share a band with probability 1 - (1 - 0.8**5)**26 = 0.99997.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 26, 5

@@ -32,7 +32,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._step = at
+    return out
+
+
+def release(*steps: DataFrame) -> None:
+    """Deletes steps that no later step reads; what was made of them is written already."""
+    for step in steps:
+        step._step.getFileSystem(step.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(step._step, True)
 
 
 def words(text: Column) -> Column:
@@ -123,11 +131,12 @@ def row_of(counts: np.ndarray) -> np.ndarray:
 SLICE_BYTES = 2 << 20
 
 
-def slices(batch, columns: list[str]):
-    """Parts of a record batch whose texts in `columns` have about SLICE_BYTES together, one row at least."""
+def slices(batch, columns: list[str], size: str | None = None):
+    """Parts of a record batch whose texts in `columns` have about SLICE_BYTES together, one row at least. size: a column that holds
+    the bytes of each row instead."""
     import pyarrow.compute as pc
 
-    sizes = sum(pc.fill_null(pc.binary_length(batch[c]), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    sizes = batch[size].to_numpy() if size else sum(pc.fill_null(pc.binary_length(batch[c]), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     at, ends = 0, np.cumsum(sizes)
     while at < batch.num_rows:
         done = ends[at - 1] if at else 0

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.shared import BYTE, materialise, mix, slices, text_bytes, text_key
+from tidemark.llm.shared import BYTE, materialise, mix, release, slices, text_bytes, text_key
 
 LENGTH, GRAM = 200, 32
 #: Around one anchor k-gram, more different stretches than this are dealt out by the bytes that a block of windows shares.
@@ -140,27 +140,52 @@ def _concat(a, b):
     return pa.Table.from_batches([a, b]).combine_chunks().to_batches()[0]
 
 
+def packed_texts(texts: DataFrame) -> DataFrame:
+    """(tid, n, size, z): texts compressed one by one, as they move through two joins."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for whole in batches:
+            for batch in slices(whole, ["text"]):
+                bodies = [t.encode() for t in batch["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch["tid"], batch["n"], pa.array([len(b) for b in bodies], pa.int64()), pa.array([pack(b) for b in bodies], pa.binary())], names=["tid", "n", "size", "z"])
+
+    return texts.select("tid", "n", "text").mapInArrow(run, "tid binary, n long, size long, z binary")
+
+
+def unpacked(column):
+    """Texts of a packed column, as an Arrow array of bytes."""
+    import pyarrow as pa
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(z) for z in column.to_pylist()], pa.large_binary())
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = GRAM) -> DataFrame:
-    """(tid, text, spans) of every distinct text: spans = starts [from, to) of its windows that occur elsewhere too, as
+    """(tid, size, z, spans) of every distinct text: spans = starts [from, to) of its windows that occur elsewhere too, as
     array<struct<f:int,t:int>>, not in order."""
     width = length - k + 1
     texts = docs.select(text_key(F.col(text)).alias("tid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = texts.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("n"))
-    texts = materialise(texts.withColumn("rid", F.monotonically_increasing_id()), "distinct")
+    texts = materialise(packed_texts(texts).withColumn("rid", F.monotonically_increasing_id()), "distinct")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for whole in batches:
-            for batch in slices(whole, ["text"]):
-                row, anchor, content, lo, span, place = anchors(*text_bytes(batch["text"]), length, k)
+            for batch in slices(whole, ["z"], "size"):
+                row, anchor, content, lo, span, place = anchors(*text_bytes(unpacked(batch["z"])), length, k)
                 rid, n = (batch[c].to_numpy()[row] if len(row) else np.zeros(0, np.int64) for c in ("rid", "n"))
                 packed = (lo << 20) | (span << 10) | place
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (rid, n, anchor, content, packed)], names=["rid", "n", "ah", "ch", "packed"])
 
-    found = materialise(texts.select("rid", "n", "text").mapInArrow(cut, "rid long, n long, ah long, ch long, packed long"), "anchors")
-    often = found.groupBy("ah").agg(F.sum("n").alias("c")).where("c > 1").select("ah")
-    found = materialise(found.join(often, "ah", "left_semi"), "repeated")
+    every = materialise(texts.select("rid", "n", "size", "z").mapInArrow(cut, "rid long, n long, ah long, ch long, packed long"), "anchors")
+    often = every.groupBy("ah").agg(F.sum("n").alias("c")).where("c > 1").select("ah")
+    found = materialise(every.join(often, "ah", "left_semi"), "repeated")
+    release(every)
     stretches = found.groupBy("ah", "ch").agg(F.sum("n").alias("m"), F.min("rid").alias("rid"), F.min_by("packed", "rid").alias("packed"))
     stretches = materialise(stretches, "stretches")
     crowded = stretches.groupBy("ah").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("ah", F.lit(True).alias("crowd"))
@@ -171,8 +196,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
         import pyarrow as pa
 
         for whole in batches:
-            for batch in slices(whole, ["text"]):
-                data, offsets = text_bytes(batch["text"])
+            for batch in slices(whole, ["z"], "size"):
+                data, offsets = text_bytes(unpacked(batch["z"]))
                 lists = batch["asked"]
                 row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
                 flat = lists.flatten()
@@ -207,7 +232,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
                     names=["gk", "ah", "ch", "m", "a", "origin", "piece"],
                 )
 
-    pieces = texts.join(asked, "rid").select("text", "asked").mapInArrow(bring, "gk long, ah long, ch long, m long, a long, origin long, piece binary")
+    pieces = texts.join(asked, "rid").select("size", "z", "asked").mapInArrow(bring, "gk long, ah long, ch long, m long, a long, origin long, piece binary")
     pieces = pieces.repartition("gk").sortWithinPartitions("gk")
 
     def rounds(batches: Iterator) -> Iterator:
@@ -230,12 +255,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
             )
 
     spans = materialise(pieces.mapInArrow(rounds, "ah long, ch long, f int, t int"), "spans")
+    release(stretches)
     spans = spans.groupBy("ah", "ch").agg(F.collect_list(F.struct("f", "t")).alias("ft"))
     lo = F.shiftright("packed", 20).cast("int")
     placed = found.select("rid", "ah", "ch", "packed").join(spans, ["ah", "ch"])
     placed = placed.select("rid", F.transform("ft", lambda s: F.struct((s["f"] + lo).alias("f"), (s["t"] + lo).alias("t"))).alias("ft"))
     placed = placed.groupBy("rid").agg(F.flatten(F.collect_list("ft")).alias("spans"))
-    return texts.join(placed, "rid", "left").select("tid", "text", "spans")
+    return texts.join(placed, "rid", "left").select("tid", "size", "z", "spans")
 
 
 def removed(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = GRAM) -> DataFrame:
@@ -246,10 +272,9 @@ def removed(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int =
         import pyarrow as pa
 
         for whole in batches:
-            for batch in slices(whole, ["text"]):
+            for batch in slices(whole, ["z"], "size"):
                 out = []
-                for t, spans in zip(batch["text"].to_pylist(), batch["spans"]):
-                    body = t.encode()
+                for body, spans in zip(unpacked(batch["z"]).to_pylist(), batch["spans"]):
                     left, gone, runs, at = [], 0, 0, 0
                     if spans.is_valid:
                         flat = spans.values
