@@ -13,10 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.shared import _GOLDEN, materialise, mix, release, shingles, slices, text_key
+from tidemark.llm.shared import _GOLDEN, materialise, mix, shingles, slices, text_key
 
 #: Texts of similarity 0.8 share a band with probability 1 - (1 - 0.8**5)**26 = 0.99997.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 26, 5
+#: Texts of each bucket that all others of the bucket are checked against first.
+DRAWS = 4
 
 
 def signatures(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_rows: int, slots: int) -> np.ndarray:
@@ -58,7 +60,7 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def banded(texts: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """(tid, keys) of a table (tid, text): band keys of each text, [] for a text without words."""
+    """(tid, n, keys) of a table (tid, text): shingles and band keys of each text, [] for a text without words."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -70,9 +72,10 @@ def banded(texts: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                 has[at] = True
                 offsets = np.append(0, np.cumsum(np.where(has, bands, 0))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[has].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch["tid"], lists], names=["tid", "keys"])
+                total = np.bincount(at, n, batch.num_rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch["tid"], pa.array(total), lists], names=["tid", "n", "keys"])
 
-    return texts.mapInArrow(run, "tid binary, keys array<long>")
+    return texts.mapInArrow(run, "tid binary, n long, keys array<long>")
 
 
 def overlap(left, right, k: int) -> np.ndarray:
@@ -105,6 +108,22 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
     return pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
 
 
+def own_weight(texts: DataFrame, k: int) -> DataFrame:
+    """(rid, own): of each text of a table (rid, text), how many of its shingles stand in no other text of the table; texts without
+    any are left out."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in slices(whole, ["text"]):
+                at, gram, n = shingles(batch["text"], k)
+                yield pa.RecordBatch.from_arrays([pa.array(batch["rid"].to_numpy()[at]), pa.array(gram.view(np.int64)), pa.array(n)], names=["rid", "g", "c"])
+
+    grams = texts.select("rid", "text").mapInArrow(run, "rid long, g long, c long")
+    alone = grams.groupBy("g").agg(F.count("*").alias("texts"), F.max("rid").alias("rid"), F.max("c").alias("c")).where("texts = 1")
+    return alone.groupBy("rid").agg(F.sum("c").alias("own"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of an edge table (a, b) of longs: large and small stars in turn until nothing changes, then
     every node hangs on the least of its component. Steps are written, not collected."""
@@ -126,23 +145,32 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
+def _torn(placed: DataFrame) -> DataFrame:
+    """Rows of the buckets (h) that hold texts of more than one component (c)."""
+    parts = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+    return placed.join(parts, "h", "left_semi")
+
+
 def near_duplicate_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """(tid, component) of every distinct text: components of the graph of texts that share a band and have at least that weighted
     Jaccard similarity of their word-shingle multisets. Copies of a text count once.
 
-    In each bucket every text is first checked against one text drawn by hash, another in every bucket; texts of one bucket that
-    are still in different components are then checked against each other. So no pair that could join two components is left out
-    and a group of n near copies costs about n checks for each band.
+    In each bucket every text is first checked against DRAWS texts drawn by hash, others in every bucket; texts of one bucket that
+    are still in different components are then checked against each other. unless the shingles they
+    share with any text rule it out. So no pair that could join two components is left out, and most of a group of n near copies is
+    joined by some n checks for each band.
     """
     base = docs.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("tid"), F.col(text).alias("text"))
-    keyed = banded(base, bands, rows, k).groupBy("tid").agg(F.first("keys").alias("keys"))
+    keyed = banded(base, bands, rows, k).groupBy("tid").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     sigs = materialise(keyed.withColumn("rid", F.monotonically_increasing_id()), "signatures")
     members = sigs.select("rid", F.explode("keys").alias("h"))
-    chosen = members.groupBy("h").agg(F.min_by("rid", F.xxhash64("rid", "h")).alias("rep"), F.count("*").alias("n")).where("n > 1")
-    shared = materialise(members.join(chosen.select("h", "rep"), "h"), "buckets")
-    pairs = shared.where("rid <> rep").select(F.least("rid", "rep").alias("a"), F.greatest("rid", "rep").alias("b")).distinct()
+    drawn = [F.min_by("rid", F.xxhash64("rid", "h", F.lit(i))).alias(f"rep{i}") for i in range(DRAWS)]
+    chosen = members.groupBy("h").agg(*drawn, F.count("*").alias("n")).where("n > 1")
+    shared = members.join(chosen.select("h", F.array_distinct(F.array(*[f"rep{i}" for i in range(DRAWS)])).alias("reps")), "h")
+    shared = materialise(shared, "buckets")
+    pairs = shared.select("rid", F.explode("reps").alias("rep")).where("rid <> rep").select(F.least("rid", "rep").alias("a"), F.greatest("rid", "rep").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
     wanted = sigs.join(shared.select("rid").distinct(), "rid", "left_semi").select("tid", "rid")
     texts = base.join(wanted, "tid").groupBy("rid").agg(F.first("text").alias("text"))
@@ -151,10 +179,20 @@ def near_duplicate_groups(
     joined = components(edges)
     placed = shared.join(joined, F.col("rid") == F.col("node"), "left").select("h", "rid", F.coalesce("component", "rid").alias("c"))
     placed = materialise(placed, "placed")
-    torn = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    torn = placed.join(torn, "h", "left_semi")
-    other = torn.select("h", F.col("rid").alias("rid2"), F.col("c").alias("c2"))
-    cross = torn.join(other, "h").where("c < c2").select(F.least("rid", "rid2").alias("a"), F.greatest("rid", "rid2").alias("b")).distinct()
+    # What can still be alike: a pair shares at most the shingles that neither has alone, and its union has those of both that are
+    # alone. So of n shingles with `own` alone, n - own must reach least * (n + the least `own` of the bucket).
+    torn = _torn(placed)
+    rids = torn.select("rid").distinct()
+    alone = own_weight(texts.join(rids, "rid", "left_semi"), k)
+    weights = rids.join(sigs.select("rid", "n"), "rid").join(alone, "rid", "left").select("rid", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    torn = materialise(torn.join(materialise(weights, "weights"), "rid"), "torn")
+    floor = torn.groupBy("h").agg(F.min("own").alias("floor"))
+    torn = torn.join(floor, "h").where(F.col("n") - F.col("own") + 1e-9 >= least * (F.col("n") + F.col("floor"))).drop("floor")
+    torn = materialise(_torn(torn), "torn")
+    other = torn.select("h", *[F.col(c).alias(f"{c}2") for c in ("rid", "c", "n", "own")])
+    shared_most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
+    possible = (F.col("c") < F.col("c2")) & (shared_most + 1e-9 >= least * (F.col("n") + F.col("n2") - shared_most))
+    cross = torn.join(other, (torn["h"] == other["h"]) & possible).select(F.least("rid", "rid2").alias("a"), F.greatest("rid", "rid2").alias("b")).distinct()
     cross = materialise(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
     more = materialise(verified(cross, texts, k, least), "links")
     if not more.isEmpty():
