@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from tidemark.plans import market
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = market.flagship
 
 
-def queries():
-    return {}
+def queries() -> dict:
+    return dict(market.QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(market.SQL)
