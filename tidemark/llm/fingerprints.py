@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from tidemark.llm.shared import materialise
 
 
+#: About so many rows of one key range are sorted by one task.
+RANGE_ROWS = 20_000
+
+
 def canonical(text: Column) -> Column:
     """NFKC normalisation, full case folding, every run of white space as one space, none at the ends. Null as ''."""
     composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
@@ -53,10 +57,18 @@ def with_next(rows: DataFrame, order: list[Column], carry: Column, ranges: int,
     Rows are dealt to `ranges` buckets by quantiles of the key, each sorted on its own; the row after a bucket's last is found
     from a table with one row for each bucket. Null keys come last. Rows of one key stay together.
     """
-    cuts = rows.select(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts), reverse=True)
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col(key))) if cuts else F.lit(0)
-    rows = rows.withColumn("__bucket", F.when(F.col(key).isNull(), F.lit(ranges)).otherwise(bucket).cast("int"))
+    shape = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("c"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")).first()
+    cuts = sorted(set(shape["c"] or []), reverse=True)
+    coarse = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col(key))) if cuts else F.lit(0)
+    # more rows than ranges * RANGE_ROWS: each quantile range is cut evenly into `parts`
+    parts = -(-shape["n"] // (ranges * RANGE_ROWS)) or 1
+    rows = rows.withColumn("__bucket", F.when(F.col(key).isNull(), F.lit((len(cuts) + 1) * parts)).otherwise(coarse * parts).cast("int"))
+    if parts > 1:
+        edges = F.array(*map(F.lit, [shape["hi"], *cuts, shape["lo"]]))
+        top, low = (F.get(edges, F.floor(F.col("__bucket") / parts).cast("int") + i).cast("double") for i in (0, 1))
+        inner = F.floor((top - F.col(key)) / F.greatest(top - low, F.lit(1e-9)) * parts)
+        inner = F.greatest(F.lit(0), F.least(F.lit(parts - 1), inner)).cast("int")
+        rows = rows.withColumn("__bucket", F.when(F.col(key).isNull(), F.col("__bucket")).otherwise(F.col("__bucket") + inner))
     w = W.partitionBy("__bucket").orderBy(*order)
     led = rows.withColumn("__lead", F.lead(carry).over(w))
     # the first row of each bucket, by the key alone at first: at most ranges + 1 values, and the rows of those keys
