@@ -19,6 +19,8 @@ from tidemark.llm.shared import _GOLDEN, materialise, mix, shingles, slices, tex
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 26, 5
 #: Texts of each bucket that all others of the bucket are checked against first.
 DRAWS = 4
+#: Rounds of ruling out texts that no other text of their buckets can be like.
+PRUNINGS = 3
 
 
 def signatures(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_rows: int, slots: int) -> np.ndarray:
@@ -181,14 +183,16 @@ def near_duplicate_groups(
     placed = materialise(placed, "placed")
     # What can still be alike: a pair shares at most the shingles that neither has alone, and its union has those of both that are
     # alone. So of n shingles with `own` alone, n - own must reach least * (n + the least `own` of the bucket).
+    # What is ruled out leaves more shingles alone among the rest, so this is done PRUNINGS times.
     torn = _torn(placed)
-    rids = torn.select("rid").distinct()
-    alone = own_weight(texts.join(rids, "rid", "left_semi"), k)
-    weights = rids.join(sigs.select("rid", "n"), "rid").join(alone, "rid", "left").select("rid", "n", F.coalesce("own", F.lit(0)).alias("own"))
-    torn = materialise(torn.join(materialise(weights, "weights"), "rid"), "torn")
-    floor = torn.groupBy("h").agg(F.min("own").alias("floor"))
-    torn = torn.join(floor, "h").where(F.col("n") - F.col("own") + 1e-9 >= least * (F.col("n") + F.col("floor"))).drop("floor")
-    torn = materialise(_torn(torn), "torn")
+    for _ in range(PRUNINGS):
+        rids = torn.select("rid").distinct()
+        alone = own_weight(texts.join(rids, "rid", "left_semi"), k)
+        weights = rids.join(sigs.select("rid", "n"), "rid").join(alone, "rid", "left").select("rid", "n", F.coalesce("own", F.lit(0)).alias("own"))
+        torn = materialise(torn.select("h", "rid", "c").join(materialise(weights, "weights"), "rid"), "torn")
+        floor = torn.groupBy("h").agg(F.min("own").alias("floor"))
+        torn = torn.join(floor, "h").where(F.col("n") - F.col("own") + 1e-9 >= least * (F.col("n") + F.col("floor"))).drop("floor")
+        torn = materialise(_torn(torn), "torn")
     other = torn.select("h", *[F.col(c).alias(f"{c}2") for c in ("rid", "c", "n", "own")])
     shared_most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
     possible = (F.col("c") < F.col("c2")) & (shared_most + 1e-9 >= least * (F.col("n") + F.col("n2") - shared_most))
