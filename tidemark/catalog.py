@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market
+from tidemark.plans import market, research  # noqa: F401  research adds its queries to the same registry
 
 flagship = market.flagship
 

@@ -122,3 +122,65 @@ def hours_to_next(bars: DataFrame) -> DataFrame:
     """Hours to the next bar, and whether a gap (or the end) follows."""
     hours = (F.unix_timestamp(F.lead("ts").over(by_ts())) - F.unix_timestamp("ts")) / 3600
     return bars.withColumn("hours_to_next", hours).withColumn("pre_gap", F.coalesce(F.col("hours_to_next") > 1, F.lit(True)))
+
+
+def by_names(bars: DataFrame, names: list[str]) -> DataFrame:
+    """Indicators by name: sma_N, mom_N, ema_N, rsi_N, atr_N, bb_N_K, macd_F_S_N. A column that is there is kept; an unknown name is an error."""
+    for name in names:
+        kind, *args = name.split("_")
+        n = [float(a) if "." in a else int(a) for a in args]
+        if name in bars.columns:
+            continue
+        if kind == "sma" and len(n) == 1:
+            bars = bars.withColumn(name, sma("close", n[0]))
+        elif kind == "mom" and len(n) == 1:
+            bars = bars.withColumn(name, momentum("close", n[0]))
+        elif kind == "ema" and len(n) == 1:
+            bars = ema(bars, n[0], out=name)
+        elif kind in ("rsi", "atr") and len(n) == 1:
+            bars = {"rsi": rsi, "atr": atr}[kind](bars, n[0]).withColumnRenamed(kind, name)
+        elif kind == "bb" and len(n) == 2:
+            bars = bollinger(bars, *n)
+        elif kind == "macd" and len(n) == 3:
+            bars = macd(bars, *n)
+        else:
+            raise ValueError(f"unknown indicator {name}")
+    return bars
+
+
+def hour_class_sigma(bars: DataFrame, hours: tuple[int, ...], n: int = 20) -> DataFrame:
+    """Std of the previous n returns of bars in the session hours, the current one excluded; null outside the session."""
+    rows = bars.withColumn("r", momentum("close", 1)).withColumn("in_class", F.hour("ts").isin(*hours))
+    w = W.partitionBy("pair", "in_class").orderBy("ts").rowsBetween(-n, -1)
+    return rows.withColumn("sigma", F.when(F.col("in_class") & (F.count("r").over(w) == n), F.stddev_samp("r").over(w)))
+
+
+def ols_zscore(bars: DataFrame, n: int = 120) -> DataFrame:
+    """Last residual of log(close) on bar number over n bars, in residual standard deviations; 0 below 1e-12."""
+    rows = bars.withColumns({"y": F.log("close"), "t": F.row_number().over(by_ts()).cast("double")})
+    w = last_n(n)
+    rows = rows.withColumns({"sxy": F.covar_samp("t", "y").over(w), "syy": F.var_samp("y").over(w), "ym": F.avg("y").over(w), "k": F.count("y").over(w)})
+    var_t, mid = n * (n + 1) / 12, (n - 1) / 2
+    std = F.sqrt(F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / var_t, F.lit(0.0)))
+    z = F.when(std < 1e-12, 0.0).otherwise((F.col("y") - F.col("ym") - F.col("sxy") / var_t * mid) / std)
+    return rows.withColumn("z", F.when(F.col("k") == n, z)).drop("y", "t", "sxy", "syy", "ym", "k")
+
+
+def _median(a: Column) -> Column:
+    s, n = F.array_sort(a), F.size(a)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+
+
+def mad_zscore(bars: DataFrame, x: str, n: int = 60, least: int = 2) -> DataFrame:
+    """(x - median) / MAD of the up to n bars before; null with fewer than `least`, 0 with a MAD of 0."""
+    rows = bars.withColumn("past", F.collect_list(x).over(by_ts().rowsBetween(-n, -1))).withColumn("med", _median(F.col("past")))
+    rows = rows.withColumn("mad", _median(F.transform("past", lambda v: F.abs(v - F.col("med")))))
+    z = F.when(F.col("mad") > 0, (F.col(x) - F.col("med")) / F.col("mad")).otherwise(0.0)
+    return rows.withColumn("spread_z", F.when(F.size("past") >= least, z)).drop("past", "med", "mad")
+
+
+def range_surprise(bars: DataFrame, n: int = 250, k: float = 1.5) -> DataFrame:
+    """Median true range of the n bars before, and whether this bar's is over k times it."""
+    w = by_ts().rowsBetween(-n, -1)
+    rows = bars.withColumn("tr", true_range())
+    return rows.withColumn("usual", F.when(F.count("tr").over(w) == n, F.percentile("tr", 0.5).over(w))).withColumn("surprise", F.coalesce(F.col("tr") > F.col("usual") * k, F.lit(False)))

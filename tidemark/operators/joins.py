@@ -27,3 +27,21 @@ def outer_zero(returns: DataFrame) -> DataFrame:
     """Every series at every time; a missing return is 0."""
     grid = returns.select("pair").distinct().crossJoin(returns.select("ts").distinct())
     return grid.join(returns, ["pair", "ts"], "left").select("pair", "ts", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+
+
+def differentials(rates: DataFrame, legs: DataFrame) -> DataFrame:
+    """(pair, ts, diff): base less quote over 100 on business days, each currency filled forward; days with a leg missing go."""
+    span = rates.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))  # one row
+    days = rates.select("currency").distinct().crossJoin(F.broadcast(span)).select("currency", F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("ts"))
+    daily = asof(days.where(F.weekday("ts") < 5), rates, "rate", by="currency")
+    base = daily.select(F.col("currency").alias("base"), "ts", F.col("rate").alias("x"))
+    quote = daily.select(F.col("currency").alias("quote"), "ts", F.col("rate").alias("y"))
+    rows = base.join(legs, "base").join(quote, ["quote", "ts"])
+    return rows.select("pair", "ts", ((F.col("x") - F.col("y")) / 100).alias("diff")).where("diff is not null")
+
+
+def compare_sources(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(pair, rows, mean_diff, agreement) of two signal tables at shared times."""
+    rows = a.select("pair", "ts", F.col("signal").alias("x")).join(b.select("pair", "ts", F.col("signal").alias("y")), ["pair", "ts"])
+    same = (F.signum("x") == F.signum("y")).cast("double")
+    return rows.groupBy("pair").agg(F.count("*").alias("rows"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mean_diff"), F.avg(same).alias("agreement"))

@@ -35,3 +35,34 @@ def exposure(positions: DataFrame, group: str) -> DataFrame:
     sums = positions.rollup(group).agg(F.count("*").alias("positions"), F.countDistinct("strategy_id").alias("strategies"), F.sum("notional").alias("notional"), F.grouping(group).alias("total"))
     whole = sums.where("total = 1").select(F.col("notional").alias("all"))
     return sums.crossJoin(F.broadcast(whole)).select(group, "positions", "strategies", "notional", (F.col("notional") / F.col("all")).alias("share"))
+
+
+def deflation_denominator(ledger: DataFrame, counted: list[str], excluded: str) -> DataFrame:
+    """(trial_id, status, strategy, seq) of trials that count: latest status counted, never once `excluded`, and not a re-run of an earlier
+    counted trial of the same strategy and day (`config`)."""
+    from pyspark.sql import Window as W
+
+    t = ledger.groupBy("trial_id").agg(F.max_by(F.struct("status", "strategy", "config", "seq"), "seq").alias("r"), F.bool_or(F.col("status") == excluded).alias("never"))
+    t = t.where(~F.col("never")).select("trial_id", "r.*").where(F.col("status").isin(*counted))
+    first = F.row_number().over(W.partitionBy("config", "strategy").orderBy("seq"))
+    return t.withColumn("n", first).where("n = 1").drop("n")
+
+
+def params_hash(params: dict[str, Column]) -> Column:
+    """First 12 hex digits of the sha256 of the parameters as JSON with sorted keys."""
+    return F.substring(F.sha2(F.to_json(F.struct(*(params[k].alias(k) for k in sorted(params)))), 256), 1, 12)
+
+
+def longest_level_run(rows: DataFrame, x: str, level: float) -> DataFrame:
+    """(pair, run): most consecutive rows at or above the level."""
+    from tidemark.operators.quality import longest_run
+
+    return longest_run(rows, F.col(x) >= level, "run")
+
+
+def limit_check(positions: DataFrame, own: float, total: float) -> DataFrame:
+    """(ts, strategy_id, notional, all_notional, breach): the strategy's own cap comes first, then the cap on the sum."""
+    by = positions.groupBy("ts", "strategy_id").agg(F.sum("notional").alias("notional"))
+    whole = by.groupBy("ts").agg(F.sum("notional").alias("all_notional"))
+    rows = by.join(whole, "ts")
+    return rows.withColumn("breach", F.when(F.col("notional") > own, "strategy").when(F.col("all_notional") > total, "aggregate").otherwise("none"))

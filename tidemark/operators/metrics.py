@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from tidemark.operators.indicators import by_ts, last_n
+from tidemark.operators.signals import clip
 
 
 def equity_from_returns(rows: DataFrame, ret: str = "ret") -> DataFrame:
@@ -24,7 +25,7 @@ def summary(rows: DataFrame, ret: str = "ret", bars_per_year: float = 252.0) ->
 def drawdowns(rows: DataFrame) -> DataFrame:
     """Rows with the running peak and the share lost from it, held to [0, 1]."""
     peak = F.max("equity").over(by_ts())
-    return rows.withColumn("peak", peak).withColumn("drawdown", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("equity") / F.col("peak"))))
+    return rows.withColumn("peak", peak).withColumn("drawdown", clip(1 - F.col("equity") / F.col("peak"), 0.0, 1.0))
 
 
 def max_drawdown(rows: DataFrame) -> DataFrame:
@@ -99,3 +100,87 @@ def window_placement(rows: DataFrame, n: int) -> DataFrame:
     rows = rows.withColumn("s", F.round(s, 12)).where("s is not null")
     rows = rows.join(rows.groupBy("pair").agg(F.max_by("s", "ts").alias("last_sharpe")), "pair")
     return rows.groupBy("pair", "last_sharpe").agg(F.count("*").alias("windows"), F.avg((F.col("s") <= F.col("last_sharpe")).cast("double")).alias("percentile"))
+
+
+def drawdown_catalogue(rows: DataFrame, least: float = 0.05) -> DataFrame:
+    """(pair, peak_ts, trough_ts, recovery_ts, depth) of drawdowns of at least `least`; recovery is null while none. Rank 1 is the worst."""
+    rows = drawdowns(rows).withColumn("island", F.count_if(F.col("equity") >= F.col("peak")).over(by_ts()))
+    runs = rows.groupBy("pair", "island").agg(F.min("ts").alias("peak_ts"), F.max("drawdown").alias("depth"), F.max_by("ts", F.struct("drawdown", -F.unix_timestamp("ts"))).alias("trough_ts"))
+    runs = runs.withColumn("recovery_ts", F.lead("peak_ts").over(W.partitionBy("pair").orderBy("island"))).where(F.col("depth") >= least)
+    return runs.drop("island").withColumn("rank", F.row_number().over(W.partitionBy("pair").orderBy(F.desc("depth"), "peak_ts")))
+
+
+def vol_weighted(rows: DataFrame, target: float, cap: float = 5.0) -> DataFrame:
+    """(ts, ret) with weights least(target / volatility, cap), normalised over the series; one weight a series."""
+    vol = rows.groupBy("pair").agg(F.stddev_samp("ret").alias("s")).withColumn("w", F.when(F.col("s") > 0, F.least(F.lit(target) / F.col("s"), F.lit(cap))).otherwise(0.0))
+    r = rows.join(vol, "pair")
+    return r.groupBy("ts").agg(F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("ret")), F.sum("w")), F.lit(0.0)).alias("ret"))
+
+
+def rolling_basket(rows: DataFrame, target: float, n: int) -> DataFrame:
+    """(ts, ret): mean over series of the return times the lagged target / rolling volatility."""
+    w = last_n(n)
+    std = F.when(F.count("ret").over(w) == n, F.stddev_samp("ret").over(w))
+    r = rows.withColumn("k", F.when(std > 0, target / std)).withColumn("scaled", F.col("ret") * F.lag("k").over(by_ts()))
+    return r.where("scaled is not null").groupBy("ts").agg(F.avg("scaled").alias("ret"))
+
+
+def cross_pair(cells: DataFrame) -> DataFrame:
+    """(strategy, cells, mean_sharpe, worst_drawdown, least_bars)"""
+    return cells.groupBy("strategy").agg(F.count("*").alias("cells"), F.avg("sharpe").alias("mean_sharpe"), F.max("max_drawdown").alias("worst_drawdown"), F.min("bars").alias("least_bars"))
+
+
+def execution_report(fills: DataFrame) -> DataFrame:
+    """(pair, fills, success, avg_slippage) and the overall row (null pair): rollup in one pass."""
+    return fills.rollup("pair").agg(F.count("*").alias("fills"), F.avg(F.col("success").cast("double")).alias("success"), F.avg("slippage_pips").alias("avg_slippage"))
+
+
+def go_no_go(stats: DataFrame, least_sharpe: float = 0.5, least_trades: int = 30) -> DataFrame:
+    """Adds `edge` by cell and `go`, true for all when any cell has an edge."""
+    rows = stats.withColumn("edge", (F.col("sharpe") > least_sharpe) & (F.col("trades") >= least_trades))
+    return rows.crossJoin(F.broadcast(rows.agg(F.bool_or("edge").alias("go"))))  # one row
+
+
+def correlations(rows: DataFrame) -> DataFrame:
+    """(a, b, n, rho) of series at shared times, a < b: an equi-join on the time; the result has one row for each pair of series."""
+    x, y = rows.select("ts", F.col("pair").alias("a"), F.col("ret").alias("x")), rows.select("ts", F.col("pair").alias("b"), F.col("ret").alias("y"))
+    return x.join(y, "ts").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("rho"))
+
+
+def effective_bets(matrix: DataFrame) -> DataFrame:
+    """(series, mean_rho, effective): participation ratio of the eigenvalues, k^2 over the sum of squared correlations."""
+    s = matrix.agg(F.sum(F.col("rho") * F.col("rho")).alias("q"), F.avg("rho").alias("mean_rho"), F.count("*").alias("m"))
+    k = (1 + F.sqrt(1 + 8 * F.col("m"))) / 2
+    return s.select(k.cast("long").alias("series"), "mean_rho", (k * k / (k + 2 * F.col("q"))).alias("effective"))
+
+
+def stratified(rows: DataFrame, x: str, y: str, value: str) -> DataFrame:
+    """(pair, x_high, y_high, n, mean) by the medians of x and y."""
+    mid = rows.groupBy("pair").agg(F.percentile(x, 0.5).alias("mx"), F.percentile(y, 0.5).alias("my"))
+    r = rows.join(mid, "pair").withColumns({"x_high": F.col(x) > F.col("mx"), "y_high": F.col(y) > F.col("my")})
+    return r.groupBy("pair", "x_high", "y_high").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
+def gates(trades: DataFrame, least_trades: int, least_hit: float, least_net: float) -> DataFrame:
+    """(pair, trades, hit, net, gate): the first gate that a trade table fails, else pass."""
+    t = trades.groupBy("pair").agg(F.count("*").alias("trades"), F.avg((F.col("pnl_pips") > 0).cast("double")).alias("hit"), F.avg("pnl_pips").alias("net"))
+    return t.withColumn("gate", F.when(F.col("trades") < least_trades, "power").when(F.col("hit") < least_hit, "hit_rate").when(F.col("net") < least_net, "net_pips").otherwise("pass"))
+
+
+def diagnosis(rows: DataFrame) -> DataFrame:
+    """(pair, direction, bars, share, next_ret, hit): time in the market and the next bar's return by direction."""
+    nxt = F.lead("close").over(by_ts()) / F.col("close") - 1
+    r = rows.withColumn("direction", F.signum("signal").cast("int")).withColumn("nxt", nxt)
+    d = r.groupBy("pair", "direction").agg(F.count("*").alias("bars"), F.avg("nxt").alias("next_ret"), F.avg((F.col("nxt") * F.col("direction") > 0).cast("double")).alias("hit"))
+    return d.withColumn("share", F.col("bars") / F.sum("bars").over(W.partitionBy("pair")))
+
+
+def family_screen(rows: DataFrame, pip: float = 0.0001, overhead: float = 0.8) -> DataFrame:
+    """(pair, family, sharpe, turnover) of net returns by rule and series."""
+    w = W.partitionBy("pair", "family").orderBy("ts")
+    r = rows.withColumn("position", F.lag("signal", 1, 0.0).over(w))
+    r = r.withColumn("turn", F.abs(F.col("position") - F.lag("position", 1, 0.0).over(w)))
+    gross = F.coalesce(F.col("position") * F.log(F.col("close") / F.lag("close").over(w)), F.lit(0.0))
+    r = r.withColumn("ret", gross - F.col("turn") * (F.col("spread_median_pips") + overhead) * pip / F.col("close"))
+    std = F.stddev_samp("ret")
+    return r.groupBy("pair", "family").agg(F.when(std > 0, F.avg("ret") / std * 6150**0.5).otherwise(0.0).alias("sharpe"), F.sum("turn").alias("turnover"))

@@ -54,3 +54,12 @@ def monthly_returns(equity: DataFrame) -> DataFrame:
     last = last.withColumns({"r": F.round(change, 9), "m": F.month("month")})
     grid = last.groupBy("pair", F.year("month").alias("year")).pivot("m", list(range(1, 13))).agg(F.first("r"))
     return grid.toDF("pair", "year", *[f"m{i}" for i in range(1, 13)])
+
+
+def quarter_end(rates: DataFrame) -> DataFrame:
+    """(currency, quarter, rate): the last rate of each quarter, quarters without one filled forward."""
+    q = rates.groupBy("currency", F.date_trunc("quarter", "ts").alias("quarter")).agg(F.max_by("rate", "ts").alias("rate"))
+    span = q.groupBy("currency").agg(F.min("quarter").alias("a"), F.max("quarter").alias("b"))
+    all_q = span.select("currency", F.explode(F.sequence("a", "b", F.expr("interval 3 months"))).alias("quarter"))
+    filled = F.last("rate", True).over(W.partitionBy("currency").orderBy("quarter"))
+    return all_q.join(q, ["currency", "quarter"], "left").select("currency", "quarter", filled.alias("rate"))

@@ -12,6 +12,11 @@ def sign(x: Column) -> Column:
     return F.coalesce(F.signum(x), F.lit(0.0))
 
 
+def clip(x: Column, low: float = -1.0, high: float = 1.0) -> Column:
+    """x held to [low, high]; null stays null, as greatest and least alone would skip it."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+
+
 def sma_cross(bars: DataFrame, fast: int = 5, slow: int = 20) -> DataFrame:
     return bars.withColumn("signal", sign(sma("close", fast) - sma("close", slow)))
 
@@ -33,14 +38,14 @@ def band_reversal(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
 def carry(bars: DataFrame, diff: str, most: float, least: float) -> DataFrame:
     """Rate differential over `most`, held to [-1, 1], 0 below `least`."""
     d = F.col(diff)
-    return bars.withColumn("signal", F.when(F.abs(d) >= least, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), d / most))).otherwise(0.0))
+    return bars.withColumn("signal", F.when(F.abs(d) >= least, clip(d / most)).otherwise(0.0))
 
 
 def cross_sectional(rows: DataFrame, x: str) -> DataFrame:
     """z-score of x against all series at the same time, held to [-1, 1]; an aggregate joined back, as a universe may be wide."""
     stats = rows.groupBy("ts").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
     z = F.when(F.col("std") > 0, (F.col(x) - F.col("mean")) / F.col("std"))
-    return rows.join(stats, "ts").withColumn("signal", F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), z)), F.lit(0.0))).drop("mean", "std")
+    return rows.join(stats, "ts").withColumn("signal", F.coalesce(clip(z), F.lit(0.0))).drop("mean", "std")
 
 
 def lookback_signs(bars: DataFrame, lookbacks: tuple[int, ...] = (12, 24, 48, 96)) -> DataFrame:
@@ -66,3 +71,87 @@ def session_filter(rows: DataFrame, windows: list[tuple[int, int]]) -> DataFrame
     for a, b in windows:
         inside = inside | ((hour >= a) & (hour < b) if a <= b else (hour >= a) | (hour < b))
     return rows.withColumn("signal", F.when(inside, F.col("signal")).otherwise(0.0))
+
+
+def ema_cross(bars: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
+    from tidemark.operators.indicators import ema_columns
+
+    both = ema_columns(bars, {"f": ("close", 2 / (fast + 1), fast), "s": ("close", 2 / (slow + 1), slow)})
+    gap = F.round(F.nanvl("f", F.lit(None)) - F.nanvl("s", F.lit(None)), 6)
+    return both.withColumn("signal", sign(gap)).drop("f", "s")
+
+
+def macd_cross(bars: DataFrame) -> DataFrame:
+    from tidemark.operators.indicators import macd
+
+    return macd(bars).withColumn("signal", sign(F.round(F.nanvl("macd_hist", F.lit(None)), 6)))
+
+
+def carry_momentum(rows: DataFrame, carry_signal: str, n: int = 20, weight: float = 0.5, scale: float = 0.02) -> DataFrame:
+    """Blend of carry and distance from the mean, 0 unless both point the same way."""
+    away = clip((F.col("close") / sma("close", n) - 1) / scale)
+    agree = F.signum(F.col(carry_signal)) == F.signum(away)
+    return rows.withColumn("signal", F.when(agree, F.col(carry_signal) * weight + away * (1 - weight)).otherwise(0.0))
+
+
+def vol_target(rows: DataFrame, target: float, cap: float = 2.0, n: int = 20, bars_per_year: float = 252.0) -> DataFrame:
+    """Target over realised volatility, between 0 and cap, over cap; 0 while the volatility is unknown."""
+    from tidemark.operators.indicators import realised_volatility
+
+    size = clip(target / F.col("vol"), 0.0, cap) / cap
+    return realised_volatility(rows, n, bars_per_year).withColumn("signal", F.when(F.col("vol") > 0, size).otherwise(0.0))
+
+
+def overnight_fade(bars: DataFrame, hours: tuple[int, ...] = (2, 3, 4, 5), k: float = 2.0, n: int = 20) -> DataFrame:
+    """Against moves of over k sigma of the same hours, none before a gap."""
+    from tidemark.operators.indicators import hour_class_sigma, hours_to_next
+
+    rows = hours_to_next(hour_class_sigma(bars, hours, n))
+    big = ~F.col("pre_gap") & (F.abs("r") > F.col("sigma") * k)
+    return rows.withColumn("signal", F.when(big, -F.signum("r")).otherwise(0.0))
+
+
+def intraday_families(bars: DataFrame, n: int = 20) -> DataFrame:
+    """(pair, ts, close, spread_median_pips, family, signal) of six intraday rules, computed in one pass over the series."""
+    from tidemark.operators.indicators import session_open
+
+    past = by_ts().rowsBetween(-n, -1)
+    rows = session_open(bars).withColumns({
+        "move": momentum("close", 1), "hi": F.max("high").over(past), "lo": F.min("low").over(past), "usual": F.avg("spread_median_pips").over(past),
+        "three": momentum("close", 3), "four": momentum("close", 4),
+    })
+    breakout = F.when(F.col("close") > F.col("hi"), 1.0).when(F.col("close") < F.col("lo"), -1.0).otherwise(0.0)
+    rules = {
+        "reversal": -sign(F.col("move")), "session": sign(F.col("close") - F.col("session_open")), "three_bars": sign(F.col("three")), "breakout": breakout,
+        "drift": sign(F.col("four")), "tight_reversal": F.when(F.col("spread_median_pips") <= F.col("usual"), -sign(F.col("move"))).otherwise(0.0),
+    }
+    cells = F.array(*(F.struct(F.lit(k).alias("family"), (v + 0.0).alias("signal")) for k, v in rules.items()))
+    return rows.withColumn("cells", cells).select("pair", "ts", "close", "spread_median_pips", F.inline("cells"))
+
+
+def blend(signals: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(pair, ts, signal): weighted mean over the strategies that have a signal there, held to [-1, 1]."""
+    w = F.try_element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("strategy"))
+    rows = signals.withColumn("w", w).where("w is not null and signal is not null")
+    mean = F.try_divide(F.sum(F.col("w") * F.col("signal")), F.sum("w"))
+    return rows.groupBy("pair", "ts").agg(F.coalesce(clip(mean), F.lit(0.0)).alias("signal"))
+
+
+def trend_filters(rows: DataFrame, carry_signal: str, n: int = 50, scale: float = 0.02) -> DataFrame:
+    """Three long-only rules: above the mean; above it with positive carry; strength of the distance."""
+    away = F.col("close") / sma("close", n) - 1
+    up = F.coalesce(away > 0, F.lit(False))
+    return rows.withColumns({
+        "trend": up.cast("double"), "trend_carry": (up & (F.col(carry_signal) > 0)).cast("double"),
+        "strength": F.coalesce(clip(away / scale, 0.0, 1.0), F.lit(0.0)),
+    })
+
+
+def degraded(rows: DataFrame, share: float, lag: int, seed: int = 1) -> DataFrame:
+    """A share of signals replaced by -1, 0 or +1, then all delayed by `lag` bars."""
+    def u(tag: str) -> Column:
+        key = F.concat_ws("|", F.lit(f"{seed}|{tag}"), F.col("pair"), F.unix_timestamp("ts").cast("string"))
+        return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+    mixed = rows.withColumn("signal", F.when(u("d") < share, (F.floor(u("v") * 3) - 1).cast("double")).otherwise(F.col("signal")))
+    return mixed.withColumn("signal", F.lag("signal", lag, 0.0).over(by_ts()))

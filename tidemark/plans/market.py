@@ -351,7 +351,7 @@ def _(spark, sf):
     return rounded(signals.carry(rows, "diff", 0.1, 0.01).select("pair", "ts", "signal"))
 
 
-@register("sig7_cross_sectional", f"WITH {HOURLY}{SIMPLE} SELECT pair, ts, round(coalesce(greatest(-1, least(1, (ret - avg(ret) OVER t) / nullif(stddev_samp(ret) OVER t, 0))), 0), 6) AS signal FROM x WINDOW t AS (PARTITION BY ts)")
+@register("sig7_cross_sectional", f"WITH {HOURLY}{SIMPLE} SELECT pair, ts, round(CASE WHEN stddev_samp(ret) OVER t > 0 THEN greatest(-1, least(1, (ret - avg(ret) OVER t) / stddev_samp(ret) OVER t)) ELSE 0 END, 6)::DOUBLE AS signal FROM x WINDOW t AS (PARTITION BY ts)")
 def _(spark, sf):
     return rounded(signals.cross_sectional(_returns(tables.hourly_bars(spark, sf)), "ret").select("pair", "ts", "signal"))
 
