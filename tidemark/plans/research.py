@@ -487,3 +487,45 @@ def _(spark, sf):
 def _(spark, sf):
     p = tables.read(spark, sf, "lineitem").select(F.date_trunc("month", "l_shipdate").cast("timestamp").alias("ts"), F.col("l_returnflag").alias("strategy_id"), F.col("l_quantity").alias("notional"))
     return ledger.limit_check(p, 2000.0, 2000.0)
+
+
+# ---- files and streams ---------------------------------------------------------------------------------------------------------
+
+@register("src5_broker_bars", "SELECT o_orderpriority AS pair, o_orderdate AS ts, round(o_totalprice + 0.5, 6) AS close, o_totalprice AS close_bid, o_totalprice + 1 AS close_ask FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderdate ORDER BY o_orderkey DESC) = 1")
+def _(spark, sf):
+    from tidemark.sources import files
+
+    bid, ask = F.col("o_totalprice"), F.col("o_totalprice") + 1
+    bar = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Time"), *(v.alias(f"{c}{s}") for c in ("Open", "High", "Low", "Close") for s, v in (("Bid", bid), ("Ask", ask))))
+    replies = tables.read(spark, sf, "orders").select(F.col("o_orderpriority").alias("pair"), F.col("o_orderkey").alias("seq"), F.to_json(F.array(bar)).alias("body"))
+    return rounded(files.broker_bars(replies).select("pair", "ts", "close", "close_bid", "close_ask"))
+
+
+@register("str1_live_bars", f"WITH {HOURLY}, m AS (SELECT max(ts) AS z FROM ticks) SELECT pair, ts, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, {r('volume', 'volume')} FROM bars, m WHERE ts + INTERVAL 1 HOUR <= z - INTERVAL 10 MINUTE")
+def _(spark, sf):
+    import uuid
+
+    from tidemark.streaming import jobs
+
+    raw = jobs.tick_stream(spark, sf, tables.read(spark, sf, "events").schema, "events.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared}/str1-{uuid.uuid4().hex}"
+    jobs.run_to_end(jobs.live_bars(tables.as_ticks(raw)), folder)
+    return rounded(spark.read.parquet(f"{folder}/out"))
+
+
+@register("str4_drawdown_ladder", f"""WITH {DAILY}, t AS (SELECT pair, ts, close, hash5, max(CASE WHEN hash5 <> 0 THEN close END) OVER {BY} AS peak FROM (SELECT *, CAST(day(ts) % 5 AS INT) AS hash5 FROM bars)),
+  d AS (SELECT *, coalesce(greatest(0, 1 - close / peak), 0) AS dd FROM t) SELECT pair, ts, {r('dd', 'drawdown')}, (dd >= 0.1)::INT + (dd >= 0.15)::INT + (dd >= 0.2)::INT AS level FROM d""")
+def _(spark, sf):
+    from tidemark.streaming import jobs
+
+    rows = tables.daily_bars(spark, sf).select("pair", "ts", F.col("close").alias("equity"), (F.dayofmonth("ts") % 5 == 0).alias("is_mock"))
+    return rounded(jobs.ladder(rows).select("pair", "ts", "drawdown", "level"))
+
+
+@register("str8_swap_accrual", f"WITH {DAILY} SELECT pair, ts, round(coalesce((epoch(ts) - epoch(lag(ts) OVER {BY})) / 86400 * 0.25 * lag(volume) OVER {BY}, 0), 6) AS accrued FROM bars")
+def _(spark, sf):
+    from tidemark.streaming import jobs
+
+    rows = tables.daily_bars(spark, sf).withColumn("held", F.col("volume"))
+    return rounded(jobs.swap_accrual(rows, 0.25).select("pair", "ts", "accrued"))

@@ -13,9 +13,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as ticks: (pair, ts, mid, ask_vol, spread_pips, seq)."""
+    return as_ticks(read(spark, sf_dir, "events"))
+
+
+def as_ticks(events: DataFrame) -> DataFrame:
+    """events, a table or a stream, as ticks: (pair, ts, mid, ask_vol, spread_pips, seq)."""
     k = F.get_json_object("props", "$.k").cast("double")
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_type").alias("pair"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("mid"),
         k.alias("ask_vol"), (k % 7 + 1).alias("spread_pips"), F.col("event_id").alias("seq"),
     )
