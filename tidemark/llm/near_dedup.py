@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.shared import _GOLDEN, materialise, mix, shingles, slices, text_key
 
@@ -19,8 +19,8 @@ from tidemark.llm.shared import _GOLDEN, materialise, mix, shingles, slices, tex
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 26, 5
 #: Texts of each bucket that all others of the bucket are checked against first.
 DRAWS = 4
-#: Rounds of ruling out texts that no other text of their buckets can be like.
-PRUNINGS = 3
+#: 64-bit words of a text's shingle bitmap, which bounds what two texts can share before their words are compared.
+BITMAP = 16
 
 
 def signatures(rows: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_rows: int, slots: int) -> np.ndarray:
@@ -126,6 +126,28 @@ def own_weight(texts: DataFrame, k: int) -> DataFrame:
     return alone.groupBy("rid").agg(F.sum("c").alias("own"))
 
 
+def bitmaps(texts: DataFrame, k: int) -> DataFrame:
+    """(rid, bits): of each text of a table (rid, text), BITMAP longs in which every shingle sets the bit that its hash names."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in slices(whole, ["text"]):
+                at, gram, _ = shingles(batch["text"], k)
+                bits = np.zeros((batch.num_rows, BITMAP), np.uint64)
+                np.bitwise_or.at(bits, (at, (gram >> np.uint64(6)) % np.uint64(BITMAP)), np.uint64(1) << (gram & np.uint64(63)))
+                offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BITMAP)
+                lists = pa.ListArray.from_arrays(offsets, pa.array(bits.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch["rid"], lists], names=["rid", "bits"])
+
+    return texts.select("rid", "text").mapInArrow(run, "rid long, bits array<long>")
+
+
+def apart_at_least(left: str, right: str) -> Column:
+    """How many bits differ between two bitmaps (columns left0.., right0..): so many shingles at least are in one text only."""
+    return sum((F.bit_count(F.col(f"{left}{i}").bitwiseXOR(F.col(f"{right}{i}"))) for i in range(BITMAP)), F.lit(0))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of an edge table (a, b) of longs: large and small stars in turn until nothing changes, then
     every node hangs on the least of its component. Steps are written, not collected."""
@@ -160,8 +182,8 @@ def near_duplicate_groups(
     Jaccard similarity of their word-shingle multisets. Copies of a text count once.
 
     In each bucket every text is first checked against DRAWS texts drawn by hash, others in every bucket; texts of one bucket that
-    are still in different components are then checked against each other. unless the shingles they
-    share with any text rule it out. So no pair that could join two components is left out, and most of a group of n near copies is
+    are still in different components are then checked against each other, unless a bound on the shingles they share rules it
+    out. So no pair that could join two components is left out, and most of a group of n near copies is
     joined by some n checks for each band.
     """
     base = docs.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("tid"), F.col(text).alias("text"))
@@ -183,20 +205,28 @@ def near_duplicate_groups(
     placed = materialise(placed, "placed")
     # What can still be alike: a pair shares at most the shingles that neither has alone, and its union has those of both that are
     # alone. So of n shingles with `own` alone, n - own must reach least * (n + the least `own` of the bucket).
-    # What is ruled out leaves more shingles alone among the rest, so this is done PRUNINGS times.
     torn = _torn(placed)
-    for _ in range(PRUNINGS):
-        rids = torn.select("rid").distinct()
-        alone = own_weight(texts.join(rids, "rid", "left_semi"), k)
-        weights = rids.join(sigs.select("rid", "n"), "rid").join(alone, "rid", "left").select("rid", "n", F.coalesce("own", F.lit(0)).alias("own"))
-        torn = materialise(torn.select("h", "rid", "c").join(materialise(weights, "weights"), "rid"), "torn")
-        floor = torn.groupBy("h").agg(F.min("own").alias("floor"))
-        torn = torn.join(floor, "h").where(F.col("n") - F.col("own") + 1e-9 >= least * (F.col("n") + F.col("floor"))).drop("floor")
-        torn = materialise(_torn(torn), "torn")
-    other = torn.select("h", *[F.col(c).alias(f"{c}2") for c in ("rid", "c", "n", "own")])
-    shared_most = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2"))
-    possible = (F.col("c") < F.col("c2")) & (shared_most + 1e-9 >= least * (F.col("n") + F.col("n2") - shared_most))
-    cross = torn.join(other, (torn["h"] == other["h"]) & possible).select(F.least("rid", "rid2").alias("a"), F.greatest("rid", "rid2").alias("b")).distinct()
+    rids = torn.select("rid").distinct()
+    alone = own_weight(texts.join(rids, "rid", "left_semi"), k)
+    weights = rids.join(sigs.select("rid", "n"), "rid").join(alone, "rid", "left").select("rid", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    torn = materialise(torn.select("h", "rid", "c").join(materialise(weights, "weights"), "rid"), "torn")
+    floor = torn.groupBy("h").agg(F.min("own").alias("floor"))
+    torn = torn.join(floor, "h").where(F.col("n") - F.col("own") + 1e-9 >= least * (F.col("n") + F.col("floor"))).drop("floor")
+    torn = materialise(_torn(torn), "torn")
+    # Texts outside a bucket's largest component meet all others of the bucket; the shingles that a pair can share are bounded by
+    # their bitmaps, inside the join.
+    bits = materialise(bitmaps(texts.join(torn.select("rid").distinct(), "rid", "left_semi"), k), "bitmaps")
+    largest = torn.groupBy("h", "c").count().groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("largest"))
+    torn = torn.join(largest, "h").join(bits, "rid").select("h", "largest", "rid", "c", "n", *[F.coalesce(F.col("bits")[i], F.lit(0)).alias(f"x{i}") for i in range(BITMAP)])
+    torn = materialise(torn, "torn")
+    one = torn.where("c <> largest").drop("largest")
+    two = torn.select("h", "largest", *[F.col(c).alias(f"{c}_") for c in ("rid", "c", "n")], *[F.col(f"x{i}").alias(f"y{i}") for i in range(BITMAP)])
+    # a pair is met once: from the text outside the largest component, or from the one of the lesser component
+    once = ((F.col("c") < F.col("c_")) | (F.col("c_") == F.col("largest"))) & (F.col("c") != F.col("c_"))
+    # similarity s of n and m shingles, d of them on one side only: s <= (n + m - d) / (n + m + d)
+    possible = once & (apart_at_least("x", "y") * (1 + least) <= (F.col("n") + F.col("n_")) * (1 - least) + 1e-9)
+    cross = one.alias("x").join(two.alias("y"), (F.col("x.h") == F.col("y.h")) & possible)
+    cross = cross.select(F.least("rid", "rid_").alias("a"), F.greatest("rid", "rid_").alias("b")).distinct()
     cross = materialise(cross.join(pairs, ["a", "b"], "left_anti"), "cross")
     more = materialise(verified(cross, texts, k, least), "links")
     if not more.isEmpty():
