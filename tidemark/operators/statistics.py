@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tidemark.operators.indicators import by_ts, sma
@@ -67,6 +70,64 @@ def bootstrap_p(rows: DataFrame, n: int, length: float) -> DataFrame:
     return r.groupBy("pair", "observed").agg(F.avg((F.round(F.col("mean") - 2 * F.col("observed"), 12) >= 0).cast("double")).alias("p")).withColumnRenamed("observed", "mean")
 
 
+CHUNK = 250
+
+
+def resampled(restart: np.ndarray, start: np.ndarray, length: float) -> np.ndarray:
+    """Row numbers of one circular resample from two uniforms a position, in the form of stationary_bootstrap()."""
+    t = np.arange(len(restart))
+    new = restart < 1 / length
+    new[:1] = True
+    block = np.maximum.accumulate(np.where(new, t, 0))
+    return (np.floor(start[block] * len(t)).astype(np.int64) + t - block) % len(t)
+
+
+def sharpe_of(x: np.ndarray, bars_per_year: float = 252.0) -> float:
+    s = x.std(ddof=1) if len(x) > 1 else 0.0
+    return float(x.mean() / s * bars_per_year**0.5) if s > 0 else 0.0
+
+
+def bootstrap_draws(rows: DataFrame, n: int, tests: list[tuple[str, float]], seed: int = 1) -> DataFrame:
+    """(pair, test, draw, mean, null_sharpe) of n stationary resamples of `ret` for each (test, block length): the mean, and the Sharpe of
+    the resampled series less the mean of the whole one. A series travels as one array to tasks of CHUNK draws each, and only statistics
+    leave them. Every draw has its own generator, seeded by series, test and draw, so that partitioning does not change it."""
+    series = rows.where("ret is not null").groupBy("pair").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "ret"))), lambda x: x["ret"]).alias("x"))
+    given = F.array(*(F.struct(F.lit(t).alias("test"), F.lit(float(length)).alias("length")) for t, length in tests))
+    chunks = -(-n // CHUNK)
+    d = series.select("pair", "x", F.inline(given)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    d = d.repartition(max(1, len(tests) * chunks), "pair", "test", "chunk")
+    columns = ["pair", "test", "draw", "mean", "null_sharpe"]
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x = np.array(r["x"], float)
+                mean = x.mean()
+                out = []
+                for draw in range(r["chunk"] * CHUNK, min(n, (r["chunk"] + 1) * CHUNK)):
+                    key = hashlib.md5(f"{seed}|{r['test']}|{r['pair']}|{draw}".encode()).digest()
+                    u = np.random.Generator(np.random.PCG64(int.from_bytes(key))).random((2, len(x)))
+                    y = x[resampled(u[0], u[1], r["length"])]
+                    out.append((r["pair"], r["test"], draw, float(y.mean()), sharpe_of(y - mean)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=columns)
+
+    return d.mapInArrow(run, "pair string, test string, draw bigint, mean double, null_sharpe double")
+
+
+def zero_mean_test(rows: DataFrame, n: int, length: float, others: tuple[int, ...] = (5, 10, 20), alpha: float = 0.05) -> DataFrame:
+    """(pair, sharpe, draws, p, p5, p10, p20, flips): p = (1 + null Sharpes of at least the observed one) / (n + 1) at the given block
+    length and, drawn anew, at the others; `flips` where one of those gives the other verdict at alpha."""
+    tests = [("p", length), *((f"p{k}", float(k)) for k in others)]
+    seen = rows.where("ret is not null").groupBy("pair").agg(sharpe().alias("sharpe"))
+    r = bootstrap_draws(rows, n, tests).join(seen, "pair")
+    p = [((1 + F.count_if((F.col("test") == t) & (F.col("null_sharpe") >= F.col("sharpe")))) / (n + 1)).alias(t) for t, _ in tests]
+    out = r.groupBy("pair", "sharpe").agg(F.count_if(F.col("test") == "p").alias("draws"), *p)
+    flips = F.lit(False)
+    for t, _ in tests[1:]:
+        flips = flips | ((F.col(t) > alpha) != (F.col("p") > alpha))
+    return out.withColumn("flips", flips)
+
+
 def walk_forward(rows: DataFrame, train: int, test: int, step: int) -> DataFrame:
     """(pair, window, n, sharpe): test rows of each rolling window, by bar number; only whole windows count."""
     num = rows.withColumn("i", F.row_number().over(by_ts()) - 1 - train).where("i >= 0")

@@ -286,12 +286,21 @@ def _(spark, sf):
 SHARPE = "round(CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252) ELSE 0 END, 6)"
 NET_OF = f"""p AS (SELECT *, coalesce(lag(signal) OVER {BY}, 0) AS position FROM s), q AS (SELECT *, abs(position - coalesce(lag(position) OVER {BY}, 0)) * (spread_median_pips + 0.8) AS cost_pips FROM p),
   net AS (SELECT *, coalesce(position * ln(close / lag(close) OVER {BY}), 0) - cost_pips * 0.0001 / close AS ret FROM q)"""
-DRAWN = f"""d AS (SELECT pair || '#' || draw AS pair, ts, close, spread_median_pips FROM bars, range(10) x(draw)), f AS (SELECT *, CASE WHEN {md5u("'1|0|c|' || " + AT)} < 0.2 THEN floor({md5u("'1|0|v|' || " + AT)} * 3) - 1 END AS fresh FROM d),
+#: Draws of the reference's null gate and of its bootstrap tests.
+NULLS, RESAMPLES = 1000, 10_000
+
+
+def _drawn(n: int) -> str:
+    return f"""d AS (SELECT pair || '#' || draw AS pair, ts, close, spread_median_pips FROM bars, range({n}) x(draw)), f AS (SELECT *, CASE WHEN {md5u("'1|0|c|' || " + AT)} < 0.2 THEN floor({md5u("'1|0|v|' || " + AT)} * 3) - 1 END AS fresh FROM d),
   s AS (SELECT *, coalesce(last_value(fresh IGNORE NULLS) OVER {BY}, 0)::DOUBLE AS signal FROM f), {NET_OF}"""
 
 
-def _null_cells(spark, sf):
-    rows = simulate.net_returns(signals.random_signals(stats.draws(tables.daily_bars(spark, sf), 10), 0))
+DRAWN = _drawn(10)
+
+
+def _null_cells(spark, sf, n=10):
+    bars = tables.daily_bars(spark, sf).select("pair", "ts", "close", "spread_median_pips")
+    rows = simulate.net_returns(signals.random_signals(stats.draws(bars, n), 0))
     return rows.groupBy("pair").agg(stats.sharpe().alias("sharpe"))
 
 
@@ -300,13 +309,27 @@ def _(spark, sf):
     return rounded(_null_cells(spark, sf))
 
 
-@register("st11_null_rank", f"WITH {DAILY}, {POS}, c AS (SELECT pair, {SHARPE} AS sharpe FROM net GROUP BY pair), n AS (WITH {DRAWN} SELECT split_part(pair, '#', 1) AS pair, {SHARPE} AS ns FROM net GROUP BY net.pair) SELECT pair, sharpe, count(*) AS draws, round(avg((ns < sharpe)::INT), 6) AS rank FROM n JOIN c USING (pair) GROUP BY pair, sharpe")
-def _(spark, sf):
+def _null_rank(spark, sf, n=10):
     candidate = _net(spark, sf).groupBy("pair").agg(F.round(stats.sharpe(), 6).alias("sharpe"))
-    nulls = _null_cells(spark, sf).select(F.split_part("pair", F.lit("#"), F.lit(1)).alias("pair"), F.round("sharpe", 6).alias("sharpe"))
+    nulls = _null_cells(spark, sf, n).select(F.split_part("pair", F.lit("#"), F.lit(1)).alias("pair"), F.round("sharpe", 6).alias("sharpe"))
     return rounded(stats.null_rank(candidate, nulls))
 
 
+@register("st11_null_rank", f"WITH {DAILY}, {POS}, c AS (SELECT pair, {SHARPE} AS sharpe FROM net GROUP BY pair), n AS (WITH {DRAWN} SELECT split_part(pair, '#', 1) AS pair, {SHARPE} AS ns FROM net GROUP BY net.pair) SELECT pair, sharpe, count(*) AS draws, round(avg((ns < sharpe)::INT), 6) AS rank FROM n JOIN c USING (pair) GROUP BY pair, sharpe")
+def _(spark, sf):
+    return _null_rank(spark, sf)
+
+
+@register("bt12_null_grid_full", f"WITH {DAILY}, {_drawn(NULLS)} SELECT pair, {SHARPE} AS sharpe FROM net GROUP BY pair")
+def _(spark, sf):
+    return rounded(_null_cells(spark, sf, NULLS))
+
+
+@register("st11_null_rank_full", f"WITH {DAILY}, {POS}, c AS (SELECT pair, {SHARPE} AS sharpe FROM net GROUP BY pair), n AS (WITH {_drawn(NULLS)} SELECT split_part(pair, '#', 1) AS pair, {SHARPE} AS ns FROM net GROUP BY net.pair) SELECT pair, sharpe, count(*) AS draws, round(avg((ns < sharpe)::INT), 6) AS rank FROM n JOIN c USING (pair) GROUP BY pair, sharpe")
+def _(spark, sf):
+    return _null_rank(spark, sf, NULLS)
+
+
 CELLS = [(3, 10), (5, 20), (10, 40), (20, 60)]
 SWEPT = f"""cells AS ({' UNION ALL '.join(f"SELECT pair || '#{a}-{b}' AS pair, ts, close, spread_median_pips, coalesce(sign({full('avg', 'close', a)} - {full('avg', 'close', b)}), 0)::DOUBLE AS signal FROM bars" for a, b in CELLS)}), s AS (SELECT * FROM cells), {NET_OF}"""
 
@@ -369,6 +392,16 @@ def _(spark, sf):
     return rounded(stats.bootstrap_p(_net(spark, sf), 8, 10.0), 9)
 
 
+@register("st3_stationary_bootstrap_full")
+def _(spark, sf):
+    return rounded(stats.bootstrap_draws(_net(spark, sf), RESAMPLES, [("p", 10.0)]).select("pair", "draw", "mean", "null_sharpe"), 9)
+
+
+@register("st4_zero_mean_test_full")
+def _(spark, sf):
+    return rounded(stats.zero_mean_test(_net(spark, sf), RESAMPLES, 10.0), 9)
+
+
 @register("st14_event_summary", f"WITH {DAILY}, {POS}, {TRADES} SELECT pair, count(pnl_pips) AS events, {r('CASE WHEN stddev_samp(pnl_pips) > 0 THEN avg(pnl_pips) / stddev_samp(pnl_pips) ELSE 0 END', 'sharpe')}, {r('avg((pnl_pips > 0)::INT)', 'continued')} FROM trades GROUP BY ROLLUP (pair)")
 def _(spark, sf):
     return rounded(events.summary(_trades(spark, sf), "pair", "pnl_pips"))
