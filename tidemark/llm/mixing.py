@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+import logging
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 SWEEPS = 12
+#: fit() has reached its margins when no value misses its target by more than this share of the drawn tokens, within MOST sweeps.
+TOLERANCE, MOST = 1e-5, 300
+#: How far targets that the cells cannot meet together move towards the shares as found, which equal probabilities always meet.
+STEPS = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
+
+logger = logging.getLogger(__name__)
 
 
 def token_count(text: Column) -> Column:
@@ -59,36 +69,142 @@ def uniform(key: Column, text: Column, seed: int) -> Column:
 MARGINS = ["source", "lang", "topic"]
 
 
+def feasible(shares: np.ndarray, held: np.ndarray, budget: float) -> np.ndarray:
+    """Tokens for each value in proportion to the shares, none above what it holds; what a capped value cannot supply goes to the others
+    in proportion to theirs."""
+    out, free, left = np.zeros(len(held)), (shares > 0) & (held > 0), budget
+    while free.any():
+        want = np.where(free, shares * left / shares[free].sum(), 0.0)
+        over = free & (want >= held)
+        if not over.any():
+            return out + want
+        out[over], left, free = held[over], left - held[over].sum(), free & ~over
+    return out
+
+
+def factor(other: np.ndarray, tokens: np.ndarray, target: float) -> float:
+    """The a with sum(tokens * min(1, a * other)) = target; where target is all tokens, the least a that takes every cell whole."""
+    order = np.argsort(-other)
+    o, t = other[order], tokens[order]
+    whole = np.cumsum(t) - t  # the k largest are taken whole
+    a = (target - whole) / np.cumsum((t * o)[::-1])[::-1]
+    fits = np.flatnonzero(a * o <= 1)
+    return float(a[fits[0]]) if len(fits) else float(1 / o[-1])
+
+
+def solve(at: list[np.ndarray], t: np.ndarray, goals: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Probabilities of the cells by exact steps over the values of each margin, and the largest miss in tokens."""
+    rows = [[(v, np.flatnonzero(i == v)) for v in np.unique(i)] for i in at]
+    factors = [np.ones(len(g)) for g in goals]
+    p, worst = np.ones(len(t)), np.inf
+    for _ in range(MOST):
+        for m in range(len(at)):
+            other = np.prod([factors[k][at[k]] for k in range(len(at)) if k != m], axis=0)
+            for v, cell in rows[m]:
+                factors[m][v] = factor(other[cell], t[cell], goals[m][v])
+            p = np.minimum(1.0, other * factors[m][at[m]])
+        worst = max(np.abs(np.bincount(i, t * p, len(g)) - g).max() for i, g in zip(at, goals))
+        if worst <= TOLERANCE * t @ p:
+            break
+    return p, worst
+
+
+def fit(cells: list[tuple], tokens: np.ndarray, targets: list[dict], fraction: float) -> tuple[np.ndarray, list[tuple]]:
+    """Probabilities min(1, product of one factor a margin value) of cells, nearest to equal ones of all that reach the margins, and
+    (margin number, value, wanted share, feasible target share, reached share). A cell with a value of share 0 is not drawn."""
+    probability, report = np.zeros(len(cells)), []
+    names = [list(dict.fromkeys([*(c[m] for c in cells), *t])) for m, t in enumerate(targets)]
+    places = [{v: i for i, v in enumerate(n)} for n in names]
+    index = [np.array([x[c[m]] for c in cells], int) for m, x in enumerate(places)]
+    shares = [np.array([float(t.get(v) or 0.0) for v in n]) for n, t in zip(names, targets)]
+    use = tokens > 0
+    for i, x in zip(index, shares):
+        use &= x[i] > 0
+    budget = min(fraction * tokens.sum(), tokens[use].sum())
+    t = tokens[use]
+    at = [i[use] for i in index]
+    capped = [feasible(x, np.bincount(i, t, len(x)), budget) for x, i in zip(shares, at)]
+    found = [np.bincount(i, t, len(x)) * (budget / max(t.sum(), 1.0)) for x, i in zip(shares, at)]
+    p, goals = np.ones(len(t)), capped
+    for step in STEPS if budget > 0 else ():
+        goals = [(1 - step) * x + step * y for x, y in zip(capped, found)]
+        p, worst = solve(at, t, goals)
+        if worst <= TOLERANCE * budget:
+            if step:
+                logger.warning("the margins cannot be reached together; targets moved by %s towards the shares as found", step)
+            break
+    probability[use] = p
+    for m, (n, x, g, i) in enumerate(zip(names, shares, goals, at)):
+        got = np.bincount(i, t * p, len(n))
+        report += [(m, v, float(x[k]), float(g[k] / budget) if budget else 0.0, float(got[k] / budget) if budget else 0.0) for k, v in enumerate(n)]
+    return probability, report
+
+
+def fitted_cells(cells: DataFrame, fraction: float, power: float, targets: dict[str, DataFrame] | None) -> tuple[list[tuple], np.ndarray, list[tuple]]:
+    """fit() of the cell table, which has one row for each combination that occurs and is fitted on the driver."""
+    rows = cells.collect()
+    keys, tokens = [tuple(r[m] for m in MARGINS) for r in rows], np.array([r["tokens"] for r in rows], float)
+    wanted = []
+    for k, m in enumerate(MARGINS):
+        if targets is not None:
+            wanted.append({r[m]: r["share"] for r in targets[m].collect()})
+            continue
+        held: dict = {}
+        for c, n in zip(keys, tokens):
+            held[c[k]] = held.get(c[k], 0.0) + n
+        total = sum(n**power for n in held.values() if n > 0)
+        wanted.append({v: n**power / total for v, n in held.items() if n > 0})
+    return keys, *fit(keys, tokens, wanted, fraction)
+
+
 def calibrate(
-    docs: DataFrame, fraction: float, power: float, seed: int, key: str, text: str, source: str, lang: str, targets: dict[str, DataFrame] | None
+    docs: DataFrame, fraction: float, power: float, seed: int, key: str, text: str, source: str, lang: str, targets: dict[str, DataFrame] | None, reach: bool
 ) -> DataFrame:
-    """docs with __source, __lang, __topic, __tokens, __draw and __probability added."""
+    """docs with __source, __lang, __topic, __tokens, __draw and __probability added; reach: by fit(), else by rake()."""
     rows = docs.withColumns({
         "__source": F.col(source), "__lang": F.col(lang), "__topic": topic_of(F.col(text)),
         "__tokens": token_count(F.col(text)), "__draw": uniform(F.col(key), F.col(text), seed),
     })
     cells = rows.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__tokens").alias("tokens"))
-    if targets is None:
-        targets = {m: tempered_shares(cells, m, power) for m in MARGINS}
-    fitted = rake(cells, MARGINS, targets, fraction).select(
-        *[F.col(m).alias(f"__cell_{m}") for m in MARGINS],
-        F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("__probability"),
-    )
+    if reach:
+        keys, probability, _ = fitted_cells(cells, fraction, power, targets)
+        columns = {f"__cell_{m}": pa.array([c[k] for c in keys], pa.string()) for k, m in enumerate(MARGINS)}
+        fitted = docs.sparkSession.createDataFrame(pa.table(columns | {"__probability": pa.array(probability)}))
+    else:
+        if targets is None:
+            targets = {m: tempered_shares(cells, m, power) for m in MARGINS}
+        fitted = rake(cells, MARGINS, targets, fraction).select(
+            *[F.col(m).alias(f"__cell_{m}") for m in MARGINS],
+            F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("__probability"),
+        )
     same = [F.col(f"__{m}").eqNullSafe(F.col(f"__cell_{m}")) for m in MARGINS]
     return rows.join(fitted, same[0] & same[1] & same[2]).drop(*[f"__cell_{m}" for m in MARGINS])
 
 
+def margins(
+    docs: DataFrame, fraction: float = 0.5, power: float = 0.5, text: str = "text", source: str = "source", lang: str = "lang",
+    targets: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """(margin, value, wanted, target, reached) of mix(): the wanted share, the share that is left of it after capping, and the share of the
+    expected tokens that the probabilities give."""
+    cells = docs.groupBy(F.col(source).alias("source"), F.col(lang).alias("lang"), topic_of(F.col(text)).alias("topic")).agg(F.sum(token_count(F.col(text))).alias("tokens"))
+    _, _, report = fitted_cells(cells, fraction, power, targets)
+    rows = [(MARGINS[m], *r) for m, *r in report]
+    return docs.sparkSession.createDataFrame(rows, "margin string, value string, wanted double, target double, reached double")
+
+
 def mix(
     docs: DataFrame, fraction: float = 0.5, power: float = 0.5, seed: int = 7, key: str = "doc_id", text: str = "text",
-    source: str = "source", lang: str = "lang", targets: dict[str, DataFrame] | None = None,
+    source: str = "source", lang: str = "lang", targets: dict[str, DataFrame] | None = None, reach: bool = True,
 ) -> DataFrame:
     """Every document with its cell, calibrated probability and draw: (key, source, lang, topic, n_tokens, probability, draw, kept,
     token_weight), token_weight = 1 / probability for kept rows.
 
     Targets default to tempered shares of each margin. Null sources and languages are values of their own. A cell without tokens
-    has probability 0. Equal rows get equal draws. An empty table gives no rows; other columns are ignored, whatever their names.
+    has probability 0. reach: targets are made feasible and reached by fit(); without it, rake() holds cells at their tokens and gives
+    what they lack to nobody. Equal rows get equal draws. An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    rows = calibrate(docs.select(key, text, source, lang), fraction, power, seed, key, text, source, lang, targets)
+    rows = calibrate(docs.select(key, text, source, lang), fraction, power, seed, key, text, source, lang, targets, reach)
     kept = F.col("__draw") < F.col("__probability")
     return rows.select(
         key, *[F.col(f"__{m}").alias(m) for m in MARGINS], F.col("__tokens").alias("n_tokens"), F.col("__probability").alias("probability"),
@@ -98,8 +214,8 @@ def mix(
 
 def sample(
     docs: DataFrame, fraction: float = 0.5, power: float = 0.5, seed: int = 7, key: str = "doc_id", text: str = "text",
-    source: str = "source", lang: str = "lang", targets: dict[str, DataFrame] | None = None,
+    source: str = "source", lang: str = "lang", targets: dict[str, DataFrame] | None = None, reach: bool = True,
 ) -> DataFrame:
     """The documents that mix() keeps, with the columns of the input."""
-    rows = calibrate(docs, fraction, power, seed, key, text, source, lang, targets)
+    rows = calibrate(docs, fraction, power, seed, key, text, source, lang, targets, reach)
     return rows.where(F.col("__draw") < F.col("__probability")).select(docs.columns)

@@ -49,9 +49,17 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), reach=False).withColumns({c: F.round(c, 9) for c in ("probability", "token_weight")})
+
+
+def op7_mixing_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 9) for c in ("probability", "token_weight")})
 
 
+def op7_mixing_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.margins(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
 
@@ -72,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_url_filters, op2_token_output, op3_quality, op4_toxicity, op5_near_dedup, op6_suffix_dedup, op7_mixing, op8_fingerprints, op9_sharding, op10_decontamination, pipeline]
+    own = [op1_url_filters, op2_token_output, op3_quality, op4_toxicity, op5_near_dedup, op6_suffix_dedup, op7_mixing, op7_mixing_reached, op7_mixing_margins, op8_fingerprints, op9_sharding, op10_decontamination, pipeline]
     return {f.__name__: f for f in own}
 
 
