@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import costs, events, gate, indicators as ind, joins, ledger, metrics, quality, resample, signals, simulate, statistics as stats
 from tidemark.plans.market import (
-    BY, DAILY, HOURLY, LEDGER, POS, RATES, RET, SESSION, SIMPLE, SLOTS, SMA_SIGNAL, TR, TRADES, _ema_sql, _indicator, _ledger, _net, _rate_rows, _returns, _trades,
+    BY, DAILY, HOURLY, LEDGER, POS, RATES, RET, SESSION, SIMPLE, SLOTS, SQL, SMA_SIGNAL, TR, TRADES, _ema_sql, _indicator, _ledger, _net, _rate_rows, _returns, _trades,
     frame, full, r, register, rounded,
 )
 from tidemark.sources import tables
@@ -562,3 +562,40 @@ def _(spark, sf):
 
     rows = tables.daily_bars(spark, sf).withColumn("held", F.col("volume"))
     return rounded(jobs.swap_accrual(rows, 0.25).select("pair", "ts", "accrued"))
+
+
+# ---- whole tables --------------------------------------------------------------------------------------------------------------
+
+def whole(name: str, cut: str):
+    """Registers `name`_whole with the SQL of `name` less the filter that takes rows from it."""
+    sql = SQL[name]
+    assert sql.count(cut) == 1, name
+    return register(f"{name}_whole", sql.replace(cut, ""))
+
+
+@whole("rs4_hour_curve", " AND hour(ts) % 2 = 0")
+def _(spark, sf):
+    return rounded(resample.hour_curve(tables.ticks(spark, sf)))
+
+
+@whole("dq8_missing_hours", " WHERE hour(ts) % 5 <> 0")
+def _(spark, sf):
+    return quality.missing_hours(tables.hourly_bars(spark, sf))
+
+
+@whole("cst5_hour_curve_cost", " AND hour(ts) < 20")
+def _(spark, sf):
+    curve = resample.hour_curve(tables.ticks(spark, sf))
+    return rounded(costs.hour_curve_cost(tables.hourly_bars(spark, sf), curve, 2.5).select("pair", "ts", "curve_spread"))
+
+
+@whole("rs5_quarter_end", " WHERE quarter(ts) <> 3")
+def _(spark, sf):
+    rates = tables.rates(spark, sf).select("currency", F.col("date").alias("ts"), F.col("rate_pct").alias("rate"))
+    return rounded(resample.quarter_end(rates))
+
+
+@whole("jn8_widest_bar", " WHERE event_id % 5 = 0")
+def _(spark, sf):
+    days = tables.ticks(spark, sf).select("pair", F.date_trunc("day", "ts").alias("day")).distinct()
+    return rounded(events.widest_bar(tables.hourly_bars(spark, sf), days))
