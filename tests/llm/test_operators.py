@@ -64,7 +64,7 @@ def test_token_output(spark, sf_dir, docs):
         start += len(ids)
 
 
-@pytest.mark.parametrize("text", ["", " ", "a  b", " a b", "a b ", "a\n b", "a \nb", "a\n\n  b c", "x  y", "it's 5 o'clock <|endoftext|> now", "tab\t x \t y", "é ñ ß 日本 語"])
+@pytest.mark.parametrize("text", ["", " ", "a  b", " a b", "a b ", "a\n b", "a \nb", "a\n\n  b c", "x  y", "it's 5 o'clock <|endoftext|> now", "tab\t x \t y", "é ñ ß 日本 語", "a\t \tb", "a\n \nb c", "a\u3000 \u00a0b", "a   b", "x. 's y", "a<|endoftext|> b <|endoftext|>c d", "a \tb c\n d", " ", "\n \n"])
 def test_pieces_encode_like_whole_texts(text):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -74,20 +74,67 @@ def test_pieces_encode_like_whole_texts(text):
     assert wavelet.encode_texts([text], path, 2)[0].tolist() == [*want, 2]
 
 
-def test_wavelet_rank_and_select():
-    ids = np.random.default_rng(1).integers(0, 300, 5000).astype(np.uint16)
-    shard = wavelet.WaveletShard(wavelet.encode_shard(ids, np.array([0, 100]), np.array([7, 9]), np.array([True, False])))
-    assert (shard.ids() == ids).all()
-    for i in range(0, 5000, 611):
+def test_texts_are_encoded_alike_in_batches():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = np.random.default_rng(2)
+    marks = ["a", "be", "It's", "\n", "\t", "", "x.", "ñ", "\u2003", "<|endoftext|>", "12", "##"]
+    texts = [" ".join(rng.choice(marks, n)) for n in rng.integers(0, 12, 3000)]
+    want = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    for _ in range(2):  # fresh pieces, then remembered ones
+        assert all(g.tolist() == [*w.ids, 2] for g, w in zip(wavelet.encode_texts(texts, path, 2), want))
+
+
+@pytest.mark.parametrize("levels, top, n", [(9, 300, 5000), (16, 300, 200_000), (17, 1 << 17, 70_000), (1, 2, 9), (16, 5, 0)])
+def test_wavelet_rank_and_select(levels, top, n):
+    ids = np.random.default_rng(1).integers(0, top, n).astype(np.uint32)
+    starts = np.array([0, n // 2])
+    blob, reads = wavelet.encode_shard(ids, starts, np.array([7, 9]), np.array([True, False]), levels), []
+    shard = wavelet.WaveletShard(lambda at, size: reads.append(size) or blob[at : at + size])
+    for i in range(0, n, max(n // 9, 1)):
         assert shard.access(i) == ids[i]
-    for token in (0, 17, 299, 300):
+        assert sum(reads) < len(blob) or n < 1000
+    assert (shard.ids() == ids).all() and (wavelet.WaveletShard(blob).ids() == ids).all()
+    assert [x.tolist() for x in shard.documents()] == [starts.tolist(), [7, 9], [True, False]]
+    for token in (0, 1, top - 1, top, 1 << 20):
         at = np.flatnonzero(ids == token)
         assert shard.count(token) == len(at)
-        assert shard.rank(token, 2500) == (at < 2500).sum()
-        for k in range(0, len(at), 7):
+        assert shard.rank(token, n // 2) == (at < n // 2).sum()
+        for k in range(0, len(at), max(len(at) // 9, 1)):
             assert shard.select(token, k) == at[k]
-    with pytest.raises(IndexError):
-        shard.select(300, 0)
+    for bad in (lambda: shard.select(top, 0), lambda: shard.access(n), lambda: shard.access(-1)):
+        with pytest.raises(IndexError):
+            bad()
+
+
+def test_one_access_reads_few_blocks():
+    ids = np.random.default_rng(1).integers(0, 50_000, 600_000).astype(np.uint32)
+    blob, reads = wavelet.encode_shard(ids, np.array([0]), np.array([1]), np.array([True])), []
+    shard = wavelet.WaveletShard(lambda at, size: reads.append(size) or blob[at : at + size])
+    assert shard.access(123_456) == ids[123_456] and sum(reads) < 0.2 * len(blob)
+
+
+def test_ids_beyond_the_planes_are_an_error():
+    with pytest.raises(ValueError, match="does not fit"):
+        wavelet.encode_shard(np.array([70_000], np.uint32), np.array([0]), np.array([1]), np.array([True]))
+    assert wavelet.levels_for(50_257) == 16 and wavelet.levels_for(65_537) == 17 and wavelet.levels_for(1) == 1
+
+
+def test_shards_are_kept_at_a_path(spark, tmp_path):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(i % 3 if i % 4 else None, f"one two {i}" if i % 5 else None) for i in range(50)], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    report = wavelet.token_report(docs, path, 2, path=str(tmp_path / "shards"))
+    files = wavelet.load_shards(spark, str(tmp_path / "shards"))
+    again = wavelet.read_shards(files).collect()
+    assert sorted(map(str, again)) == sorted(map(str, report.collect())) and len(again) == 50
+    ordered = sorted(again, key=lambda r: r["start"])
+    keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in ordered]
+    assert keys == sorted(keys) and ordered[0]["start"] == 0
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(ordered, ordered[1:]))
 
 
 def test_classifiers_on_held_out_rows(spark):

@@ -131,8 +131,8 @@ def row_of(counts: np.ndarray) -> np.ndarray:
 SLICE_BYTES = 2 << 20
 
 
-def slices(batch, columns: list[str], size: str | None = None):
-    """Parts of a record batch whose texts in `columns` have about SLICE_BYTES together, one row at least. size: a column that holds
+def slices(batch, columns: list[str], size: str | None = None, most: int = SLICE_BYTES):
+    """Parts of a record batch whose texts in `columns` have about `most` bytes together, one row at least. size: a column that holds
     the bytes of each row instead."""
     import pyarrow.compute as pc
 
@@ -140,7 +140,7 @@ def slices(batch, columns: list[str], size: str | None = None):
     at, ends = 0, np.cumsum(sizes)
     while at < batch.num_rows:
         done = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
 
