@@ -2,18 +2,22 @@
 
 A window is 13 consecutive words of an item (all of them if it has fewer). From every run of L words the least hash among its k-grams
 is kept, on both sides; a run that document and item share has the same k-grams and so the same least one: no shared window is
-missed. Documents and items are joined on kept hashes, and each hit is extended word by word along its alignment.
+missed. Documents are joined with the benchmark on kept hashes alone; in the texts that hit, each hit is extended to the windows around
+it, and these are joined with the items' windows word for word.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.shared import materialise, text_key, words
+from tidemark.llm.shared import free_names, materialise, text_key, words
 
 WINDOW, GRAM = 13, 7
-#: Benchmark fingerprints are broadcast up to this many; beyond it, documents meet them in a shuffle join first.
-BROADCAST_FINGERPRINTS = 1_000_000
+#: Up to so many kept hashes (8 bytes each), texts with hits (16 bytes each) and bytes of benchmark windows are broadcast; above that a
+#: join shuffles, and where one key can hold many rows its other side is copied SALTS times.
+BROADCAST_HASHES, BROADCAST_TEXTS, BROADCAST_BYTES, SALTS = 500_000, 200_000, 16 << 20, 16
 
 
 def least_of_runs(grams: Column, run: int) -> Column:
@@ -24,84 +28,135 @@ def least_of_runs(grams: Column, run: int) -> Column:
 
 
 def _fingerprints(df: DataFrame, length: int) -> DataFrame:
-    """Adds __grams and __kept to a table with __words. What follows explodes these with explode_outer: a plain explode has Catalyst
+    """Adds grams and kept to a table with words. What follows explodes these with explode_outer: a plain explode has Catalyst
     filter on the array's size first, which would compute it anew inside every lambda."""
     k = min(GRAM, length)
-    hashed = df.withColumn("__hashed", F.transform("__words", lambda x: F.xxhash64(x)))
-    grams = F.when(F.size("__hashed") < k, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size("__hashed") - k), lambda i: F.xxhash64(*[F.get(F.col("__hashed"), i + j) for j in range(k)]))
+    hashed = df.withColumn("hashed", F.transform("words", lambda x: F.xxhash64(x)))
+    grams = F.when(F.size("hashed") < k, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.size("hashed") - k), lambda i: F.xxhash64(*[F.get(F.col("hashed"), i + j) for j in range(k)]))
     )
-    return hashed.withColumn("__grams", grams).withColumn("__kept", least_of_runs(F.col("__grams"), length - k + 1))
+    return hashed.withColumn("grams", grams).withColumn("kept", least_of_runs(F.col("grams"), length - k + 1))
+
+
+def _window(words_: Column, start: Column, length: int) -> Column:
+    """`length` words from `start` (from 0), joined by spaces, which no word holds."""
+    return F.array_join(F.slice(words_, start + 1, F.lit(length)), " ")
 
 
-def _hits(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
-    """(__tid, item, spans): spans of document words inside windows of the items, all of which have `length` word windows.
-    docs: __tid, __words. items: __item, __iwords."""
-    bench = _fingerprints(items.withColumnRenamed("__iwords", "__words"), length)
+def _hits(texts: DataFrame, items: DataFrame, length: int, limits: dict[str, int]) -> DataFrame:
+    """(tid, item, start, length): windows of `length` words of documents that are windows of the items, all of which have windows of
+    that length. texts: tid, words. items: item, words."""
     k = min(GRAM, length)
-    bench = bench.select("__item", F.col("__words").alias("__iwords"), F.col("__grams").alias("__igrams"), F.explode_outer("__kept").alias("__hash"))
-    bench = materialise(bench.distinct(), "bench")
-    small = bench.count() <= BROADCAST_FINGERPRINTS
-    # the document's own positions of a hit hash are found where the hit is
-    marked = _fingerprints(docs, length)
-    if small:
-        met = marked.select("__tid", "__words", "__grams", F.explode_outer("__kept").alias("__hash")).join(F.broadcast(bench), "__hash")
-    else:
-        pairs = marked.select("__tid", F.explode_outer("__kept").alias("__hash")).join(bench, "__hash")
-        met = pairs.join(marked.select("__tid", "__words", "__grams"), "__tid")
-    at = lambda grams: F.filter(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.get(grams, i) == F.col("__hash"))
-    met = met.select("__tid", "__item", "__words", "__iwords", at(F.col("__grams")).alias("p"), at(F.col("__igrams")).alias("q"))
-    shifts = F.array_distinct(F.flatten(F.transform("p", lambda p: F.transform(F.col("q"), lambda q: p - q))))
-    met = met.select("__tid", "__item", "__words", "__iwords", F.explode_outer(shifts).alias("__shift"))
-    # mask of equal words along the alignment, over the item's words
-    same = F.transform(
-        "__iwords", lambda w, i: F.when((i + F.col("__shift") >= 0) & F.get(F.col("__words"), i + F.col("__shift")).eqNullSafe(w), "1").otherwise("0")
+    hashes = _fingerprints(items, length).select(F.explode_outer("kept").alias("hash")).where("hash is not null").distinct()
+    hashes = materialise(hashes, "hashes")
+    windows = items.select("item", "words", F.explode_outer(F.sequence(F.lit(0), F.size("words") - length)).alias("s"))
+    windows = materialise(windows.select("item", _window(F.col("words"), F.col("s"), length).alias("window")).distinct(), "windows")
+    # narrow rows only: copies of a text meet in the map-side grouping
+    kept = _fingerprints(texts, length).select("tid", F.explode_outer("kept").alias("hash"))
+    met = kept.join(F.broadcast(hashes) if hashes.count() <= limits["hashes"] else hashes, "hash", "left_semi").distinct()
+    met = materialise(met, "met")
+    tids = met.select("tid").distinct()
+    few = tids.count() <= limits["texts"]
+    # the texts that hit, each once
+    candidates = texts.join(F.broadcast(tids) if few else tids, "tid", "left_semi").groupBy("tid").agg(F.first("words").alias("words"))
+    candidates = materialise(candidates, "candidates")
+    # where a kept hash stands, and the windows around it
+    grams = _fingerprints(candidates, length).select("tid", F.size("words").alias("n"), F.posexplode_outer("grams").alias("p", "hash"))
+    places = grams.join(met, ["tid", "hash"])
+    around = F.sequence(F.greatest(F.col("p") - (length - k), F.lit(0)), F.least(F.col("p"), F.col("n") - length))
+    starts = places.select("tid", F.explode_outer(around).alias("start")).groupBy("tid").agg(F.collect_set("start").alias("starts"))
+    cut = F.transform("starts", lambda s: F.struct(s.alias("start"), _window(F.col("words"), s, length).alias("window")))
+    around = candidates.join(starts, "tid").select("tid", F.explode_outer(cut).alias("w")).select("tid", "w.start", "w.window")
+    if (windows.agg(F.sum(F.octet_length("window") + 64)).first()[0] or 0) <= limits["bytes"]:
+        found = around.join(F.broadcast(windows), "window")
+    else:  # a window that very many texts hold is met by SALTS tasks
+        salted = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = around.withColumn("salt", F.pmod(F.xxhash64("tid", "start"), F.lit(SALTS)).cast("int")).join(salted, ["window", "salt"])
+    return found.select("tid", "item", "start", F.lit(length).alias("length"))
+
+
+def judged_texts(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.05,
+    hashes: int = BROADCAST_HASHES, texts: int = BROADCAST_TEXTS, window_bytes: int = BROADCAST_BYTES,
+) -> DataFrame | None:
+    """(tid, n_hit, items, contaminated) of the different texts that hit; None without items that have words. tid is text_key().
+
+    A word inside any occurrence of an item's window is hit; items: the sorted ids with occurring windows. contaminated: n_hit >= share *
+    words, share taken as the decimal number it is written as.
+    """
+    items = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("words")).where(F.size("words") > 0).distinct()
+    items = materialise(items, "items")
+    size = F.least(F.size("words"), F.lit(WINDOW))
+    lengths = sorted(r["n"] for r in items.select(size.alias("n")).distinct().collect())  # 13 at most
+    base = docs.select(text_key(F.col(text)).alias("tid"), words(F.col(text)).alias("words"))
+    limits = {"hashes": hashes, "texts": texts, "bytes": window_bytes}
+    found = [_hits(base, items.where(size == n), n, limits) for n in lengths]
+    if not found:
+        return None
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    # spans and items of one text: bounded by its length
+    of_text = hits.groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    covered = F.aggregate(
+        "spans", zero,
+        lambda a, s: F.struct(
+            F.greatest(a["end"], s["start"] + s["length"]).alias("end"),
+            (a["n"] + F.greatest(F.lit(0), s["start"] + s["length"] - F.greatest(a["end"], s["start"]))).cast("long").alias("n"),
+        ),
     )
-    mask = F.array_join(same, "")
-    met = met.select("__tid", "__item", "__shift", mask.alias("mask"))
-    full = "1" * length
-    starts = F.filter(F.sequence(F.lit(1), F.length("mask") - length + 1), lambda s: F.col("mask").substr(s, F.lit(length)) == full)
-    met = met.where(F.contains("mask", F.lit(full))).select("__tid", "__item", F.transform(starts, lambda s: s - 1 + F.col("__shift")).alias("starts"))
-    return met.select("__tid", "__item", F.explode_outer("starts").alias("__start"), F.lit(length).alias("__length"))
+    of_text = materialise(of_text.select("tid", covered["n"].alias("n_hit"), "items"), "hits")
+    few = of_text.count() <= texts
+    sizes = base.join(F.broadcast(of_text.select("tid")) if few else of_text.select("tid"), "tid", "left_semi").groupBy("tid").agg(F.first(F.size("words")).alias("n"))
+    # share * n, exactly
+    enough = F.col("n_hit").cast("decimal(20,0)") >= F.lit(Decimal(str(share))) * F.col("n").cast("decimal(12,0)")
+    return materialise(of_text.join(sizes, "tid").select("tid", "n_hit", "items", ((F.col("n_hit") > 0) & enough).alias("contaminated")), "judged")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.05) -> DataFrame:
+def _salted(docs: DataFrame, judged: DataFrame, tid: str, salt: str, few: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """docs with their text's key, and the judged texts, ready to be joined; copies of one text are dealt over SALTS tasks."""
+    if few:
+        return docs, F.broadcast(judged.withColumnRenamed("tid", tid)), [tid]
+    salted = docs.withColumn(salt, F.pmod(F.xxhash64(*docs.columns), F.lit(SALTS)).cast("int"))
+    return salted, judged.withColumnRenamed("tid", tid).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [tid, salt]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.05, **limits) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256, contaminated added (input columns with these names are replaced).
 
     A document word inside any occurrence of an item's window is hit. contaminated: n_hit > 0 and n_hit >= share * n_words. Null and
-    blank texts have no words. Repeated documents are judged once and each row gets the result; items without words and an
-    empty benchmark hit nothing.
+    blank texts have no words and are not contaminated. Each row is answered, repeated rows too; different texts are judged once. Items
+    without words and an empty benchmark hit nothing; an empty table gives no rows. Other columns stay as they are, whatever their
+    names.
     """
-    items = benchmark.select(F.col(item).cast("string").alias("__item"), words(F.col(item_text)).alias("__iwords")).where(F.size("__iwords") > 0).distinct()
-    items = materialise(items, "items")
-    lengths = sorted(r["n"] for r in items.select(F.least(F.size("__iwords"), F.lit(WINDOW)).alias("n")).distinct().collect())  # 13 at most
-    base = docs.select(text_key(F.col(text)).alias("__tid"), words(F.col(text)).alias("__words"))
-    hits = None
-    for n in lengths:
-        found = _hits(base, items.where(F.least(F.size("__iwords"), F.lit(WINDOW)) == n), n)
-        hits = found if hits is None else hits.union(found)
-    judged = docs.withColumns({"__tid": text_key(F.col(text)), "n_words": F.size(words(F.col(text))).cast("long")})
-    if hits is None:
-        spans, found_items = F.lit(0).cast("long"), F.array().cast("array<string>")
-    else:
-        # spans and items of one text: bounded by its length; copies of a text add nothing
-        of_text = hits.groupBy(F.col("__tid").alias("__of")).agg(
-            F.array_sort(F.collect_set(F.struct("__start", "__length"))).alias("__spans"), F.array_sort(F.collect_set("__item")).alias("__items")
-        )
-        judged = judged.join(of_text, F.col("__tid") == F.col("__of"), "left")
-        zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
-        covered = F.aggregate(
-            F.coalesce("__spans", F.array().cast("array<struct<__start:int,__length:int>>")), zero,
-            lambda a, s: F.struct(
-                F.greatest(a["end"], s["__start"] + s["__length"]).alias("end"),
-                (a["n"] + F.greatest(F.lit(0), s["__start"] + s["__length"] - F.greatest(a["end"], s["__start"]))).cast("long").alias("n"),
-            ),
-        )
-        spans, found_items = covered["n"], F.coalesce("__items", F.array().cast("array<string>"))
-    judged = judged.withColumns({
-        "n_hit": spans, "n_items": F.size(found_items).cast("long"), "items_sha256": F.sha2(F.array_join(found_items, ","), 256),
-    })
-    percent = F.lit(round(1 / share))
-    judged = judged.withColumn("contaminated", (F.col("n_hit") > 0) & (percent * F.col("n_hit") >= F.col("n_words")))
     out = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    return judged.select(*[c for c in docs.columns if c not in out], *out)
+    judged = judged_texts(docs, benchmark, text, item, item_text, share, **limits)
+    tid, salt, count = free_names(docs.columns + out, "tid", "salt", "count")
+    kept = [c for c in docs.columns if c.lower() not in out]
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], text_key(F.col(text)).alias(tid), F.size(words(F.col(text))).cast("long").alias(count))
+    none = F.array().cast("array<string>")
+    if judged is None:
+        hit, items, bad = F.lit(0), none, F.lit(False)
+    else:
+        names = free_names([*rows.columns, salt], "hit", "items", "bad")
+        few = judged.count() <= limits.get("texts", BROADCAST_TEXTS) and (judged.agg(F.sum(F.octet_length(F.array_join("items", ",")))).first()[0] or 0) <= BROADCAST_BYTES
+        rows, found, on = _salted(rows, judged.toDF("tid", *names), tid, salt, few)
+        rows = rows.join(found, on, "left")
+        hit, items, bad = (F.coalesce(names[0], F.lit(0)), F.coalesce(names[1], none), F.coalesce(names[2], F.lit(False)))
+    return rows.select(
+        *[F.col(f"`{c}`") for c in kept], F.col(count).alias("n_words"), hit.cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), bad.alias("contaminated"),
+    )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", share: float = 0.05, **limits) -> DataFrame:
+    """The documents that decontaminate() does not call contaminated, with the columns of the input, whatever their names. Null texts
+    and repeated rows stay; an empty table gives no rows."""
+    judged = judged_texts(docs, benchmark, text, item, item_text, share, **limits)
+    if judged is None:
+        return docs
+    tid, salt = free_names(docs.columns, "tid", "salt")
+    bad = judged.where("contaminated").select("tid")
+    rows, found, on = _salted(docs.withColumn(tid, text_key(F.col(text))), bad, tid, salt, bad.count() <= limits.get("texts", BROADCAST_TEXTS))
+    return rows.join(found, on, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

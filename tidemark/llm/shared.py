@@ -14,8 +14,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary folder only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder in local mode (tests), and
+    an error on a cluster, whose executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -43,6 +46,17 @@ def release(*steps: DataFrame) -> None:
         step._step.getFileSystem(step.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(step._step, True)
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names of columns to work with: the wanted ones, with underscores before those that are taken."""
+    held, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in held:
+            name = "_" + name
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text: A-Z lower-cased, ASCII other than letters and digits separates. Null and '' give []."""
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
@@ -106,20 +120,27 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     # a word's hash: sum over its bytes of value * odd power of the position in the word; separators add 0
     value = value[starts[0] :]
     place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    power = _powers(1 << 16)
-    return mix(np.add.reduceat(value * power[np.minimum(place, len(power) - 1)], starts - starts[0])), counts
+    return mix(np.add.reduceat(value * powers(place), starts - starts[0])), counts
+
 
+_STEP, _TABLE = 0xD6E8FEB86659FD93, 1 << 16
 
-_POWERS = np.ones(1, np.uint64)
 
+def _accumulated(step: int) -> np.ndarray:
+    steps = np.full(_TABLE, np.uint64(step))
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        steps = np.full(max(n, 1 << 12), np.uint64(0xD6E8FEB86659FD93))
-        steps[0] = 1
-        _POWERS = np.multiply.accumulate(steps)
-    return _POWERS
+
+_LOW, _HIGH = _accumulated(_STEP), _accumulated(pow(_STEP, _TABLE, 1 << 64))
+
+
+def powers(place: np.ndarray) -> np.ndarray:
+    """The odd constant to the power of each place, below 2**32, modulo 2**64."""
+    out = _LOW[place & (_TABLE - 1)]
+    far = np.flatnonzero(place >= _TABLE)
+    out[far] *= _HIGH[place[far] >> 16]
+    return out
 
 
 def row_of(counts: np.ndarray) -> np.ndarray:

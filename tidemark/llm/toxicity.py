@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.quality import labelled_sample
-from tidemark.llm.shared import _GOLDEN, BYTE, _is_word, _powers, materialise, mix, slices, text_bytes
+from tidemark.llm.shared import _GOLDEN, BYTE, _is_word, materialise, mix, powers, slices, text_bytes
 
 #: Bounds of what is learned: sampled labelled documents, kept word forms, and the least support and log odds of a form.
 SAMPLE, FORMS, SUPPORT, LEAST = 20_000, 4000, 6, 2.0
@@ -105,9 +105,8 @@ def word_forms(column) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         return none, none, [np.zeros(0, np.uint64)] * (1 + len(BEGINNINGS))
     ends = np.cumsum(np.isin(data, np.frombuffer(b".!?;\n", np.uint8)))
     row = np.searchsorted(offsets, starts, side="right") - 1
-    power = _powers(1 << 16)
     place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    value = np.where(inside, BYTE[data], np.uint64(0))[starts[0] :] * power[np.minimum(place, len(power) - 1)]
+    value = np.where(inside, BYTE[data], np.uint64(0))[starts[0] :] * powers(place)
     size = np.add.reduceat(inside[starts[0] :].astype(np.int64), starts - starts[0])
     forms = [mix(np.add.reduceat(value, starts - starts[0]))]
     part = np.zeros(len(starts), np.uint64)
