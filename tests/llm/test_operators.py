@@ -206,36 +206,6 @@ def test_suffix_dedup(spark, sf_dir, docs):
         assert r["kept_sha256"] == hashlib.sha256(kept).hexdigest()
 
 
-def test_mixing(spark, sf_dir, docs):
-    rows = queries.op7_mixing(spark, sf_dir).collect()
-    assert len(rows) == len(docs["doc_id"])
-    expected = sum(r["n_tokens"] * r["probability"] for r in rows)
-    total = sum(r["n_tokens"] for r in rows)
-    assert 0.3 * total < expected <= 0.5001 * total
-    # numpy version of the same fit
-    cells = Counter()
-    for r in rows:
-        cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
-    weight = dict(cells)
-    share = []
-    for m in range(3):
-        sums = Counter()
-        for c, t in cells.items():
-            sums[c[m]] += t
-        z = sum(v**0.5 for v in sums.values())
-        share.append({k: v**0.5 / z for k, v in sums.items()})
-    for _ in range(12):
-        for m in range(3):
-            have = Counter()
-            for c, w in weight.items():
-                have[c[m]] += w
-            weight = {c: min(w * share[m][c[m]] * 0.5 * total / have[c[m]], cells[c]) for c, w in weight.items()}
-    for r in rows:
-        c = r["source"], r["lang"], r["topic"]
-        assert r["probability"] == pytest.approx(weight[c] / cells[c], abs=1e-6)
-        assert r["kept"] == (r["draw"] < r["probability"])
-
-
 def test_fingerprints(spark, sf_dir, docs):
     got = by_doc(queries.op8_fingerprints(spark, sf_dir))
     rows = sorted(zip(docs["doc_id"], docs["text"]), reverse=True)

@@ -5,14 +5,21 @@ from __future__ import annotations
 import logging
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SWEEPS = 12
-#: fit() has reached its margins when no value misses its target by more than this share of the drawn tokens, within MOST sweeps.
-TOLERANCE, MOST = 1e-5, 300
-#: How far targets that the cells cannot meet together move towards the shares as found, which equal probabilities always meet.
+from tidemark.llm.shared import free_names, materialise
+
+#: Raking ends when no margin value misses its goal by more than this share of the drawn tokens.
+TOLERANCE = 1e-5
+#: Up to so many cells (a row for each combination of margin values) are fitted on the driver, by exact steps, in MOST sweeps at most. A
+#: larger table is fitted where it lies, within COARSE; it is looked at after every SWEEPS sweeps, ROUNDS times at most.
+DRIVER_CELLS, MOST = 50_000, 300
+COARSE, SWEEPS, ROUNDS = 2e-4, 4, 60
+#: How far goals that the cells cannot meet together move towards the shares as found, which equal probabilities always meet.
 STEPS = (0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
+#: Cells are broadcast up to so many; above it documents meet them in a salted join.
+BROADCAST_CELLS, SALTS = 100_000, 16
+MARGINS = ["source", "lang", "topic"]
 
 logger = logging.getLogger(__name__)
 
@@ -23,42 +30,13 @@ def token_count(text: Column) -> Column:
 
 
 def topic_of(text: Column) -> Column:
-    """Kind of content, from the whole text: table (bars), list or symbols (other marks), short or long prose."""
+    """Kind of content, from the whole text: table (bars), symbols (other marks), short or long prose. A stand-in for a topic model's
+    label; the operator takes any column of that name."""
     body = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(body), F.lit(1))
     bars = F.length(body) - F.length(F.translate(body, "|", ""))
     marks = F.length(body) - F.length(F.translate(body, "!*$%&#", ""))
-    return (
-        F.when(bars * 50 > n, "table").when(marks * 50 > n, "symbols").when(n < 1000, "short prose").otherwise("long prose")
-    )
-
-
-def rake(cells: DataFrame, margins: list[str], targets: dict[str, DataFrame], fraction: float, sweeps: int = SWEEPS) -> DataFrame:
-    """Fits weights of a cell table (margins, tokens) to target shares and adds `weight`.
-
-    targets: for each margin a table (margin value, share). Every sweep scales each margin in turn to share * fraction * tokens and
-    then holds a cell at its own tokens, so that weight / tokens is a probability. The table has a row for each combination that
-    occurs; windows run over one margin value.
-    """
-    total = F.sum("tokens").over(W.partitionBy(F.lit(1)))
-    cells = cells.withColumn("__total", total)
-    for m in margins:
-        share = targets[m].select(F.col(m).alias("__m"), F.col("share").cast("double").alias(f"__share_{m}"))
-        cells = cells.join(share, F.col(m).eqNullSafe(F.col("__m")), "left").drop("__m").fillna(0.0, [f"__share_{m}"])
-    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
-        for m in margins:
-            got = F.sum("weight").over(W.partitionBy(m))
-            scaled = F.when(got > 0, F.col("weight") * F.col(f"__share_{m}") * F.lit(fraction) * F.col("__total") / got).otherwise(0.0)
-            cells = cells.withColumn("weight", F.least(scaled, F.col("tokens").cast("double")))
-    return cells.drop("__total", *[f"__share_{m}" for m in margins])
-
-
-def tempered_shares(cells: DataFrame, margin: str, power: float = 0.5) -> DataFrame:
-    """Target shares of one margin: shares of tokens raised to `power` and normalised (1: as found, 0: all equal)."""
-    sums = cells.groupBy(margin).agg(F.sum("tokens").alias("t")).where("t > 0")
-    raised = F.pow(F.col("t").cast("double"), F.lit(power))
-    return sums.select(margin, (raised / F.sum(raised).over(W.partitionBy(F.lit(1)))).alias("share"))
+    return F.when(bars * 50 > n, "table").when(marks * 50 > n, "symbols").when(n < 1000, "short prose").otherwise("long prose")
 
 
 def uniform(key: Column, text: Column, seed: int) -> Column:
@@ -66,7 +44,24 @@ def uniform(key: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), F.md5(F.coalesce(text, F.lit(""))))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-MARGINS = ["source", "lang", "topic"]
+def margin_values(cells: DataFrame, power: float, targets: dict[str, DataFrame] | None) -> DataFrame:
+    """(margin, value, held, wanted): tokens and wanted share of every margin value. Without targets the share goes with tokens raised to
+    `power` (1: as found, 0: all equal). A value that holds tokens and has no target is an error."""
+    parts = [cells.groupBy(F.col(m).cast("string").alias("value")).agg(F.sum("tokens").alias("held")).select(F.lit(m).alias("margin"), "value", "held") for m in MARGINS]
+    held = parts[0].union(parts[1]).union(parts[2]).where("held > 0")
+    if targets is None:
+        raised = F.pow(F.col("held").cast("double"), F.lit(power))
+    else:
+        given = [targets[m].select(F.lit(m).alias("m"), F.col(m).cast("string").alias("v"), F.col("share").cast("double").alias("raised")) for m in MARGINS]
+        given = given[0].union(given[1]).union(given[2])
+        held = held.join(given, (F.col("margin") == F.col("m")) & F.col("value").eqNullSafe(F.col("v")), "left").drop("m", "v")
+        lacking = held.where("raised is null").select("margin", "value").limit(5).collect()
+        if lacking:
+            raise ValueError(f"margin values without a target share: {[tuple(r) for r in lacking]}")
+        raised = F.col("raised")
+    held = held.withColumn("raised", raised)
+    sums = held.groupBy("margin").agg(F.sum("raised").alias("sum"))
+    return held.join(sums, "margin").select("margin", "value", "held", F.coalesce(F.try_divide("raised", "sum"), F.lit(0.0)).alias("wanted"))
 
 
 def feasible(shares: np.ndarray, held: np.ndarray, budget: float) -> np.ndarray:
@@ -93,8 +88,13 @@ def factor(other: np.ndarray, tokens: np.ndarray, target: float) -> float:
 
 
 def solve(at: list[np.ndarray], t: np.ndarray, goals: list[np.ndarray]) -> tuple[np.ndarray, float]:
-    """Probabilities of the cells by exact steps over the values of each margin, and the largest miss in tokens."""
-    rows = [[(v, np.flatnonzero(i == v)) for v in np.unique(i)] for i in at]
+    """Probabilities min(1, product of one factor a margin value) of the cells, by exact steps over the values of each margin, and the
+    largest miss in tokens."""
+    rows = []
+    for i in at:  # cells of each value
+        order = np.argsort(i, kind="stable")
+        values, first = np.unique(i[order], return_index=True)
+        rows.append(list(zip(values, np.split(order, first[1:]))))
     factors = [np.ones(len(g)) for g in goals]
     p, worst = np.ones(len(t)), np.inf
     for _ in range(MOST):
@@ -109,113 +109,185 @@ def solve(at: list[np.ndarray], t: np.ndarray, goals: list[np.ndarray]) -> tuple
     return p, worst
 
 
-def fit(cells: list[tuple], tokens: np.ndarray, targets: list[dict], fraction: float) -> tuple[np.ndarray, list[tuple]]:
-    """Probabilities min(1, product of one factor a margin value) of cells, nearest to equal ones of all that reach the margins, and
-    (margin number, value, wanted share, feasible target share, reached share). A cell with a value of share 0 is not drawn."""
-    probability, report = np.zeros(len(cells)), []
-    names = [list(dict.fromkeys([*(c[m] for c in cells), *t])) for m, t in enumerate(targets)]
+def fit(cells: list[tuple], tokens: np.ndarray, wanted: list[dict], budget: float) -> tuple[np.ndarray, list[tuple]]:
+    """Probabilities of drawable cells (one value a margin) and the report (margin, value, wanted, target, reached)."""
+    names = [list(w) for w in wanted]
     places = [{v: i for i, v in enumerate(n)} for n in names]
-    index = [np.array([x[c[m]] for c in cells], int) for m, x in enumerate(places)]
-    shares = [np.array([float(t.get(v) or 0.0) for v in n]) for n, t in zip(names, targets)]
-    use = tokens > 0
-    for i, x in zip(index, shares):
-        use &= x[i] > 0
-    budget = min(fraction * tokens.sum(), tokens[use].sum())
-    t = tokens[use]
-    at = [i[use] for i in index]
-    capped = [feasible(x, np.bincount(i, t, len(x)), budget) for x, i in zip(shares, at)]
-    found = [np.bincount(i, t, len(x)) * (budget / max(t.sum(), 1.0)) for x, i in zip(shares, at)]
-    p, goals = np.ones(len(t)), capped
+    at = [np.array([x[c[m]] for c in cells], int) for m, x in enumerate(places)]
+    shares = [np.array([w[v] for v in n]) for n, w in zip(names, wanted)]
+    capped = [feasible(x, np.bincount(i, tokens, len(x)), budget) for x, i in zip(shares, at)]
+    found = [np.bincount(i, tokens, len(x)) * (budget / max(tokens.sum(), 1.0)) for x, i in zip(shares, at)]
+    p, goals = np.zeros(len(tokens)), capped
     for step in STEPS if budget > 0 else ():
         goals = [(1 - step) * x + step * y for x, y in zip(capped, found)]
-        p, worst = solve(at, t, goals)
+        p, worst = solve(at, tokens, goals)
         if worst <= TOLERANCE * budget:
-            if step:
-                logger.warning("the margins cannot be reached together; targets moved by %s towards the shares as found", step)
+            _tell(step)
             break
-    probability[use] = p
-    for m, (n, x, g, i) in enumerate(zip(names, shares, goals, at)):
-        got = np.bincount(i, t * p, len(n))
+    report = []
+    for m, n, x, g, i in zip(MARGINS, names, shares, goals, at):
+        got = np.bincount(i, tokens * p, len(n))
         report += [(m, v, float(x[k]), float(g[k] / budget) if budget else 0.0, float(got[k] / budget) if budget else 0.0) for k, v in enumerate(n)]
-    return probability, report
-
-
-def fitted_cells(cells: DataFrame, fraction: float, power: float, targets: dict[str, DataFrame] | None) -> tuple[list[tuple], np.ndarray, list[tuple]]:
-    """fit() of the cell table, which has one row for each combination that occurs and is fitted on the driver."""
-    rows = cells.collect()
-    keys, tokens = [tuple(r[m] for m in MARGINS) for r in rows], np.array([r["tokens"] for r in rows], float)
-    wanted = []
-    for k, m in enumerate(MARGINS):
-        if targets is not None:
-            wanted.append({r[m]: r["share"] for r in targets[m].collect()})
-            continue
-        held: dict = {}
-        for c, n in zip(keys, tokens):
-            held[c[k]] = held.get(c[k], 0.0) + n
-        total = sum(n**power for n in held.values() if n > 0)
-        wanted.append({v: n**power / total for v, n in held.items() if n > 0})
-    return keys, *fit(keys, tokens, wanted, fraction)
-
-
-def calibrate(
-    docs: DataFrame, fraction: float, power: float, seed: int, key: str, text: str, source: str, lang: str, targets: dict[str, DataFrame] | None, reach: bool
-) -> DataFrame:
-    """docs with __source, __lang, __topic, __tokens, __draw and __probability added; reach: by fit(), else by rake()."""
-    rows = docs.withColumns({
-        "__source": F.col(source), "__lang": F.col(lang), "__topic": topic_of(F.col(text)),
-        "__tokens": token_count(F.col(text)), "__draw": uniform(F.col(key), F.col(text), seed),
-    })
-    cells = rows.groupBy(*[F.col(f"__{m}").alias(m) for m in MARGINS]).agg(F.sum("__tokens").alias("tokens"))
-    if reach:
-        keys, probability, _ = fitted_cells(cells, fraction, power, targets)
-        columns = {f"__cell_{m}": pa.array([c[k] for c in keys], pa.string()) for k, m in enumerate(MARGINS)}
-        fitted = docs.sparkSession.createDataFrame(pa.table(columns | {"__probability": pa.array(probability)}))
-    else:
-        if targets is None:
-            targets = {m: tempered_shares(cells, m, power) for m in MARGINS}
-        fitted = rake(cells, MARGINS, targets, fraction).select(
-            *[F.col(m).alias(f"__cell_{m}") for m in MARGINS],
-            F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("__probability"),
-        )
-    same = [F.col(f"__{m}").eqNullSafe(F.col(f"__cell_{m}")) for m in MARGINS]
-    return rows.join(fitted, same[0] & same[1] & same[2]).drop(*[f"__cell_{m}" for m in MARGINS])
+    return p, report
+
+
+def _tell(step: float) -> None:
+    if step:
+        logger.warning("the margins cannot be reached together; goals moved by %s towards the shares as found", step)
+
+
+# ---- the same where the cells lie ------------------------------------------------------------------------------------------------
+
+
+def capped_goals(values: DataFrame, budget: float) -> DataFrame:
+    """values with `goal`: the budget in proportion to the wanted shares, no value above what it holds; what a held value cannot supply
+    goes to the others of its margin in proportion to theirs. The level of each margin rises until the held values stay the same."""
+    levels = {m: budget for m in MARGINS}
+    while True:
+        level = F.create_map(*[F.lit(x) for m, v in levels.items() for x in (m, float(v))])[F.col("margin")]
+        goal = F.least(F.col("held").cast("double"), F.col("wanted") * level)
+        full = F.col("wanted") * level >= F.col("held")
+        sums = values.where("wanted > 0").groupBy("margin").agg(
+            F.sum(F.when(full, F.col("held")).otherwise(0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("wanted"))).alias("free")
+        ).collect()
+        now = {r["margin"]: max((budget - r["full"]) / r["free"], levels[r["margin"]]) if r["free"] > 0 else levels[r["margin"]] for r in sums}
+        if all(abs(now[m] - levels[m]) <= 1e-12 * levels[m] for m in now):
+            return values.withColumn("goal", goal)
+        levels |= now
+
+
+def sweep(cells: DataFrame) -> DataFrame:
+    """One sweep over the margins: weights of a value are scaled to its goal and held at the cell's tokens; where they have to grow, only
+    those that are not held yet are scaled. Windows run over the cells of one margin value."""
+    for m in MARGINS:
+        w = W.partitionBy(m)
+        held, goal = F.col("weight") >= F.col("tokens") * (1 - 1e-12), F.col(f"goal_{m}")
+        cells = cells.withColumns({"__sum": F.sum("weight").over(w), "__held": F.sum(F.when(held, F.col("weight")).otherwise(0.0)).over(w)})
+        grow = F.coalesce(F.try_divide(goal - F.col("__held"), F.col("__sum") - F.col("__held")), F.lit(1.0))
+        shrink = F.coalesce(F.try_divide(goal, F.col("__sum")), F.lit(0.0))
+        scaled = F.when(goal < F.col("__sum"), F.col("weight") * shrink).when(held, F.col("weight")).otherwise(F.col("weight") * grow)
+        cells = cells.withColumn("weight", F.least(scaled, F.col("tokens").cast("double")))
+    return cells.drop("__sum", "__held")
+
+
+def _by_margin(cells: DataFrame, x: str) -> DataFrame:
+    """(margin, value, sum of x)."""
+    parts = [cells.groupBy(F.col(m).alias("value")).agg(F.sum(x).alias(x)).select(F.lit(m).alias("margin"), "value", x) for m in MARGINS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def _beside(cells: DataFrame, values: DataFrame, x: str) -> DataFrame:
+    """cells with x_<margin>, the value of x in the margin table (margin, value, x) for the cell's own values."""
+    for m in MARGINS:
+        own = values.where(F.col("margin") == m).select(F.col("value").alias("v"), F.col(x).alias(f"{x}_{m}"))
+        cells = cells.join(own, F.col(m).eqNullSafe(F.col("v")), "left").drop("v")
+    return cells
+
+
+def rake(cells: DataFrame, fraction: float, power: float = 0.5, targets: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(source, lang, topic, probability) of the cells of a table (source, lang, topic, tokens) that can be drawn, and the report (margin,
+    value, wanted, target, reached): wanted shares, what is left of them after capping and moving, and what the probabilities give, all as
+    shares of the drawn tokens.
+
+    Goals are capped at what each value holds. Sweeps go on until all goals are met (TOLERANCE on the driver, COARSE beyond DRIVER_CELLS); goals that the cells cannot meet
+    together move in STEPS towards the shares as found. Cells without tokens, or with a value of share 0, are not drawn.
+    """
+    cells = materialise(cells.select(*[F.col(m).cast("string").alias(m) for m in MARGINS], "tokens"), "cells")
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    wanted = margin_values(cells, power, targets).select("margin", "value", "wanted")
+    used = _beside(cells, wanted, "wanted").where("tokens > 0 and wanted_source > 0 and wanted_lang > 0 and wanted_topic > 0")
+    used = materialise(used.select(*MARGINS, "tokens"), "used")
+    drawable = used.agg(F.sum("tokens")).first()[0] or 0
+    budget = min(fraction * total, drawable)
+    held = _by_margin(used, "tokens").select(F.col("margin").alias("m"), F.col("value").alias("v"), F.col("tokens").alias("held"))
+    values = wanted.join(held, (F.col("margin") == F.col("m")) & F.col("value").eqNullSafe(F.col("v")), "left").select("margin", "value", "wanted", F.coalesce("held", F.lit(0)).alias("held"))
+    values = materialise(values, "values")
+    if used.count() + values.count() <= DRIVER_CELLS:
+        rows, shares = used.collect(), [{r["value"]: r["wanted"] for r in values.collect() if r["margin"] == m} for m in MARGINS]
+        keys = [tuple(r[m] for m in MARGINS) for r in rows]
+        chances, report = fit(keys, np.array([r["tokens"] for r in rows], float), shares, budget)
+        spark = cells.sparkSession
+        fitted = spark.createDataFrame([(*k, float(p)) for k, p in zip(keys, chances)], "source string, lang string, topic string, probability double")
+        return fitted, spark.createDataFrame(report, "margin string, value string, wanted double, target double, reached double")
+    values = materialise(capped_goals(values, budget), "goals")
+    share = budget / drawable if drawable else 0.0
+    state, goals = used.withColumn("weight", F.col("tokens") * share), values
+    for step in STEPS if budget > 0 else ():
+        goals = values.withColumn("goal", F.col("goal") * (1 - step) + F.col("held") * (share * step))
+        state, last, miss = _beside(used, goals, "goal").withColumn("weight", F.col("tokens") * share), None, None
+        for _ in range(ROUNDS):
+            for _ in range(SWEEPS):
+                state = sweep(state)
+            state = materialise(state, "raked")
+            got = _by_margin(state, "weight").select(F.col("margin").alias("m"), F.col("value").alias("v"), "weight")
+            met = goals.join(got, (F.col("margin") == F.col("m")) & F.col("value").eqNullSafe(F.col("v")))
+            last, miss = miss, met.agg(F.max(F.abs(F.col("weight") - F.col("goal")))).first()[0] / budget
+            if miss <= COARSE or last is not None and miss > 0.95 * last:
+                break
+        if miss <= COARSE:
+            _tell(step)
+            break
+    reached = _by_margin(state, "weight").select(F.col("margin").alias("m"), F.col("value").alias("v"), F.col("weight").alias("got"))
+    part = lambda c: F.coalesce(F.try_divide(F.coalesce(c, F.lit(0.0)), F.lit(float(budget))), F.lit(0.0))
+    report = goals.join(reached, (F.col("margin") == F.col("m")) & F.col("value").eqNullSafe(F.col("v")), "left")
+    report = report.select("margin", "value", "wanted", part(F.col("goal")).alias("target"), part(F.col("got")).alias("reached"))
+    return materialise(state.select(*MARGINS, (F.col("weight") / F.col("tokens")).alias("probability")), "fitted"), report
+
+
+def _with_probability(rows: DataFrame, fitted: DataFrame, at: dict[str, str], salt_of: list[str], out: str) -> DataFrame:
+    """rows with the probability of their cell; at: the column of rows that holds each margin."""
+    *names, salt, other = free_names([*rows.columns, out], *MARGINS, "salt", "salt2")
+    fitted = fitted.select(*[F.col(m).alias(n) for m, n in zip(MARGINS, names)], F.col("probability").alias(out))
+    same = [F.col(at[m]).cast("string").eqNullSafe(F.col(n)) for m, n in zip(MARGINS, names)]
+    if fitted.count() <= BROADCAST_CELLS:
+        joined = rows.join(F.broadcast(fitted), same[0] & same[1] & same[2], "left")
+    else:  # a cell that holds many of the rows is met by SALTS tasks
+        fitted = fitted.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(*salt_of), F.lit(SALTS)).cast("int"))
+        joined = rows.join(fitted, (F.col(salt) == F.col(other)) & same[0] & same[1] & same[2], "left").drop(salt, other)
+    return joined.drop(*names).withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 
 def margins(
     docs: DataFrame, fraction: float = 0.5, power: float = 0.5, text: str = "text", source: str = "source", lang: str = "lang",
     targets: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """(margin, value, wanted, target, reached) of mix(): the wanted share, the share that is left of it after capping, and the share of the
-    expected tokens that the probabilities give."""
+    """(margin, value, wanted, target, reached) of mix(), as rake() reports them. An empty table gives no rows."""
     cells = docs.groupBy(F.col(source).alias("source"), F.col(lang).alias("lang"), topic_of(F.col(text)).alias("topic")).agg(F.sum(token_count(F.col(text))).alias("tokens"))
-    _, _, report = fitted_cells(cells, fraction, power, targets)
-    rows = [(MARGINS[m], *r) for m, *r in report]
-    return docs.sparkSession.createDataFrame(rows, "margin string, value string, wanted double, target double, reached double")
+    return rake(cells, fraction, power, targets)[1]
 
 
 def mix(
     docs: DataFrame, fraction: float = 0.5, power: float = 0.5, seed: int = 7, key: str = "doc_id", text: str = "text",
-    source: str = "source", lang: str = "lang", targets: dict[str, DataFrame] | None = None, reach: bool = True,
+    source: str = "source", lang: str = "lang", targets: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Every document with its cell, calibrated probability and draw: (key, source, lang, topic, n_tokens, probability, draw, kept,
     token_weight), token_weight = 1 / probability for kept rows.
 
-    Targets default to tempered shares of each margin. Null sources and languages are values of their own. A cell without tokens
-    has probability 0. reach: targets are made feasible and reached by fit(); without it, rake() holds cells at their tokens and gives
-    what they lack to nobody. Equal rows get equal draws. An empty table gives no rows; other columns are ignored, whatever their names.
+    targets: for each margin a table (value, share); by default tempered shares of what is found. Null sources and languages are values of
+    their own. Null and blank texts have no tokens; a cell without tokens has probability 0. Equal rows get equal draws. An empty table
+    gives no rows; other columns are ignored, whatever their names.
     """
-    rows = calibrate(docs.select(key, text, source, lang), fraction, power, seed, key, text, source, lang, targets, reach)
-    kept = F.col("__draw") < F.col("__probability")
-    return rows.select(
-        key, *[F.col(f"__{m}").alias(m) for m in MARGINS], F.col("__tokens").alias("n_tokens"), F.col("__probability").alias("probability"),
-        F.col("__draw").alias("draw"), kept.alias("kept"), F.when(kept, 1 / F.col("__probability")).alias("token_weight"),
+    rows = docs.select(
+        F.col(key).alias("k"), F.col(source).alias("source"), F.col(lang).alias("lang"), topic_of(F.col(text)).alias("topic"),
+        token_count(F.col(text)).alias("n_tokens"), uniform(F.col(key), F.col(text), seed).alias("draw"),
     )
+    rows = materialise(rows, "narrow")  # texts are read once
+    fitted, _ = rake(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), fraction, power, targets)
+    rows = _with_probability(rows, fitted, {m: m for m in MARGINS}, ["k", "draw"], "probability").withColumn("kept", F.col("draw") < F.col("probability"))
+    return rows.select(F.col("k").alias(key), *MARGINS, "n_tokens", "probability", "draw", "kept", F.when(F.col("kept"), 1 / F.col("probability")).alias("token_weight"))
 
 
 def sample(
     docs: DataFrame, fraction: float = 0.5, power: float = 0.5, seed: int = 7, key: str = "doc_id", text: str = "text",
-    source: str = "source", lang: str = "lang", targets: dict[str, DataFrame] | None = None, reach: bool = True,
+    source: str = "source", lang: str = "lang", targets: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """The documents that mix() keeps, with the columns of the input."""
-    rows = calibrate(docs, fraction, power, seed, key, text, source, lang, targets, reach)
-    return rows.where(F.col("__draw") < F.col("__probability")).select(docs.columns)
+    """The documents that mix() keeps, with the columns of the input, whatever their names. Rows without tokens (null and blank texts) go;
+    equal rows stay or go together; an empty table gives no rows."""
+    columns = docs.columns
+    cells = docs.groupBy(F.col(source).alias("source"), F.col(lang).alias("lang"), topic_of(F.col(text)).alias("topic")).agg(F.sum(token_count(F.col(text))).alias("tokens"))
+    fitted, _ = rake(cells, fraction, power, targets)
+    topic, draw, chance = free_names(columns, "topic", "draw", "probability")
+    rows = docs.withColumns({topic: topic_of(F.col(text)), draw: uniform(F.col(key), F.col(text), seed)})
+    rows = _with_probability(rows, fitted, {"source": source, "lang": lang, "topic": topic}, [draw], chance)
+    return rows.where(F.col(draw) < F.col(chance)).select(*[F.col(f"`{c}`") for c in columns])

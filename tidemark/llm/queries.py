@@ -49,10 +49,6 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), reach=False).withColumns({c: F.round(c, 9) for c in ("probability", "token_weight")})
-
-
-def op7_mixing_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 9) for c in ("probability", "token_weight")})
 
 
@@ -69,8 +65,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return judged.drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_url_filters, op2_token_output, op3_quality, op4_toxicity, op5_near_dedup, op6_suffix_dedup, op7_mixing, op7_mixing_reached, op7_mixing_margins, op8_fingerprints, op9_sharding, op10_decontamination, pipeline]
+    own = [op1_url_filters, op2_token_output, op3_quality, op4_toxicity, op5_near_dedup, op6_suffix_dedup, op7_mixing, op7_mixing_margins, op8_fingerprints, op9_sharding, op10_decontamination, pipeline]
     return {f.__name__: f for f in own}
 
 
