@@ -2,9 +2,9 @@
 
 Small transducers for target, threat, insult, negation and reported speech read the word classes of a clause side by side; their
 composition is one deterministic machine over (state of each), whose arcs multiply or add weight. Insult arcs carry weights that are
-learned from labelled documents (log odds of words and of word beginnings, so that inflected forms match); a listed word that was not
-learned has weight LISTED. Only clauses with an insult or a threat are walked. A logistic curve turns a text's clause
-scores into a score between 0 and 1.
+learned from labelled documents (log odds of words and of word beginnings, so that inflected forms match); listed words keep their class,
+and a listed insult weighs LISTED at least. Only clauses with an insult or a threat are walked. A logistic curve turns the scores of a
+text's clauses, and nothing else, into a score between 0 and 1.
 """
 
 from __future__ import annotations
@@ -17,31 +17,34 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.quality import labelled_sample
 from tidemark.llm.shared import _GOLDEN, BYTE, _is_word, materialise, mix, powers, slices, text_bytes
 
-#: Bounds of what is learned: sampled labelled documents, kept word forms, and the least support and log odds of a form.
-SAMPLE, FORMS, SUPPORT, LEAST = 20_000, 4000, 6, 2.0
+#: Labelled documents that are learned from at most, and the least support and log odds of a learned form.
+SAMPLE, SUPPORT, LEAST = 20_000, 6, 2.0
 BEGINNINGS = (4, 5, 6, 7, 8)
-LISTED = 1.0
+LISTED, STRONG = 1.0, 4.0
 
 WORD, INSULT, THREAT, TARGET, NEGATION, REPORT, STRONGER = range(7)
-#: Public everyday words of the four languages of the corpus.
+#: Public everyday words of the four languages of the corpus. A word that ends in n't, and the French n', are negations too.
 LEXICON = {
     INSULT: "idiot moron stupid dumb loser pathetic scum trash garbage worthless disgusting clown freak imbecile dummkopf trottel abschaum wertlos imbécile crétin ordure estúpido imbécil basura inútil",
     THREAT: "kill hurt destroy beat shoot burn stab töten schlagen vernichten tuer frapper détruire matar golpear destruir",
     TARGET: "you your yours he she they them him her his their du dich dir ihr euch sie er tu te toi vous il elle ils tú te usted él ella ellos",
-    NEGATION: "not no never nobody neither without isn't aren't don't nicht kein keine nie niemals ne pas jamais aucun no nunca jamás sin ningún",
+    NEGATION: "not no never nobody neither without cannot nicht kein keine nie niemals ne pas jamais aucun no nunca jamás sin ningún",
     REPORT: "said says say wrote writes claimed claims called reported quoted quotes sagte sagt schrieb behauptet dit disait écrit selon dijo dice escribió según",
     STRONGER: "very so such total complete utter absolute really sehr so total völlig très si totalement muy tan totalmente",
 }
+#: Endings with which a listed insult is listed too.
+ENDINGS = ("s", "es", "e", "en")
 
 
 class Transducer:
-    """arcs: (state, class) -> (next state, factor of later insults and threats, weight added). Missing arcs go to the state's rest."""
+    """arcs: (state, class) -> (next state, factor of the insult or threat there, weight added). Any other word takes the rest: states
+    count down to 0."""
 
-    def __init__(self, arcs: dict, rest: dict) -> None:
-        self.arcs, self.rest = arcs, rest
+    def __init__(self, arcs: dict) -> None:
+        self.arcs = arcs
 
     def step(self, state: int, kind: int) -> tuple[int, float, float]:
-        return self.arcs.get((state, kind), (self.rest.get(state, 0), 1.0, 0.0))
+        return self.arcs.get((state, kind), (max(state - 1, 0), 1.0, 0.0))
 
 
 def _window(kind: int, factor: float, span: int) -> Transducer:
@@ -50,7 +53,7 @@ def _window(kind: int, factor: float, span: int) -> Transducer:
     for s in range(1, span + 1):
         for hit in (INSULT, THREAT):
             arcs[s, hit] = (s - 1, factor, 0.0)
-    return Transducer(arcs, {s: max(s - 1, 0) for s in range(span + 1)})
+    return Transducer(arcs)
 
 
 def _after(kind: int, added: float, span: int) -> Transducer:
@@ -58,7 +61,7 @@ def _after(kind: int, added: float, span: int) -> Transducer:
     arcs = {(s, hit): (span, 1.0, 0.0) for s in range(span + 1) for hit in (INSULT, THREAT)}
     for s in range(1, span + 1):
         arcs[s, kind] = (0, 1.0, added)
-    return Transducer(arcs, {s: max(s - 1, 0) for s in range(span + 1)})
+    return Transducer(arcs)
 
 
 def compose(parts: list[Transducer]):
@@ -75,24 +78,30 @@ def compose(parts: list[Transducer]):
 
 
 GRAMMAR = [_window(NEGATION, 0.5, 3), _window(REPORT, 0.6, 6), _window(TARGET, 1.3, 5), _window(STRONGER, 1.2, 2), _after(TARGET, 0.5, 4)]
-#: A threat weighs only beside a target; its window there starts at this weight.
+#: A threat weighs only in a clause with a target.
 THREAT_WEIGHT = 1.0
 
 
-def clause_score(kinds: list[int], weights: list[float], step, start: tuple) -> float:
-    """Weight of one clause; threats count only if the clause has a target."""
-    state, total, aimed = start, 0.0, TARGET in kinds
-    for kind, weight in zip(kinds, weights):
+def clause_score(place: list[int], kinds: list[int], weights: list[float], step, start: tuple) -> float:
+    """Weight of one clause from its words that have a class, at their places; threats count only if the clause has a target. What a
+    target adds after an insult is changed by negation and report as the insult was."""
+    state, total, last, at, aimed = start, 0.0, 1.0, place[0] - 1, TARGET in kinds
+    for p, kind, weight in zip(place, kinds, weights):
+        if gap := p - at - 1:
+            state = tuple(max(s - gap, 0) for s in state)
+        at = p
         state, factor, added = step(state, kind)
         if kind == INSULT or kind == THREAT and aimed:
             total += weight * factor
-        total += added
+            last = factor
+        total += added * last
     return total
 
 
-def word_forms(column) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Of lower-cased texts: (row, clause) of each word and the hashes of its forms: the whole word, then its beginnings of 4 to 8
-    bytes (0 where the word is no longer than that). Clauses end at . ! ? ; and line ends."""
+def word_forms(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of lower-cased texts: (row, clause, contracted) of each word and the hashes of its forms: the whole word, then its beginnings of 4
+    to 8 bytes (0 where the word is no longer than that). Clauses end at . ! ? ; and line ends. contracted: the word is the t of n't or
+    the n of n', apostrophes being separators."""
     data, offsets = text_bytes(column)
     inside = _is_word[data]
     start = inside.copy()
@@ -102,7 +111,7 @@ def word_forms(column) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     starts = np.flatnonzero(start)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, [np.zeros(0, np.uint64)] * (1 + len(BEGINNINGS))
+        return none, none, none.astype(bool), [np.zeros(0, np.uint64)] * (1 + len(BEGINNINGS))
     ends = np.cumsum(np.isin(data, np.frombuffer(b".!?;\n", np.uint8)))
     row = np.searchsorted(offsets, starts, side="right") - 1
     place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
@@ -115,23 +124,30 @@ def word_forms(column) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         part = part + np.where(size > j, padded[starts - starts[0] + j], np.uint64(0))
         if j + 1 in BEGINNINGS:
             forms.append(np.where(size > j + 1, mix(part + np.array(j + 1, np.uint64)[None] * _GOLDEN), np.uint64(0)))
-    return row, ends[starts], forms
+    around = np.concatenate([np.zeros(2, np.uint8), data, np.zeros(2, np.uint8)])  # data[i] is around[i + 2]
+    t = (data[starts] == ord("t")) & (around[starts + 1] == ord("'")) & (around[starts] == ord("n"))
+    n = (data[starts] == ord("n")) & (around[starts + 3] == ord("'"))
+    return row, ends[starts], (size == 1) & (t | n), forms
 
 
 def _hash_of(word: str) -> int:
     import pyarrow as pa
 
-    return int(word_forms(pa.array([word.replace("'", "")]))[2][0][0])
+    return int(word_forms(pa.array([word]))[3][0][0])
 
 
 class Lexicon:
     """Sorted form hashes with class and weight, and a bit table that turns most words away."""
 
     def __init__(self, learned: dict[int, float]) -> None:
-        table: dict[int, tuple[int, float]] = {h: (INSULT, w) for h, w in learned.items()}
+        table: dict[int, tuple[int, float]] = {}
         for kind, listed in LEXICON.items():
             for word in listed.split():
-                table.setdefault(_hash_of(word), (kind, LISTED if kind == INSULT else THREAT_WEIGHT))
+                for form in (word, *(word + e for e in ENDINGS)) if kind == INSULT else (word,):
+                    h = _hash_of(form)
+                    table.setdefault(h, (kind, max(LISTED, learned.get(h, 0.0)) if kind == INSULT else THREAT_WEIGHT))
+        for h, weight in learned.items():  # a listed class stays
+            table.setdefault(h, (INSULT, weight))
         self.hashes = np.array(sorted(table), np.uint64)
         self.kinds = np.array([table[int(h)][0] for h in self.hashes])
         self.weights = np.array([table[int(h)][1] for h in self.hashes])
@@ -147,44 +163,47 @@ class Lexicon:
             at = np.minimum(np.searchsorted(self.hashes, form[maybe]), len(self.hashes) - 1)
             hit = self.hashes[at] == form[maybe]
             maybe, at = maybe[hit], at[hit]
-            better = (kind[maybe] == WORD) | (self.kinds[at] == INSULT) & (self.weights[at] > weight[maybe])
+            better = (kind[maybe] == WORD) | (kind[maybe] == INSULT) & (self.kinds[at] == INSULT) & (self.weights[at] > weight[maybe])
             kind[maybe[better]], weight[maybe[better]] = self.kinds[at[better]], self.weights[at[better]]
         return kind, weight
 
 
-N_FEATURES = 6
+N_FEATURES = 5
 
 
 def clause_features(column, lexicon: Lexicon) -> np.ndarray:
-    """(n, N_FEATURES) of lower-cased texts: clause scores summed and greatest, numbers of matched clauses, of strong and of all
-    insults, and the length."""
+    """(n, N_FEATURES) of lower-cased texts, all from clause scores: their sum, the greatest, how many are over 0 and over STRONG, and the
+    number of clauses with words."""
     n = len(column)
-    row, clause, forms = word_forms(column)
+    row, clause, contracted, forms = word_forms(column)
     out = np.zeros((n, N_FEATURES))
-    out[:, 5] = np.log1p(np.bincount(row, minlength=n))
     kind, weight = lexicon.classes(forms)
+    kind[contracted] = NEGATION
+    where = row * (int(clause.max()) + 1) + clause if len(clause) else clause
+    new = np.ones(len(where), bool)
+    new[1:] = where[1:] != where[:-1]
+    out[:, 4] = np.bincount(row[new], minlength=n)
+    number = np.cumsum(new)
     hits = (kind == INSULT) | (kind == THREAT)
     if hits.any():
-        where = row * (int(clause.max()) + 1) + clause
-        matched = np.unique(where[hits])
-        words = np.flatnonzero(np.isin(where, matched))
-        cuts = np.flatnonzero(np.diff(where[words])) + 1
+        words = np.flatnonzero((kind != WORD) & np.isin(number, np.unique(number[hits])))
+        cuts = np.flatnonzero(np.diff(number[words])) + 1
         step, start = compose(GRAMMAR)
         for part in np.split(words, cuts):
             i = row[part[0]]
-            score = clause_score(kind[part].tolist(), weight[part].tolist(), step, start)
+            score = clause_score(part.tolist(), kind[part].tolist(), weight[part].tolist(), step, start)
             out[i, 0] += score
             out[i, 1] = max(out[i, 1], score)
             out[i, 2] += score > 0
-        insults = kind == INSULT
-        out[:, 3] = np.bincount(row[insults & (weight >= 4)], minlength=n)
-        out[:, 4] = np.bincount(row[insults], minlength=n)
+            out[i, 3] += score >= STRONG
     return out
 
 
 def _shape(x: np.ndarray) -> np.ndarray:
-    """Features as the curve takes them: logarithms of sums, numbers held at 8, and sums against length."""
-    return np.column_stack([np.log1p(x[:, 0]), x[:, 1] / 5, np.minimum(x[:, 2], 8), np.minimum(x[:, 3], 8), np.minimum(x[:, 4], 8), np.log1p(x[:, 0]) * x[:, 5] / 10, x[:, 5] / 5])
+    """Features as the curve takes them: the logarithm of the sum, the greatest, numbers of clauses held at 8, and the sum and the
+    matched clauses against all clauses."""
+    clauses = np.maximum(x[:, 4], 1)
+    return np.column_stack([np.log1p(x[:, 0]), x[:, 1] / 5, np.minimum(x[:, 2], 8), np.minimum(x[:, 3], 8), np.log1p(x[:, 0] / clauses), x[:, 2] / clauses])
 
 
 class ToxicityModel:
@@ -194,7 +213,7 @@ class ToxicityModel:
     def score(self, column) -> np.ndarray:
         x = clause_features(column, self.lexicon)
         z = self.curve[0] + _shape(x) @ self.curve[1:]
-        return np.where(x[:, 4] + x[:, 2] > 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))), 0.01)
+        return np.where(x[:, 2] > 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))), 0.01)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
@@ -213,7 +232,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40
 def _lower(column):
     import pyarrow.compute as pc
 
-    return pc.utf8_lower(pc.fill_null(column, ""))
+    return pc.replace_substring(pc.utf8_lower(pc.fill_null(column, "")), "’", "'")
 
 
 def train(docs: DataFrame, labels: DataFrame, seen, rows: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
@@ -226,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, seen, rows: int = SAMPLE, key: str
 
         for whole in batches:
             for batch in slices(whole, ["text"]):
-                row, _, forms = word_forms(_lower(batch["text"]))
+                row, _, _, forms = word_forms(_lower(batch["text"]))
                 toxic = batch["label"].to_numpy()
                 form, at = np.concatenate(forms), np.tile(row, len(forms))
                 form, at = form[form != 0], at[form != 0]
@@ -243,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, seen, rows: int = SAMPLE, key: str
     bad_n, fine_n = total["bad"], total["n"] - total["bad"]
     odds = F.log((F.col("bad") + 0.5) / (bad_n + 1.0)) - F.log((F.col("fine") + 0.5) / (fine_n + 1.0))
     forms = sample.where(own).select("text", "label").mapInArrow(count, "form long, bad long, fine long").groupBy("form").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
-    top = forms.where(F.col("bad") >= SUPPORT).withColumn("w", odds).where(F.col("w") >= LEAST).orderBy(F.desc("w"), "form").limit(FORMS).collect()
+    top = forms.where(F.col("bad") >= SUPPORT).withColumn("w", odds).where(F.col("w") >= LEAST).collect()  # bounded by the sample's words
     lexicon = Lexicon({r["form"] & (1 << 64) - 1: float(r["w"]) for r in top})
 
     def cut(batches: Iterator) -> Iterator:
@@ -258,10 +277,10 @@ def train(docs: DataFrame, labels: DataFrame, seen, rows: int = SAMPLE, key: str
     y = np.array([r["label"] for r in rest], np.float64)
     x = np.array([np.frombuffer(r["x"]) for r in rest]).reshape(len(rest), N_FEATURES)
     if len(y) < 50 or y.min() == y.max():
-        return ToxicityModel(lexicon, np.array([-3.0, 2, 0, 0, 0, 0, 0, 0]))
-    met = x[:, 4] + x[:, 2] > 0  # texts without a match have a constant score
+        return ToxicityModel(lexicon, np.array([-3.0, 2, 0, 0, 0, 0, 0]))
+    met = x[:, 2] > 0  # texts without a match have a constant score
     if met.sum() < 20 or y[met].min() == y[met].max():
-        return ToxicityModel(lexicon, np.array([-3.0, 2, 0, 0, 0, 0, 0, 0]))
+        return ToxicityModel(lexicon, np.array([-3.0, 2, 0, 0, 0, 0, 0]))
     return ToxicityModel(lexicon, logistic(_shape(x[met]), y[met]))
 
 
@@ -283,12 +302,14 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", th
 
 
 def toxicity_report(docs: DataFrame, model: ToxicityModel, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, held_out, score, predicted) of every row; other columns are ignored."""
+    """(key, held_out, score, predicted) of every row. Null, empty and wordless texts score as texts without a match; repeated rows are
+    answered one by one; an empty table gives no rows; other columns are ignored, whatever their names."""
     rows = docs.select(F.col(key).alias("k"), F.coalesce(held_out, F.lit(False)).alias("h"), F.col(text).alias("t"))
     return score_toxicity(rows, model, "t").select(F.col("__c0").alias(key), F.col("__c1").alias("held_out"), "score", "predicted")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """The documents that are not rejected, with the input's columns."""
+    """The documents that are not rejected, with the input's columns, whatever their names. Null and empty texts and repeated rows stay;
+    an empty table gives no rows."""
     scored = score_toxicity(docs, model, text).where("predicted = 0").drop("score", "predicted")
     return scored.toDF(*docs.columns)
