@@ -75,9 +75,10 @@ def fit(stats: np.ndarray, buckets: list[np.ndarray], labels: np.ndarray, seed:
     """Full-batch Adam on the logistic loss with a small ridge; classes keep their shares. Without both labels the score is constant."""
     n = len(labels)
     share = (labels.sum() + 1) / (n + 2)
-    d = BUCKETS + N_STATS
+    n_stats = stats.shape[1]
+    d = BUCKETS + n_stats
     if n == 0 or labels.min() == labels.max():
-        return FactorisationMachine(np.zeros(N_STATS), np.ones(N_STATS), float(np.log(share / (1 - share))), np.zeros(d), np.zeros((d, FACTORS)))
+        return FactorisationMachine(np.zeros(n_stats), np.ones(n_stats), float(np.log(share / (1 - share))), np.zeros(d), np.zeros((d, FACTORS)))
     mean, scale = stats.mean(axis=0), stats.std(axis=0) + 1e-6
     x = np.zeros((n, d), np.float32)
     for i, b in enumerate(buckets):
@@ -102,46 +103,60 @@ def fit(stats: np.ndarray, buckets: list[np.ndarray], labels: np.ndarray, seed:
     return FactorisationMachine(mean, scale, float(params[0][0]), params[1], params[2])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, seen: Column, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """At most `rows` labelled documents (key, text, label) whose key passes `seen`, drawn by hash of the key. Keys without a label,
-    null keys and repeated keys add nothing."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, seen, rows: int, key: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ()) -> DataFrame:
+    """At most `rows` labelled documents (k, text, label, then the input's other columns under `meta`) whose key passes `seen`, drawn by hash
+    of the key; k is that hash, so keys may be of any type. Keys without a label, null keys and keys with clashing labels teach nothing; of
+    documents of one key the least text counts."""
     known = labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__label")).where(F.col("__k").isNotNull() & F.col("__label").isNotNull() & seen(F.col("__k")))
-    known = known.dropDuplicates(["__k"])
+    known = known.groupBy("__k").agg(F.min("__label").alias("__label"), F.max("__label").alias("__most")).where("__label = __most").drop("__most")
     named = known.join(docs.select(F.col(key).alias("__k")).distinct(), "__k", "left_semi")
     drawn = named.orderBy(F.xxhash64("__k"), "__k").limit(rows)
-    out = docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(drawn), "__k")
-    return out.groupBy("__k").agg(F.min("text").alias("text"), F.first("__label").alias("label")).withColumnRenamed("__k", "k")
+    out = docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(meta)]).join(F.broadcast(drawn), "__k")
+    first = F.min(F.struct("text", *[f"m{i}" for i in range(len(meta))])).alias("d")
+    return out.groupBy("__k").agg(first, F.first("__label").alias("label")).select(F.xxhash64("__k").alias("k"), "d.*", "label")
 
 
-def train(docs: DataFrame, labels: DataFrame, seen, rows: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality") -> FactorisationMachine:
+def _with_meta(stats: np.ndarray, batch, n_meta: int) -> np.ndarray:
+    """stats and, for each metadata column, the logarithm of its size (0 for null and NaN)."""
+    extra = [np.log1p(np.abs(np.nan_to_num(batch[f"m{i}"].cast("float64").to_numpy(zero_copy_only=False), posinf=0, neginf=0))) for i in range(n_meta)]
+    return np.column_stack([stats, *extra])
+
+
+def train(docs: DataFrame, labels: DataFrame, seen, rows: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality", meta: tuple[str, ...] = ()) -> FactorisationMachine:
+    """Fits on labelled_sample(). meta: numeric columns of docs that are inputs beside the words and statistics of the text."""
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for whole in batches:
             for batch in slices(whole, ["text"]):
                 stats, bucket, row = features(batch["text"])
+                stats = _with_meta(stats, batch, len(meta))
                 ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(stats)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch["k"], batch["label"], pa.array([x.tobytes() for x in stats]), pa.array([bucket[a:b].astype(np.int16).tobytes() for a, b in zip(ends[:-1], ends[1:])])], names=["k", "label", "stats", "words"]
                 )
 
-    sample = labelled_sample(docs, labels, label, seen, rows, key, text)
+    sample = labelled_sample(docs, labels, label, seen, rows, key, text, meta)
     found = sorted(sample.mapInArrow(cut, "k long, label int, stats binary, words binary").collect())
-    stats = np.array([np.frombuffer(r["stats"]) for r in found]).reshape(len(found), N_STATS)
+    stats = np.array([np.frombuffer(r["stats"]) for r in found]).reshape(len(found), N_STATS + len(meta))
     return fit(stats, [np.frombuffer(r["words"], np.int16).astype(np.int64) for r in found], np.array([r["label"] for r in found], np.float64))
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, held_out: Column, key: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """(key, held_out, score, predicted) of every row. Null texts are scored as ''."""
+def score_quality(docs: DataFrame, model: FactorisationMachine, held_out: Column, key: str = "doc_id", text: str = "text", threshold: float = 0.7, meta: tuple[str, ...] = ()) -> DataFrame:
+    """(key, held_out, score, predicted) of every row. Null texts are scored as ''; null metadata as 0. Repeated rows are answered one by
+    one; an empty table gives no rows; other columns are ignored, whatever their names."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for whole in batches:
             for batch in slices(whole, ["t"]):
-                score = model.score(*features(batch["t"]))
+                stats, bucket, row = features(batch["t"])
+                score = model.score(_with_meta(stats, batch, len(meta)), bucket, row)
                 yield pa.RecordBatch.from_arrays([batch["k"], batch["held_out"], pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["k", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(
+        F.col(key).alias("k"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"), *[F.col(m).cast("double").alias(f"m{i}") for i, m in enumerate(meta)]
+    )
     kind = rows.schema["k"].dataType.simpleString()
     return rows.mapInArrow(run, f"k {kind}, held_out boolean, score double, predicted int").withColumnRenamed("k", key)
 

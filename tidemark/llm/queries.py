@@ -30,8 +30,8 @@ def op2_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = N
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.train(docs, table(spark, sf_dir, "labels"), lambda k: quality.fold(k, 4) != 2)
-    return quality.score_quality(docs, model, quality.fold(F.col("doc_id"), 4) == 2)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), lambda k: quality.fold(k, 4) != 2, meta=("n_chars",))
+    return quality.score_quality(docs, model, quality.fold(F.col("doc_id"), 4) == 2, meta=("n_chars",))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
