@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.shared import _GOLDEN, materialise, mix, shingles, slices, text_key
+from tidemark.llm.shared import _GOLDEN, free_names, materialise, mix, shingles, slices, text_key
 
 #: Texts of similarity 0.8 share a band with probability 1 - (1 - 0.8**5)**26 = 0.99997.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 26, 5
@@ -236,7 +236,8 @@ def near_duplicate_groups(
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """One row for each document: (key, class_id), class_id the least key of its class. A null text is in no class with others;
-    texts without words are classed with their exact copies only. Equal rows share a class; an empty table gives no rows."""
+    texts without words are classed with their exact copies only. Equal rows share a class; an empty table gives no rows; other columns
+    are ignored, whatever their names."""
     groups = materialise(near_duplicate_groups(docs, key, text, **settings), "groups")
     rows = docs.select(F.col(key).alias("__key"), F.when(F.col(text).isNotNull(), text_key(F.col(text))).alias("__tid"))
     rows = rows.join(groups, F.col("__tid") == F.col("tid"), "left").select("__key", "component")
@@ -247,11 +248,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """One document of each class, the one of the least key (ties: the least row hash; equal rows leave one); null texts all stay."""
+    """One document of each class, the one of the least key (ties: the least row hash; equal rows leave one), with the input's columns,
+    whatever their names; null texts all stay; an empty table gives no rows."""
     groups = materialise(near_duplicate_groups(docs, key, text, **settings), "groups")
-    rows = docs.where(F.col(text).isNotNull()).withColumns({"__tid": text_key(F.col(text)), "__row": F.xxhash64(*docs.columns)})
-    best = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("__row").alias("r"), F.col("__tid").alias("t"))
-    narrow = rows.select(key, "__tid", "__row").join(groups, F.col("__tid") == F.col("tid"))
-    winners = narrow.groupBy("component").agg(F.min(best).alias("w")).select(F.col("w.t").alias("__tid"), F.col("w.r").alias("__row"))
-    kept = rows.join(materialise(winners, "winners"), ["__tid", "__row"], "left_semi").select("__tid", "__row", *docs.columns).distinct()
-    return kept.select(docs.columns).union(docs.where(F.col(text).isNull()))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    tid, row = free_names(docs.columns, "tid", "row")
+    rows = docs.where(F.col(text).isNotNull()).select(*columns, text_key(F.col(text)).alias(tid), F.xxhash64(*columns).alias(row))
+    best = F.struct(F.col("key").isNull().alias("n"), F.col("key").alias("k"), F.col("r"), F.col("t"))
+    narrow = rows.select(F.col(key).alias("key"), F.col(tid).alias("t"), F.col(row).alias("r")).join(groups, F.col("t") == F.col("tid"))
+    winners = narrow.groupBy("component").agg(F.min(best).alias("w")).select(F.col("w.t").alias(tid), F.col("w.r").alias(row))
+    kept = rows.join(materialise(winners, "winners"), [tid, row], "left_semi").distinct()
+    return kept.select(*columns).union(docs.where(F.col(text).isNull()))
