@@ -80,7 +80,7 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def newey_west(rows: DataFrame, x: str, lags: int) -> DataFrame:
-    """(pair, n, mean, se): Bartlett weights; at least 1e-12."""
+    """(pair, n, mean, se): Bartlett weights; the long-run variance is 1e-12 at least."""
     centred = rows.join(rows.groupBy("pair").agg(F.avg(x).alias("mean"), F.count(x).alias("n")), "pair").withColumn("e", F.col(x) - F.col("mean"))
     sums = [F.sum(F.col("e") * F.col("e")).alias("g0")]
     for k in range(1, lags + 1):
@@ -90,7 +90,7 @@ def newey_west(rows: DataFrame, x: str, lags: int) -> DataFrame:
     total = F.col("g0")
     for k in range(1, lags + 1):
         total = total + F.coalesce(F.col(f"g{k}"), F.lit(0.0)) * (2 * (1 - k / (lags + 1)))
-    return g.select("pair", "n", "mean", F.greatest(F.sqrt(F.greatest(total / F.col("n"), F.lit(0.0)) / F.col("n")), F.lit(1e-12)).alias("se"))
+    return g.select("pair", "n", "mean", F.sqrt(F.greatest(total / F.col("n"), F.lit(1e-12)) / F.col("n")).alias("se"))
 
 
 def window_placement(rows: DataFrame, n: int) -> DataFrame:
@@ -131,8 +131,10 @@ def cross_pair(cells: DataFrame) -> DataFrame:
 
 
 def execution_report(fills: DataFrame) -> DataFrame:
-    """(pair, fills, success, avg_slippage) and the overall row (null pair): rollup in one pass."""
-    return fills.rollup("pair").agg(F.count("*").alias("fills"), F.avg(F.col("success").cast("double")).alias("success"), F.avg("slippage_pips").alias("avg_slippage"))
+    """(pair, fills, success, avg_slippage, avg_spread) and the overall row (null pair): rollup in one pass."""
+    return fills.rollup("pair").agg(
+        F.count("*").alias("fills"), F.avg(F.col("success").cast("double")).alias("success"), F.avg("slippage_pips").alias("avg_slippage"), F.avg("spread_at_fill").alias("avg_spread")
+    )
 
 
 def go_no_go(stats: DataFrame, least_sharpe: float = 0.5, least_trades: int = 30) -> DataFrame:
@@ -175,12 +177,37 @@ def diagnosis(rows: DataFrame) -> DataFrame:
     return d.withColumn("share", F.col("bars") / F.sum("bars").over(W.partitionBy("pair")))
 
 
-def family_screen(rows: DataFrame, pip: float = 0.0001, overhead: float = 0.8) -> DataFrame:
-    """(pair, family, sharpe, turnover) of net returns by rule and series."""
+def family_screen(rows: DataFrame, pip: float = 0.0001, overhead: float = 0.8, bars_per_year: float = 6150.0) -> DataFrame:
+    """(pair, family, gross_sharpe, net_sharpe, turnover, verdict) in pips by rule and series. Bars without a usable spread earn nothing and
+    carry no spread. Verdict bands of the net Sharpe: PASS from 1.76, STRETCH from 1.44, else FAIL."""
+    r = family_pips(rows, pip, overhead)
+    def sharpe(x: str):
+        return F.when(F.stddev_samp(x) > 0, F.avg(x) / F.stddev_samp(x) * bars_per_year**0.5)
+
+    s = r.groupBy("pair", "family").agg(sharpe("gross").alias("gross_sharpe"), sharpe("net").alias("net_sharpe"), F.sum("turn").alias("turnover"))
+    return s.withColumn("verdict", F.when(F.round("net_sharpe", 6) >= 1.76, "PASS").when(F.round("net_sharpe", 6) >= 1.44, "STRETCH").otherwise("FAIL"))
+
+
+def family_pips(rows: DataFrame, pip: float = 0.0001, overhead: float = 0.8) -> DataFrame:
+    """rows (pair, ts, close, spread_median_pips, family, signal) with turn, gross and net in pips."""
     w = W.partitionBy("pair", "family").orderBy("ts")
     r = rows.withColumn("position", F.lag("signal", 1, 0.0).over(w))
-    r = r.withColumn("turn", F.abs(F.col("position") - F.lag("position", 1, 0.0).over(w)))
-    gross = F.coalesce(F.col("position") * F.log(F.col("close") / F.lag("close").over(w)), F.lit(0.0))
-    r = r.withColumn("ret", gross - F.col("turn") * (F.col("spread_median_pips") + overhead) * pip / F.col("close"))
-    std = F.stddev_samp("ret")
-    return r.groupBy("pair", "family").agg(F.when(std > 0, F.avg("ret") / std * 6150**0.5).otherwise(0.0).alias("sharpe"), F.sum("turn").alias("turnover"))
+    usable = F.coalesce(F.col("spread_median_pips") > 0, F.lit(False))
+    gross = F.coalesce(F.col("position") * F.log(F.col("close") / F.lag("close").over(w)), F.lit(0.0)) / pip
+    r = r.withColumns({"turn": F.abs(F.col("position") - F.lag("position", 1).over(w)), "gross": F.when(usable, gross).otherwise(0.0), "spread": F.when(usable, F.col("spread_median_pips")).otherwise(0.0)})
+    r = r.withColumn("turn", F.coalesce("turn", F.lit(0.0)))
+    return r.withColumn("net", F.col("gross") - F.col("turn") * (F.col("spread") + overhead))
+
+
+def family_summary(rows: DataFrame, subset: list[str], bars_per_year: float = 6150.0) -> DataFrame:
+    """(family, least, middle, most, positive, portfolio, portfolio_subset): net Sharpes over the series, how many are over 0, and the
+    Sharpe of the mean net pips of all series, and of a subset, at the times that all of them share."""
+    cells = family_screen(rows, bars_per_year=bars_per_year).withColumn("x", F.round("net_sharpe", 9))
+    over = cells.groupBy("family").agg(F.min("x").alias("least"), F.percentile("x", 0.5).alias("middle"), F.max("x").alias("most"), F.count_if(F.col("x") > 0).alias("positive"))
+    r = family_pips(rows)
+    for name, part in (("portfolio", r), ("portfolio_subset", r.where(F.col("pair").isin(subset)))):
+        series = part.select("family", "pair").distinct().groupBy("family").agg(F.count("*").alias("k"))
+        mean = part.groupBy("family", "ts").agg(F.avg("net").alias("m"), F.count("*").alias("n")).join(series, "family").where("n = k")
+        s = F.when(F.stddev_samp("m") > 0, F.avg("m") / F.stddev_samp("m") * bars_per_year**0.5)
+        over = over.join(mean.groupBy("family").agg(s.alias(name)), "family", "left")
+    return over

@@ -26,12 +26,13 @@ def momentum_signal(bars: DataFrame, n: int = 20, threshold: float = 0.0) -> Dat
     return bars.withColumn("signal", F.when(m > threshold, 1.0).when(m < -threshold, -1.0).otherwise(0.0))
 
 
-def band_reversal(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
-    """Fades closes outside the band; a position is held until the opposite side is met."""
-    from tidemark.operators.indicators import bollinger
+def band_reversal(bars: DataFrame, n: int = 20, k: float = 2.0, rsi_n: int = 14, oversold: float = 30.0, overbought: float = 70.0) -> DataFrame:
+    """Buys below the lower band where the RSI is oversold too, sells above the upper where it is overbought; a position is held until the
+    opposite signal."""
+    from tidemark.operators.indicators import bollinger, rsi
 
-    rows = bollinger(bars, n, k)
-    hit = F.when(F.col("close") < F.col("bb_lower"), 1.0).when(F.col("close") > F.col("bb_upper"), -1.0)
+    rows, strength = bollinger(rsi(bars, rsi_n), n, k), F.round("rsi", 6)
+    hit = F.when((F.col("close") < F.col("bb_lower")) & (strength < oversold), 1.0).when((F.col("close") > F.col("bb_upper")) & (strength > overbought), -1.0)
     return rows.withColumn("hit", hit).withColumn("signal", F.coalesce(F.last("hit", True).over(by_ts()), F.lit(0.0))).drop("hit")
 
 
@@ -41,17 +42,27 @@ def carry(bars: DataFrame, diff: str, most: float, least: float) -> DataFrame:
     return bars.withColumn("signal", F.when(F.abs(d) >= least, clip(d / most)).otherwise(0.0))
 
 
-def cross_sectional(rows: DataFrame, x: str) -> DataFrame:
-    """z-score of x against all series at the same time, held to [-1, 1]; an aggregate joined back, as a universe may be wide."""
+def static_carry(bars: DataFrame, swap_long: str, swap_short: str) -> DataFrame:
+    """+1 where holding long earns swap, else -1 where holding short does, else 0."""
+    return bars.withColumn("signal", F.when(F.col(swap_long) > 0, 1.0).when(F.col(swap_short) > 0, -1.0).otherwise(0.0))
+
+
+def cross_sectional(rows: DataFrame, x: str, least: float = 0.0, raw: float | None = None) -> DataFrame:
+    """z-score of x against all series at the same time, held to [-1, 1], 0 where |x| is below `least`; an aggregate joined back, as a
+    universe may be wide. raw: instead of the z-score, x over `raw`."""
+    if raw is not None:
+        value = F.when(F.abs(x) >= least, clip(F.col(x) / raw))
+        return rows.withColumn("signal", F.coalesce(value, F.lit(0.0)))
     stats = rows.groupBy("ts").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
     z = F.when(F.col("std") > 0, (F.col(x) - F.col("mean")) / F.col("std"))
-    return rows.join(stats, "ts").withColumn("signal", F.coalesce(clip(z), F.lit(0.0))).drop("mean", "std")
+    z = F.when(F.abs(x) >= least, clip(z))
+    return rows.join(stats, "ts").withColumn("signal", F.coalesce(z, F.lit(0.0))).drop("mean", "std")
 
 
 def lookback_signs(bars: DataFrame, lookbacks: tuple[int, ...] = (12, 24, 48, 96)) -> DataFrame:
     """(pair, ts, lookback, signal): sign of the summed log return over each lookback."""
     rows = bars.withColumn("lr", log_return())
-    sums = [F.struct(F.lit(n).alias("lookback"), sign(sma("lr", n)).alias("signal")) for n in lookbacks]
+    sums = [F.struct(F.lit(n).alias("lookback"), sign(F.round(sma("lr", n), 12)).alias("signal")) for n in lookbacks]
     return rows.withColumn("s", F.array(*sums)).select("pair", "ts", F.inline("s"))
 
 
@@ -94,12 +105,18 @@ def carry_momentum(rows: DataFrame, carry_signal: str, n: int = 20, weight: floa
     return rows.withColumn("signal", F.when(agree, F.col(carry_signal) * weight + away * (1 - weight)).otherwise(0.0))
 
 
-def vol_target(rows: DataFrame, target: float, cap: float = 2.0, n: int = 20, bars_per_year: float = 252.0) -> DataFrame:
-    """Target over realised volatility, between 0 and cap, over cap; 0 while the volatility is unknown."""
+def vol_target(
+    rows: DataFrame, target: float, cap: float = 2.0, n: int = 20, bars_per_year: float = 252.0, carry_diff: str | None = None, scaled: bool = True, lag: int = 0
+) -> DataFrame:
+    """Target over realised volatility, between 0 and cap, over cap; 0 while the volatility is unknown. carry_diff: 0 unless that column is
+    over 0. scaled=False: a constant 1 in place of the size. lag: the volatility of so many bars before."""
     from tidemark.operators.indicators import realised_volatility
 
-    size = clip(target / F.col("vol"), 0.0, cap) / cap
-    return realised_volatility(rows, n, bars_per_year).withColumn("signal", F.when(F.col("vol") > 0, size).otherwise(0.0))
+    rows = realised_volatility(rows, n, bars_per_year)
+    vol = F.lag("vol", lag).over(by_ts()) if lag else F.col("vol")
+    size = clip(target / vol, 0.0, cap) / cap if scaled else F.lit(1.0)
+    on = (vol > 0) if carry_diff is None else (vol > 0) & (F.col(carry_diff) > 0)
+    return rows.withColumn("signal", F.when(on, size).otherwise(0.0))
 
 
 def overnight_fade(bars: DataFrame, hours: tuple[int, ...] = (2, 3, 4, 5), k: float = 2.0, n: int = 20) -> DataFrame:
@@ -111,21 +128,33 @@ def overnight_fade(bars: DataFrame, hours: tuple[int, ...] = (2, 3, 4, 5), k: fl
     return rows.withColumn("signal", F.when(big, -F.signum("r")).otherwise(0.0))
 
 
-def intraday_families(bars: DataFrame, n: int = 20) -> DataFrame:
-    """(pair, ts, close, spread_median_pips, family, signal) of six intraday rules, computed in one pass over the series."""
-    from tidemark.operators.indicators import session_open
+FAMILIES = ["hourly_reversal", "session_open_momentum", "momentum_3", "vol_breakout", "london_drift", "spread_filtered_reversal"]
+
+
+def intraday_families(bars: DataFrame, n: int = 24) -> DataFrame:
+    """(pair, ts, close, spread_median_pips, family, signal) of six intraday rules:
 
-    past = by_ts().rowsBetween(-n, -1)
-    rows = session_open(bars).withColumns({
-        "move": momentum("close", 1), "hi": F.max("high").over(past), "lo": F.min("low").over(past), "usual": F.avg("spread_median_pips").over(past),
-        "three": momentum("close", 3), "four": momentum("close", 4),
+    hourly_reversal: against the bar's own move, the last one where it is 0; session_open_momentum: the move of the 07:00 bar, there only;
+    momentum_3: sign of the last three log returns; vol_breakout: the bar's move where its range is over half of the greatest of the n bars
+    before; london_drift: 08:00 open against the close before, held four bars; spread_filtered_reversal: the first rule below the series'
+    median spread.
+    """
+    w, hour = by_ts(), F.hour("ts")
+    middle = bars.groupBy("pair").agg(F.percentile("spread_median_pips", 0.5).alias("middle"))
+    past = w.rowsBetween(-n, -1)
+    rows = bars.join(middle, "pair").withColumns({"lr": log_return(), "move": F.signum(F.col("close") - F.col("open")), "range": F.col("high") - F.col("low")})
+    rows = rows.withColumns({
+        "against": F.coalesce(-F.last(F.nullif("move", F.lit(0.0)), True).over(w), F.lit(0.0)),
+        "three": sign(F.round(sma("lr", 3), 12)),
+        "widest": F.when(F.count("range").over(past) == n, F.max("range").over(past)),
+        "gap": F.when(hour == 8, sign(F.col("open") - F.lag("close").over(w))).otherwise(0.0),
     })
-    breakout = F.when(F.col("close") > F.col("hi"), 1.0).when(F.col("close") < F.col("lo"), -1.0).otherwise(0.0)
-    rules = {
-        "reversal": -sign(F.col("move")), "session": sign(F.col("close") - F.col("session_open")), "three_bars": sign(F.col("three")), "breakout": breakout,
-        "drift": sign(F.col("four")), "tight_reversal": F.when(F.col("spread_median_pips") <= F.col("usual"), -sign(F.col("move"))).otherwise(0.0),
-    }
-    cells = F.array(*(F.struct(F.lit(k).alias("family"), (v + 0.0).alias("signal")) for k, v in rules.items()))
+    rules = [
+        F.col("against"), F.when(hour == 7, F.coalesce("move", F.lit(0.0))).otherwise(0.0), F.col("three"),
+        F.when(F.col("range") > F.col("widest") * 0.5, F.col("move")).otherwise(0.0), clip(F.sum("gap").over(w.rowsBetween(-3, 0))),
+        F.when(F.col("spread_median_pips") >= F.col("middle"), 0.0).otherwise(F.col("against")),
+    ]
+    cells = F.array(*(F.struct(F.lit(k).alias("family"), (v + 0.0).alias("signal")) for k, v in zip(FAMILIES, rules)))
     return rows.withColumn("cells", cells).select("pair", "ts", "close", "spread_median_pips", F.inline("cells"))
 
 

@@ -94,13 +94,13 @@ def _(spark, sf):
 
 
 @register("rs4_hour_curve", f"""WITH {TICKS}, seen AS (SELECT pair, CAST(hour(ts) AS INT) AS hour, quantile_cont(spread_pips, 0.5) AS q FROM ticks
-  WHERE isodow(ts) < 6 AND hour(ts) % 2 = 0 GROUP BY ALL), grid AS (SELECT p.pair, CAST(s.slot AS INT) AS slot, CAST(s.slot % 24 AS INT) AS hour FROM (SELECT DISTINCT pair FROM seen) p, range(72) s(slot)),
+  WHERE isodow(ts) < 6 GROUP BY ALL), grid AS (SELECT p.pair, CAST(s.slot AS INT) AS slot, CAST(s.slot % 24 AS INT) AS hour FROM (SELECT DISTINCT pair FROM seen) p, range(72) s(slot)),
   t AS (SELECT grid.*, q, CASE WHEN q IS NOT NULL THEN slot END AS k FROM grid LEFT JOIN seen USING (pair, hour)),
   u AS (SELECT *, last_value(k IGNORE NULLS) OVER w AS bk, last_value(q IGNORE NULLS) OVER w AS bq, first_value(k IGNORE NULLS) OVER v AS ak,
   first_value(q IGNORE NULLS) OVER v AS aq FROM t WINDOW w AS (PARTITION BY pair ORDER BY slot), v AS (PARTITION BY pair ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
   SELECT pair, hour, round(coalesce(q, bq + (aq - bq) * (slot - bk) / nullif(ak - bk, 0)), 6) AS spread FROM u WHERE slot BETWEEN 24 AND 47""")
 def _(spark, sf):
-    return rounded(resample.hour_curve(tables.ticks(spark, sf).where(F.hour("ts") % 2 == 0)))
+    return rounded(resample.hour_curve(tables.ticks(spark, sf)))
 
 
 @register("rs6_monthly_returns", f"""WITH {DAILY}, m AS (SELECT pair, date_trunc('month', ts) AS month, last(close ORDER BY ts) AS close FROM bars GROUP BY ALL),
@@ -201,16 +201,12 @@ def _(spark, sf):
     return quality.slots(tables.hourly_bars(spark, sf)).groupBy("pair").agg(F.count("*").alias("slots"))
 
 
-@register("dq8_missing_hours", f"""WITH {HOURLY}, {SLOTS}, g AS (SELECT s.pair, s.ts, b.ts IS NULL AS gone FROM slots s LEFT JOIN (SELECT pair, ts FROM bars WHERE hour(ts) % 5 <> 0) b ON s.pair = b.pair AND s.ts = b.ts),
+@register("dq8_missing_hours", f"""WITH {HOURLY}, {SLOTS}, g AS (SELECT s.pair, s.ts, b.ts IS NULL AS gone FROM slots s LEFT JOIN (SELECT pair, ts FROM bars) b ON s.pair = b.pair AND s.ts = b.ts),
   e AS (SELECT *, NOT gone OR coalesce(epoch(ts) - epoch(lag(ts) OVER {BY}) > 3600, false) AS edge FROM g), i AS (SELECT *, count_if(edge) OVER {BY} AS island FROM e),
   n AS (SELECT pair, island, count(*) AS n, count_if(gone) AS g FROM i GROUP BY ALL)
   SELECT pair, CAST(sum(n) AS BIGINT) AS expected, CAST(sum(n) - sum(g) AS BIGINT) AS present, max(g) AS longest_gap FROM n GROUP BY pair""")
 def _(spark, sf):
-    bars = tables.hourly_bars(spark, sf)
-    kept = bars.where(F.hour("ts") % 5 != 0)
-    edges = bars.groupBy("pair").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    grid = edges.select("pair", F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("ts")).where(quality.in_session(F.col("ts")))
-    return quality.missing_in(grid, kept)
+    return quality.missing_hours(tables.hourly_bars(spark, sf))
 
 
 @register("dq13_month_manifest", f"""WITH {DAILY}, c AS (SELECT pair, date_trunc('month', ts) AS month, count(*) AS n FROM bars GROUP BY ALL), s AS (SELECT pair, quantile_cont(n, 0.5) AS median,
@@ -279,8 +275,12 @@ def _(spark, sf):
 CHANGE = f", t AS (SELECT *, coalesce(greatest(close - lag(close) OVER {BY}, 0), 0) AS gain, coalesce(greatest(lag(close) OVER {BY} - close, 0), 0) AS loss FROM bars)"
 
 
-@register("ind3_rsi", f"""SELECT pair, ts, round(CASE WHEN g.v = 0 AND l.v = 0 THEN 50 WHEN l.v = 0 THEN 100 ELSE 100 - 100 / (1 + g.v / l.v) END, 6) AS rsi
-  FROM ({_ema_sql('gain', 1 / 14, 14, HOURLY, CHANGE, 't')}) g JOIN ({_ema_sql('loss', 1 / 14, 14, HOURLY, CHANGE, 't')}) l USING (pair, ts)""")
+def _rsi_sql(source: str) -> str:
+    return f"""SELECT pair, ts, round(CASE WHEN g.v = 0 AND l.v = 0 THEN 50 WHEN l.v = 0 THEN 100 ELSE 100 - 100 / (1 + g.v / l.v) END, 6) AS rsi
+  FROM ({_ema_sql('gain', 1 / 14, 14, source, CHANGE, 't')}) g JOIN ({_ema_sql('loss', 1 / 14, 14, source, CHANGE, 't')}) l USING (pair, ts)"""
+
+
+@register("ind3_rsi", _rsi_sql(HOURLY))
 def _(spark, sf):
     return rounded(ind.rsi(tables.hourly_bars(spark, sf)).select("pair", "ts", "rsi"))
 
@@ -293,7 +293,12 @@ def _(spark, sf):
     return rounded(ind.macd(tables.hourly_bars(spark, sf)).select("pair", "ts", "macd"))
 
 
-@register("ind8_macd_signal")
+MACD_LINE = f", ml AS (SELECT f.pair, f.ts, f.v - s.v AS macd FROM ({_FAST}) f JOIN ({_SLOW}) s USING (pair, ts))"
+#: The line with its signal, whose recursion starts at the first non-null line.
+MACD = f"SELECT l.pair, l.ts, l.macd, g.v AS macd_signal, l.macd - g.v AS macd_hist FROM (SELECT f.pair, f.ts, f.v - s.v AS macd FROM ({_FAST}) f JOIN ({_SLOW}) s USING (pair, ts)) l LEFT JOIN ({_ema_sql('macd', 2 / 10, 9, HOURLY, MACD_LINE, 'ml')}) g USING (pair, ts)"
+
+
+@register("ind8_macd_signal", f"SELECT pair, ts, {r('macd', 'macd')}, {r('macd_signal', 'macd_signal')}, {r('macd_hist', 'macd_hist')} FROM ({MACD})")
 def _(spark, sf):
     return rounded(ind.macd(tables.hourly_bars(spark, sf)).select("pair", "ts", "macd", "macd_signal", "macd_hist"))
 
@@ -341,8 +346,13 @@ def _(spark, sf):
 _indicator("sig1_sma_cross", f"CAST({SMA_SIGNAL} AS DOUBLE) AS signal", signals.sma_cross, ["signal"], source=DAILY)
 MOM = f"close / lag(close, 20) OVER {BY} - 1"
 _indicator("sig2_momentum", f"CAST(CASE WHEN {MOM} > 0 THEN 1 WHEN {MOM} < 0 THEN -1 ELSE 0 END AS DOUBLE) AS signal", signals.momentum_signal, ["signal"], source=DAILY)
-_indicator("sig3_band_reversal", f"CAST(coalesce(last_value(hit IGNORE NULLS) OVER {BY}, 0) AS DOUBLE) AS signal", signals.band_reversal, ["signal"],
-           f", t AS (SELECT *, CASE WHEN close < {full('avg', 'close', 20)} - 2 * {full('stddev_samp', 'close', 20)} THEN 1 WHEN close > {full('avg', 'close', 20)} + 2 * {full('stddev_samp', 'close', 20)} THEN -1 END AS hit FROM bars)", DAILY, "t")
+BANDS = f"(SELECT pair, ts, close, {full('avg', 'close', 20)} AS mid, {full('stddev_samp', 'close', 20)} AS sd FROM bars)"
+
+
+@register("sig3_band_reversal", f"""WITH {DAILY}, b AS {BANDS}, h AS (SELECT b.pair, b.ts, CASE WHEN close < mid - 2 * sd AND rsi < 30 THEN 1 WHEN close > mid + 2 * sd AND rsi > 70 THEN -1 END AS hit FROM b LEFT JOIN ({_rsi_sql(DAILY)}) USING (pair, ts))
+  SELECT pair, ts, CAST(coalesce(last_value(hit IGNORE NULLS) OVER {BY}, 0) AS DOUBLE) AS signal FROM h""")
+def _(spark, sf):
+    return signals.band_reversal(tables.daily_bars(spark, sf)).select("pair", "ts", "signal")
 
 
 @register("sig6_carry", f"WITH {DAILY}, {RATES} SELECT b.pair, b.ts, round(CASE WHEN abs(r.rate - 5) >= 0.01 THEN greatest(-1, least(1, (r.rate - 5) / 0.1)) ELSE 0 END, 6) AS signal FROM bars b ASOF LEFT JOIN (SELECT * FROM rates WHERE currency = 'R') r ON b.ts >= r.ts")
@@ -489,39 +499,41 @@ def _(spark, sf):
 
 @register("st1_newey_west", f"""WITH {DAILY}, {POS}, c AS (SELECT pair, ts, ret - avg(ret) OVER (PARTITION BY pair) AS e, count(*) OVER (PARTITION BY pair) AS n, avg(ret) OVER (PARTITION BY pair) AS mean FROM net),
   l AS (SELECT *, {', '.join(f'lag(e, {k}) OVER {BY} AS e{k}' for k in range(1, 6))} FROM c)
-  SELECT pair, n, round(mean, 9) AS mean, round(greatest(sqrt(greatest((sum(e * e) + {' + '.join(f'sum(e * e{k}) * {2 * (1 - k / 6)!r}' for k in range(1, 6))}) / n, 0) / n), 1e-12), 9) AS se FROM l GROUP BY pair, n, mean""")
+  SELECT pair, n, round(mean, 9) AS mean, round(sqrt(greatest((sum(e * e) + {' + '.join(f'sum(e * e{k}) * {2 * (1 - k / 6)!r}' for k in range(1, 6))}) / n, 1e-12) / n), 9) AS se FROM l GROUP BY pair, n, mean""")
 def _(spark, sf):
     return rounded(metrics.newey_west(_net(spark, sf), "ret", 5), 9)
 
 
-@register("st5_window_placement", f"""WITH {DAILY}, {POS}, w AS (SELECT pair, ts, round(CASE WHEN count(ret) OVER {frame(250)} = 250 THEN avg(ret) OVER {frame(250)} / nullif(stddev_samp(ret) OVER {frame(250)}, 0) END, 9) AS s FROM net),
+@register("st5_window_placement", f"""WITH {DAILY}, {POS}, w AS (SELECT pair, ts, round(CASE WHEN count(ret) OVER {frame(250)} = 250 THEN avg(ret) OVER {frame(250)} / nullif(stddev_samp(ret) OVER {frame(250)}, 0) END, 12) AS s FROM net),
   k AS (SELECT *, last_value(s) OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_sharpe FROM w WHERE s IS NOT NULL)
-  SELECT pair, round(last_sharpe, 6) AS last_sharpe, count(*) AS windows, round(avg((s <= last_sharpe)::INT), 2) AS percentile FROM k GROUP BY pair, last_sharpe""")
+  SELECT pair, round(last_sharpe, 6) AS last_sharpe, count(*) AS windows, round(avg((s <= last_sharpe)::INT), 6) AS percentile FROM k GROUP BY pair, last_sharpe""")
 def _(spark, sf):
-    return rounded(metrics.window_placement(_net(spark, sf), 250)).withColumn("percentile", F.round("percentile", 2))
+    return rounded(metrics.window_placement(_net(spark, sf), 250))
 
 
 # ---- ledger --------------------------------------------------------------------------------------------------------------------
 
-LEDGER = "ledger AS (SELECT o_custkey AS trial_id, o_orderkey AS seq, o_orderdate AS ts, o_orderstatus AS status, o_orderpriority || CASE o_orderkey % 3 WHEN 0 THEN '_v2' WHEN 1 THEN '_v2_fast' ELSE '' END AS strategy FROM orders)"
+LEDGER = "ledger AS (SELECT o_custkey AS trial_id, o_orderkey AS seq, o_orderdate AS ts, o_orderstatus AS status, o_orderpriority || CASE o_orderkey % 3 WHEN 0 THEN '_v2' WHEN 1 THEN '_v2_fast' ELSE '' END AS strategy, CASE WHEN o_orderkey % 7 = 0 THEN 'pre/' || o_orderpriority ELSE '' END AS pre_reg_path, CAST(month(o_orderdate) AS VARCHAR) AS config_hash, CASE WHEN o_orderkey % 5 > 0 THEN floor(o_totalprice / 10000) END AS sharpe, o_orderkey % 11 <> 0 AS counts FROM orders)"
 
 
 def _ledger(spark, sf):
     suffix = F.when(F.col("o_orderkey") % 3 == 0, "_v2").when(F.col("o_orderkey") % 3 == 1, "_v2_fast").otherwise("")
     return tables.read(spark, sf, "orders").select(
-        F.col("o_custkey").alias("trial_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderstatus").alias("status"), F.concat("o_orderpriority", suffix).alias("strategy")
+        F.col("o_custkey").alias("trial_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderstatus").alias("status"), F.concat("o_orderpriority", suffix).alias("strategy"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("pre/"), "o_orderpriority")).otherwise("").alias("pre_reg_path"), F.month("o_orderdate").cast("string").alias("config_hash"),
+        F.when(F.col("o_orderkey") % 5 > 0, F.floor(F.col("o_totalprice") / 10000).cast("double")).alias("sharpe"), (F.col("o_orderkey") % 11 != 0).alias("counts"),
     )
 
 
-LAST = "last AS (SELECT trial_id, arg_max(status, seq) AS status, arg_max(strategy, seq) AS strategy, max(seq) AS seq FROM ledger GROUP BY trial_id)"
+LAST = "last AS (SELECT trial_id, arg_max(status, seq) AS status, arg_max(strategy, seq) AS strategy, arg_max(pre_reg_path, seq) AS pre_reg_path, max(seq) AS seq FROM ledger GROUP BY trial_id)"
 
 
-@register("led1_last_wins", f"WITH {LEDGER}, {LAST} SELECT * FROM last")
+@register("led1_last_wins", f"WITH {LEDGER}, {LAST} SELECT trial_id, status, strategy, seq FROM last")
 def _(spark, sf):
     return ledger.last_wins(_ledger(spark, sf))
 
 
-@register("led2_distinct_hypotheses", f"WITH {LEDGER}, {LAST} SELECT status, count(*) AS trials, count(DISTINCT regexp_replace(strategy, '(?:_v2|_fast)+$', '')) AS hypotheses, status IN ('F', 'O') AS counted FROM last GROUP BY status")
+@register("led2_distinct_hypotheses", f"WITH {LEDGER}, {LAST} SELECT status, count(*) AS trials, count(DISTINCT coalesce(nullif(pre_reg_path, ''), regexp_replace(strategy, '(?:_v2|_fast)+$', ''))) AS hypotheses, status IN ('F', 'O') AS counted FROM last GROUP BY status")
 def _(spark, sf):
     return ledger.distinct_hypotheses(_ledger(spark, sf), ["F", "O"], ["_v2", "_fast"])
 

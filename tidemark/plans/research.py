@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import costs, events, gate, indicators as ind, joins, ledger, metrics, quality, resample, signals, simulate, statistics as stats
 from tidemark.plans.market import (
-    BY, DAILY, HOURLY, LEDGER, POS, RATES, RET, SESSION, SIMPLE, SLOTS, SQL, SMA_SIGNAL, TR, TRADES, _ema_sql, _indicator, _ledger, _net, _rate_rows, _returns, _trades,
+    BY, DAILY, HOURLY, LEDGER, MACD, POS, QUERIES, RATES, RET, SESSION, SIMPLE, SLOTS, SQL, SMA_SIGNAL, TR, TRADES, _ema_sql, _indicator, _ledger, _net, _rate_rows, _returns, _trades,
     frame, full, r, register, rounded,
 )
 from tidemark.sources import tables
@@ -31,19 +31,19 @@ def _(spark, sf):
 GATE = f"""WITH {HOURLY}, {SLOTS}, g AS (SELECT s.pair, s.ts, b.ts IS NULL AS gone FROM slots s LEFT JOIN bars b ON s.pair = b.pair AND s.ts = b.ts),
   e AS (SELECT *, NOT gone OR coalesce(epoch(ts) - epoch(lag(ts) OVER {BY}) > 3600, false) AS edge FROM g), i AS (SELECT *, count_if(edge) OVER {BY} AS island FROM e),
   n AS (SELECT pair, island, count(*) AS n, count_if(gone) AS g FROM i GROUP BY ALL), c AS (SELECT pair, sum(n) AS expected, sum(n) - sum(g) AS present, max(g) AS longest_gap FROM n GROUP BY pair),
-  s AS (SELECT pair, avg(spread_mean_pips) AS spread FROM bars GROUP BY pair), v AS (SELECT pair, round(present / expected, 6) AS coverage, round(spread, 6) AS spread,
-  concat_ws(',', CASE WHEN present < 100 THEN 'bars' END, CASE WHEN present / expected < 0.5 THEN 'coverage' END, CASE WHEN longest_gap > 2 THEN 'gap' END, CASE WHEN NOT coalesce(spread BETWEEN 1 AND 4.0, false) THEN 'spread' END) AS issues,
-  present < 100 OR present / expected < 0.5 AS gone FROM c LEFT JOIN s USING (pair)),
-  verdicts AS (SELECT pair, coverage, spread, issues, CASE WHEN gone THEN 'EXCLUDE' WHEN issues <> '' THEN 'MANUAL_REVIEW' ELSE 'ADMIT' END AS verdict FROM v)"""
+  s AS (SELECT pair, avg(spread_mean_pips) AS spread, avg((spread_mean_pips > 0)::INT) AS measured FROM bars GROUP BY pair), v AS (SELECT pair, round(present / expected, 6) AS coverage, round(spread, 6) AS spread, round(measured, 6) AS measured,
+  concat_ws(',', CASE WHEN present < 100 THEN 'bars' END, CASE WHEN present / expected < 0.5 THEN 'coverage' END, CASE WHEN NOT coalesce(measured >= 0.9, false) THEN 'measured' END, CASE WHEN longest_gap > 2 THEN 'gap' END, CASE WHEN NOT coalesce(spread BETWEEN 1 AND 4.0, false) THEN 'spread' END) AS issues,
+  present < 100 OR present / expected < 0.5 OR NOT coalesce(measured >= 0.9, false) AS gone FROM c LEFT JOIN s USING (pair)),
+  verdicts AS (SELECT pair, coverage, spread, measured, issues, CASE WHEN gone THEN 'EXCLUDE' WHEN issues <> '' THEN 'MANUAL_REVIEW' ELSE 'ADMIT' END AS verdict FROM v)"""
 
 
 def _spreads(bars):
-    return bars.groupBy("pair").agg(F.avg("spread_mean_pips").alias("spread"))
+    return bars.groupBy("pair").agg(F.avg("spread_mean_pips").alias("spread"), F.avg((F.col("spread_mean_pips") > 0).cast("double")).alias("measured"))
 
 
 def _gate(spark, sf):
     bars = tables.hourly_bars(spark, sf)
-    return gate.coverage_gate(quality.missing_hours(bars), _spreads(bars), 100, 0.5, 2, (1.0, 4.0))
+    return gate.coverage_gate(quality.missing_hours(bars), _spreads(bars), 100, 0.5, 2, (1.0, 4.0), 0.9)
 
 
 @register("dq10_coverage_gate", f"{GATE} SELECT * FROM verdicts")
@@ -56,9 +56,10 @@ def _(spark, sf):
     return gate.verdict_counts(_gate(spark, sf))
 
 
-@register("dq11_cross_pair_flags", f"WITH {HOURLY}, s AS (SELECT pair, avg(spread_mean_pips) AS m FROM bars GROUP BY pair), e AS (SELECT min(m) AS lo, max(m) AS hi FROM s) SELECT pair, {r('m', 'spread')}, m > lo * 1.02 AS wide, hi > m * 1.02 AS narrow FROM s, e")
+@register("dq11_cross_pair_flags", f"""WITH {HOURLY}, s AS (SELECT pair, avg(spread_mean_pips) AS m, NOT ends_with(pair, 'k') AS plain FROM bars GROUP BY pair), e AS (SELECT min(m) AS lo, max(m) AS hi, quantile_cont(m, 0.5) AS mid FROM s WHERE plain)
+  SELECT pair, {r('m', 'spread')}, plain AND m > lo * 1.02 AS wide, plain AND hi > m * 1.02 AS narrow, NOT plain AND NOT m / mid BETWEEN 0.995 AND 1.005 AS off FROM s, e""")
 def _(spark, sf):
-    return rounded(gate.cross_pair_flags(_spreads(tables.hourly_bars(spark, sf)), 1.02))
+    return rounded(gate.cross_pair_flags(_spreads(tables.hourly_bars(spark, sf)), 1.02, "k", 0.995, 1.005))
 
 
 # ---- events and joins ----------------------------------------------------------------------------------------------------------
@@ -116,10 +117,10 @@ def _(spark, sf):
     return rounded(joins.compare_sources(signals.sma_cross(bars), signals.momentum_signal(bars)))
 
 
-@register("jn8_widest_bar", f"""WITH {HOURLY}, t AS (SELECT *, {TR} AS tr, date_trunc('day', ts)::TIMESTAMP AS day FROM bars), d AS (SELECT DISTINCT event_type AS pair, date_trunc('day', ts)::TIMESTAMP AS day FROM events WHERE event_id % 5 = 0)
+@register("jn8_widest_bar", f"""WITH {HOURLY}, t AS (SELECT *, {TR} AS tr, date_trunc('day', ts)::TIMESTAMP AS day FROM bars), d AS (SELECT DISTINCT event_type AS pair, date_trunc('day', ts)::TIMESTAMP AS day FROM events)
   SELECT pair, day, ts, {r('tr', 'tr')} FROM t SEMI JOIN d USING (pair, day) QUALIFY row_number() OVER (PARTITION BY pair, day ORDER BY tr DESC, ts) = 1""")
 def _(spark, sf):
-    days = tables.ticks(spark, sf).where("seq % 5 = 0").select("pair", F.date_trunc("day", "ts").alias("day")).distinct()
+    days = tables.ticks(spark, sf).select("pair", F.date_trunc("day", "ts").alias("day")).distinct()
     return rounded(events.widest_bar(tables.hourly_bars(spark, sf), days))
 
 
@@ -130,12 +131,12 @@ def _(spark, sf):
     return rounded(events.bounded_exit(tables.hourly_bars(spark, sf), 5, 20.0, 30.0))
 
 
-@register("rs5_quarter_end", f"""WITH {RATES}, q AS (SELECT currency, date_trunc('quarter', ts)::TIMESTAMP AS quarter, arg_max(rate, ts) AS rate FROM rates WHERE quarter(ts) <> 3 GROUP BY ALL),
+@register("rs5_quarter_end", f"""WITH {RATES}, q AS (SELECT currency, date_trunc('quarter', ts)::TIMESTAMP AS quarter, arg_max(rate, ts) AS rate FROM rates GROUP BY ALL),
   g AS (SELECT currency, unnest(generate_series(min(quarter), max(quarter), INTERVAL 3 MONTH)) AS quarter FROM q GROUP BY currency)
   SELECT currency, quarter, round(last_value(rate IGNORE NULLS) OVER (PARTITION BY currency ORDER BY quarter), 6) AS rate FROM g LEFT JOIN q USING (currency, quarter)""")
 def _(spark, sf):
     rates = tables.rates(spark, sf).select("currency", F.col("date").alias("ts"), F.col("rate_pct").alias("rate"))
-    return rounded(resample.quarter_end(rates.where(F.quarter("ts") != 3)))
+    return rounded(resample.quarter_end(rates))
 
 
 @register("led6_set_operations", f"""WITH {HOURLY}, a AS (SELECT ts FROM bars WHERE pair = 'click'), b AS (SELECT ts FROM bars WHERE pair = 'view')
@@ -166,7 +167,7 @@ def _(spark, sf):
     return signals.ema_cross(tables.daily_bars(spark, sf), 10, 40).select("pair", "ts", "signal")
 
 
-@register("sig4_macd_cross")
+@register("sig4_macd_cross", f"SELECT pair, ts, coalesce(sign(round(macd_hist, 6)), 0)::DOUBLE AS signal FROM (SELECT b.pair, b.ts, m.macd_hist FROM (WITH {HOURLY} SELECT pair, ts FROM bars) b LEFT JOIN ({MACD}) m USING (pair, ts))")
 def _(spark, sf):
     return signals.macd_cross(tables.hourly_bars(spark, sf)).select("pair", "ts", "signal")
 
@@ -189,11 +190,13 @@ VOL = f"({full('stddev_samp', 'r', 20)}) * sqrt(252)"
 _indicator("sig9_vol_target", f"round(CASE WHEN ({VOL}) > 0 THEN greatest(0, least(2, 4 / ({VOL}))) / 2 ELSE 0 END, 6)::DOUBLE AS signal", lambda b: signals.vol_target(b, 4.0), ["signal"], RET, DAILY, "t")
 _indicator("sig10_overnight_fade", f"CAST(CASE WHEN coalesce((epoch(lead(ts) OVER {BY}) - epoch(ts)) / 3600 <= 1, false) AND abs(r) > ({SIGMA}) * 1.0 THEN -sign(r) ELSE 0 END AS DOUBLE) AS signal", lambda b: signals.overnight_fade(b, k=1.0, n=10).withColumn("signal", F.col("signal") + 0.0), ["signal"], RET, table="t")
 
-PAST20 = "(PARTITION BY pair ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
-FAMILIES = f"""m AS (SELECT *, close / lag(close) OVER {BY} - 1 AS move, first_value(open) OVER (PARTITION BY pair, CAST(ts AS DATE) ORDER BY ts) AS o1, close / lag(close, 3) OVER {BY} - 1 AS m3,
-  close / lag(close, 4) OVER {BY} - 1 AS m4, max(high) OVER {PAST20} AS hi, min(low) OVER {PAST20} AS lo, avg(spread_median_pips) OVER {PAST20} AS usual FROM bars),
-  fam AS (SELECT pair, ts, close, spread_median_pips, unnest(['reversal', 'session', 'three_bars', 'breakout', 'drift', 'tight_reversal']) AS family, unnest([-coalesce(sign(move), 0), sign(close - o1), coalesce(sign(m3), 0),
-  CASE WHEN close > hi THEN 1 WHEN close < lo THEN -1 ELSE 0 END, coalesce(sign(m4), 0), CASE WHEN spread_median_pips <= usual THEN -coalesce(sign(move), 0) ELSE 0 END])::DOUBLE + 0.0 AS signal FROM m)"""
+PAST24 = "(PARTITION BY pair ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"
+FAMILIES = f"""md AS (SELECT pair AS p, quantile_cont(spread_median_pips, 0.5) AS middle FROM bars GROUP BY pair), m0 AS (SELECT *, sign(close - open) AS move, ln(close / lag(close) OVER {BY}) AS lr,
+  CASE WHEN hour(ts) = 8 THEN coalesce(sign(open - lag(close) OVER {BY}), 0) ELSE 0 END AS gap FROM bars JOIN md ON p = pair),
+  m AS (SELECT *, coalesce(-last_value(nullif(move, 0) IGNORE NULLS) OVER {BY}, 0) AS against, coalesce(sign(round({full('avg', 'lr', 3)}, 12)), 0) AS three,
+  CASE WHEN count(close) OVER {PAST24} = 24 THEN max(high - low) OVER {PAST24} END AS widest, greatest(-1, least(1, sum(gap) OVER {frame(4)})) AS drift FROM m0),
+  fam AS (SELECT pair, ts, close, spread_median_pips, unnest({signals.FAMILIES}) AS family, unnest([against, CASE WHEN hour(ts) = 7 THEN move ELSE 0 END, three,
+  CASE WHEN high - low > widest * 0.5 THEN move ELSE 0 END, drift, CASE WHEN spread_median_pips >= middle THEN 0 ELSE against END])::DOUBLE + 0.0 AS signal FROM m)"""
 
 
 @register("sig12_intraday_families", f"WITH {HOURLY}, {FAMILIES} SELECT pair, ts, family, signal FROM fam")
@@ -204,13 +207,31 @@ def _(spark, sf):
 FW = "(PARTITION BY pair, family ORDER BY ts)"
 
 
-@register("met22_family_screen", f"""WITH {HOURLY}, {FAMILIES}, p AS (SELECT *, coalesce(lag(signal) OVER {FW}, 0) AS position FROM fam), q AS (SELECT *, abs(position - coalesce(lag(position) OVER {FW}, 0)) AS turn,
-  coalesce(position * ln(close / lag(close) OVER {FW}), 0) AS gross FROM p), n AS (SELECT *, gross - turn * (spread_median_pips + 0.8) * 0.0001 / close AS ret FROM q)
-  SELECT pair, family, round(CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(6150) ELSE 0 END, 6) AS sharpe, sum(turn) AS turnover FROM n GROUP BY pair, family""")
+SCREEN = f"""p AS (SELECT *, coalesce(lag(signal) OVER {FW}, 0) AS position FROM fam), q AS (SELECT *, coalesce(abs(position - lag(position) OVER {FW}), 0) AS turn,
+  CASE WHEN spread_median_pips > 0 THEN coalesce(position * ln(close / lag(close) OVER {FW}), 0) / 0.0001 ELSE 0 END AS gross, CASE WHEN spread_median_pips > 0 THEN spread_median_pips ELSE 0 END AS spread FROM p),
+  n AS (SELECT *, gross - turn * (spread + 0.8) AS net FROM q)"""
+NET_SHARPE = "CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(6150) END"
+
+
+@register("met22_family_screen", f"""WITH {HOURLY}, {FAMILIES}, {SCREEN}, s AS (SELECT pair, family, round(CASE WHEN stddev_samp(gross) > 0 THEN avg(gross) / stddev_samp(gross) * sqrt(6150) END, 6) AS gross_sharpe,
+  round({NET_SHARPE}, 6) AS net_sharpe, sum(turn) AS turnover FROM n GROUP BY pair, family) SELECT *, CASE WHEN net_sharpe >= 1.76 THEN 'PASS' WHEN net_sharpe >= 1.44 THEN 'STRETCH' ELSE 'FAIL' END AS verdict FROM s""")
 def _(spark, sf):
     return rounded(metrics.family_screen(signals.intraday_families(tables.hourly_bars(spark, sf))))
 
 
+def _shared_sharpe(name: str, where: str) -> str:
+    return f"""{name} AS (SELECT family, round(CASE WHEN stddev_samp(m) > 0 THEN avg(m) / stddev_samp(m) * sqrt(6150) END, 6) AS {name} FROM (SELECT family, ts, avg(net) AS m FROM n {where} GROUP BY family, ts
+  HAVING count(*) = (SELECT count(DISTINCT pair) FROM n {where})) GROUP BY family)"""
+
+
+@register("met22_family_summary", f"""WITH {HOURLY}, {FAMILIES}, {SCREEN}, c AS (SELECT pair, family, round({NET_SHARPE}, 9) AS x FROM n GROUP BY pair, family),
+  {_shared_sharpe('portfolio', '')}, {_shared_sharpe('portfolio_subset', "WHERE pair IN ('click', 'view')")}
+  SELECT family, {r('min(x)', 'least')}, {r('quantile_cont(x, 0.5)', 'middle')}, {r('max(x)', 'most')}, count_if(x > 0)::BIGINT AS positive, any_value(portfolio) AS portfolio, any_value(portfolio_subset) AS portfolio_subset
+  FROM c LEFT JOIN portfolio USING (family) LEFT JOIN portfolio_subset USING (family) GROUP BY family""")
+def _(spark, sf):
+    return rounded(metrics.family_summary(signals.intraday_families(tables.hourly_bars(spark, sf)), ["click", "view"]))
+
+
 @register("sig14_blend", f"WITH {DAILY}, t AS (SELECT pair, ts, {SMA_SIGNAL} AS x, {MOM_SIGNAL} AS y FROM bars) SELECT pair, ts, round(greatest(-1, least(1, (0.7 * x + 0.3 * y) / 1.0)), 6)::DOUBLE AS signal FROM t")
 def _(spark, sf):
     bars = tables.daily_bars(spark, sf)
@@ -253,9 +274,9 @@ def _(spark, sf):
     return rounded(_trades(spark, sf).select("pair", "entry_time", costs.holding_cost(F.col("direction"), days, -0.4, 0.1).alias("cost")))
 
 
-@register("cst5_hour_curve_cost", f"WITH {HOURLY}, c AS (SELECT pair AS p, hour(ts) AS h, quantile_cont(spread_pips, 0.5) AS s FROM ticks WHERE isodow(ts) < 6 AND hour(ts) < 20 GROUP BY ALL) SELECT pair, ts, round(coalesce(s, 2.5), 6) AS curve_spread FROM bars LEFT JOIN c ON p = pair AND h = hour(ts)")
+@register("cst5_hour_curve_cost", f"WITH {HOURLY}, c AS (SELECT pair AS p, hour(ts) AS h, quantile_cont(spread_pips, 0.5) AS s FROM ticks WHERE isodow(ts) < 6 GROUP BY ALL) SELECT pair, ts, round(coalesce(s, 2.5), 6) AS curve_spread FROM bars LEFT JOIN c ON p = pair AND h = hour(ts)")
 def _(spark, sf):
-    curve = resample.hour_curve(tables.ticks(spark, sf)).where("hour < 20")
+    curve = resample.hour_curve(tables.ticks(spark, sf))
     return rounded(costs.hour_curve_cost(tables.hourly_bars(spark, sf), curve, 2.5).select("pair", "ts", "curve_spread"))
 
 
@@ -457,10 +478,10 @@ def _(spark, sf):
     return rounded(metrics.cross_pair(cells)).withColumn("mean_sharpe", F.round("mean_sharpe", 5))
 
 
-@register("met15_execution_report", f"SELECT l_returnflag AS pair, count(*) AS fills, {r('''avg((l_linestatus = 'F')::INT)''', 'success')}, {r('avg(l_discount)', 'avg_slippage')} FROM lineitem GROUP BY ROLLUP (l_returnflag)")
+@register("met15_execution_report", f"SELECT l_returnflag AS pair, count(*) AS fills, {r("""avg((l_linestatus = 'F')::INT)""", 'success', 8)}, {r('avg(l_discount)', 'avg_slippage', 8)}, {r('avg(l_tax)', 'avg_spread', 8)} FROM lineitem GROUP BY ROLLUP (l_returnflag)")
 def _(spark, sf):
-    fills = tables.read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("pair"), (F.col("l_linestatus") == "F").alias("success"), F.col("l_discount").alias("slippage_pips"))
-    return rounded(metrics.execution_report(fills))
+    fills = tables.read(spark, sf, "lineitem").select(F.col("l_returnflag").alias("pair"), (F.col("l_linestatus") == "F").alias("success"), F.col("l_discount").alias("slippage_pips"), F.col("l_tax").alias("spread_at_fill"))
+    return rounded(metrics.execution_report(fills), 8)
 
 
 @register("met16_go_no_go", f"WITH {DAILY}, {POS}, {TRADES}, sh AS (SELECT pair, {SHARPE} AS sharpe FROM net GROUP BY pair), t AS (SELECT pair, count(*) AS trades FROM trades GROUP BY pair), e AS (SELECT *, sharpe > 0.1 AND trades >= 5 AS edge FROM sh JOIN t USING (pair)) SELECT pair, sharpe, trades, edge, bool_or(edge) OVER () AS go FROM e")
@@ -495,10 +516,16 @@ def _(spark, sf):
 
 # ---- ledger --------------------------------------------------------------------------------------------------------------------
 
-@register("led3_deflation_denominator", f"""WITH {LEDGER}, l AS (SELECT trial_id, arg_max(status, seq) AS status, arg_max(strategy, seq) AS strategy, arg_max(month(ts), seq) AS config, max(seq) AS seq, bool_or(status = 'P') AS never FROM ledger GROUP BY trial_id)
-  SELECT trial_id, status, strategy, config::INT AS config, seq FROM l WHERE NOT never AND status IN ('F', 'O') QUALIFY row_number() OVER (PARTITION BY config, strategy ORDER BY seq) = 1""")
+CLASSIFIED = "cl AS (SELECT DISTINCT o_custkey AS trial_id, o_custkey % 2 = 0 AS counted FROM orders WHERE o_custkey < 40)"
+
+
+@register("led3_deflation_denominator", f"""WITH {LEDGER}, {CLASSIFIED}, l AS (SELECT trial_id, arg_max(status, seq) AS status, arg_max(config_hash, seq) AS config_hash, arg_max({{'s': sharpe}}, seq).s AS sharpe, min(seq) AS first, bool_or(status = 'P' OR NOT counts) AS gone FROM ledger GROUP BY trial_id),
+  m AS (SELECT l.*, counted AS legacy FROM l LEFT JOIN cl USING (trial_id)), d AS (SELECT *, CASE WHEN legacy THEN 0 ELSE 1 END AS late FROM m WHERE (legacy AND sharpe IS NOT NULL) OR (legacy IS NULL AND NOT gone AND NOT (sharpe IS NULL AND status = 'O'))),
+  k AS (SELECT trial_id, late, sharpe IS NULL OR row_number() OVER (PARTITION BY config_hash, sharpe ORDER BY late, first, trial_id) = 1 AS kept FROM d)
+  SELECT trial_id, 'legacy' AS how FROM cl WHERE counted UNION ALL SELECT trial_id, 'new' FROM k WHERE late = 1 AND kept""")
 def _(spark, sf):
-    return ledger.deflation_denominator(_ledger(spark, sf).withColumn("config", F.month("ts")), ["F", "O"], "P")
+    classified = tables.read(spark, sf, "orders").where("o_custkey < 40").select(F.col("o_custkey").alias("trial_id"), (F.col("o_custkey") % 2 == 0).alias("counted")).distinct()
+    return ledger.deflation_denominator(_ledger(spark, sf), classified, "P", "O")
 
 
 @register("led5_params_hash", """SELECT o_orderpriority AS strategy, count(DISTINCT substr(sha256('{"a":"' || o_orderstatus || '","k":' || (o_custkey % 50) || '}'), 1, 12)) AS trials, min(substr(sha256('{"a":"' || o_orderstatus || '","k":' || (o_custkey % 50) || '}'), 1, 12)) AS first_hash FROM orders GROUP BY 1""")
@@ -548,12 +575,12 @@ def _(spark, sf):
 
 
 @register("str4_drawdown_ladder", f"""WITH {DAILY}, t AS (SELECT pair, ts, close, hash5, max(CASE WHEN hash5 <> 0 THEN close END) OVER {BY} AS peak FROM (SELECT *, CAST(day(ts) % 5 AS INT) AS hash5 FROM bars)),
-  d AS (SELECT *, coalesce(greatest(0, 1 - close / peak), 0) AS dd FROM t) SELECT pair, ts, {r('dd', 'drawdown')}, (dd >= 0.1)::INT + (dd >= 0.15)::INT + (dd >= 0.2)::INT AS level FROM d""")
+  d AS (SELECT *, coalesce(greatest(0, 1 - close / peak), 0) AS dd FROM t) SELECT pair, ts, {r('dd', 'drawdown')}, (dd >= 0.1)::INT + (dd >= 0.15)::INT + (dd >= 0.2)::INT AS level, CASE WHEN dd >= 0.2 THEN 0 WHEN dd >= 0.15 THEN 0.5 ELSE 1 END::DOUBLE AS size FROM d""")
 def _(spark, sf):
     from tidemark.streaming import jobs
 
     rows = tables.daily_bars(spark, sf).select("pair", "ts", F.col("close").alias("equity"), (F.dayofmonth("ts") % 5 == 0).alias("is_mock"))
-    return rounded(jobs.ladder(rows).select("pair", "ts", "drawdown", "level"))
+    return rounded(jobs.ladder(rows).select("pair", "ts", "drawdown", "level", "size"))
 
 
 @register("str8_swap_accrual", f"WITH {DAILY} SELECT pair, ts, round(coalesce((epoch(ts) - epoch(lag(ts) OVER {BY})) / 86400 * 0.25 * lag(volume) OVER {BY}, 0), 6) AS accrued FROM bars")
@@ -564,38 +591,5 @@ def _(spark, sf):
     return rounded(jobs.swap_accrual(rows, 0.25).select("pair", "ts", "accrued"))
 
 
-# ---- whole tables --------------------------------------------------------------------------------------------------------------
-
-def whole(name: str, cut: str):
-    """Registers `name`_whole with the SQL of `name` less the filter that takes rows from it."""
-    sql = SQL[name]
-    assert sql.count(cut) == 1, name
-    return register(f"{name}_whole", sql.replace(cut, ""))
-
-
-@whole("rs4_hour_curve", " AND hour(ts) % 2 = 0")
-def _(spark, sf):
-    return rounded(resample.hour_curve(tables.ticks(spark, sf)))
-
-
-@whole("dq8_missing_hours", " WHERE hour(ts) % 5 <> 0")
-def _(spark, sf):
-    return quality.missing_hours(tables.hourly_bars(spark, sf))
-
-
-@whole("cst5_hour_curve_cost", " AND hour(ts) < 20")
-def _(spark, sf):
-    curve = resample.hour_curve(tables.ticks(spark, sf))
-    return rounded(costs.hour_curve_cost(tables.hourly_bars(spark, sf), curve, 2.5).select("pair", "ts", "curve_spread"))
-
-
-@whole("rs5_quarter_end", " WHERE quarter(ts) <> 3")
-def _(spark, sf):
-    rates = tables.rates(spark, sf).select("currency", F.col("date").alias("ts"), F.col("rate_pct").alias("rate"))
-    return rounded(resample.quarter_end(rates))
-
-
-@whole("jn8_widest_bar", " WHERE event_id % 5 = 0")
-def _(spark, sf):
-    days = tables.ticks(spark, sf).select("pair", F.date_trunc("day", "ts").alias("day")).distinct()
-    return rounded(events.widest_bar(tables.hourly_bars(spark, sf), days))
+for _name in ("rs4_hour_curve", "dq8_missing_hours", "cst5_hour_curve_cost", "rs5_quarter_end", "jn8_widest_bar"):  # second names of queries over whole tables
+    QUERIES[f"{_name}_whole"], SQL[f"{_name}_whole"] = QUERIES[_name], SQL[_name]

@@ -28,8 +28,9 @@ def run_to_end(stream: DataFrame, folder: str) -> None:
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def ladder(rows: DataFrame, levels: tuple[float, ...] = (0.10, 0.15, 0.20), sizes: tuple[float, ...] = (1.0, 0.5, 0.25, 0.0)) -> DataFrame:
-    """Rows (pair, ts, equity, is_mock) with peak, drawdown, level and size. Mock rows never raise the peak. The batch twin of the live ladder."""
+def ladder(rows: DataFrame, levels: tuple[float, ...] = (0.10, 0.15, 0.20), sizes: tuple[float, ...] = (1.0, 1.0, 0.5, 0.0)) -> DataFrame:
+    """Rows (pair, ts, equity, is_mock) with peak, drawdown, level and size: at the first level no new positions are opened, at the second
+    they are halved, at the third flat. Mock rows never raise the peak. The batch twin of the live ladder."""
     from tidemark.operators.indicators import by_ts
     from tidemark.operators.signals import clip
 
