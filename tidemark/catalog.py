@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import market, research  # noqa: F401  research adds its queries to the same registry
+from tidemark.plans import decisions, market, research  # noqa: F401  all add their queries to the registry of market
 
 flagship = market.flagship
 

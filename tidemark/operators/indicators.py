@@ -105,11 +105,12 @@ def bars_per_year(bars: DataFrame) -> DataFrame:
     return hours.withColumn("periods_per_year", snapped)
 
 
-def relative_to_season(bars: DataFrame, x: str, out: str, floor: float = 1.0) -> DataFrame:
-    """x over the median of its weekday-hour bucket in the series, the median at least `floor`."""
+def relative_to_season(bars: DataFrame, x: str, out: str, floor: float = 1.0, usual: str | None = None) -> DataFrame:
+    """x over the median of its weekday-hour bucket in the series, the median at least `floor`; usual: a name under which that is kept."""
     keyed = bars.withColumn("bucket", F.weekday("ts") * 24 + F.hour("ts"))
     norm = keyed.groupBy("pair", "bucket").agg(F.percentile(x, 0.5).alias("norm"))
-    return keyed.join(norm, ["pair", "bucket"]).withColumn(out, F.col(x) / F.greatest("norm", F.lit(floor))).drop("bucket", "norm")
+    rows = keyed.join(norm, ["pair", "bucket"]).withColumn("norm", F.greatest("norm", F.lit(floor))).withColumn(out, F.col(x) / F.col("norm"))
+    return (rows.withColumnRenamed("norm", usual) if usual else rows.drop("norm")).drop("bucket")
 
 
 def session_open(bars: DataFrame) -> DataFrame:

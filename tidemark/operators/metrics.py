@@ -93,13 +93,13 @@ def newey_west(rows: DataFrame, x: str, lags: int) -> DataFrame:
     return g.select("pair", "n", "mean", F.sqrt(F.greatest(total / F.col("n"), F.lit(1e-12)) / F.col("n")).alias("se"))
 
 
-def window_placement(rows: DataFrame, n: int) -> DataFrame:
-    """(pair, windows, last_sharpe, percentile): Sharpe of the last n rows among all windows of n."""
+def window_placement(rows: DataFrame, n: int, bars_per_year: float = 252.0) -> DataFrame:
+    """(pair, windows, last_sharpe, percentile, median_sharpe): Sharpe of the last n rows among all windows of n; the median is annual."""
     w = last_n(n)
     s = F.when(F.count("ret").over(w) == n, F.avg("ret").over(w) / F.nullif(F.stddev_samp("ret").over(w), F.lit(0.0)))
     rows = rows.withColumn("s", F.round(s, 12)).where("s is not null")
     rows = rows.join(rows.groupBy("pair").agg(F.max_by("s", "ts").alias("last_sharpe")), "pair")
-    return rows.groupBy("pair", "last_sharpe").agg(F.count("*").alias("windows"), F.avg((F.col("s") <= F.col("last_sharpe")).cast("double")).alias("percentile"))
+    return rows.groupBy("pair", "last_sharpe").agg(F.count("*").alias("windows"), F.avg((F.col("s") <= F.col("last_sharpe")).cast("double")).alias("percentile"), (F.percentile("s", 0.5) * bars_per_year**0.5).alias("median_sharpe"))
 
 
 def drawdown_catalogue(rows: DataFrame, least: float = 0.05) -> DataFrame:
@@ -211,3 +211,24 @@ def family_summary(rows: DataFrame, subset: list[str], bars_per_year: float = 61
         s = F.when(F.stddev_samp("m") > 0, F.avg("m") / F.stddev_samp("m") * bars_per_year**0.5)
         over = over.join(mean.groupBy("family").agg(s.alias(name)), "family", "left")
     return over
+
+
+def volatility_control(trades: DataFrame, y: str = "gross", x1: str = "relvol", x2: str = "relrng", least: int = 10) -> DataFrame:
+    """(pair, n, b1, t1, b2, t2, r2, passes) of the regression of y on the ranks of x1 and x2 (ties take their mean rank) by series; null below
+    `least` rows. passes: t1 is 2 or more. The coefficients come from centred sums, so no row leaves its aggregation."""
+    def rank(c: str):
+        w = W.partitionBy("pair")
+        return F.rank().over(w.orderBy(c)) + (F.count("*").over(w.partitionBy("pair", c)) - 1) / 2
+
+    r = trades.withColumns({"a": rank(x1), "b": rank(x2), "y": F.col(y)})
+    s = r.groupBy("pair").agg(
+        F.count("*").alias("n"), *[(F.covar_pop(p, q) * F.count("*")).alias(f"{p}{q}") for p, q in (("a", "a"), ("b", "b"), ("a", "b"), ("a", "y"), ("b", "y"), ("y", "y"))]
+    )
+    det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
+    s = s.withColumn("det", F.when((det > 1e-9) & (F.col("n") >= least), det))
+    s = s.withColumns({"b1": (F.col("bb") * F.col("ay") - F.col("ab") * F.col("by")) / F.col("det"), "b2": (F.col("aa") * F.col("by") - F.col("ab") * F.col("ay")) / F.col("det")})
+    s = s.withColumn("rest", F.col("yy") - F.col("b1") * F.col("ay") - F.col("b2") * F.col("by"))
+    var = F.col("rest") / F.greatest(F.col("n") - 3, F.lit(1))
+    t1, t2 = (F.try_divide(F.col(b), F.sqrt(var * F.col(d) / F.col("det"))) for b, d in (("b1", "bb"), ("b2", "aa")))
+    s = s.withColumns({"t1": t1, "t2": t2, "r2": 1 - F.try_divide("rest", "yy")})
+    return s.select("pair", "n", "b1", "t1", "b2", "t2", "r2", F.coalesce(F.round("t1", 9) >= 2, F.lit(False)).alias("passes"))

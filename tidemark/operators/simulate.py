@@ -68,3 +68,74 @@ def trades(rows: DataFrame, spread: str = "spread_median_pips", pip: float = 0.0
 def buy_and_hold(bars: DataFrame, capital: float = 10_000.0) -> DataFrame:
     first = F.first("close").over(by_ts())
     return bars.withColumn("equity", F.lit(capital) / first * F.col("close"))
+
+
+def priced_trades(
+    rows: DataFrame, spread: str = "spread_median_pips", pip: float = 0.0001, slippage: float = 0.3, commission: float = 0.0, swap_long: float = 0.0, swap_short: float = 0.0,
+    risk: float = 0.01, mult: float = 2.0, cap: float = 0.1, capital: float = 10_000.0,
+) -> DataFrame:
+    """One trade for each run of one position sign in rows (pair, ts, close, signal, atr, spread): (pair, direction, entry_time, exit_time,
+    entry_price, exit_price, size, entry_equity, pnl_pips, cost_pips, pnl_dollars, cost_dollars).
+
+    pnl_pips: signed pips less half the spread, slippage and commission at the exit and the swap of whole days held. A trade's size is the
+    equity at its entry times a share fixed by ATR and price, so equity is a running product of one factor a trade; the entry cost is
+    taken from equity before. No ATR: no size.
+    """
+    rows = rows.where("close is not null").withColumn("side", F.signum(position()))
+    rows = rows.withColumn("turn", F.coalesce(F.col("side") != F.lag("side").over(by_ts()), F.lit(True)).cast("int"))
+    rows = rows.withColumns({"run": F.sum("turn").over(by_ts()), "n": F.row_number().over(by_ts()), "s": F.when(F.col(spread) > 0, F.col(spread)).otherwise(0.0)})
+    at = F.struct(F.col("ts").alias("time"), F.col("close").alias("price"), "s", "atr")
+    runs = rows.groupBy("pair", "run", "side").agg(F.min_by(at, "ts").alias("a"), F.max_by(at, "ts").alias("z"), F.min("n").alias("from_n"))
+    runs = runs.withColumn("e", F.coalesce(F.lead("a").over(W.partitionBy("pair").orderBy("run")), F.col("z"))).where("side <> 0 and from_n > 1")
+    share = F.when(F.col("a.atr") > 0, F.least(F.lit(risk) / (F.col("a.atr") * mult), F.lit(cap) / F.col("a.price"))).otherwise(0.0)
+    swap = -F.when(F.col("side") > 0, swap_long).otherwise(swap_short) * F.floor((F.unix_timestamp("e.time") - F.unix_timestamp("a.time")) / 86400)
+    cost = F.col("e.s") / 2 + slippage + commission + swap
+    runs = runs.withColumns({"share": share, "cost_pips": cost, "entry_pips": F.col("a.s") / 2 + slippage})
+    runs = runs.withColumn("pnl_pips", F.col("side") * (F.col("e.price") - F.col("a.price")) / pip - F.col("cost_pips"))
+    # what one trade makes of the equity: its entry cost first, then its pnl
+    w = W.partitionBy("pair").orderBy("run")
+    runs = runs.withColumn("factor", 1 + (F.col("pnl_pips") - F.col("entry_pips")) * pip * F.col("share"))
+    runs = runs.withColumn("entry_equity", F.lit(capital) * F.coalesce(F.product("factor").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(1.0)))
+    size = F.col("entry_equity") * F.col("share")
+    return runs.select(
+        "pair", F.col("side").cast("int").alias("direction"), F.col("a.time").alias("entry_time"), F.col("e.time").alias("exit_time"), F.col("a.price").alias("entry_price"), F.col("e.price").alias("exit_price"),
+        size.alias("size"), "entry_equity", "entry_pips", "pnl_pips", "cost_pips", (F.col("pnl_pips") * pip * size).alias("pnl_dollars"), (F.col("cost_pips") * pip * size).alias("cost_dollars"),
+    )
+
+
+def discrete_equity(bars: DataFrame, trades: DataFrame, pip: float = 0.0001, capital: float = 10_000.0) -> DataFrame:
+    """(pair, ts, equity) of each bar of a series: the equity after the trades that are closed, less the entry cost and with the open move of
+    the one that is open. trades: priced_trades(). The last bar of a trade that the end of the series closes shows it closed."""
+    from tidemark.operators.joins import asof
+
+    state = F.struct("direction", "entry_price", "size", "entry_equity", "entry_pips", "pnl_pips", "exit_time")
+    rows = asof(bars.select("pair", "ts", "close"), trades.select("pair", F.col("entry_time").alias("ts"), state.alias("t")), "t")
+    paid = F.col("t.entry_equity") - F.col("t.entry_pips") * pip * F.col("t.size")
+    closed = paid + F.col("t.pnl_pips") * pip * F.col("t.size")
+    running = paid + (F.col("close") - F.col("t.entry_price")) * F.col("t.direction") * F.col("t.size")
+    return rows.select("pair", "ts", F.when(F.col("t").isNull(), capital).when(F.col("ts") >= F.col("t.exit_time"), closed).otherwise(running).alias("equity"))
+
+
+def reversion_trades(
+    rows: DataFrame, hold: int = 3, least_volume: float = 1.5, tight: float = 0.4, extension: float = 0.75, pip: float = 0.0001, overhead: float = 0.8
+) -> DataFrame:
+    """(pair, ts, entry_ts, exit_ts, direction, relvol, relrng, gross, cost, net) of bars (.., relvol, relrng, session_open, usual_range) with
+    high relative volume, a spread at or below its `tight` quantile and a close `extension` usual ranges away from the session's open.
+
+    Against the move: entered at the next open, left at the first of the `hold` bars after it that touches the session's open, at that
+    price or a worse close, else at the last of them. Entry and exit bars need a usable spread.
+    """
+    q = rows.groupBy("pair").agg(F.percentile("spread_median_pips", tight).alias("tight"))
+    bar = F.struct("ts", "open", "high", "low", "close", "spread_median_pips")
+    r = rows.withColumns({"e": F.lead(bar, 1).over(by_ts()), "n": F.row_number().over(by_ts()), "size": F.count("*").over(W.partitionBy("pair"))})
+    r = r.withColumn("after", F.collect_list(bar).over(by_ts().rowsBetween(2, hold + 1)))
+    r = r.join(q, "pair").where("spread_median_pips > 0 and spread_median_pips <= tight").where(F.col("relvol") >= least_volume)
+    move = F.col("close") - F.col("session_open")
+    r = r.where((F.abs(move) >= F.col("usual_range") * extension) & (F.col("n") <= F.col("size") - hold - 1))
+    r = r.withColumn("direction", F.when(move > 0, -1.0).otherwise(1.0))
+    touched = lambda b: F.when(F.col("direction") > 0, b["high"] >= F.col("session_open")).otherwise(b["low"] <= F.col("session_open"))
+    r = r.withColumn("x", F.coalesce(F.get(F.filter("after", touched), F.lit(0)), F.get("after", F.lit(hold - 1)))).withColumn("hit", F.exists("after", touched))
+    worse = F.when(F.col("direction") > 0, F.least("session_open", "x.close")).otherwise(F.greatest("session_open", "x.close"))
+    r = r.withColumn("price", F.when(F.col("hit"), worse).otherwise(F.col("x.close"))).where("e.spread_median_pips > 0 and x.spread_median_pips > 0")
+    r = r.withColumns({"gross": F.col("direction") * (F.col("price") - F.col("e.open")) / pip, "cost": F.col("e.spread_median_pips") + F.col("x.spread_median_pips") + overhead})
+    return r.select("pair", "ts", F.col("e.ts").alias("entry_ts"), F.col("x.ts").alias("exit_ts"), "direction", "relvol", "relrng", "gross", "cost", (F.col("gross") - F.col("cost")).alias("net"))

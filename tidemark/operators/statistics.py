@@ -41,9 +41,9 @@ def best_cell(cells: DataFrame, key: list[str], score: str, name: str) -> DataFr
 
 
 def null_rank(candidate: DataFrame, nulls: DataFrame) -> DataFrame:
-    """(pair, sharpe, draws, rank): share of null Sharpes below the candidate's."""
+    """(pair, sharpe, draws, rank, null_mean, null_std): share of null Sharpes below the candidate's, and their moments."""
     rows = nulls.withColumnRenamed("sharpe", "null_sharpe").join(candidate, "pair")
-    return rows.groupBy("pair", "sharpe").agg(F.count("*").alias("draws"), F.avg((F.col("null_sharpe") < F.col("sharpe")).cast("double")).alias("rank"))
+    return rows.groupBy("pair", "sharpe").agg(F.count("*").alias("draws"), F.avg((F.col("null_sharpe") < F.col("sharpe")).cast("double")).alias("rank"), F.avg("null_sharpe").alias("null_mean"), F.stddev_pop("null_sharpe").alias("null_std"))
 
 
 def stationary_bootstrap(rows: DataFrame, n: int, length: float, seed: int = 1) -> DataFrame:
@@ -152,9 +152,31 @@ def purged_folds(rows: DataFrame, groups: int, tests: int, purge: int, embargo:
     return num.groupBy("pair", "fold").agg(F.count_if("train").alias("n_train"), F.count_if("test").alias("n_test"), sharpe("x").alias("sharpe"))
 
 
+def against_benchmark(rows: DataFrame, bench: DataFrame, train: int, test: int, step: int) -> DataFrame:
+    """(pair, windows, wins, mean_delta): rolling windows of both return tables (pair, ts, ret); a win is a greater Sharpe in the window."""
+    own = walk_forward(rows, train, test, step).select("pair", "window", F.round("sharpe", 9).alias("x"))
+    both = own.join(walk_forward(bench, train, test, step).select("pair", "window", F.round("sharpe", 9).alias("y")), ["pair", "window"])
+    return both.groupBy("pair").agg(F.count("*").alias("windows"), F.avg((F.col("x") > F.col("y")).cast("double")).alias("wins"), F.avg(F.col("x") - F.col("y")).alias("mean_delta"))
+
+
 def triggers(metrics: DataFrame, rules: DataFrame) -> DataFrame:
-    """(label, metric, value, fired) of every rule for each metrics row in long form; a rule whose metric is missing is null."""
+    """(label, metric, value, fired, named) of every rule (label, metric, operator, threshold[, priority]) for a metrics table in long form.
+    named: the fired rule of the least priority (of equals the first label). A rule whose metric is missing fires nothing here; see
+    evaluate()."""
+    if "priority" not in rules.columns:
+        rules = rules.withColumn("priority", F.lit(0))
     r = rules.join(metrics, "metric", "left")
     fired = F.when(F.col("operator") == ">", F.col("value") > F.col("threshold")).when(F.col("operator") == ">=", F.col("value") >= F.col("threshold"))
     fired = fired.when(F.col("operator") == "<", F.col("value") < F.col("threshold")).when(F.col("operator") == "<=", F.col("value") <= F.col("threshold"))
-    return r.select("label", "metric", "value", fired.alias("fired"))
+    r = r.withColumn("fired", fired)
+    first = r.where("fired").agg(F.min(F.struct("priority", "label")).alias("f")).select("f.label")  # one row
+    named = r.join(F.broadcast(first.select(F.col("label").alias("n"))), F.col("label") == F.col("n"), "left")
+    return named.select("label", "metric", "value", "fired", F.col("n").isNotNull().alias("named"))
+
+
+def evaluate(metrics: DataFrame, rules: DataFrame) -> DataFrame:
+    """triggers(), and an error for rules whose metric is missing."""
+    lacking = [r["metric"] for r in rules.join(metrics.where("value is not null"), "metric", "left_anti").select("metric").distinct().limit(5).collect()]
+    if lacking:
+        raise ValueError(f"metrics that rules ask for are missing: {lacking}")
+    return triggers(metrics, rules)

@@ -506,7 +506,7 @@ def _(spark, sf):
 
 @register("st5_window_placement", f"""WITH {DAILY}, {POS}, w AS (SELECT pair, ts, round(CASE WHEN count(ret) OVER {frame(250)} = 250 THEN avg(ret) OVER {frame(250)} / nullif(stddev_samp(ret) OVER {frame(250)}, 0) END, 12) AS s FROM net),
   k AS (SELECT *, last_value(s) OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_sharpe FROM w WHERE s IS NOT NULL)
-  SELECT pair, round(last_sharpe, 6) AS last_sharpe, count(*) AS windows, round(avg((s <= last_sharpe)::INT), 6) AS percentile FROM k GROUP BY pair, last_sharpe""")
+  SELECT pair, round(last_sharpe, 6) AS last_sharpe, count(*) AS windows, round(avg((s <= last_sharpe)::INT), 6) AS percentile, round(quantile_cont(s, 0.5) * sqrt(252), 6) AS median_sharpe FROM k GROUP BY pair, last_sharpe""")
 def _(spark, sf):
     return rounded(metrics.window_placement(_net(spark, sf), 250))
 

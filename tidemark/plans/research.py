@@ -336,7 +336,7 @@ def _null_rank(spark, sf, n=10):
     return rounded(stats.null_rank(candidate, nulls))
 
 
-@register("st11_null_rank", f"WITH {DAILY}, {POS}, c AS (SELECT pair, {SHARPE} AS sharpe FROM net GROUP BY pair), n AS (WITH {DRAWN} SELECT split_part(pair, '#', 1) AS pair, {SHARPE} AS ns FROM net GROUP BY net.pair) SELECT pair, sharpe, count(*) AS draws, round(avg((ns < sharpe)::INT), 6) AS rank FROM n JOIN c USING (pair) GROUP BY pair, sharpe")
+@register("st11_null_rank", f"WITH {DAILY}, {POS}, c AS (SELECT pair, {SHARPE} AS sharpe FROM net GROUP BY pair), n AS (WITH {DRAWN} SELECT split_part(pair, '#', 1) AS pair, {SHARPE} AS ns FROM net GROUP BY net.pair) SELECT pair, sharpe, count(*) AS draws, round(avg((ns < sharpe)::INT), 6) AS rank, round(avg(ns), 6) AS null_mean, round(stddev_pop(ns), 6) AS null_std FROM n JOIN c USING (pair) GROUP BY pair, sharpe")
 def _(spark, sf):
     return _null_rank(spark, sf)
 
@@ -346,7 +346,7 @@ def _(spark, sf):
     return rounded(_null_cells(spark, sf, NULLS))
 
 
-@register("st11_null_rank_full", f"WITH {DAILY}, {POS}, c AS (SELECT pair, {SHARPE} AS sharpe FROM net GROUP BY pair), n AS (WITH {_drawn(NULLS)} SELECT split_part(pair, '#', 1) AS pair, {SHARPE} AS ns FROM net GROUP BY net.pair) SELECT pair, sharpe, count(*) AS draws, round(avg((ns < sharpe)::INT), 6) AS rank FROM n JOIN c USING (pair) GROUP BY pair, sharpe")
+@register("st11_null_rank_full", f"WITH {DAILY}, {POS}, c AS (SELECT pair, {SHARPE} AS sharpe FROM net GROUP BY pair), n AS (WITH {_drawn(NULLS)} SELECT split_part(pair, '#', 1) AS pair, {SHARPE} AS ns FROM net GROUP BY net.pair) SELECT pair, sharpe, count(*) AS draws, round(avg((ns < sharpe)::INT), 6) AS rank, round(avg(ns), 6) AS null_mean, round(stddev_pop(ns), 6) AS null_std FROM n JOIN c USING (pair) GROUP BY pair, sharpe")
 def _(spark, sf):
     return _null_rank(spark, sf, NULLS)
 
@@ -428,15 +428,16 @@ def _(spark, sf):
     return rounded(events.summary(_trades(spark, sf), "pair", "pnl_pips"))
 
 
-RULES = [("too_few", "trades", "<", 30.0), ("hit", "win_rate", ">=", 0.5), ("loss", "avg_pips", "<=", 0.0)]
+RULES = [("too_few", "trades", "<", 30.0, 1), ("hit", "win_rate", ">=", 0.3, 3), ("loss", "avg_pips", "<=", 1e9, 2)]
 
 
 @register("st15_triggers", f"""WITH {DAILY}, {POS}, {TRADES}, m AS (SELECT 'trades' AS metric, count(*)::DOUBLE AS value FROM trades UNION ALL SELECT 'win_rate', avg((pnl_pips > 0)::INT) FROM trades UNION ALL SELECT 'avg_pips', avg(pnl_pips) FROM trades)
-  SELECT label, metric, round(value, 2) AS value, CASE op WHEN '<' THEN value < t WHEN '>=' THEN value >= t ELSE value <= t END AS fired FROM (VALUES {', '.join(map(str, RULES))}) x(label, metric, op, t) LEFT JOIN m USING (metric)""")
+  , f AS (SELECT label, metric, priority, round(value, 2) AS value, CASE op WHEN '<' THEN value < t WHEN '>=' THEN value >= t ELSE value <= t END AS fired FROM (VALUES {', '.join(map(str, RULES))}) x(label, metric, op, t, priority) LEFT JOIN m USING (metric))
+  SELECT label, metric, value, fired, fired AND priority = (SELECT min(priority) FROM f WHERE fired) AS named FROM f""")
 def _(spark, sf):
     wide = _trades(spark, sf).agg(F.count("*").cast("double").alias("trades"), F.avg((F.col("pnl_pips") > 0).cast("double")).alias("win_rate"), F.avg("pnl_pips").alias("avg_pips"))
-    rules = spark.createDataFrame(RULES, "label string, metric string, operator string, threshold double")
-    return rounded(stats.triggers(wide.unpivot([], ["trades", "win_rate", "avg_pips"], "metric", "value"), F.broadcast(rules)), 2)
+    rules = spark.createDataFrame(RULES, "label string, metric string, operator string, threshold double, priority int")
+    return rounded(stats.evaluate(wide.unpivot([], ["trades", "win_rate", "avg_pips"], "metric", "value"), F.broadcast(rules)), 2)
 
 
 # ---- portfolios and reports ----------------------------------------------------------------------------------------------------

@@ -66,3 +66,66 @@ def swap_accrual(positions: DataFrame, per_day: float) -> DataFrame:
 
     days = (F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(by_ts()))) / 86400
     return positions.withColumn("accrued", F.coalesce(days * per_day * F.lag("held").over(by_ts()), F.lit(0.0)))
+
+
+def aggregate_ladder(
+    snapshots: DataFrame, levels: tuple[float, ...] = (0.04, 0.08, 0.12, 0.15), sizes: tuple[float, ...] = (1.0, 1.0, 0.5, 0.0, 0.0), budget: float = 60.0
+) -> DataFrame:
+    """Rows (pair, seq, ts, received, equity, is_mock) of snapshots in order of arrival (seq), with accepted, reason, drawdown, level, size,
+    dispatch and flat. A snapshot older than one accepted before is out of order, one received more than `budget` seconds after its stamp
+    is stale; neither changes the peak, and both get no level. New positions stop at the third level; the fourth is flat."""
+    arrival = W.partitionBy("pair").orderBy("seq")
+    stale = (F.col("received").cast("double") - F.col("ts").cast("double")) > budget
+    before = F.max(F.when(~stale, F.col("ts"))).over(arrival.rowsBetween(W.unboundedPreceding, -1))
+    late = F.coalesce(F.col("ts") < before, F.lit(False))
+    rows = snapshots.withColumn("reason", F.when(stale, "stale").when(late, "out of order")).withColumn("accepted", F.col("reason").isNull())
+    peak = F.max(F.when(F.col("accepted") & ~F.col("is_mock"), F.col("equity"))).over(arrival)
+    drop = F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("equity") / peak), F.lit(0.0))
+    rows = rows.withColumn("drawdown", F.when(F.col("accepted"), drop))
+    level = sum(((F.col("drawdown") >= x).cast("int") for x in levels), F.lit(0))
+    rows = rows.withColumn("level", F.when(F.col("accepted"), level))
+    return rows.withColumns({"size": F.get(F.array(*map(F.lit, sizes)), F.col("level")), "dispatch": F.col("level") < 3, "flat": F.col("level") == 4})
+
+
+def signal_log(bars: DataFrame, n: int = 20) -> DataFrame:
+    """(pair, ts, close, momentum, signal, position) of every closed bar with n + 1 closed bars before it at least; the newest bar of a series
+    may still be forming and is left out. The batch twin of live_signals()."""
+    from tidemark.operators.indicators import by_ts
+
+    rows = bars.withColumns({"next": F.lead("ts").over(by_ts()), "momentum": F.col("close") / F.lag("close", n).over(by_ts()) - 1, "i": F.row_number().over(by_ts())})
+    return _logged(rows.where(F.col("next").isNotNull() & (F.col("i") >= n + 2)))
+
+
+def _logged(rows: DataFrame) -> DataFrame:
+    signal = F.when(F.col("momentum") > 0, 1.0).when(F.col("momentum") < 0, -1.0).otherwise(0.0)
+    rows = rows.withColumn("signal", signal)
+    return rows.select("pair", "ts", "close", "momentum", "signal", F.when(F.col("signal") > 0, "LONG").when(F.col("signal") < 0, "SHORT").otherwise("FLAT").alias("position"))
+
+
+def live_signals(bars: DataFrame, n: int = 20) -> DataFrame:
+    """One record for each bar of a stream (pair, ts, close) once a later bar of its series has come: the state holds the last n + 1 closed
+    bars and the forming one. Bars that are not newer than the forming one are repeats or late, and are dropped."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def run(key, batches, state):
+        import pandas as pd
+
+        seen, stamps, closes = state.get if state.exists else (0, [], [])
+        stamps, closes, out = list(stamps), list(closes), []
+        for row in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
+            at = int(row.ts.value // 1000)
+            if stamps and at <= stamps[-1]:
+                continue
+            if stamps:  # the bar before is closed now
+                seen += 1
+                if seen >= n + 2:
+                    out.append((key[0], pd.Timestamp(stamps[-1] * 1000), closes[-1], closes[-1] / closes[-1 - n] - 1))
+            stamps, closes = [*stamps[-n:], at], [*closes[-n:], float(row.close)]
+        state.update((seen, stamps, closes))
+        yield pd.DataFrame(out, columns=["pair", "ts", "close", "momentum"])
+
+    narrow = bars.select("pair", "ts", "close")
+    found = narrow.groupBy("pair").applyInPandasWithState(
+        run, "pair string, ts timestamp, close double, momentum double", "seen long, stamps array<long>, closes array<double>", "append", GroupStateTimeout.NoTimeout
+    )
+    return _logged(found)
