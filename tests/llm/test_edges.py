@@ -247,6 +247,40 @@ def test_decontamination_by_broadcast_and_by_shuffle(spark, limits):
     assert decontaminate.keep_clean(docs, bench.limit(0), **limits).count() == len(texts)
 
 
+def removed_of(bodies, length=200):
+    from collections import Counter
+
+    import numpy as np
+
+    seen, out = Counter(), []
+    for b in bodies:
+        seen.update(b[i : i + length] for i in range(len(b) - length + 1))
+    for b in bodies:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        out.append((len(b), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("crowd, hot", [(suffix_dedup.CROWD, suffix_dedup.HOT), (2, 5000), (2, 3), (40, 20)])
+def test_one_passage_in_many_texts(spark, monkeypatch, crowd, hot):
+    """A passage with different surroundings, which makes as many different stretches around its outer anchors as there are texts."""
+    import random
+
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, other = word(420), word(230)
+    texts = [word(rnd.randrange(300)) + passage[rnd.choice([0, 0, 30]) :] + word(rnd.randrange(300)) for _ in range(60)]
+    texts += [word(50) + other + word(40), word(9) + other, word(500), "", None, texts[0], "z" * 900, "y" * 199 + "z" * 210]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert sorted((r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == removed_of([(t or "").encode() for t in texts])
+
+
 def test_share_is_exact(spark):
     bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(13)))], "item_id long, text string")
     docs = spark.createDataFrame([(n, " ".join(f"w{i}" for i in range(13)) + " x" * n) for n in (27, 30, 31)], "doc_id long, text string")

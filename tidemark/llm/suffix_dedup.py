@@ -5,7 +5,9 @@ alone. So equal windows have equal anchors at the same place, and only stretches
 stretches, lined up at the anchor, are the documents of a collection: from the last column to the first, one symbol of every document
 is inserted in each round; the order of the collection's suffixes (its Burrows-Wheeler order at that column) and the common prefixes
 of neighbours are updated from the round before. A window is repeated if a neighbour's common prefix spans it. The rounds' inputs and
-outputs are sequential files, Spark's sorted shuffle blocks and Parquet, so collections of any size pass through bounded tasks.
+outputs are sequential files, Spark's sorted shuffle blocks and Parquet. Around an anchor with more than CROWD different stretches, as a
+passage that very many texts share with different surroundings makes them, windows are counted one by one by a 128-bit hash instead,
+map-side first, so no task holds more than CROWD stretches of one anchor. Equal stretches and those windows are equal by their hashes.
 """
 
 from __future__ import annotations
@@ -18,13 +20,16 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.shared import BYTE, materialise, mix, release, slices, text_bytes, text_key
 
 LENGTH, GRAM = 200, 32
-#: Around one anchor k-gram, more different stretches than this are dealt out by the bytes that a block of windows shares.
-CROWD, BLOCKS = 4096, 8
+#: Around one anchor k-gram, the windows of more different stretches than this are counted one by one.
+CROWD, SALTS = 4096, 16
+#: Texts with such an anchor whose numbers (8 bytes each) are broadcast; above that they are found by a shuffle join.
+BROADCAST_TEXTS = 1_000_000
+#: A key that more than one in so many rows have is broadcast to its rows; there are fewer such keys than this number.
+HOT = 5000
 #: Stretches in one collection; a collection ends only between two anchors.
 COLLECTION = 20_000
 
-_P = np.uint64(0x9E3779B97F4A7C55)
-_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
+_P, _Q = 0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
@@ -34,11 +39,11 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
 
 
 class RangeHash:
-    """Hash of any byte range of a buffer in constant time."""
+    """Hash of any byte range of a buffer in constant time, by an odd base."""
 
-    def __init__(self, data: np.ndarray) -> None:
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * _power(_P, max(len(data) - 1, 0))[: len(data)], dtype=np.uint64)])
-        self.back = _power(_P_INVERSE, len(data))
+    def __init__(self, data: np.ndarray, base: int = _P) -> None:
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * _power(np.uint64(base), max(len(data) - 1, 0))[: len(data)], dtype=np.uint64)])
+        self.back = _power(np.uint64(pow(base, -1, 1 << 64)), len(data))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
@@ -120,13 +125,13 @@ def repeated_windows(group: np.ndarray, column: np.ndarray, pieces: list[np.ndar
 
 
 def _collect(batches: Iterator) -> Iterator[dict[str, list]]:
-    """Rows sorted by gk, cut between two gk once there are COLLECTION of them."""
+    """Rows sorted by anchor, cut between two anchors once there are COLLECTION of them; one anchor has CROWD at most."""
     held = None
     for batch in batches:
         held = batch if held is None else _concat(held, batch)
         if held.num_rows >= COLLECTION:
-            gk = held["gk"].to_numpy(zero_copy_only=False)
-            cut = int(np.searchsorted(gk, gk[-1], side="left"))
+            ah = held["ah"].to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(ah, ah[-1], side="left"))
             if cut:
                 yield held.slice(0, cut)
                 held = held.slice(cut)
@@ -164,6 +169,16 @@ def unpacked(column):
     return pa.array([unpack(z) for z in column.to_pylist()], pa.large_binary())
 
 
+def occurring_again(rows: DataFrame, key: list[str], count: str) -> DataFrame:
+    """The rows of a written table whose key has a total `count` over 1. Keys that more than one in HOT rows have are broadcast, so that
+    their rows stay where they are; the others meet their totals in a shuffle join."""
+    totals = materialise(rows.groupBy(*key).agg(F.sum(count).alias("c")).where("c > 1"), "totals")
+    most = (rows.agg(F.sum(count)).first()[0] or 0) / HOT
+    hot = F.broadcast(totals.where(F.col("c") > most).select(*key))
+    rest = rows.join(hot, key, "left_anti").join(totals.where(F.col("c") <= most).select(*key), key, "left_semi")
+    return rows.join(hot, key, "left_semi").unionByName(rest)
+
+
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """(tid, size, z, spans) of every distinct text: spans = starts [from, to) of its windows that occur elsewhere too, as
     array<struct<f:int,t:int>>, not in order."""
@@ -183,14 +198,21 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (rid, n, anchor, content, packed)], names=["rid", "n", "ah", "ch", "packed"])
 
     every = materialise(texts.select("rid", "n", "size", "z").mapInArrow(cut, "rid long, n long, ah long, ch long, packed long"), "anchors")
-    often = every.groupBy("ah").agg(F.sum("n").alias("c")).where("c > 1").select("ah")
-    found = materialise(every.join(often, "ah", "left_semi"), "repeated")
+    found = materialise(occurring_again(every, ["ah"], "n"), "repeated")
     release(every)
     stretches = found.groupBy("ah", "ch").agg(F.sum("n").alias("m"), F.min("rid").alias("rid"), F.min_by("packed", "rid").alias("packed"))
     stretches = materialise(stretches, "stretches")
-    crowded = stretches.groupBy("ah").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("ah", F.lit(True).alias("crowd"))
-    asked = stretches.join(crowded, "ah", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
-    asked = asked.groupBy("rid").agg(F.collect_list(F.struct("ah", "ch", "m", "packed", "crowd")).alias("asked"))
+    # few against the stretches, so copied to SALTS tasks: one anchor's stretches are dealt over them
+    crowded = stretches.groupBy("ah").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("ah", F.lit(True).alias("crowd"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    asked = stretches.withColumn("salt", F.pmod("ch", F.lit(SALTS)).cast("int")).join(crowded, ["ah", "salt"], "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    asked = materialise(asked.select("rid", "ah", "ch", "m", "packed", "crowd"), "asked")
+    # stretches that very many texts hold
+    most = (stretches.agg(F.sum("m")).first()[0] or 0) / HOT
+    hot = materialise(stretches.where(F.col("m") > most).select("ah", "ch"), "hot")
+    release(stretches)
+    lists = asked.groupBy("crowd", "rid").agg(F.collect_list(F.struct("ah", "ch", "m", "packed")).alias("asked"))
+    crowds = asked.where("crowd").select("rid").distinct()
+    few = crowds.count()
 
     def bring(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -202,63 +224,69 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
                 row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
                 flat = lists.flatten()
                 ah, ch, m, packed = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                crowd = flat.field(4).to_numpy(zero_copy_only=False).astype(bool)
                 lo, span, place = packed >> 20, (packed >> 10) & 1023, packed & 1023
                 column = width - 1 - place
-                first, last = column, column + span  # window starts, as columns
-                step = -(-width // BLOCKS)
-                take, a, b = [np.flatnonzero(~crowd)], [first[~crowd]], [last[~crowd]]
-                for block in range(BLOCKS):
-                    x, y = np.maximum(first, block * step), np.minimum(last, (block + 1) * step - 1)
-                    here = np.flatnonzero(crowd & (x <= y))
-                    take.append(here), a.append(x[here]), b.append(y[here])
-                take, a, b = map(np.concatenate, (take, a, b))
-                origin = offsets[row] + lo - column  # of column 0 in the buffer
-                gk = ah[take]
-                if crowd.any():
-                    ranges = RangeHash(data)
-                    block = a // step
-                    lowest, highest = (block + 1) * step - 1, block * step + length  # bytes that all windows of the block share
-                    lowest = np.minimum(lowest, width - 1)
-                    o = origin[take]
-                    inside = crowd[take]
-                    # a part of a block has all of the block's shared bytes: each of its windows spans them
-                    shared = ranges.of((o + lowest)[inside], (o + highest)[inside])
-                    gk[inside] = mix(shared + (gk[inside].view(np.uint64) ^ mix(block[inside].astype(np.uint64)))).view(np.int64)
-                start, end = origin[take] + a, origin[take] + b + length
+                start = offsets[row] + lo
+                end = start + span + length
                 body = data.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gk), pa.array(ah[take]), pa.array(ch[take]), pa.array(m[take]), pa.array(a), pa.array(column[take]), pa.array([body[x:y] for x, y in zip(start, end)], pa.binary())],
-                    names=["gk", "ah", "ch", "m", "a", "origin", "piece"],
+                    [pa.array(ah), pa.array(ch), pa.array(m), pa.array(column), pa.array([body[x:y] for x, y in zip(start, end)], pa.binary())], names=["ah", "ch", "m", "column", "piece"],
                 )
 
-    pieces = texts.join(asked, "rid").select("size", "z", "asked").mapInArrow(bring, "gk long, ah long, ch long, m long, a long, origin long, piece binary")
-    pieces = pieces.repartition("gk").sortWithinPartitions("gk")
+    pieces = texts.join(lists.where("not crowd"), "rid").select("size", "z", "asked").mapInArrow(bring, "ah long, ch long, m long, column long, piece binary")
+    pieces = pieces.repartition("ah").sortWithinPartitions("ah")
+
+    def apart(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in slices(whole, ["z"], "size"):
+                data, offsets = text_bytes(unpacked(batch["z"]))
+                lists = batch["asked"]
+                row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                flat = lists.flatten()
+                ah, ch, m, packed = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                number = ((packed >> 10) & 1023) + 1
+                own = np.repeat(np.arange(len(row)), number)
+                f = np.arange(len(own)) - np.repeat(np.cumsum(number) - number, number)
+                start = (offsets[row] + (packed >> 20))[own] + f
+                one, two = (RangeHash(data, base).of(start, start + length).view(np.int64) for base in (_P, _Q))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, ah[own], ch[own], m[own], f.astype(np.int32))], names=["one", "two", "ah", "ch", "m", "f"])
 
     def rounds(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in _collect(batches):
-            gk = batch["gk"].to_numpy()
-            group = np.cumsum(np.append(0, gk[1:] != gk[:-1]))
+            ah = batch["ah"].to_numpy()
+            group = np.cumsum(np.append(0, ah[1:] != ah[:-1]))
             data, offsets = text_bytes(batch["piece"])
-            column = batch["a"].to_numpy()
+            column = batch["column"].to_numpy()
             parts = [data[x:y] for x, y in zip(offsets[:-1], offsets[1:])]
             hit = repeated_windows(group, column, parts, batch["m"].to_numpy(), length, width)
             flank = np.zeros((1, hit.shape[1]), np.int8)
             edge = np.diff(np.concatenate([flank, hit.astype(np.int8), flank]), axis=0).T
             row, start = np.nonzero(edge == 1)
             end = np.nonzero(edge == -1)[1]
-            origin = batch["origin"].to_numpy()[row]
+            origin = column[row]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(batch[c].to_numpy()[row]) for c in ("ah", "ch")] + [pa.array((x - origin).astype(np.int32)) for x in (start, end)], names=["ah", "ch", "f", "t"]
             )
 
     spans = materialise(pieces.mapInArrow(rounds, "ah long, ch long, f int, t int"), "spans")
-    release(stretches)
-    spans = spans.groupBy("ah", "ch").agg(F.collect_list(F.struct("f", "t")).alias("ft"))
+    if few:
+        own = texts.join(F.broadcast(crowds) if few <= BROADCAST_TEXTS else crowds, "rid", "left_semi")
+        windows = own.join(lists.where("crowd"), "rid").select("size", "z", "asked")
+        windows = materialise(windows.mapInArrow(apart, "one long, two long, ah long, ch long, m long, f int"), "windows")
+        again = materialise(occurring_again(windows, ["one", "two"], "m").select("ah", "ch", "f", (F.col("f") + 1).alias("t")), "again")
+        release(windows)
+        spans = spans.unionByName(again)
+    release(asked)
+    spans = materialise(spans.groupBy("ah", "ch").agg(F.collect_list(F.struct("f", "t")).alias("ft")), "spans")
+    # such a stretch's spans go to its texts by broadcast: HOT of them at most, of a window's width each
+    hot = F.broadcast(hot)
     lo = F.shiftright("packed", 20).cast("int")
-    placed = found.select("rid", "ah", "ch", "packed").join(spans, ["ah", "ch"])
+    held, key = found.select("rid", "ah", "ch", "packed"), ["ah", "ch"]
+    placed = held.join(hot, key, "left_anti").join(spans.join(hot, key, "left_anti"), key).unionByName(held.join(F.broadcast(spans.join(hot, key, "left_semi")), key))
     placed = placed.select("rid", F.transform("ft", lambda s: F.struct((s["f"] + lo).alias("f"), (s["t"] + lo).alias("t"))).alias("ft"))
     placed = placed.groupBy("rid").agg(F.flatten(F.collect_list("ft")).alias("spans"))
     return texts.join(placed, "rid", "left").select("tid", "size", "z", "spans")
@@ -299,7 +327,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     """One row for each document: (key, n_bytes, n_removed, n_spans, kept_sha256[, kept]).
 
     Each byte covered by a string of `length` bytes that also starts anywhere else, in the same document or another, is removed;
-    overlaps count; texts are UTF-8 bytes, null is empty; matches never cross documents. Copies of a document repeat each other.
+    overlaps count; texts are UTF-8 bytes, null is empty; matches never cross documents. Copies of a document repeat each other. Every row
+    is answered, repeated ones too; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     results = removed(docs, text, length, k)
     if not keep_bytes:
