@@ -12,28 +12,30 @@ from tidemark.llm.shared import materialise
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar rejects go."""
+    """Documents that the grammar rejects go; null and empty texts and repeated rows stay. An empty table gives no rows; columns keep their
+    names and values, whatever they are called. So do those of the stages that follow."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda k: fold(k, 5) != 0)
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One document of each class of near-duplicates stays, of equal rows one; null texts all stay."""
     return near_dedup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with too large a share of benchmark passages go."""
+    """Documents with too large a share of benchmark passages go; null and empty texts and repeated rows stay."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn by calibrated probabilities towards the target mixture."""
+    """Documents are drawn by calibrated probabilities towards the target mixture; null and blank texts, which have no tokens, go. Repeated rows
+    stay or go together."""
     return mixing.sample(docs)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's shard and place in it."""
+    """Each document's shard and place in it: null keys and texts too, repeated rows one by one; other columns go."""
     return sharding.shard_records(docs, [1.0] * SHARDS)
 
 
@@ -45,7 +47,7 @@ STAGES = [
     ("sharding", deal_shards),
 ]
 
-#: The toxicity stage learns weights from labels, which SQL cannot express; tests hold run() against brute force.
+#: The toxicity stage learns weights from labels, which SQL cannot express. tests/llm/test_pipeline.py replays run() stage by stage.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tidemark.operators import costs, events, quality, resample
-from tidemark.plans import decisions, market, research  # noqa: F401
+from tidemark.plans import decisions, market, reports, research  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 MONDAY = datetime(2024, 1, 8)

@@ -232,3 +232,95 @@ def volatility_control(trades: DataFrame, y: str = "gross", x1: str = "relvol",
     t1, t2 = (F.try_divide(F.col(b), F.sqrt(var * F.col(d) / F.col("det"))) for b, d in (("b1", "bb"), ("b2", "aa")))
     s = s.withColumns({"t1": t1, "t2": t2, "r2": 1 - F.try_divide("rest", "yy")})
     return s.select("pair", "n", "b1", "t1", "b2", "t2", "r2", F.coalesce(F.round("t1", 9) >= 2, F.lit(False)).alias("passes"))
+
+
+def annualised(equity: DataFrame) -> DataFrame:
+    """(pair, total, annual): growth over the whole series and a year of 365.25 days; -1 where all is lost."""
+    ends = equity.groupBy("pair").agg(F.min_by("equity", "ts").alias("a"), F.max_by("equity", "ts").alias("z"), F.datediff(F.max("ts"), F.min("ts")).alias("days"))
+    total = F.col("z") / F.col("a") - 1
+    years = F.greatest(F.col("days") / 365.25, F.lit(1e-6))
+    return ends.select("pair", total.alias("total"), F.when(total <= -1, -1.0).otherwise(F.pow(1 + total, 1 / years) - 1).alias("annual"))
+
+
+def exposure_share(trades: DataFrame, bars: DataFrame) -> DataFrame:
+    """(pair, exposure): time inside trades over the time of the series."""
+    span = bars.groupBy("pair").agg((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("all"))
+    held = trades.groupBy("pair").agg(F.sum(F.unix_timestamp("exit_time") - F.unix_timestamp("entry_time")).alias("held"))
+    return span.join(held, "pair", "left").select("pair", F.coalesce(F.try_divide("held", "all"), F.lit(0.0)).alias("exposure"))
+
+
+def regime_consistency(rows: DataFrame, bars_per_year: float = 252.0) -> DataFrame:
+    """(pair, blocks, positive): years, and those with a Sharpe over 0."""
+    s = regime_blocks(rows, bars_per_year).withColumn("x", F.round("sharpe", 9))
+    return s.groupBy("pair").agg(F.count("*").alias("blocks"), F.count_if(F.col("x") > 0).alias("positive"))
+
+
+def weighting_report(rows: DataFrame, target: float, bars_per_year: float = 252.0) -> DataFrame:
+    """(weighting, sharpe, max_drawdown) of the series' portfolio by volatility weights and by equal ones. A portfolio is one narrow row a
+    time; its drawdown runs along them."""
+    both = vol_weighted(rows, target).select(F.lit("volatility").alias("pair"), "ts", "ret").unionByName(rows.groupBy("ts").agg(F.avg("ret").alias("ret")).select(F.lit("equal").alias("pair"), "ts", "ret"))
+    std = F.stddev_samp("ret")
+    risk = both.groupBy("pair").agg(F.when(std > 0, F.avg("ret") / std * bars_per_year**0.5).otherwise(0.0).alias("sharpe"))
+    return risk.join(max_drawdown(equity_from_returns(both)), "pair").withColumnRenamed("pair", "weighting")
+
+
+def independent_bets(matrix: DataFrame, most: int = 2000) -> DataFrame:
+    """(series, top_share, participation, entropy, effective) of a correlation table (a, b, rho) of up to `most` series, whose k x k matrix
+    alone comes to the driver: share of the largest eigenvalue, participation ratio, exponential of the entropy, and the least of
+    1 / top_share and these two."""
+    import numpy as np
+
+    names = sorted({r["s"] for r in matrix.select(F.col("a").alias("s")).union(matrix.select("b")).distinct().limit(most + 1).collect()})
+    if len(names) > most:
+        raise ValueError(f"more than {most} series")
+    at, m = {n: i for i, n in enumerate(names)}, np.eye(len(names))
+    for r in matrix.select("a", "b", "rho").collect():
+        m[at[r["a"]], at[r["b"]]] = m[at[r["b"]], at[r["a"]]] = r["rho"] or 0.0
+    value = np.maximum(np.linalg.eigvalsh(m), 0)
+    share = value / value.sum()
+    entropy = float(np.exp(-(share[share > 0] * np.log(share[share > 0])).sum()))
+    participation, top = float(1 / (share * share).sum()), float(share.max())
+    row = [(len(names), top, participation, entropy, min(1 / top, participation, entropy))]
+    return matrix.sparkSession.createDataFrame(row, "series long, top_share double, participation double, entropy double, effective double")
+
+
+def volume_range(rows: DataFrame) -> DataFrame:
+    """(pair, raw, relative, r2_log) of rows (volume, rng, relvol, relrng): rank correlations, and the squared correlation of the logarithms of
+    1 + the relative values."""
+    both = spearman(rows, "volume", "rng").withColumnRenamed("rho", "raw").join(spearman(rows, "relvol", "relrng").withColumnRenamed("rho", "relative"), "pair")
+    logs = rows.groupBy("pair").agg(F.pow(F.corr(F.log1p("relvol"), F.log1p("relrng")), 2).alias("r2_log"))
+    return both.join(logs, "pair")
+
+
+def screen_verdict(trades: DataFrame, gross: str = "gross", cost: str = "cost") -> DataFrame:
+    """(pair, trades, ratio, verdict, fires_per_year): mean gross over mean cost is FAIL up to 0.8, STRETCH up to 1, else PASS."""
+    s = trades.groupBy("pair").agg(
+        F.count("*").alias("trades"), F.try_divide(F.avg(gross), F.avg(cost)).alias("ratio"), ((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))) / (365.25 * 86400)).alias("years"),
+    )
+    ratio = F.round("ratio", 9)
+    verdict = F.when(ratio.isNull(), None).when(ratio <= 0.8, "FAIL").when(ratio <= 1.0, "STRETCH").otherwise("PASS")
+    return s.select("pair", "trades", "ratio", verdict.alias("verdict"), F.try_divide(F.col("trades"), F.col("years")).alias("fires_per_year"))
+
+
+def power_gate(trades: DataFrame, bars: DataFrame, days: float, needed: int) -> DataFrame:
+    """(pair, per_day, expected, enough): trades a day of the series' span, what they come to in so many days, and whether that is enough."""
+    span = bars.groupBy("pair").agg(F.greatest(F.datediff(F.max("ts"), F.min("ts")), F.lit(1)).alias("d"))
+    n = trades.groupBy("pair").agg(F.count("*").alias("n"))
+    rows = span.join(n, "pair", "left").withColumn("per_day", F.coalesce("n", F.lit(0)) / F.col("d"))
+    return rows.select("pair", "per_day", (F.col("per_day") * days).alias("expected"), (F.round(F.col("per_day") * days, 9) >= needed).alias("enough"))
+
+
+def side_totals(trades: DataFrame) -> DataFrame:
+    """(pair, direction, trades, pips) of long and short trades."""
+    return trades.groupBy("pair", "direction").agg(F.count("*").alias("trades"), F.sum("pnl_pips").alias("pips"))
+
+
+def fold_average(folds: DataFrame, weight: str = "n_test") -> DataFrame:
+    """(pair, folds, mean): Sharpe over folds, weighted by what each tested."""
+    return folds.groupBy("pair").agg(F.count("*").alias("folds"), F.try_divide(F.sum(F.col("sharpe") * F.col(weight)), F.sum(weight)).alias("mean"))
+
+
+def low_sharpe_clause(rows: DataFrame, x: str = "sharpe", last: int = 90, least: float = 0.20) -> DataFrame:
+    """(pair, met, lowest, below) over the last rows of each series: whether any rolling Sharpe is under `least`, the lowest, and how many."""
+    recent = rows.withColumn("n", F.row_number().over(W.partitionBy("pair").orderBy(F.desc("ts")))).where(F.col("n") <= last).withColumn("v", F.round(x, 9))
+    return recent.groupBy("pair").agg(F.coalesce(F.bool_or(F.col("v") < least), F.lit(False)).alias("met"), F.min("v").alias("lowest"), F.count_if(F.col("v") < least).alias("below"))

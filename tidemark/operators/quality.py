@@ -35,11 +35,19 @@ def price_range(bars: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def spread_and_spike_checks(bars: DataFrame, widest: float = 50.0, jump: float = 0.1) -> DataFrame:
-    """(pair, bad_spread, bad_volume, spikes)."""
-    rows = bars.withColumn("change", F.abs(F.col("close") / F.lag("close").over(by_ts()) - 1))
+    """(pair, bad_spread, bad_volume, spikes, duplicates, missing): duplicates repeat a stamp; missing have a price that is null or NaN. In
+    order of arrival (a column `seq`), unordered would be bars older than the one before; without it, bars have no order of their own."""
+    rows = bars.withColumn("change", F.abs(F.try_divide(F.col("close"), F.lag("close").over(by_ts())) - 1)).withColumn("twin", F.lag("ts").over(by_ts()) == F.col("ts"))
+    gone = F.lit(False)
+    for c in ("open", "high", "low", "close"):
+        gone = gone | F.col(c).isNull() | F.isnan(c)
+    order = "seq" in bars.columns
+    if order:
+        rows = rows.withColumn("back", F.col("ts") < F.lag("ts").over(W.partitionBy("pair").orderBy("seq")))
     s = F.col("spread_median_pips")
     return rows.groupBy("pair").agg(
         F.count_if(s.isNull() | (s <= 0) | (s > widest)).alias("bad_spread"), F.count_if(F.col("volume") <= 0).alias("bad_volume"), F.count_if(F.col("change") > jump).alias("spikes"),
+        F.count_if("twin").alias("duplicates"), F.count_if(gone).alias("missing"), *([F.count_if("back").alias("unordered")] if order else []),
     )
 
 
@@ -87,13 +95,16 @@ def missing_in(grid: DataFrame, bars: DataFrame) -> DataFrame:
     return runs.groupBy("pair").agg(F.sum("n").alias("expected"), (F.sum("n") - F.sum("g")).alias("present"), F.max("g").alias("longest_gap"))
 
 
-def month_manifest(bars: DataFrame) -> DataFrame:
-    """(pair, month, bars, status) against half the pair's median month: ZERO, THIN or OK, over a generated calendar."""
+def month_manifest(bars: DataFrame, floor: int = 100) -> DataFrame:
+    """(pair, month, bars, status) over a generated calendar: ZERO, LOW (under the floor), THIN (under half the upper median of the pair's full
+    months with bars) or OK. The pair's last month is not over yet, so it is PARTIAL and no measure for others."""
     counts = bars.groupBy("pair", F.date_trunc("month", "ts").alias("month")).agg(F.count("*").alias("n"))
-    span = counts.groupBy("pair").agg(F.min("month").alias("a"), F.max("month").alias("b"), F.percentile("n", 0.5).alias("median"))
-    calendar = span.select("pair", "median", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
+    span = counts.groupBy("pair").agg(F.min("month").alias("a"), F.max("month").alias("b"), F.sort_array(F.collect_list(F.struct("month", "n"))).alias("all"))
+    whole = F.array_sort(F.transform(F.filter("all", lambda m: m["month"] < F.col("b")), lambda m: m["n"]))
+    span = span.withColumn("median", F.coalesce(F.get(whole, F.floor(F.size(whole) / 2).cast("int")), F.lit(0)))
+    calendar = span.select("pair", "median", "b", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
     n = F.coalesce("n", F.lit(0))
-    status = F.when(n == 0, "ZERO").when(n < F.col("median") / 2, "THIN").otherwise("OK")
+    status = F.when(F.col("month") == F.col("b"), "PARTIAL").when(n == 0, "ZERO").when(n < floor, "LOW").when(n < F.floor(F.col("median") / 2), "THIN").otherwise("OK")
     return calendar.join(counts, ["pair", "month"], "left").select("pair", "month", n.alias("bars"), status.alias("status"))
 
 

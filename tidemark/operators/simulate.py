@@ -139,3 +139,9 @@ def reversion_trades(
     r = r.withColumn("price", F.when(F.col("hit"), worse).otherwise(F.col("x.close"))).where("e.spread_median_pips > 0 and x.spread_median_pips > 0")
     r = r.withColumns({"gross": F.col("direction") * (F.col("price") - F.col("e.open")) / pip, "cost": F.col("e.spread_median_pips") + F.col("x.spread_median_pips") + overhead})
     return r.select("pair", "ts", F.col("e.ts").alias("entry_ts"), F.col("x.ts").alias("exit_ts"), "direction", "relvol", "relrng", "gross", "cost", (F.col("gross") - F.col("cost")).alias("net"))
+
+
+def buy_and_hold_net(bars: DataFrame, capital: float = 10_000.0, swap: float = 0.0, cost: float = 0.0) -> DataFrame:
+    """(pair, ts, equity) of units bought at the first close: their value, `swap` a unit for each bar held, less `cost` a unit once."""
+    units, held = F.lit(capital) / F.first("close").over(by_ts()), F.row_number().over(by_ts()) - 1
+    return bars.select("pair", "ts", (units * (F.col("close") + swap * held - cost)).alias("equity"))

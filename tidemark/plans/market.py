@@ -165,8 +165,8 @@ def _(spark, sf):
     return rounded(quality.price_range(bars, bounds))
 
 
-@register("dq3_spread_and_spikes", f"""WITH {HOURLY}, c AS (SELECT *, abs(close / lag(close) OVER {BY} - 1) AS change FROM bars) SELECT pair,
-  count_if(spread_median_pips IS NULL OR spread_median_pips <= 0 OR spread_median_pips > 6) AS bad_spread, count_if(volume <= 0) AS bad_volume, count_if(change > 0.1) AS spikes FROM c GROUP BY pair""")
+@register("dq3_spread_and_spikes", f"""WITH {HOURLY}, c AS (SELECT *, abs(close / lag(close) OVER {BY} - 1) AS change, lag(ts) OVER {BY} = ts AS twin FROM bars) SELECT pair,
+  count_if(spread_median_pips IS NULL OR spread_median_pips <= 0 OR spread_median_pips > 6) AS bad_spread, count_if(volume <= 0) AS bad_volume, count_if(change > 0.1) AS spikes, count_if(twin) AS duplicates, count_if(open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL) AS missing FROM c GROUP BY pair""")
 def _(spark, sf):
     return quality.spread_and_spike_checks(tables.hourly_bars(spark, sf), widest=6.0)
 
@@ -209,11 +209,11 @@ def _(spark, sf):
     return quality.missing_hours(tables.hourly_bars(spark, sf))
 
 
-@register("dq13_month_manifest", f"""WITH {DAILY}, c AS (SELECT pair, date_trunc('month', ts) AS month, count(*) AS n FROM bars GROUP BY ALL), s AS (SELECT pair, quantile_cont(n, 0.5) AS median,
-  unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS month FROM c GROUP BY pair)
-  SELECT s.pair, CAST(s.month AS TIMESTAMP) AS month, coalesce(n, 0) AS bars, CASE WHEN coalesce(n, 0) = 0 THEN 'ZERO' WHEN n < median / 2 THEN 'THIN' ELSE 'OK' END AS status FROM s LEFT JOIN c ON s.pair = c.pair AND s.month = c.month""")
+@register("dq13_month_manifest", f"""WITH {DAILY}, c AS (SELECT pair, date_trunc('month', ts) AS month, count(*) AS n FROM bars GROUP BY ALL), e AS (SELECT pair, min(month) AS a, max(month) AS b FROM c GROUP BY pair),
+  m AS (SELECT e.pair, list_sort(list(n) FILTER (month < b)) AS l FROM c JOIN e USING (pair) GROUP BY e.pair), s AS (SELECT e.pair, b, coalesce(l[len(l) // 2 + 1], 0) AS median, unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS month FROM e JOIN m USING (pair))
+  SELECT s.pair, CAST(s.month AS TIMESTAMP) AS month, coalesce(n, 0) AS bars, CASE WHEN s.month = b THEN 'PARTIAL' WHEN coalesce(n, 0) = 0 THEN 'ZERO' WHEN n < 8 THEN 'LOW' WHEN n < median // 2 THEN 'THIN' ELSE 'OK' END AS status FROM s LEFT JOIN c ON s.pair = c.pair AND s.month = c.month""")
 def _(spark, sf):
-    return quality.month_manifest(tables.daily_bars(spark, sf))
+    return quality.month_manifest(tables.daily_bars(spark, sf), 8)
 
 
 @register("dq14_fill_gaps", f"""WITH {HOURLY}, x AS (SELECT pair, ts, CASE WHEN hour(ts) % 6 < 2 OR hour(ts) > 17 THEN NULL ELSE close END AS x FROM bars),

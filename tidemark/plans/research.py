@@ -571,6 +571,8 @@ def _(spark, sf):
     raw = jobs.tick_stream(spark, sf, tables.read(spark, sf, "events").schema, "events.parquet")
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{shared}/str1-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)  # goes when the driver ends
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     jobs.run_to_end(jobs.live_bars(tables.as_ticks(raw)), folder)
     return rounded(spark.read.parquet(f"{folder}/out"))
 

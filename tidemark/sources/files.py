@@ -83,3 +83,81 @@ def compressed_ticks(files: DataFrame, scale: float, pip: float) -> DataFrame:
                 })
 
     return files.select("pair", "hour", "content").mapInPandas(decode, TICK)
+
+
+def catalog(spark: SparkSession, path: str) -> DataFrame:
+    """(timeframe, pair) of the partitions of a store that write_bars() made; only folders are looked at."""
+    return spark.read.parquet(path).select("timeframe", "pair").distinct()
+
+
+def assemble_months(chunks: DataFrame, order: Column | None = None) -> DataFrame:
+    """Bars of month chunks read together (pair, ts, ..), of repeated stamps the first by `order`: by default the file's name."""
+    order = F.col("_metadata.file_name") if order is None else order
+    columns = chunks.columns
+    first = chunks.select(F.struct(*columns).alias("r"), order.alias("o")).groupBy("r.pair", "r.ts").agg(F.min_by("r", "o").alias("r"))
+    return first.select("r.*")
+
+
+def _hash(values: Column) -> Column:
+    """12 hex digits of a map's entries in order of their keys."""
+    return F.substring(F.sha2(F.to_json(F.array_sort(F.map_entries(values))), 256), 1, 12)
+
+
+def log_predictions(rows: DataFrame, path: str) -> None:
+    """Appends (ts, pair, strategy, signal, source, params: map) with the hash of the parameters."""
+    append_log(rows.withColumn("params_hash", _hash(F.col("params"))).drop("params"), path)
+
+
+def log_fills(rows: DataFrame, path: str, own: list[str]) -> None:
+    """Appends fills; columns that are not in `own` go into the map ctx, as text, without nulls."""
+    free = [c for c in rows.columns if c not in own]
+    pairs = F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in free]) if free else F.array().cast("array<struct<k:string,v:string>>")
+    ctx = F.map_from_entries(F.filter(pairs, lambda e: e["v"].isNotNull()))
+    append_log(rows.select(*own, ctx.alias("ctx")), path)
+
+
+def log_trials(rows: DataFrame, path: str) -> None:
+    """Appends trials (ts, trial_id, strategy, metrics: map, params: map, tags: array) with the hash of strategy and parameters."""
+    config = _hash(F.map_concat(F.transform_values("params", lambda k, v: v.cast("string")), F.create_map(F.lit("__strategy"), F.col("strategy"))))
+    append_log(rows.withColumn("config_hash", config), path)
+
+
+def query_log(
+    log: DataFrame, start: str | None = None, end: str | None = None, strategy: str | None = None, pair: str | None = None, source: str | None = None,
+    least_sharpe: float | None = None, tags: list[str] | None = None,
+) -> DataFrame:
+    """Rows of a log in [start, end) by strategy, pair, source, least Sharpe (metrics['sharpe'], or sharpe) and all of the tags. Months
+    outside the span are not read."""
+    for bound, op in ((start, ">="), (end, "<")):
+        if bound is not None:
+            stamp = F.lit(bound).cast("timestamp")
+            log = log.where(F.col("ts") >= stamp if op == ">=" else F.col("ts") < stamp)
+            if "month" in log.columns:
+                month = F.date_format(stamp, "yyyy-MM")
+                log = log.where(F.col("month") >= month if op == ">=" else F.col("month") <= month)
+    for name, value in (("strategy", strategy), ("pair", pair), ("source", source)):
+        if value is not None:
+            log = log.where(F.col(name) == value)
+    if least_sharpe is not None:
+        log = log.where((F.col("metrics")["sharpe"] if "metrics" in log.columns else F.col("sharpe")) >= least_sharpe)
+    return log.where(F.forall(F.array(*map(F.lit, tags)), lambda t: F.array_contains("tags", t))) if tags else log
+
+
+def holdout(rows: DataFrame, cutoff: str, at: str = "ts", after: bool = False) -> DataFrame:
+    """Rows before the cutoff, or those on and after it; trades are cut by their entry_time."""
+    stamp = F.lit(cutoff).cast("timestamp")
+    return rows.where(F.col(at) >= stamp if after else F.col(at) < stamp)
+
+
+def guard_holdout(rows: DataFrame, cutoff: str, burnt: DataFrame | None = None, after: bool = False) -> DataFrame:
+    """rows, if they keep to their side of the cutoff. Before it (the standard), any row on or after is an error. After it, a (pair,
+    timeframe) that is in `burnt`, the record of those used once, is an error."""
+    if not after:
+        late = rows.agg(F.bool_or(F.col("ts") >= F.lit(cutoff).cast("timestamp"))).first()[0]
+        if late:
+            raise ValueError(f"rows on or after {cutoff} in a run that must not see them")
+        return rows
+    used = rows.select("pair", "timeframe").distinct().join(burnt, ["pair", "timeframe"], "left_semi").limit(3).collect() if burnt is not None else []
+    if used:
+        raise ValueError(f"held-out data was used before: {[tuple(r) for r in used]}")
+    return holdout(rows, cutoff, after=True)

@@ -60,12 +60,16 @@ def reconcile(cycles: DataFrame, most: float, share: float) -> DataFrame:
     return rows.select("pair", "ts", "modelled", "residual", "breach", run.alias("in_a_row"))
 
 
-def swap_accrual(positions: DataFrame, per_day: float) -> DataFrame:
-    """Rows with the swap earned since the row before: days passed * rate * units held over them."""
+def swap_accrual(positions: DataFrame, per_day: float, suffix: str | None = None, price: str = "close") -> DataFrame:
+    """Rows with the swap earned since the row before: days passed * rate * units held over them; pairs quoted in `suffix` are turned into
+    the account's currency by the price."""
     from tidemark.operators.indicators import by_ts
 
     days = (F.unix_timestamp("ts") - F.unix_timestamp(F.lag("ts").over(by_ts()))) / 86400
-    return positions.withColumn("accrued", F.coalesce(days * per_day * F.lag("held").over(by_ts()), F.lit(0.0)))
+    earned = days * per_day * F.lag("held").over(by_ts())
+    if suffix:
+        earned = F.when(F.col("pair").endswith(suffix), earned / F.col(price)).otherwise(earned)
+    return positions.withColumn("accrued", F.coalesce(earned, F.lit(0.0)))
 
 
 def aggregate_ladder(
