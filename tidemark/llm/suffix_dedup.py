@@ -26,6 +26,8 @@ CROWD, SALTS = 4096, 16
 BROADCAST_TEXTS = 1_000_000
 #: A key that more than one in so many rows have is broadcast to its rows; there are fewer such keys than this number.
 HOT = 5000
+#: Bytes of text that a task's arrays are made of at a time.
+PART = 512 << 10
 #: Stretches in one collection; a collection ends only between two anchors.
 COLLECTION = 20_000
 
@@ -153,7 +155,7 @@ def packed_texts(texts: DataFrame) -> DataFrame:
 
         pack = zstandard.ZstdCompressor(level=1).compress
         for whole in batches:
-            for batch in slices(whole, ["text"]):
+            for batch in slices(whole, ["text"], most=PART):
                 bodies = [t.encode() for t in batch["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch["tid"], batch["n"], pa.array([len(b) for b in bodies], pa.int64()), pa.array([pack(b) for b in bodies], pa.binary())], names=["tid", "n", "size", "z"])
 
@@ -174,7 +176,10 @@ def occurring_again(rows: DataFrame, key: list[str], count: str) -> DataFrame:
     their rows stay where they are; the others meet their totals in a shuffle join."""
     totals = materialise(rows.groupBy(*key).agg(F.sum(count).alias("c")).where("c > 1"), "totals")
     most = (rows.agg(F.sum(count)).first()[0] or 0) / HOT
-    hot = F.broadcast(totals.where(F.col("c") > most).select(*key))
+    hot = totals.where(F.col("c") > most).select(*key)
+    if hot.isEmpty():
+        return rows.join(totals.select(*key), key, "left_semi")
+    hot = F.broadcast(hot)
     rest = rows.join(hot, key, "left_anti").join(totals.where(F.col("c") <= most).select(*key), key, "left_semi")
     return rows.join(hot, key, "left_semi").unionByName(rest)
 
@@ -191,7 +196,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
         import pyarrow as pa
 
         for whole in batches:
-            for batch in slices(whole, ["z"], "size"):
+            for batch in slices(whole, ["z"], "size", PART):
                 row, anchor, content, lo, span, place = anchors(*text_bytes(unpacked(batch["z"])), length, k)
                 rid, n = (batch[c].to_numpy()[row] if len(row) else np.zeros(0, np.int64) for c in ("rid", "n"))
                 packed = (lo << 20) | (span << 10) | place
@@ -218,7 +223,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
         import pyarrow as pa
 
         for whole in batches:
-            for batch in slices(whole, ["z"], "size"):
+            for batch in slices(whole, ["z"], "size", PART):
                 data, offsets = text_bytes(unpacked(batch["z"]))
                 lists = batch["asked"]
                 row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -240,7 +245,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
         import pyarrow as pa
 
         for whole in batches:
-            for batch in slices(whole, ["z"], "size"):
+            for batch in slices(whole, ["z"], "size", PART):
                 data, offsets = text_bytes(unpacked(batch["z"]))
                 lists = batch["asked"]
                 row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -282,11 +287,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
         spans = spans.unionByName(again)
     release(asked)
     spans = materialise(spans.groupBy("ah", "ch").agg(F.collect_list(F.struct("f", "t")).alias("ft")), "spans")
-    # such a stretch's spans go to its texts by broadcast: HOT of them at most, of a window's width each
-    hot = F.broadcast(hot)
     lo = F.shiftright("packed", 20).cast("int")
     held, key = found.select("rid", "ah", "ch", "packed"), ["ah", "ch"]
-    placed = held.join(hot, key, "left_anti").join(spans.join(hot, key, "left_anti"), key).unionByName(held.join(F.broadcast(spans.join(hot, key, "left_semi")), key))
+    if hot.isEmpty():
+        placed = held.join(spans, key)
+    else:  # such a stretch's spans go to its texts by broadcast: HOT of them at most, of a window's width each
+        hot = F.broadcast(hot)
+        placed = held.join(hot, key, "left_anti").join(spans.join(hot, key, "left_anti"), key).unionByName(held.join(F.broadcast(spans.join(hot, key, "left_semi")), key))
     placed = placed.select("rid", F.transform("ft", lambda s: F.struct((s["f"] + lo).alias("f"), (s["t"] + lo).alias("t"))).alias("ft"))
     placed = placed.groupBy("rid").agg(F.flatten(F.collect_list("ft")).alias("spans"))
     return texts.join(placed, "rid", "left").select("tid", "size", "z", "spans")
@@ -300,7 +307,7 @@ def removed(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int =
         import pyarrow as pa
 
         for whole in batches:
-            for batch in slices(whole, ["z"], "size"):
+            for batch in slices(whole, ["z"], "size", PART):
                 out = []
                 for body, spans in zip(unpacked(batch["z"]).to_pylist(), batch["spans"]):
                     left, gone, runs, at = [], 0, 0, 0
