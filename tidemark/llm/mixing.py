@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import logging
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tidemark.llm.shared import free_names, materialise
 
@@ -184,6 +185,12 @@ def _beside(cells: DataFrame, values: DataFrame, x: str) -> DataFrame:
     return cells
 
 
+def _table(spark: SparkSession, names: list[str], strings: int, rows: list[tuple]) -> DataFrame:
+    """A table of few rows from the driver, whose first columns are strings and the others doubles."""
+    kind = ", ".join(f"{n}: {'string' if i < strings else 'double'}" for i, n in enumerate(names))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), f"array<struct<{kind}>>")))
+
+
 def rake(cells: DataFrame, fraction: float, power: float = 0.5, targets: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(source, lang, topic, probability) of the cells of a table (source, lang, topic, tokens) that can be drawn, and the report (margin,
     value, wanted, target, reached): wanted shares, what is left of them after capping and moving, and what the probabilities give, all as
@@ -206,9 +213,8 @@ def rake(cells: DataFrame, fraction: float, power: float = 0.5, targets: dict[st
         rows, shares = used.collect(), [{r["value"]: r["wanted"] for r in values.collect() if r["margin"] == m} for m in MARGINS]
         keys = [tuple(r[m] for m in MARGINS) for r in rows]
         chances, report = fit(keys, np.array([r["tokens"] for r in rows], float), shares, budget)
-        spark = cells.sparkSession
-        fitted = spark.createDataFrame([(*k, float(p)) for k, p in zip(keys, chances)], "source string, lang string, topic string, probability double")
-        return fitted, spark.createDataFrame(report, "margin string, value string, wanted double, target double, reached double")
+        fitted = [(*k, float(p)) for k, p in zip(keys, chances)]
+        return _table(cells.sparkSession, [*MARGINS, "probability"], 3, fitted), _table(cells.sparkSession, ["margin", "value", "wanted", "target", "reached"], 2, report)
     values = materialise(capped_goals(values, budget), "goals")
     share = budget / drawable if drawable else 0.0
     state, goals = used.withColumn("weight", F.col("tokens") * share), values
