@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, evidence, indicators as ind, metrics, signals, simulate, statistics as stats
+from tidemark.operators import events, evidence, indicators as ind, joins, metrics, signals, simulate, statistics as stats
 from tidemark.plans.market import BY, DAILY, HOURLY, LEDGER, POS, SIMPLE, TR, _indicator, _ledger, _net, _returns, frame, full, r, register, rounded
 from tidemark.plans.research import ADMITTED, BANKS, EVENTS, PASTW, RESAMPLES, SHARPE, SWEPT, CELLS, _events
 from tidemark.sources import tables
@@ -67,9 +67,14 @@ def _(spark, sf):
     return rounded(evidence.block_lengths(_net(spark, sf)))
 
 
+def _aligned(spark, sf):
+    """Net returns at the times of any series; a series without a bar there earns nothing."""
+    return joins.outer_zero(_net(spark, sf).select("pair", "ts", "ret"))
+
+
 @register("st6_reality_check")
 def _(spark, sf):
-    return rounded(evidence.reality_check(_net(spark, sf), RESAMPLES), 9)
+    return rounded(evidence.reality_check(_aligned(spark, sf), RESAMPLES), 9)
 
 
 @register("st7_combined_verdict")
@@ -77,7 +82,7 @@ def _(spark, sf):
     rows = _net(spark, sf)
     zero = stats.zero_mean_test(rows, RESAMPLES, 10.0).select("pair", "p", "flips")
     placed = metrics.window_placement(rows, 250).select("pair", "percentile", "median_sharpe")
-    joint = evidence.reality_check(rows, RESAMPLES).select("p_consistent")  # one row
+    joint = evidence.reality_check(_aligned(spark, sf), RESAMPLES).select("p_consistent")  # one row
     return rounded(evidence.combined_verdict(zero.join(placed, "pair").crossJoin(F.broadcast(joint))))
 
 
