@@ -29,14 +29,14 @@ def _(spark, sf):
     return rounded(evidence.expected_max_sharpe(evidence.deflated_sharpe(cells)).select("pair", "n", "sharpe", "expected_max", "dsr"))
 
 
-@register("st10_deflated_recompute", f"""WITH {LEDGER}, l AS (SELECT trial_id, arg_max(status, seq) AS status, arg_max({{'s': sharpe}}, seq).s AS sharpe FROM ledger GROUP BY trial_id), q AS (SELECT o_custkey AS trial_id, o_totalprice / lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS ret FROM orders WHERE o_custkey % 3 > 0),
+@register("st10_deflated_recompute", f"""WITH {LEDGER}, l AS (SELECT trial_id, arg_max(status, seq) AS status, arg_max({{'s': sharpe}}, seq).s AS sharpe FROM ledger GROUP BY trial_id), q AS (SELECT o_custkey AS trial_id, o_totalprice / lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS ret FROM orders),
   c AS (SELECT trial_id, ret, ret - avg(ret) OVER (PARTITION BY trial_id) AS d FROM q), m AS (SELECT trial_id, count(ret) AS n, {MOMENTS} FROM c GROUP BY trial_id), s AS (SELECT l.*, m.n, skew, kurt, (SELECT count(*) FROM l) AS trials,
   CASE WHEN sharpe IS NULL THEN 'blocked-no-sharpe' WHEN m.trial_id IS NULL THEN 'blocked-no-equity-series' WHEN n < 2 THEN 'compute-error' ELSE 'ok' END AS state FROM l LEFT JOIN m USING (trial_id) WHERE status IN ('F', 'O')),
   {_dsr_sql('s', 'trial_id, sharpe, skew, kurt, state')} SELECT trial_id, sharpe, CASE WHEN state = 'ok' THEN n END AS n, round(CASE WHEN state = 'ok' THEN skew END, 6) AS skew, round(CASE WHEN state = 'ok' THEN kurt END, 6) AS kurt, round(CASE WHEN state = 'ok' THEN dsr END, 6) AS dsr, state FROM d""")
 def _(spark, sf):
     last = _ledger(spark, sf).groupBy("trial_id").agg(F.max_by(F.struct("status", "sharpe"), "seq").alias("l")).select("trial_id", "l.*")
     last = last.crossJoin(F.broadcast(last.agg(F.count("*").alias("trials"))))  # one row
-    equity = tables.read(spark, sf, "orders").where("o_custkey % 3 > 0").select(F.col("o_custkey").alias("trial_id"), F.struct("o_orderdate", "o_orderkey").alias("ts"), F.col("o_totalprice").alias("equity"))
+    equity = tables.read(spark, sf, "orders").select(F.col("o_custkey").alias("trial_id"), F.struct("o_orderdate", "o_orderkey").alias("ts"), F.col("o_totalprice").alias("equity"))
     return rounded(evidence.recompute_deflated(last, equity, ["F", "O"]))
 
 

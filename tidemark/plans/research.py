@@ -517,7 +517,7 @@ def _(spark, sf):
 
 # ---- ledger --------------------------------------------------------------------------------------------------------------------
 
-CLASSIFIED = "cl AS (SELECT DISTINCT o_custkey AS trial_id, o_custkey % 2 = 0 AS counted FROM orders WHERE o_custkey < 40)"
+CLASSIFIED = "cl AS (SELECT o_custkey AS trial_id, max(o_orderkey) % 2 = 0 AS counted FROM orders GROUP BY o_custkey HAVING min(o_orderdate) < TIMESTAMP '1992-06-01')"
 
 
 @register("led3_deflation_denominator", f"""WITH {LEDGER}, {CLASSIFIED}, l AS (SELECT trial_id, arg_max(status, seq) AS status, arg_max(config_hash, seq) AS config_hash, arg_max({{'s': sharpe}}, seq).s AS sharpe, min(seq) AS first, bool_or(status = 'P' OR NOT counts) AS gone FROM ledger GROUP BY trial_id),
@@ -525,7 +525,8 @@ CLASSIFIED = "cl AS (SELECT DISTINCT o_custkey AS trial_id, o_custkey % 2 = 0 AS
   k AS (SELECT trial_id, late, sharpe IS NULL OR row_number() OVER (PARTITION BY config_hash, sharpe ORDER BY late, first, trial_id) = 1 AS kept FROM d)
   SELECT trial_id, 'legacy' AS how FROM cl WHERE counted UNION ALL SELECT trial_id, 'new' FROM k WHERE late = 1 AND kept""")
 def _(spark, sf):
-    classified = tables.read(spark, sf, "orders").where("o_custkey < 40").select(F.col("o_custkey").alias("trial_id"), (F.col("o_custkey") % 2 == 0).alias("counted")).distinct()
+    first = tables.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("trial_id")).agg(F.min("o_orderdate").alias("first"), (F.max("o_orderkey") % 2 == 0).alias("counted"))
+    classified = first.where("first < timestamp_ntz'1992-06-01'").select("trial_id", "counted")
     return ledger.deflation_denominator(_ledger(spark, sf), classified, "P", "O")
 
 
