@@ -11,7 +11,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(queries.oracle_sql()))
 def test_rows_of_the_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "embeddings"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DIR}/{table}.parquet'")
     want = db.execute(queries.oracle_sql()[name])
     names = [c[0] for c in want.description]

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.shipping import ship
-from tidemark.llm import decontaminate, fingerprints, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, wavelet
+from tidemark.llm import decontaminate, fingerprints, hard_negatives, mixing, near_dedup, quality, sharding, suffix_dedup, toxicity, url_filter, warc, wavelet, whitening
+from tidemark.llm.shared import scratch_folder
 
 SHARDS = 40
 
@@ -69,6 +70,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), "vec_id", "embedding", "label", F.col("vec_id") % 50 == 0, scale=256.0)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), "page_id", "url", "html", scratch_folder(spark, "captures"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_url_filters, op2_token_output, op3_quality, op4_toxicity, op5_near_dedup, op6_suffix_dedup, op7_mixing, op7_mixing_margins, op8_fingerprints, op9_sharding, op10_decontamination, pipeline]
+    own = [op1_url_filters, op2_token_output, op3_quality, op4_toxicity, op5_near_dedup, op6_suffix_dedup, op7_mixing, op7_mixing_margins, op8_fingerprints, op9_sharding, op10_decontamination, op11_whitening, op12_hard_negatives, op13_warc, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -98,6 +113,21 @@ OP10_SQL = rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS
   FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)"""
 
 
+OP12_SQL = """WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+  s AS (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, list_dot_product(a.x, c.x)::BIGINT AS score FROM r a JOIN r c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+  p AS (SELECT a, c AS p, score AS ps, row_number() OVER (PARTITION BY a ORDER BY score DESC, c) AS k FROM s WHERE same QUALIFY k <= 5),
+  n AS (SELECT p.a, p, ps, s.c, s.score, row_number() OVER (PARTITION BY p.a, k ORDER BY score DESC, c) AS rank
+    FROM p JOIN s ON s.a = p.a AND NOT same AND 50 * ps <= 100 * score AND 100 * score <= 95 * ps QUALIFY rank <= 3)
+  SELECT a AS anchor_id, p AS positive_id, rank::INTEGER AS rank, c AS negative_id, ps AS positive_score, score AS negative_score FROM n"""
+
+OP13_SQL = """WITH h AS (SELECT page_id, coalesce(html, '') AS html FROM pages), k AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS x,
+  max(page_id) OVER (PARTITION BY html) AS top, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS k FROM h)
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + ((('0x' || substr(x, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to FROM k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The other operators hash with functions that DuckDB lacks, or learn; tests hold them against brute force."""
-    return {"op1_url_filters": OP1_SQL, "op10_decontamination": OP10_SQL}
+    """The other operators hash with functions that DuckDB lacks, learn, or need eigenvectors; tests hold them against brute force."""
+    return {"op1_url_filters": OP1_SQL, "op10_decontamination": OP10_SQL, "op12_hard_negatives": OP12_SQL, "op13_warc": OP13_SQL}

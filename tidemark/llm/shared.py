@@ -25,18 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a step as Parquet in the shared folder and reads it back: lineage ends there, so a lost executor costs only the
     running step. The files go when the driver's JVM ends; shuffle files of finished steps are released at once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
-    out._step = at
+    out._step = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return out
 
 
