@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import evidence, gate, ledger, metrics, signals, simulate, statistics as stats
+from tidemark.operators import evidence, gate, joint, ledger, metrics, signals, simulate, statistics as stats
 from tidemark.streaming import jobs
 
 MONDAY = datetime(2024, 1, 8)
@@ -92,7 +92,7 @@ def table(spark, columns):
 def test_block_length_follows_the_memory(spark):
     rng = np.random.default_rng(1)
     columns = {"flat": np.ones(50), "white": noise(rng, 400, 0.0), "some": noise(rng, 400, 0.5), "much": noise(rng, 400, 0.9), "two": np.array([1.0, 2.0])}
-    got = {r["pair"]: r["length"] for r in evidence.block_lengths(table(spark, columns)).collect()}
+    got = {r["pair"]: r["length"] for r in stats.block_lengths(table(spark, columns)).collect()}
     assert got == pytest.approx({k: slow_block_length(v) for k, v in columns.items()}, rel=1e-9)
     assert got["flat"] == 1 and got["white"] < got["some"] < got["much"]
 
@@ -101,15 +101,25 @@ def test_reality_check(spark):
     rng = np.random.default_rng(2)
     weak = {f"w{i}": rng.normal(size=200) for i in range(4)}
     strong = weak | {"s": rng.normal(size=200) + 0.4}
-    a = evidence.reality_check(table(spark, weak), 400).first()
-    b = evidence.reality_check(table(spark, strong), 400, 5.0).first()
+    a = joint.reality_check(table(spark, weak), 400).first()
+    b = joint.reality_check(table(spark, strong), 400, 5.0).first()
     assert b["p_consistent"] < 0.01 and b["p_plain"] < 0.01 and b["series"] == 5 and b["length"] == 5 and a["p_consistent"] > 0.05
     assert b["p_upper"] >= b["p_consistent"] and b["observations"] == 200
     x = np.column_stack([strong[k] for k in sorted(strong)])
     hac = [metrics_se(x[:, j], 4) for j in range(5)]
     assert b["t_spa"] == pytest.approx(max(math.sqrt(200) * x.mean(axis=0) / hac)) and b["t_plain"] == pytest.approx(max(math.sqrt(200) * x.mean(axis=0)))
-    drawn = evidence.joint_draws(x, range(3), 5.0, 1)
-    assert evidence.joint_draws(x, range(1, 3), 5.0, 1) == drawn[1:]
+    drawn = joint.greatest(x, range(400), 5.0, 1)  # all columns at once, draw by draw
+    assert joint.greatest(x, range(1, 3), 5.0, 1) == drawn[1:3]
+    for name, t, at in (("p_consistent", "t_spa", 1), ("p_lower", "t_spa", 2), ("p_upper", "t_spa", 3), ("p_plain", "t_plain", 4)):
+        assert b[name] == pytest.approx((1 + sum(d[at] >= b[t] for d in drawn)) / 401)
+    whole = table(spark, strong)
+    for size in (1, 3_500, 1 << 30):  # a block for each series, two a block, one block
+        assert joint.reality_check(whole, 400, 5.0, block_bytes=size).first() == b
+    gaps = whole.where("not (pair = 'w1' and ts < 20) and not (pair = 's' and ts = 70)").union(spark.createDataFrame([("w2", 999, None)], whole.schema))
+    part = joint.reality_check(gaps, 300, 5.0).first()
+    assert part["observations"] == 179 and part == joint.reality_check(whole.where("ts >= 20 and ts <> 70"), 300, 5.0).first()
+    for none in (whole.limit(0), whole.where("ts = 5"), whole.where("(pair = 's') = (ts > 50)")):
+        assert joint.reality_check(none, 50, 5.0).count() == 0
     best = evidence.best_by_studentised_mean(table(spark, strong), 5).first()
     assert best["pair"] == "s" and best["t"] == pytest.approx(max(math.sqrt(200) * x.mean(axis=0) / hac))
 
@@ -155,8 +165,54 @@ def test_event_returns_and_their_bootstrap(spark):
     rng = np.random.default_rng(3)
     for shift, low, high in ((0.5, 0, 0.01), (0.0, 0.02, 1)):
         rows = spark.createDataFrame([(b, i, float(v)) for b, n in (("x", 60), ("y", 40), ("z", 1)) for i, v in enumerate(rng.normal(size=n) + shift)], "bank string, ts long, y double")
-        r = evidence.blocked_bootstrap(rows, 500).first()
+        r = joint.blocked_bootstrap(rows, 500).first()
         assert r["events"] == 101 and low <= r["p"] <= high
+        own = {b: np.array([x["y"] for x in sorted(rows.where(f"bank = '{b}'").collect(), key=lambda x: x["ts"])]) for b in "xyz"}
+        lengths = {b: max(1, math.ceil(slow_block_length(v))) if len(v) > 1 else 1 for b, v in own.items()}
+        width, y = max(max(lengths.values()) - 1, 1), np.concatenate(list(own.values()))
+        t = lambda z: math.sqrt(len(z)) * z.mean() / metrics_se(z, min(width, len(z) - 1))
+        if width >= 1:
+            weight = lambda z: math.sqrt(len(z)) * z.mean() / joint.hac_errors(z[:, None], width)[0]
+            drawn = [weight(np.concatenate([v[joint.draw_rows(f"1|{b}|{d}", len(v), lengths[b])] - y.mean() for b, v in own.items()])) for d in range(500)]
+            assert r["t"] == pytest.approx(t(y)) and r["p"] == pytest.approx((1 + sum(v >= r["t"] for v in drawn)) / 501)
+    assert joint.blocked_bootstrap(rows.limit(0), 10).count() == 0
+
+
+def test_errors_of_runs_put_together():
+    rng = np.random.default_rng(8)
+    for width in (1, 3, 9):
+        z = rng.normal(size=40) + 0.3
+        for cuts in ([], [7], [1, 2, 3, 39], [4, 8, 12, 30], list(range(1, 40))):
+            total = None
+            for part in np.split(z, cuts):
+                s = joint.summed_up(part, width)
+                total = s if total is None else joint.put_together(total, s, width)
+            assert joint.studentised(total, width) == pytest.approx(math.sqrt(40) * z.mean() / joint.hac_errors(z[:, None], width)[0])
+
+
+def test_every_series_has_its_own_block_length(spark):
+    rng = np.random.default_rng(9)
+    columns = {"white": noise(rng, 300, 0.0), "much": noise(rng, 300, 0.8)}
+    got = {r["pair"]: r for r in stats.zero_mean_test(table(spark, columns), 400).collect()}
+    for k, x in columns.items():
+        own = float(max(1, math.ceil(slow_block_length(x))))
+        assert got[k]["length"] == own
+        again = stats.zero_mean_test(table(spark, {k: x}), 400, own).first()
+        assert [again[c] for c in ("p", "p5", "p10", "p20", "flips")] == [got[k][c] for c in ("p", "p5", "p10", "p20", "flips")]
+    assert got["much"]["length"] > got["white"]["length"]
+
+
+def test_windows_as_long_as_the_part_after_the_cutoff(spark):
+    rng = np.random.default_rng(10)
+    rows = spark.createDataFrame([(p, MONDAY + timedelta(days=i), float(v)) for p, n in (("a", 60), ("b", 90), ("c", 5)) for i, v in enumerate(rng.normal(size=n))], "pair string, ts timestamp, ret double")
+    cutoff = (MONDAY + timedelta(days=48)).isoformat(sep=" ")
+    got = {r["pair"]: r for r in metrics.placement_after(rows, cutoff).collect()}
+    assert set(got) == {"a", "b"}
+    for p, size in (("a", 12), ("b", 42)):
+        x = np.array([r["ret"] for r in rows.where(f"pair = '{p}'").orderBy("ts").collect()])
+        s = [x[i : i + size].mean() / x[i : i + size].std(ddof=1) for i in range(len(x) - size + 1)]
+        r = got[p]
+        assert r["size"] == size and r["windows"] == len(s) and r["last_sharpe"] == pytest.approx(s[-1]) and r["percentile"] == pytest.approx(np.mean(np.array(s) <= s[-1])) and r["median_sharpe"] == pytest.approx(np.median(s) * 252**0.5)
 
 
 def test_triggers_are_named_and_must_have_their_metric(spark):

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
-from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tidemark.operators.metrics import newey_west
-from tidemark.operators.statistics import CHUNK, resampled
 
 # ---- the normal distribution as arithmetic: Spark has no erf ---------------------------------------------------------------------
 
@@ -106,108 +102,7 @@ def adjusted_null_p(nulls: DataFrame, trials: int) -> DataFrame:
     return rows.withColumn("p_adjusted", F.when(F.col("null_std") < 1e-10, flat).otherwise(1 - F.expr(cdf_sql("__z")))).drop("__z")
 
 
-# ---- block length, reality check ---------------------------------------------------------------------------------------------------
-
-
-def block_length(x: np.ndarray) -> float:
-    """Automatic block length of the stationary bootstrap: the autocovariances up to twice the last significant lag, under a flat-top
-    window, give the curvature and level of the spectrum at 0, and the length goes with the cube root of their ratio. A lag is
-    insignificant where it starts a run of K lags under the threshold. 1 for a constant series; capped at a share of its size."""
-    n = len(x)
-    e = x - x.mean()
-    size = 1 << (2 * n - 1).bit_length()
-    spectrum = np.fft.rfft(e, size)
-    cov = np.fft.irfft(spectrum * np.conj(spectrum), size)[:n] / n
-    if cov[0] < 1e-14:
-        return 1.0
-    run = max(5, math.ceil(math.log10(n)))
-    small = np.abs(cov[1:]) / cov[0] < 1.959963984540054 * math.sqrt(math.log10(n) / n)
-    runs = np.flatnonzero(np.convolve(small, np.ones(run), "valid") == run) if len(small) >= run else np.zeros(0, int)
-    last = max(1, int(runs[0])) if len(runs) else n - 1  # the run starts at lag runs[0] + 1
-    m = min(2 * last, math.ceil(math.sqrt(n)) + run, n - 1)
-    lag = np.arange(1, m + 1)
-    window = np.where(lag / m < 0.5, 1.0, 2 * (1 - lag / m))
-    level, curve = cov[0] + 2 * (window * cov[1 : m + 1]).sum(), 2 * (window * lag * cov[1 : m + 1]).sum()
-    found = 1.0 if 2 * level**2 < 1e-28 or abs(curve) < 1e-28 else (curve**2 / level**2) ** (1 / 3) * n ** (1 / 3)
-    return float(min(max(found, 1.0), math.ceil(min(3 * math.sqrt(n), n / 3))))
-
-
-def series_arrays(rows: DataFrame, x: str = "ret", key: str = "pair") -> DataFrame:
-    """(pair, x): each series in time order as one array, its own length being all that one task holds."""
-    listed = F.array_sort(F.collect_list(F.struct("ts", x)))
-    return rows.where(F.col(x).isNotNull()).groupBy(key).agg(F.transform(listed, lambda r: r[x]).alias("x"))
-
-
-def block_lengths(rows: DataFrame, x: str = "ret") -> DataFrame:
-    """(pair, n, length) of every series with 2 values at least."""
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            xs = [np.asarray(v.values, float) for v in batch["x"]]
-            yield pa.RecordBatch.from_arrays([batch["pair"], pa.array([len(v) for v in xs], pa.int64()), pa.array([block_length(v) for v in xs])], names=["pair", "n", "length"])
-
-    return series_arrays(rows, x).where(F.size("x") > 1).mapInArrow(run, "pair string, n bigint, length double")
-
-
-def hac_errors(x: np.ndarray, bandwidth: int) -> np.ndarray:
-    """Newey-West standard errors of the means of the columns of x."""
-    n = len(x)
-    e = x - x.mean(axis=0)
-    total = (e * e).sum(axis=0) / n
-    for k in range(1, min(max(bandwidth, 1), n - 1) + 1):
-        total += 2 * (1 - k / (max(bandwidth, 1) + 1)) * (e[k:] * e[:-k]).sum(axis=0) / n
-    return np.maximum(np.sqrt(np.maximum(total, 1e-12) / n), 1e-12)
-
-
-def joint_draws(x: np.ndarray, draws: range, length: float, seed: int) -> list[tuple]:
-    """(draw, consistent, lower, upper, plain): greatest statistics of joint circular resamples of the rows of x. Means are recentred at
-    their positive parts, at themselves and at 0, in standard errors of the resample; plain is recentred at themselves without errors."""
-    n, mean, out = len(x), x.mean(axis=0), []
-    for draw in draws:
-        u = np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.md5(f"{seed}|spa|{draw}".encode()).digest()))).random((2, n))
-        y = x[resampled(u[0], u[1], length)]
-        m, error = y.mean(axis=0), hac_errors(y, max(int(length) - 1, 1))
-        root = math.sqrt(n)
-        out.append((draw, *(float((root * (m - c) / error).max()) for c in (np.maximum(mean, 0), mean, 0.0)), float((root * (m - mean)).max())))
-    return out
-
-
-def reality_check(rows: DataFrame, n: int, length: float | None = None, seed: int = 1) -> DataFrame:
-    """(series, observations, length, t_spa, t_plain, p_consistent, p_lower, p_upper, p_plain) of the best of all series (pair, ts, ret) at the
-    times that all share. length: by default the greatest automatic one. The resamples draw whole rows, so every task of CHUNK draws
-    gets the whole table of times x series; what leaves it are five numbers a draw."""
-    pairs = rows.where("ret is not null").select("pair").distinct()
-    k = pairs.count()
-    shared = rows.where("ret is not null").groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("pair", "ret"))).alias("r")).where(F.size("r") == k)
-    table = shared.agg(F.array_sort(F.collect_list(F.struct("ts", F.col("r.ret").alias("x")))).alias("t")).select(F.transform("t", lambda v: v["x"]).alias("x"))
-    if length is None:
-        own = block_lengths(rows.join(shared.select("ts"), "ts", "left_semi"))
-        length = float(max(1, math.ceil(own.agg(F.max("length")).first()[0] or 1)))
-    chunks = -(-n // CHUNK)
-    d = table.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(chunks, "chunk")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                x = np.array(r["x"], float)
-                if len(x) < 2:
-                    continue
-                error, mean = hac_errors(x, max(int(length) - 1, 1)), x.mean(axis=0)
-                seen = float((math.sqrt(len(x)) * mean / error).max()), float((math.sqrt(len(x)) * mean).max())
-                out = joint_draws(x, range(r["chunk"] * CHUNK, min(n, (r["chunk"] + 1) * CHUNK)), length, seed)
-                cols = [*zip(*out), [len(x)] * len(out), [x.shape[1]] * len(out), [seen[0]] * len(out), [seen[1]] * len(out)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["draw", "c", "l", "u", "w", "observations", "series", "t_spa", "t_plain"])
-
-    drawn = d.mapInArrow(run, "draw bigint, c double, l double, u double, w double, observations bigint, series bigint, t_spa double, t_plain double")
-    def p(x: str, t: str) -> Column:
-        return (1 + F.count_if(F.col(x) >= F.col(t))) / (F.count("*") + 1)
-
-    return drawn.groupBy("series", "observations", "t_spa", "t_plain").agg(
-        F.lit(length).alias("length"), p("c", "t_spa").alias("p_consistent"), p("l", "t_spa").alias("p_lower"), p("u", "t_spa").alias("p_upper"), p("w", "t_plain").alias("p_plain")
-    )
+# ---- reality check ---------------------------------------------------------------------------------------------------
 
 
 def best_by_studentised_mean(rows: DataFrame, length: int, x: str = "ret", bars_per_year: float = 252.0) -> DataFrame:
@@ -257,43 +152,6 @@ def event_returns(events: DataFrame, members: DataFrame, bars: DataFrame, cost:
     return grouped.where("direction <> 0 and mean is not null").withColumn("y", F.col("direction") * F.col("mean"))
 
 
-def blocked_draws(banks: list[tuple[np.ndarray, int]], draws: range, seed: int) -> tuple[float, list[float]]:
-    """(t, greatest t of each draw): of all y, and of resamples of each bank's y less the mean of all, in blocks of the bank's own length."""
-    y = np.concatenate([b for b, _ in banks])
-    width = max(max(length for _, length in banks) - 1, 1)
-    root, out = math.sqrt(len(y)), []
-    for draw in draws:
-        parts = []
-        for i, (b, length) in enumerate(banks):
-            u = np.random.Generator(np.random.PCG64(int.from_bytes(hashlib.md5(f"{seed}|{i}|{draw}".encode()).digest()))).random((2, len(b)))
-            parts.append(b[resampled(u[0], u[1], length)] - y.mean())
-        z = np.concatenate(parts)
-        out.append(float(root * z.mean() / hac_errors(z[:, None], width)[0]))
-    return float(root * y.mean() / hac_errors(y[:, None], width)[0]), out
-
-
-def blocked_bootstrap(returns: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """(events, t, p) of event returns (bank, ts, y): the studentised mean of all against n resamples within each bank."""
-    banks = series_arrays(returns, "y", "bank")
-    all_banks = banks.agg(F.sort_array(F.collect_list(F.struct("bank", "x"))).alias("banks"))
-    chunks = -(-n // CHUNK)
-    d = all_banks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(chunks, "chunk")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                xs = [np.array(b["x"], float) for b in r["banks"]]
-                if not xs:
-                    continue
-                held = [(x, max(1, math.ceil(block_length(x))) if len(x) > 1 else 1) for x in xs]
-                t, out = blocked_draws(held, range(r["chunk"] * CHUNK, min(n, (r["chunk"] + 1) * CHUNK)), seed)
-                yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, xs))] * len(out)), pa.array([t] * len(out)), pa.array(out)], names=["events", "t", "b"])
-
-    return d.mapInArrow(run, "events bigint, t double, b double").groupBy("events", "t").agg(((1 + F.count_if(F.col("b") >= F.col("t"))) / (F.count("*") + 1)).alias("p"))
-
-
 def decide(rows: DataFrame, kill: float = 0.0422, reject: float = 0.0378, least_dsr: float = 0.95) -> DataFrame:
     """rows (failure, p_late, p_all, dsr) with `rule`: the first of technical failure, late p over `kill`, whole p over `kill`, both under
     `reject` with a deflated Sharpe of `least_dsr`; else ambiguous."""

@@ -97,11 +97,31 @@ def window_placement(rows: DataFrame, n: int, bars_per_year: float = 252.0) -> D
     """(pair, windows, last_sharpe, percentile, median_sharpe): Sharpe of the last n rows among all windows of n; the median is annual."""
     w = last_n(n)
     s = F.when(F.count("ret").over(w) == n, F.avg("ret").over(w) / F.nullif(F.stddev_samp("ret").over(w), F.lit(0.0)))
-    rows = rows.withColumn("s", F.round(s, 12)).where("s is not null")
+    return _placed(rows.withColumn("s", F.round(s, 12)), bars_per_year)
+
+
+def _placed(rows: DataFrame, bars_per_year: float) -> DataFrame:
+    rows = rows.where("s is not null")
     rows = rows.join(rows.groupBy("pair").agg(F.max_by("s", "ts").alias("last_sharpe")), "pair")
     return rows.groupBy("pair", "last_sharpe").agg(F.count("*").alias("windows"), F.avg((F.col("s") <= F.col("last_sharpe")).cast("double")).alias("percentile"), (F.percentile("s", 0.5) * bars_per_year**0.5).alias("median_sharpe"))
 
 
+def placement_after(rows: DataFrame, cutoff, bars_per_year: float = 252.0) -> DataFrame:
+    """(pair, size, windows, last_sharpe, percentile, median_sharpe): window_placement() with windows as long as each series' own part at or
+    after the cutoff. Windows of any length come from sums up to each row, less those `size` rows before (values less the series' mean,
+    so that the sums stay small)."""
+    part = rows.where("ret is not null").groupBy("pair").agg(F.avg("ret").alias("mean"), F.count_if(F.col("ts") >= F.lit(cutoff).cast("timestamp")).alias("size")).where("size > 1")
+    held = rows.where("ret is not null").join(part, "pair").withColumn("e", F.col("ret") - F.col("mean"))
+    held = held.select("pair", "ts", "size", "mean", F.row_number().over(by_ts()).alias("i"), F.sum("e").over(by_ts()).alias("a"), F.sum(F.col("e") * F.col("e")).over(by_ts()).alias("b"))
+    before = held.select("pair", (F.col("i") + F.col("size")).alias("i"), F.col("a").alias("a0"), F.col("b").alias("b0"))
+    held = held.where("i >= size").join(before, ["pair", "i"], "left").na.fill(0.0, ["a0", "b0"])
+    total, square, n = F.col("a") - F.col("a0"), F.col("b") - F.col("b0"), F.col("size")
+    var = (square - total * total / n) / (n - 1)
+    s = F.when(var > 1e-18, (F.col("mean") + total / n) / F.sqrt(var))
+    sizes = part.select("pair", "size")
+    return _placed(held.withColumn("s", F.round(s, 12)), bars_per_year).join(sizes, "pair")
+
+
 def drawdown_catalogue(rows: DataFrame, least: float = 0.05) -> DataFrame:
     """(pair, peak_ts, trough_ts, recovery_ts, depth) of drawdowns of at least `least`; recovery is null while none. Rank 1 is the worst."""
     rows = drawdowns(rows).withColumn("island", F.count_if(F.col("equity") >= F.col("peak")).over(by_ts()))

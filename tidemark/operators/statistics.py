@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -82,46 +84,94 @@ def resampled(restart: np.ndarray, start: np.ndarray, length: float) -> np.ndarr
     return (np.floor(start[block] * len(t)).astype(np.int64) + t - block) % len(t)
 
 
+def block_length(x: np.ndarray) -> float:
+    """Automatic block length of the stationary bootstrap: the autocovariances up to twice the last significant lag, under a flat-top
+    window, give the curvature and level of the spectrum at 0, and the length goes with the cube root of their ratio. A lag is
+    insignificant where it starts a run of K lags under the threshold. 1 for a constant series; capped at a share of its size."""
+    n = len(x)
+    e = x - x.mean()
+    size = 1 << (2 * n - 1).bit_length()
+    spectrum = np.fft.rfft(e, size)
+    cov = np.fft.irfft(spectrum * np.conj(spectrum), size)[:n] / n
+    if cov[0] < 1e-14:
+        return 1.0
+    run = max(5, math.ceil(math.log10(n)))
+    small = np.abs(cov[1:]) / cov[0] < 1.959963984540054 * math.sqrt(math.log10(n) / n)
+    runs = np.flatnonzero(np.convolve(small, np.ones(run), "valid") == run) if len(small) >= run else np.zeros(0, int)
+    last = max(1, int(runs[0])) if len(runs) else n - 1  # the run starts at lag runs[0] + 1
+    m = min(2 * last, math.ceil(math.sqrt(n)) + run, n - 1)
+    lag = np.arange(1, m + 1)
+    window = np.where(lag / m < 0.5, 1.0, 2 * (1 - lag / m))
+    level, curve = cov[0] + 2 * (window * cov[1 : m + 1]).sum(), 2 * (window * lag * cov[1 : m + 1]).sum()
+    found = 1.0 if 2 * level**2 < 1e-28 or abs(curve) < 1e-28 else (curve**2 / level**2) ** (1 / 3) * n ** (1 / 3)
+    return float(min(max(found, 1.0), math.ceil(min(3 * math.sqrt(n), n / 3))))
+
+
+def series_arrays(rows: DataFrame, x: str = "ret", key: str = "pair") -> DataFrame:
+    """(pair, x): each series in time order as one array, its own length being all that one task holds."""
+    listed = F.array_sort(F.collect_list(F.struct("ts", x)))
+    return rows.where(F.col(x).isNotNull()).groupBy(key).agg(F.transform(listed, lambda r: r[x]).alias("x"))
+
+
+def block_lengths(rows: DataFrame, x: str = "ret") -> DataFrame:
+    """(pair, n, length) of every series with 2 values at least."""
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            xs = [np.asarray(v.values, float) for v in batch["x"]]
+            yield pa.RecordBatch.from_arrays([batch["pair"], pa.array([len(v) for v in xs], pa.int64()), pa.array([block_length(v) for v in xs])], names=["pair", "n", "length"])
+
+    return series_arrays(rows, x).where(F.size("x") > 1).mapInArrow(run, "pair string, n bigint, length double")
+
+
 def sharpe_of(x: np.ndarray, bars_per_year: float = 252.0) -> float:
     s = x.std(ddof=1) if len(x) > 1 else 0.0
     return float(x.mean() / s * bars_per_year**0.5) if s > 0 else 0.0
 
 
-def bootstrap_draws(rows: DataFrame, n: int, tests: list[tuple[str, float]], seed: int = 1) -> DataFrame:
-    """(pair, test, draw, mean, null_sharpe) of n stationary resamples of `ret` for each (test, block length): the mean, and the Sharpe of
-    the resampled series less the mean of the whole one. A series travels as one array to tasks of CHUNK draws each, and only statistics
-    leave them. Every draw has its own generator, seeded by series, test and draw, so that partitioning does not change it."""
-    series = rows.where("ret is not null").groupBy("pair").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "ret"))), lambda x: x["ret"]).alias("x"))
-    given = F.array(*(F.struct(F.lit(t).alias("test"), F.lit(float(length)).alias("length")) for t, length in tests))
+def bootstrap_draws(rows: DataFrame, n: int, tests: list[tuple[str, float | None]], seed: int = 1) -> DataFrame:
+    """(pair, test, length, draw, mean, null_sharpe) of n stationary resamples of `ret` for each (test, block length): the mean, and the Sharpe
+    of the resampled series less the mean of the whole one. A length of None is each series' own automatic one, rounded up, from a
+    joined table. A series travels as one array to tasks of CHUNK draws each, and only statistics leave them. Every draw has its own
+    generator, seeded by series, test and draw, so that partitioning does not change it."""
+    given = F.array(*(F.struct(F.lit(t).alias("test"), F.lit(None if length is None else float(length)).cast("double").alias("length")) for t, length in tests))
     chunks = -(-n // CHUNK)
-    d = series.select("pair", "x", F.inline(given)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    series = series_arrays(rows)
+    if any(length is None for _, length in tests):
+        own = block_lengths(rows).select("pair", F.greatest(F.lit(1.0), F.ceil("length").cast("double")).alias("own"))
+        series = series.join(own, "pair", "left")
+    else:
+        series = series.withColumn("own", F.lit(1.0))
+    d = series.select("pair", "x", "own", F.inline(given)).withColumn("length", F.coalesce("length", "own", F.lit(1.0))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     d = d.repartition(max(1, len(tests) * chunks), "pair", "test", "chunk")
-    columns = ["pair", "test", "draw", "mean", "null_sharpe"]
+    columns = ["pair", "test", "length", "draw", "mean", "null_sharpe"]
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                x = np.array(r["x"], float)
-                mean = x.mean()
-                out = []
-                for draw in range(r["chunk"] * CHUNK, min(n, (r["chunk"] + 1) * CHUNK)):
-                    key = hashlib.md5(f"{seed}|{r['test']}|{r['pair']}|{draw}".encode()).digest()
+            for pair, test, length, chunk, values in zip(*(batch[c].to_pylist() for c in ("pair", "test", "length", "chunk")), batch["x"]):
+                x = np.asarray(values.values, float)
+                mean, out = x.mean(), []
+                for draw in range(chunk * CHUNK, min(n, (chunk + 1) * CHUNK)):
+                    key = hashlib.md5(f"{seed}|{test}|{pair}|{draw}".encode()).digest()
                     u = np.random.Generator(np.random.PCG64(int.from_bytes(key))).random((2, len(x)))
-                    y = x[resampled(u[0], u[1], r["length"])]
-                    out.append((r["pair"], r["test"], draw, float(y.mean()), sharpe_of(y - mean)))
+                    y = x[resampled(u[0], u[1], length)]
+                    out.append((pair, test, length, draw, float(y.mean()), sharpe_of(y - mean)))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=columns)
 
-    return d.mapInArrow(run, "pair string, test string, draw bigint, mean double, null_sharpe double")
+    return d.mapInArrow(run, "pair string, test string, length double, draw bigint, mean double, null_sharpe double")
 
 
-def zero_mean_test(rows: DataFrame, n: int, length: float, others: tuple[int, ...] = (5, 10, 20), alpha: float = 0.05) -> DataFrame:
-    """(pair, sharpe, draws, p, p5, p10, p20, flips): p = (1 + null Sharpes of at least the observed one) / (n + 1) at the given block
-    length and, drawn anew, at the others; `flips` where one of those gives the other verdict at alpha."""
+def zero_mean_test(rows: DataFrame, n: int, length: float | None = None, others: tuple[int, ...] = (5, 10, 20), alpha: float = 0.05) -> DataFrame:
+    """(pair, sharpe, length, draws, p, p5, p10, p20, flips): p = (1 + null Sharpes of at least the observed one) / (n + 1) at the given block
+    length (None: the series' own automatic one) and, drawn anew, at the others; `flips` where one of those gives the other verdict at
+    alpha."""
     tests = [("p", length), *((f"p{k}", float(k)) for k in others)]
     seen = rows.where("ret is not null").groupBy("pair").agg(sharpe().alias("sharpe"))
     r = bootstrap_draws(rows, n, tests).join(seen, "pair")
     p = [((1 + F.count_if((F.col("test") == t) & (F.col("null_sharpe") >= F.col("sharpe")))) / (n + 1)).alias(t) for t, _ in tests]
-    out = r.groupBy("pair", "sharpe").agg(F.count_if(F.col("test") == "p").alias("draws"), *p)
+    main = F.max(F.when(F.col("test") == "p", F.col("length"))).alias("length")
+    out = r.groupBy("pair", "sharpe").agg(main, F.count_if(F.col("test") == "p").alias("draws"), *p)
     flips = F.lit(False)
     for t, _ in tests[1:]:
         flips = flips | ((F.col(t) > alpha) != (F.col("p") > alpha))

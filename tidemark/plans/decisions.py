@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, evidence, indicators as ind, joins, metrics, signals, simulate, statistics as stats
-from tidemark.plans.market import BY, DAILY, HOURLY, LEDGER, POS, SIMPLE, TR, _indicator, _ledger, _net, _returns, frame, full, r, register, rounded
+from tidemark.operators import events, evidence, indicators as ind, joint, metrics, signals, simulate, statistics as stats
+from tidemark.plans.market import BY, CUTOFF, DAILY, HOURLY, LEDGER, POS, SIMPLE, TR, _indicator, _ledger, _net, _returns, frame, full, r, register, rounded
 from tidemark.plans.research import ADMITTED, BANKS, EVENTS, PASTW, RESAMPLES, SHARPE, SWEPT, CELLS, _events
 from tidemark.sources import tables
 from tidemark.streaming import jobs
@@ -64,26 +64,33 @@ def _(spark, sf):
 
 @register("st2_block_length")
 def _(spark, sf):
-    return rounded(evidence.block_lengths(_net(spark, sf)))
-
-
-def _aligned(spark, sf):
-    """Net returns at the times of any series; a series without a bar there earns nothing."""
-    return joins.outer_zero(_net(spark, sf).select("pair", "ts", "ret"))
+    return rounded(stats.block_lengths(_net(spark, sf)))
 
 
 @register("st6_reality_check")
 def _(spark, sf):
-    return rounded(evidence.reality_check(_aligned(spark, sf), RESAMPLES), 9)
+    return rounded(joint.reality_check(_net(spark, sf), RESAMPLES), 9)
 
 
 @register("st7_combined_verdict")
 def _(spark, sf):
+    """The part at or after the cutoff is judged; placement looks at windows of its length in the whole history."""
     rows = _net(spark, sf)
-    zero = stats.zero_mean_test(rows, RESAMPLES, 10.0).select("pair", "p", "flips")
-    placed = metrics.window_placement(rows, 250).select("pair", "percentile", "median_sharpe")
-    joint = evidence.reality_check(_aligned(spark, sf), RESAMPLES).select("p_consistent")  # one row
-    return rounded(evidence.combined_verdict(zero.join(placed, "pair").crossJoin(F.broadcast(joint))))
+    late = rows.where(F.col("ts") >= F.lit(CUTOFF).cast("timestamp"))
+    zero = stats.zero_mean_test(late, RESAMPLES).select("pair", "length", "p", "p5", "p10", "p20", "flips")
+    placed = metrics.placement_after(rows, CUTOFF).select("pair", F.col("size").alias("window"), "percentile", "median_sharpe")
+    check = joint.reality_check(late, RESAMPLES).select("p_consistent")  # one row
+    return rounded(evidence.combined_verdict(zero.join(placed, "pair").crossJoin(F.broadcast(check))))
+
+
+PLACED = f"""e AS (SELECT pair, ts, ret, row_number() OVER {BY} AS i, count(*) FILTER (ts >= TIMESTAMP '{CUTOFF}') OVER (PARTITION BY pair) AS size FROM net),
+  s AS (SELECT a.pair, a.ts, a.size, round(avg(b.ret) / nullif(stddev_samp(b.ret), 0), 12) AS s FROM e a JOIN e b ON a.pair = b.pair AND b.i > a.i - a.size AND b.i <= a.i WHERE a.i >= a.size AND a.size > 1 GROUP BY a.pair, a.ts, a.size),
+  l AS (SELECT pair, arg_max(s, ts) AS last FROM s WHERE s IS NOT NULL GROUP BY pair)"""
+
+
+@register("st5_placement_after", f"WITH {DAILY}, {POS}, {PLACED} SELECT pair, size, count(*) AS windows, {r('last', 'last_sharpe')}, {r('avg((s <= last)::INT)', 'percentile')}, {r('quantile_cont(s, 0.5) * sqrt(252)', 'median_sharpe')} FROM s JOIN l USING (pair) WHERE s IS NOT NULL GROUP BY pair, size, last")
+def _(spark, sf):
+    return rounded(metrics.placement_after(_net(spark, sf), CUTOFF))
 
 
 @register("st8_best_studentised", f"""WITH {DAILY}, {SWEPT}, c AS (SELECT pair, ts, ret - avg(ret) OVER (PARTITION BY pair) AS e, count(*) OVER (PARTITION BY pair) AS n, avg(ret) OVER (PARTITION BY pair) AS mean, stddev_samp(ret) OVER (PARTITION BY pair) AS sd FROM net),
@@ -124,14 +131,14 @@ def _(spark, sf):
 
 @register("st13_blocked_bootstrap")
 def _(spark, sf):
-    return rounded(evidence.blocked_bootstrap(_event_returns(spark, sf), RESAMPLES))
+    return rounded(joint.blocked_bootstrap(_event_returns(spark, sf), RESAMPLES))
 
 
 @register("st14_decision")
 def _(spark, sf):
     rows = _event_returns(spark, sf)
-    late = evidence.blocked_bootstrap(rows.where("ts >= timestamp'1995-01-01'"), RESAMPLES, 2).select(F.col("p").alias("p_late"))
-    whole = evidence.blocked_bootstrap(rows, RESAMPLES).select(F.col("p").alias("p_all"))
+    late = joint.blocked_bootstrap(rows.where("ts >= timestamp'1995-01-01'"), RESAMPLES, 2).select(F.col("p").alias("p_late"))
+    whole = joint.blocked_bootstrap(rows, RESAMPLES).select(F.col("p").alias("p_all"))
     pooled = rows.agg(F.count("y").alias("n"), F.skewness("y").alias("skew"), F.kurtosis("y").alias("kurt"), stats.sharpe("y").alias("sharpe"), F.lit(30).alias("trials"))
     one = late.crossJoin(whole).crossJoin(evidence.deflated_sharpe(pooled).select("dsr")).withColumn("failure", F.lit(False))  # one row each
     return rounded(evidence.decide(one))

@@ -420,7 +420,7 @@ def _(spark, sf):
 
 @register("st4_zero_mean_test_full")
 def _(spark, sf):
-    return rounded(stats.zero_mean_test(_net(spark, sf), RESAMPLES, 10.0), 9)
+    return rounded(stats.zero_mean_test(_net(spark, sf), RESAMPLES), 9)
 
 
 @register("st14_event_summary", f"WITH {DAILY}, {POS}, {TRADES} SELECT pair, count(pnl_pips) AS events, {r('CASE WHEN stddev_samp(pnl_pips) > 0 THEN avg(pnl_pips) / stddev_samp(pnl_pips) ELSE 0 END', 'sharpe')}, {r('avg((pnl_pips > 0)::INT)', 'continued')} FROM trades GROUP BY ROLLUP (pair)")
