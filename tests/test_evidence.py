@@ -187,7 +187,7 @@ def test_errors_of_runs_put_together():
             for part in np.split(z, cuts):
                 s = joint.summed_up(part, width)
                 total = s if total is None else joint.put_together(total, s, width)
-            assert joint.studentised(total, width) == pytest.approx(math.sqrt(40) * z.mean() / joint.hac_errors(z[:, None], width)[0])
+            assert joint.mean_and_error(total, width) == pytest.approx((z.mean(), joint.hac_errors(z[:, None], width)[0]))
 
 
 def test_every_series_has_its_own_block_length(spark):
@@ -266,13 +266,6 @@ def test_families_and_reversal(spark):
         assert got["momentum_3"][t] == (float(np.sign(round(math.log(close[h] / close[h - 3]), 12))) if h >= 3 else 0)
 
 
-def test_envelope_states():
-    z = [0.0, 2.5, 3.5, None, 0.4, 9.0, -2.2, -2.4, 2.5, 0.0, 3.0, 3.0, 3.0, 3.0, 3.0, 3.0]
-    got = signals.envelope_states(z, 2.0, 0.5, 1.0, 3)
-    assert got == pytest.approx([0, -0.5, -1, 0, 0, 0, 0.2, 0.4, 0, 0, -1, -1, -1, -1, 0, 0])
-    assert signals.envelope_states([None, float("nan")], 2.0, 0.5, 1.0, 3) == [0, 0]
-
-
 def test_equity_trade_by_trade(spark):
     close, sig = [100.0, 101.0, 103.0, 102.0, 99.0, 98.0, 97.0, 100.0], [0.0, 1.0, 1.0, -1.0, -1.0, 0.0, 1.0, 1.0]
     rows = spark.createDataFrame([("a", MONDAY + timedelta(days=i), c, s, 2.0, 1.0) for i, (c, s) in enumerate(zip(close, sig))], "pair string, ts timestamp, close double, signal double, atr double, spread_median_pips double")

@@ -127,14 +127,14 @@ def combined_verdict(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
 # ---- event studies -----------------------------------------------------------------------------------------------------------------
 
 
-def event_bars(bars: DataFrame, events: DataFrame, x: str = "close") -> DataFrame:
+def event_bars(bars: DataFrame, events: DataFrame, x: str = "close", also: tuple[str, ...] = ()) -> DataFrame:
     """events (pair, ts, ..) with the first bar at or after them: bar_ts, and x of that bar (d0), the one before (before) and the next two (d1,
-    d2); null where there is none."""
+    d2), and its columns `also`; null where there is none."""
     from tidemark.operators.joins import asof
 
     w = W.partitionBy("pair").orderBy("ts")
-    numbered = bars.withColumn("b", F.struct(F.col("ts").alias("bar_ts"), F.lag(x).over(w).alias("before"), F.col(x).alias("d0"), F.lead(x).over(w).alias("d1"), F.lead(x, 2).over(w).alias("d2")))
-    return asof(events, numbered.select("pair", "ts", "b"), "b", forward=True).select("*", "b.*").drop("b")
+    around = F.struct(F.col("ts").alias("bar_ts"), F.lag(x).over(w).alias("before"), F.col(x).alias("d0"), F.lead(x).over(w).alias("d1"), F.lead(x, 2).over(w).alias("d2"), *also)
+    return asof(events, bars.select("pair", "ts", around.alias("b")), "b", forward=True).select("*", "b.*").drop("b")
 
 
 def event_returns(events: DataFrame, members: DataFrame, bars: DataFrame, cost: str, suppressed: str) -> DataFrame:
@@ -142,9 +142,9 @@ def event_returns(events: DataFrame, members: DataFrame, bars: DataFrame, cost:
     event bar against the bar before, on the reference; mean: over the members whose bar is not `suppressed` of the move from the event
     bar to the second after it, as a share, less `cost` of its bar as a share; y = direction * mean. Events without a move on the
     reference, or without a member that counts, are left out."""
-    asked = events.join(members, "bank")
-    found = event_bars(bars, asked.select("pair", "ts", "bank", "reference"))
-    found = found.join(bars.select("pair", F.col("ts").alias("bar_ts"), F.col(cost).alias("__cost"), F.col(suppressed).alias("__off")), ["pair", "bar_ts"], "left")
+    asked = events.join(members, "bank").select("pair", "ts", "bank", "reference")
+    marked = bars.withColumns({"__cost": F.col(cost), "__off": F.col(suppressed)})
+    found = event_bars(marked, asked, also=("__cost", "__off"))
     counts = ~F.coalesce("__off", F.lit(True)) & F.col("d2").isNotNull()
     grouped = found.groupBy("bank", "ts").agg(
         F.max(F.when(F.col("reference"), F.signum(F.round(F.col("d0") - F.col("before"), 9)))).alias("direction"), F.avg(F.when(counts, F.col("d2") / F.col("d0") - 1 - F.col("__cost"))).alias("mean")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from tidemark.operators import chunks
+
+
 def by_ts():
     """Rows of one series in time order."""
     return W.partitionBy("pair").orderBy("ts")
@@ -58,18 +61,10 @@ def rolling_sharpe(bars: DataFrame, n: int = 60, bars_per_year: float = 252.0) -
     return bars.withColumn("sharpe", F.when(std > 0, sma("r", n) / std * F.sqrt(F.lit(bars_per_year))))
 
 
-def ema_columns(df: DataFrame, spans: dict[str, tuple[str, float, int]]) -> DataFrame:
-    """Adds recursive means: {out: (column, alpha, least observations)}. The first non-null value seeds the mean; leading nulls wait.
-    A path-dependent recursion: one vectorised pass for each series, series in parallel."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{o}` double" for o in spans])
-
-    def run(pdf):
-        pdf = pdf.sort_values("ts", kind="stable")
-        for out, (col, alpha, least) in spans.items():
-            pdf[out] = pdf[col].ewm(alpha=alpha, adjust=False, min_periods=least).mean()
-        return pdf
-
-    return df.groupBy("pair").applyInPandas(run, schema)
+def ema_columns(df: DataFrame, spans: dict[str, tuple[str, float, int]], length: int = chunks.ROWS, span: int = chunks.SPAN) -> DataFrame:
+    """Adds recursive means: {out: (column, alpha, least observations)}. The first non-null value seeds the mean; leading nulls wait. See
+    chunks.recursive_means(): series are cut into chunks of at most `length` rows within `span` seconds."""
+    return chunks.recursive_means(df, spans, length, span)
 
 
 def ema(bars: DataFrame, n: int, x: str = "close", out: str = "ema") -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.operators.joins import common_times
-from tidemark.operators.statistics import CHUNK, block_lengths, resampled, series_arrays
+from tidemark.operators.statistics import CHUNK, block_length, block_lengths, resampled, series_arrays
 
 #: Bytes of the values of one block of series, about.
 BLOCK_BYTES = 4 << 20
@@ -136,15 +136,15 @@ def put_together(a: tuple, b: tuple, width: int) -> tuple:
     return a[0] + b[0], a[1] + b[1], products, np.concatenate([a[3], b[3]])[:width], np.concatenate([a[4], b[4]])[-width:]
 
 
-def studentised(s: tuple, width: int) -> float:
-    """root(n) * mean over its Newey-West error, of summed_up()."""
+def mean_and_error(s: tuple, width: int) -> tuple[float, float]:
+    """Mean and its Newey-West error, of summed_up()."""
     n, total, products, head, tail = s
     m = total / n
     at = np.arange(min(width, n - 1) + 1)
     first, last = np.concatenate([[0.0], np.cumsum(head)])[at], np.concatenate([[0.0], np.cumsum(tail[::-1])])[at]
     cov = products[at] - m * (total - last) - m * (total - first) + (n - at) * m * m
     level = (cov[0] + 2 * ((1 - at[1:] / (width + 1)) * cov[1:]).sum()) / n
-    return math.sqrt(n) * m / max(math.sqrt(max(level, 1e-12) / n), 1e-12)
+    return m, max(math.sqrt(max(level, 1e-12) / n), 1e-12)
 
 
 def blocked_bootstrap(returns: DataFrame, n: int, seed: int = 1) -> DataFrame:
@@ -152,38 +152,40 @@ def blocked_bootstrap(returns: DataFrame, n: int, seed: int = 1) -> DataFrame:
     bank's own automatic length, less the mean of all. A task takes one bank and CHUNK draws; per draw it returns what the bank adds to
     the pooled error, and the banks of a draw are put together in order of their names. Without events no rows."""
     events = returns.where("y is not null").select("bank", "ts", "y")
-    lengths = block_lengths(events.select(F.col("bank").alias("pair"), "ts", F.col("y").alias("ret"))).select(F.col("pair").alias("bank"), F.greatest(F.lit(1), F.ceil("length")).cast("int").alias("length"))
-    one = events.agg(F.avg("y").alias("mean"), F.count("*").alias("events")).first()
-    if not one["events"]:
-        return returns.sparkSession.createDataFrame([], "events long, t double, p double")
-    mean, width = one["mean"], max((lengths.agg(F.max("length")).first()[0] or 1) - 1, 1)
+    lengths = block_lengths(events.select(F.col("bank").alias("pair"), "ts", F.col("y").alias("ret")))
+    width = max(math.ceil(lengths.agg(F.max("length")).first()[0] or 1) - 1, 1)
     chunks = -(-n // CHUNK)
-    banks = series_arrays(events, "y", "bank").join(lengths, "bank", "left").withColumn("length", F.coalesce("length", F.lit(1)))
-    dealt = banks.withColumn("chunk", F.explode(F.sequence(F.lit(-1), F.lit(chunks - 1)))).repartition(max(1, chunks), "bank", "chunk")
+    dealt = series_arrays(events, "y", "bank").withColumn("chunk", F.explode(F.sequence(F.lit(-1), F.lit(chunks - 1)))).repartition(max(1, chunks), "bank", "chunk")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         listed = pa.list_(pa.float64())
         for batch in batches:
-            for bank, x, length, chunk in zip(batch["bank"].to_pylist(), batch["x"], batch["length"].to_pylist(), batch["chunk"].to_pylist()):
+            for bank, x, chunk in zip(batch["bank"].to_pylist(), batch["x"], batch["chunk"].to_pylist()):
                 y = np.asarray(x.values, float)
+                length = max(1, math.ceil(block_length(y))) if len(y) > 1 else 1
                 draws = [-1] if chunk < 0 else range(chunk * CHUNK, min(n, (chunk + 1) * CHUNK))
-                out = [(d, bank, *summed_up(y if d < 0 else y[draw_rows(f"{seed}|{bank}|{d}", len(y), length)] - mean, width)) for d in draws]
+                out = [(d, bank, *summed_up(y if d < 0 else y[draw_rows(f"{seed}|{bank}|{d}", len(y), length)], width)) for d in draws]
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.float64(), listed, listed, listed]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["draw", "bank", "n", "total", "products", "head", "tail"])
 
     def join(key, table):
         import pyarrow as pa
 
-        total = None
-        for r in table.sort_by("bank").to_pylist():
+        totals: dict[int, tuple] = {}
+        for r in table.sort_by([("draw", "ascending"), ("bank", "ascending")]).to_pylist():
             part = (r["n"], r["total"], *(np.array(r[c]) for c in ("products", "head", "tail")))
-            total = part if total is None else put_together(total, part, width)
-        return pa.table({"draw": [key[0].as_py()], "t": [studentised(total, width)]})
+            totals[r["draw"]] = put_together(totals[r["draw"]], part, width) if r["draw"] in totals else part
+        found = [(t[0], *mean_and_error(t, width)) for t in totals.values()]
+        return pa.table({"draw": pa.array(list(totals), pa.int64()), **{k: pa.array(c) for k, c in zip(("events", "mean", "error"), zip(*found))}})
 
     parts = dealt.mapInArrow(run, "draw bigint, bank string, n bigint, total double, products array<double>, head array<double>, tail array<double>")
-    drawn = parts.groupBy("draw").applyInArrow(join, "draw bigint, t double")
-    seen = drawn.where("draw < 0").select(F.col("t").alias("seen"))  # one row
-    both = drawn.where("draw >= 0").crossJoin(F.broadcast(seen))
-    return both.groupBy("seen").agg(((1 + F.count_if(F.col("t") >= F.col("seen"))) / (n + 1)).alias("p")).select(F.lit(one["events"]).cast("long").alias("events"), F.col("seen").alias("t"), "p")
+    drawn = parts.withColumn("some", F.floor(F.col("draw") / CHUNK)).groupBy("some").applyInArrow(join, "draw bigint, events bigint, mean double, error double")
+    # one struct for draw -1, all events as they are; the others are counted against it
+    seen = F.max(F.when(F.col("draw") < 0, F.struct("events", "mean", "error"))).alias("s")
+    rest = F.collect_list(F.when(F.col("draw") >= 0, F.struct("mean", "error"))).alias("r")  # n pairs of numbers
+    root = F.sqrt("s.events")
+    t = root * F.col("s.mean") / F.col("s.error")
+    beyond = F.size(F.filter("r", lambda d: root * (d["mean"] - F.col("s.mean")) / d["error"] >= t))
+    return drawn.agg(seen, rest).where("s is not null").select("s.events", t.alias("t"), ((1 + beyond) / (n + 1)).alias("p"))

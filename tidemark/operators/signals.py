@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.operators import chunks
 from tidemark.operators.indicators import by_ts, log_return, momentum, sma
 
 
@@ -186,35 +187,33 @@ def degraded(rows: DataFrame, share: float, lag: int, seed: int = 1) -> DataFram
     return mixed.withColumn("signal", F.lag("signal", lag, 0.0).over(by_ts()))
 
 
-def envelope_states(z: list, enter: float, leave: float, scale: float, longest: int) -> list[float]:
-    """Positions along one series of z-scores: against a |z| over `enter`, sized by how far it is over it; given up below `leave`, after
-    `longest` bars or at the opposite extreme, then one bar of rest. A null z gives 0 and leaves the state as it is."""
-    side, age, resting, out = 0, 0, False, []
-    for v in z:
-        size = 0.0
-        if v is None or v != v:
-            pass
-        elif resting:
-            resting = False
-        elif side == 0:
-            if abs(v) > enter:
-                side, age = (-1 if v > 0 else 1), 0
-                size = side * min((abs(v) - enter) / scale, 1.0)
-        else:
-            age += 1
-            if abs(v) < leave or age > longest or -side * v < -enter:
-                side, resting = 0, True
-            else:
-                size = max(-1.0, min(1.0, side * max(0.0, abs(v) - enter) / scale))
-        out.append(size)
-    return out
-
-
-def envelope(rows: DataFrame, z: str = "z", enter: float = 2.0, leave: float = 0.5, scale: float = 1.0, longest: int = 30) -> DataFrame:
-    """rows (pair, ts, z) with the signal of envelope_states(). The state hangs on the whole path, so a series is walked by one task."""
-    def run(pdf):
-        pdf = pdf.sort_values("ts", kind="stable")
-        return pdf.assign(signal=envelope_states(pdf["z"].tolist(), enter, leave, scale, longest))
-
-    narrow = rows.select("pair", "ts", F.col(z).alias("z"))
-    return narrow.groupBy("pair").applyInPandas(run, "pair string, ts timestamp, z double, signal double")
+def envelope_machine(enter: float, leave: float, scale: float, longest: int):
+    """(number of states, step(state, z) -> (state, size)). States: 0 out of the market, 1 at rest, then each side with each age. Against a
+    |z| over `enter`, sized by how far it is over it; given up below `leave`, after `longest` bars or at the opposite extreme, then one
+    bar of rest. A null z gives 0 and leaves the state as it is."""
+    ages = longest + 1
+
+    def step(state: int, z: float | None) -> tuple[int, float]:
+        if z is None or z != z:
+            return state, 0.0
+        if state == 1:
+            return 0, 0.0
+        if state == 0:
+            if abs(z) <= enter:
+                return 0, 0.0
+            side = -1 if z > 0 else 1
+            return 2 + (side > 0) * ages, side * min((abs(z) - enter) / scale, 1.0)
+        side, age = (1 if state - 2 >= ages else -1), (state - 2) % ages + 1
+        if abs(z) < leave or age > longest or -side * z < -enter:
+            return 1, 0.0
+        return 2 + (side > 0) * ages + age, max(-1.0, min(1.0, side * max(0.0, abs(z) - enter) / scale))
+
+    return 2 + 2 * ages, step
+
+
+def envelope(
+    rows: DataFrame, z: str = "z", enter: float = 2.0, leave: float = 0.5, scale: float = 1.0, longest: int = 30, length: int = chunks.ROWS, span: int = chunks.SPAN
+) -> DataFrame:
+    """(pair, ts, z, signal) of the envelope_machine() walked along each series, in chunks of at most `length` rows within `span` seconds."""
+    states, step = envelope_machine(enter, leave, scale, longest)
+    return chunks.automaton(rows.select("pair", "ts", F.col(z).alias("z")), "z", states, step, "signal", length, span)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, evidence, indicators as ind, joint, metrics, signals, simulate, statistics as stats
+from tidemark.operators import events, evidence, indicators as ind, joint, metrics, resample, signals, simulate, statistics as stats
 from tidemark.plans.market import BY, CUTOFF, DAILY, HOURLY, LEDGER, POS, SIMPLE, TR, _indicator, _ledger, _net, _returns, frame, full, r, register, rounded
 from tidemark.plans.research import ADMITTED, BANKS, EVENTS, PASTW, RESAMPLES, SHARPE, SWEPT, CELLS, _events
 from tidemark.sources import tables
@@ -67,15 +67,20 @@ def _(spark, sf):
     return rounded(stats.block_lengths(_net(spark, sf)))
 
 
+def _net_weekly(spark, sf):
+    """Net returns of weekly bars: days on which every series has a bar are rare in the smaller tables."""
+    return simulate.net_returns(signals.sma_cross(resample.ticks_to_bars(tables.daily_ticks(spark, sf), "week")))
+
+
 @register("st6_reality_check")
 def _(spark, sf):
-    return rounded(joint.reality_check(_net(spark, sf), RESAMPLES), 9)
+    return rounded(joint.reality_check(_net_weekly(spark, sf), RESAMPLES), 9)
 
 
 @register("st7_combined_verdict")
 def _(spark, sf):
     """The part at or after the cutoff is judged; placement looks at windows of its length in the whole history."""
-    rows = _net(spark, sf)
+    rows = _net_weekly(spark, sf)
     late = rows.where(F.col("ts") >= F.lit(CUTOFF).cast("timestamp"))
     zero = stats.zero_mean_test(late, RESAMPLES).select("pair", "length", "p", "p5", "p10", "p20", "flips")
     placed = metrics.placement_after(rows, CUTOFF).select("pair", F.col("size").alias("window"), "percentile", "median_sharpe")
@@ -83,12 +88,12 @@ def _(spark, sf):
     return rounded(evidence.combined_verdict(zero.join(placed, "pair").crossJoin(F.broadcast(check))))
 
 
-PLACED = f"""e AS (SELECT pair, ts, ret, row_number() OVER {BY} AS i, count(*) FILTER (ts >= TIMESTAMP '{CUTOFF}') OVER (PARTITION BY pair) AS size FROM net),
-  s AS (SELECT a.pair, a.ts, a.size, round(avg(b.ret) / nullif(stddev_samp(b.ret), 0), 12) AS s FROM e a JOIN e b ON a.pair = b.pair AND b.i > a.i - a.size AND b.i <= a.i WHERE a.i >= a.size AND a.size > 1 GROUP BY a.pair, a.ts, a.size),
-  l AS (SELECT pair, arg_max(s, ts) AS last FROM s WHERE s IS NOT NULL GROUP BY pair)"""
+PLACED = f"""ev AS (SELECT pair, ts, ret, row_number() OVER {BY} AS i, count(*) FILTER (ts >= TIMESTAMP '{CUTOFF}') OVER (PARTITION BY pair) AS size FROM net),
+  ws AS (SELECT a.pair, a.ts, a.size, round(avg(b.ret) / nullif(stddev_samp(b.ret), 0), 12) AS s FROM ev a JOIN ev b ON a.pair = b.pair AND b.i > a.i - a.size AND b.i <= a.i WHERE a.i >= a.size AND a.size > 1 GROUP BY a.pair, a.ts, a.size),
+  la AS (SELECT pair, arg_max(s, ts) AS last FROM ws WHERE s IS NOT NULL GROUP BY pair)"""
 
 
-@register("st5_placement_after", f"WITH {DAILY}, {POS}, {PLACED} SELECT pair, size, count(*) AS windows, {r('last', 'last_sharpe')}, {r('avg((s <= last)::INT)', 'percentile')}, {r('quantile_cont(s, 0.5) * sqrt(252)', 'median_sharpe')} FROM s JOIN l USING (pair) WHERE s IS NOT NULL GROUP BY pair, size, last")
+@register("st5_placement_after", f"WITH {DAILY}, {POS}, {PLACED} SELECT pair, size, count(*) AS windows, {r('last', 'last_sharpe')}, {r('avg((s <= last)::INT)', 'percentile')}, {r('quantile_cont(s, 0.5) * sqrt(252)', 'median_sharpe')} FROM ws JOIN la USING (pair) WHERE s IS NOT NULL GROUP BY pair, size, last")
 def _(spark, sf):
     return rounded(metrics.placement_after(_net(spark, sf), CUTOFF))
 
