@@ -20,40 +20,55 @@ WINDOW, GRAM = 13, 7
 BROADCAST_HASHES, BROADCAST_TEXTS, BROADCAST_BYTES, SALTS = 500_000, 200_000, 16 << 20, 16
 
 
+def _runs(values: Column, size: int, join) -> Column:
+    """join() of every `size` consecutive values, from joins of runs of 1, 2, 4, .. that overlap; shorter arrays give none."""
+    out, span = values, 1
+    while span < size:
+        step = min(span, size - span)
+        out = F.zip_with(out, F.slice(out, step + 1, F.greatest(F.size(values), F.lit(1))), join)
+        span += step
+    return F.slice(out, 1, F.greatest(F.lit(0), F.size(values) - (size - 1)))
+
+
 def least_of_runs(grams: Column, run: int) -> Column:
     """Least of every `run` consecutive hashes, each value once."""
-    return F.when(F.size(grams) < run, F.array().cast("array<bigint>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(grams) - (run - 1)), lambda i: F.array_min(F.slice(grams, i, run))))
-    )
+    return F.array_distinct(_runs(grams, run, lambda x, y: F.least(x, y)))
 
 
-def _fingerprints(df: DataFrame, length: int) -> DataFrame:
-    """Adds grams and kept to a table with words. What follows explodes these with explode_outer: a plain explode has Catalyst
-    filter on the array's size first, which would compute it anew inside every lambda."""
-    k = min(GRAM, length)
+def _grams(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """Adds g<k>, the hashes of all k consecutive words, to a table with words. Hashes of 1, 2, 4, .. words are joined, so one of k words
+    hangs on these words alone. What follows explodes these with explode_outer: a plain explode has Catalyst filter on the array's
+    size first, which would compute it anew inside every lambda."""
     hashed = df.withColumn("hashed", F.transform("words", lambda x: F.xxhash64(x)))
-    grams = F.when(F.size("hashed") < k, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size("hashed") - k), lambda i: F.xxhash64(*[F.get(F.col("hashed"), i + j) for j in range(k)]))
-    )
-    return hashed.withColumn("grams", grams).withColumn("kept", least_of_runs(F.col("grams"), length - k + 1))
+    return hashed.withColumns({f"g{k}": _runs(F.col("hashed"), k, lambda x, y: F.xxhash64(x, y)) for k in sizes})
+
 
+def _with(length: int):
+    return lambda h: F.struct(F.lit(length).alias("length"), h.alias("hash"))
 
-def _window(words_: Column, start: Column, length: int) -> Column:
+
+def _kept(df: DataFrame, lengths: list[int]) -> Column:
+    """Array of (length, hash) that a text keeps, from its g<k>."""
+    each = [F.transform(least_of_runs(F.col(f"g{min(GRAM, n)}"), n - min(GRAM, n) + 1), _with(n)) for n in lengths]
+    return F.concat(*each) if len(each) > 1 else each[0]
+
+
+def _window(words_: Column, start: Column, length: Column) -> Column:
     """`length` words from `start` (from 0), joined by spaces, which no word holds."""
-    return F.array_join(F.slice(words_, start + 1, F.lit(length)), " ")
+    return F.array_join(F.slice(words_, start + 1, length), " ")
 
 
-def _hits(texts: DataFrame, items: DataFrame, length: int, limits: dict[str, int]) -> DataFrame:
-    """(tid, item, start, length): windows of `length` words of documents that are windows of the items, all of which have windows of
-    that length. texts: tid, words. items: item, words."""
-    k = min(GRAM, length)
-    hashes = _fingerprints(items, length).select(F.explode_outer("kept").alias("hash")).where("hash is not null").distinct()
-    hashes = materialise(hashes, "hashes")
-    windows = items.select("item", "words", F.explode_outer(F.sequence(F.lit(0), F.size("words") - length)).alias("s"))
-    windows = materialise(windows.select("item", _window(F.col("words"), F.col("s"), length).alias("window")).distinct(), "windows")
+def _hits(texts: DataFrame, items: DataFrame, lengths: list[int], limits: dict[str, int]) -> DataFrame:
+    """(tid, item, start, length): windows of documents that are windows of the items. texts: tid, words. items: item, words, n (the length
+    of their windows, one of `lengths`). One pass over the texts hashes them for all lengths."""
+    sizes = sorted({min(GRAM, n) for n in lengths})
+    own = _grams(items, sizes).select("n", F.explode_outer(_kept(items, lengths)).alias("k"))
+    hashes = materialise(own.where("k.length = n").select("k.length", "k.hash").distinct(), "hashes")
+    windows = items.select("item", "words", "n", F.explode_outer(F.sequence(F.lit(0), F.size("words") - F.col("n"))).alias("s"))
+    windows = materialise(windows.select("item", F.col("n").alias("length"), _window(F.col("words"), F.col("s"), F.col("n")).alias("window")).distinct(), "windows")
     # narrow rows only: copies of a text meet in the map-side grouping
-    kept = _fingerprints(texts, length).select("tid", F.explode_outer("kept").alias("hash"))
-    met = kept.join(F.broadcast(hashes) if hashes.count() <= limits["hashes"] else hashes, "hash", "left_semi").distinct()
+    kept = _grams(texts, sizes).select("tid", F.explode_outer(_kept(texts, lengths)).alias("k")).select("tid", "k.length", "k.hash")
+    met = kept.join(F.broadcast(hashes) if hashes.count() <= limits["hashes"] else hashes, ["length", "hash"], "left_semi").distinct()
     met = materialise(met, "met")
     tids = met.select("tid").distinct()
     few = tids.count() <= limits["texts"]
@@ -61,18 +76,22 @@ def _hits(texts: DataFrame, items: DataFrame, length: int, limits: dict[str, int
     candidates = texts.join(F.broadcast(tids) if few else tids, "tid", "left_semi").groupBy("tid").agg(F.first("words").alias("words"))
     candidates = materialise(candidates, "candidates")
     # where a kept hash stands, and the windows around it
-    grams = _fingerprints(candidates, length).select("tid", F.size("words").alias("n"), F.posexplode_outer("grams").alias("p", "hash"))
-    places = grams.join(met, ["tid", "hash"])
-    around = F.sequence(F.greatest(F.col("p") - (length - k), F.lit(0)), F.least(F.col("p"), F.col("n") - length))
-    starts = places.select("tid", F.explode_outer(around).alias("start")).groupBy("tid").agg(F.collect_set("start").alias("starts"))
-    cut = F.transform("starts", lambda s: F.struct(s.alias("start"), _window(F.col("words"), s, length).alias("window")))
-    around = candidates.join(starts, "tid").select("tid", F.explode_outer(cut).alias("w")).select("tid", "w.start", "w.window")
+    wide = _grams(candidates, sizes)
+    places = None
+    for k in sizes:
+        part = wide.select("tid", F.size("words").alias("n"), F.lit(k).alias("k"), F.posexplode_outer(f"g{k}").alias("p", "hash"))
+        places = part if places is None else places.unionByName(part)
+    places = places.join(met.withColumn("k", F.least("length", F.lit(GRAM))), ["tid", "k", "hash"]).where("n >= length")
+    around = F.sequence(F.greatest(F.col("p") - (F.col("length") - F.col("k")), F.lit(0)), F.least(F.col("p"), F.col("n") - F.col("length")))
+    starts = places.select("tid", "length", F.explode_outer(around).alias("start")).groupBy("tid", "length").agg(F.collect_set("start").alias("starts"))
+    cut = F.transform("starts", lambda s: F.struct(s.alias("start"), _window(F.col("words"), s, F.col("length")).alias("window")))
+    around = candidates.join(starts, "tid").select("tid", "length", F.explode_outer(cut).alias("w")).select("tid", "length", "w.start", "w.window")
     if (windows.agg(F.sum(F.octet_length("window") + 64)).first()[0] or 0) <= limits["bytes"]:
-        found = around.join(F.broadcast(windows), "window")
+        found = around.join(F.broadcast(windows), ["length", "window"])
     else:  # a window that very many texts hold is met by SALTS tasks
         salted = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = around.withColumn("salt", F.pmod(F.xxhash64("tid", "start"), F.lit(SALTS)).cast("int")).join(salted, ["window", "salt"])
-    return found.select("tid", "item", "start", F.lit(length).alias("length"))
+        found = around.withColumn("salt", F.pmod(F.xxhash64("tid", "start"), F.lit(SALTS)).cast("int")).join(salted, ["length", "window", "salt"])
+    return found.select("tid", "item", "start", "length")
 
 
 def judged_texts(
@@ -85,17 +104,12 @@ def judged_texts(
     words, share taken as the decimal number it is written as.
     """
     items = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(item_text)).alias("words")).where(F.size("words") > 0).distinct()
-    items = materialise(items, "items")
-    size = F.least(F.size("words"), F.lit(WINDOW))
-    lengths = sorted(r["n"] for r in items.select(size.alias("n")).distinct().collect())  # 13 at most
-    base = docs.select(text_key(F.col(text)).alias("tid"), words(F.col(text)).alias("words"))
-    limits = {"hashes": hashes, "texts": texts, "bytes": window_bytes}
-    found = [_hits(base, items.where(size == n), n, limits) for n in lengths]
-    if not found:
+    items = materialise(items.withColumn("n", F.least(F.size("words"), F.lit(WINDOW))), "items")
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # 13 at most
+    if not lengths:
         return None
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
+    base = docs.select(text_key(F.col(text)).alias("tid"), words(F.col(text)).alias("words"))
+    hits = _hits(base, items, lengths, {"hashes": hashes, "texts": texts, "bytes": window_bytes})
     # spans and items of one text: bounded by its length
     of_text = hits.groupBy("tid").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -118,7 +132,8 @@ def _salted(docs: DataFrame, judged: DataFrame, tid: str, salt: str, few: bool)
     """docs with their text's key, and the judged texts, ready to be joined; copies of one text are dealt over SALTS tasks."""
     if few:
         return docs, F.broadcast(judged.withColumnRenamed("tid", tid)), [tid]
-    salted = docs.withColumn(salt, F.pmod(F.xxhash64(*docs.columns), F.lit(SALTS)).cast("int"))
+    apart = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]  # what xxhash64 takes
+    salted = docs.withColumn(salt, F.pmod(F.xxhash64(*apart), F.lit(SALTS)).cast("int"))
     return salted, judged.withColumnRenamed("tid", tid).withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [tid, salt]
 
 

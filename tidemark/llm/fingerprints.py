@@ -17,10 +17,19 @@ BROADCAST_RANGES = 100_000
 
 
 def canonical(text: Column) -> Column:
-    """NFKC normalisation, full case folding, every run of white space as one space, none at the ends. Null as ''."""
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
-    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
+    """Closed under compatibility composition (NFKC) and full case folding: composed, then twice folded and composed again, as folding can
+    undo a composition and composing can bring back what folds. Every run of white space becomes one space, none at the ends. Null
+    as ''."""
+    def composed(x: Column) -> Column:
+        return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+
+    def folded(x: Column) -> Column:
+        return F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), x, F.lit(True))
+
+    out = composed(F.coalesce(text, F.lit("")))
+    for _ in range(2):
+        out = composed(folded(out))
+    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
 def digest(canon: Column) -> Column:

@@ -122,10 +122,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     counts = np.diff(np.searchsorted(starts, offsets))
     if not len(starts):
         return np.zeros(0, np.uint64), counts
-    # a word's hash: sum over its bytes of value * odd power of the position in the word; separators add 0
+    # a word's hash: sum over its bytes of what byte and place in the word are mixed to; separators add 0. Not a polynomial: modulo 2**64
+    # those agree on structured words whatever their base
     value = value[starts[0] :]
     place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    return mix(np.add.reduceat(value * powers(place), starts - starts[0])), counts
+    mixed = np.where(value != 0, mix(value + place.astype(np.uint64) * _GOLDEN), np.uint64(0))
+    return mix(np.add.reduceat(mixed, starts - starts[0])), counts
 
 
 _STEP, _TABLE = 0xD6E8FEB86659FD93, 1 << 16

@@ -55,6 +55,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple
     """Stretches of a batch of texts: (row, anchor hash, content hash, first window's start in its text, windows - 1, anchor's place in
     the stretch). A stretch holds the consecutive windows of one text that have one anchor."""
     n, w = len(data), length - k + 1
+    if n >> 28:  # places and hashes share 64 bits
+        raise ValueError("texts of one batch, or one text, of 256 MB and more are not supported")
     starts_ok = np.zeros(n, bool)
     edge = np.zeros(n + 1, np.int32)
     long_enough = np.diff(offsets) >= length

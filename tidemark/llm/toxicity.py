@@ -125,8 +125,9 @@ def word_forms(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndar
         if j + 1 in BEGINNINGS:
             forms.append(np.where(size > j + 1, mix(part + np.array(j + 1, np.uint64)[None] * _GOLDEN), np.uint64(0)))
     around = np.concatenate([np.zeros(2, np.uint8), data, np.zeros(2, np.uint8)])  # data[i] is around[i + 2]
-    t = (data[starts] == ord("t")) & (around[starts + 1] == ord("'")) & (around[starts] == ord("n"))
-    n = (data[starts] == ord("n")) & (around[starts + 3] == ord("'"))
+    # looks back and ahead within the text alone: its neighbours in the batch do not count
+    t = (data[starts] == ord("t")) & (around[starts + 1] == ord("'")) & (around[starts] == ord("n")) & (starts - 2 >= offsets[row])
+    n = (data[starts] == ord("n")) & (around[starts + 3] == ord("'")) & (starts + 1 < offsets[row + 1])
     return row, ends[starts], (size == 1) & (t | n), forms
 
 
