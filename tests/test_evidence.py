@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import evidence, gate, joint, ledger, metrics, signals, simulate, statistics as stats
+from tidemark.operators import costs, evidence, gate, joint, ledger, metrics, signals, simulate, statistics as stats
 from tidemark.streaming import jobs
 
 MONDAY = datetime(2024, 1, 8)
@@ -266,28 +266,50 @@ def test_families_and_reversal(spark):
         assert got["momentum_3"][t] == (float(np.sign(round(math.log(close[h] / close[h - 3]), 12))) if h >= 3 else 0)
 
 
-def test_equity_trade_by_trade(spark):
-    close, sig = [100.0, 101.0, 103.0, 102.0, 99.0, 98.0, 97.0, 100.0], [0.0, 1.0, 1.0, -1.0, -1.0, 0.0, 1.0, 1.0]
-    rows = spark.createDataFrame([("a", MONDAY + timedelta(days=i), c, s, 2.0, 1.0) for i, (c, s) in enumerate(zip(close, sig))], "pair string, ts timestamp, close double, signal double, atr double, spread_median_pips double")
-    args = dict(pip=0.01, slippage=0.25, commission=0.5, swap_long=-0.5, swap_short=0.25)
-    trades = simulate.priced_trades(rows, **args)
+SIZED = {
+    "default": (costs.atr_sizer(), lambda e, p, atr, s: e * 0.01 / (atr * 2) if atr else e * 0.01 / (p * 0.02)),
+    "fraction": (costs.fraction_sizer(), lambda e, p, atr, s: min(e * 0.01 * abs(s) / (atr * 2), e * 0.1 / p) if atr and e > 0 else 0),
+    "continuous": (costs.continuous_sizer(confidence=0.9, ratchet=1.5, most=20, least=12), lambda e, p, atr, s: (lambda u: u if u >= 12 else 0)(min(e * 0.01 / (atr * 2) * abs(s) * 1.35, 20)) if atr and e > 0 else 0),
+    "target": (costs.target_sizer(0.005, most=40, least=30), lambda e, p, atr, s: (lambda u: u if u >= 30 else 0)(min(min(s, 1) * 0.005 * e, 40)) if s > 0 and e > 0 else 0),
+}
+
+
+@pytest.mark.parametrize("name", SIZED)
+@pytest.mark.parametrize("fold", [1, 2, 256])
+def test_equity_trade_by_trade(spark, monkeypatch, name, fold):
+    monkeypatch.setattr(simulate, "FOLD", fold)
+    close, sig = [100.0, 101.0, 103.0, 102.0, 99.0, 98.0, 97.0, 100.0, 104.0, 101.0, 107.0], [0.0, 1.0, 1.0, -1.0, -0.7, 0.0, 0.5, 0.5, -0.5, 1.0, 1.0]
+    atr = [2.0, 2.0, None, 3.0, 2.0, 2.0, 4.0, 4.0, 4.0, 3.0, 2.0]
+    rows = spark.createDataFrame([("a", MONDAY + timedelta(days=i), c, s, a, 1.0) for i, (c, s, a) in enumerate(zip(close, sig, atr))], "pair string, ts timestamp, close double, signal double, atr double, spread_median_pips double")
+    sizer, plain = SIZED[name]
+    trades = simulate.priced_trades(rows, pip=0.01, slippage=0.25, commission=0.5, swap_long=-0.5, swap_short=0.25, sizer=sizer)
     got = {r["ts"]: r["equity"] for r in simulate.discrete_equity(rows, trades, 0.01).collect()}
-    equity, held, want = 10_000.0, None, []
+    equity, held, want, sizes = 10_000.0, None, [], []
+    last = len(close) - 1
+
+    def closed(c, i):
+        side, price, size, day = held
+        pips = (c - price) * side / 0.01 - (0.5 + 0.25 + 0.5) - (0.5 if side > 0 else -0.25) * (i - day)
+        return equity + pips * 0.01 * size
+
     for i, c in enumerate(close):
         pos = sig[i - 1] if i else 0.0
         if held and np.sign(pos) != held[0]:
-            side, price, size, day = held
-            pips = (c - price) * side / 0.01 - (0.5 + 0.25 + 0.5) - (0.5 if side > 0 else -0.25) * (i - day)
-            equity, held = equity + pips * 0.01 * size, None
+            equity, held = closed(c, i), None
         if not held and pos:
-            size = min(equity * 0.01 / 4, equity * 0.1 / c)
-            equity -= 0.75 * 0.01 * size
-            held = (np.sign(pos), c, size, i)
-        want.append(equity + ((c - held[1]) * held[0] * held[2] if held else 0))
-    side, price, size, day = held
-    want[-1] = equity + ((close[-1] - price) * side / 0.01 - 1.25 - 0.5 * (7 - day)) * 0.01 * size
-    assert [got[MONDAY + timedelta(days=i)] for i in range(8)] == pytest.approx(want)
-    assert trades.count() == 3
+            sizes.append(plain(equity, c, atr[i], pos))
+            equity -= 0.75 * 0.01 * sizes[-1]
+            held = (np.sign(pos), c, sizes[-1], i)
+        want.append(closed(c, i) if held and i == last else equity + ((c - held[1]) * held[0] * held[2] if held else 0))
+    assert [got[MONDAY + timedelta(days=i)] for i in range(len(close))] == pytest.approx(want)
+    assert [r["size"] for r in trades.orderBy("entry_time").collect()] == pytest.approx(sizes) and len(set(sizes)) > 1
+
+
+def test_a_trade_without_an_atr_has_the_default_size(spark):
+    rows = spark.createDataFrame([("a", MONDAY + timedelta(days=i), 100.0 + i, 1.0, None, 1.0) for i in range(4)], "pair string, ts timestamp, close double, signal double, atr double, spread_median_pips double")
+    trade = simulate.priced_trades(rows, pip=0.01, slippage=0.0).first()
+    assert trade["size"] == pytest.approx(10_000 * 0.01 / (101 * 0.02)) and trade["pnl_dollars"] == pytest.approx((2 - 0.005) * trade["size"])
+    assert simulate.priced_trades(rows, sizer=costs.fraction_sizer()).first()["size"] == 0
 
 
 def test_volatility_regression(spark):

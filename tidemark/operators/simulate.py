@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from tidemark.operators.costs import Sizer, atr_sizer
 from tidemark.operators.indicators import by_ts
 
 
@@ -70,33 +71,56 @@ def buy_and_hold(bars: DataFrame, capital: float = 10_000.0) -> DataFrame:
     return bars.withColumn("equity", F.lit(capital) / first * F.col("close"))
 
 
+#: Trades of one step of the fold over a series' trades.
+FOLD = 256
+
+
+def entry_equities(trades: Column, capital: float, sizer: Sizer) -> Column:
+    """Array of the equity before each trade of a sorted array of (price, atr, signal, gain of one unit). Sizes with caps and minima are
+    not in proportion to equity, so it is carried from trade to trade; in slices, as an array grows by being copied."""
+    slices = F.transform(F.sequence(F.lit(0), F.floor((F.size(trades) - 1) / FOLD).cast("int")), lambda i: F.slice(trades, i * FOLD + 1, FOLD))
+    none = F.array().cast("array<double>")
+
+    def trade(acc: Column, t: Column) -> Column:
+        after = acc["e"] + sizer(acc["e"], t["price"], t["atr"], t["signal"]) * t["gain"]
+        return F.struct(after.alias("e"), F.array_append(acc["path"], acc["e"]).alias("path"))
+
+    def some(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["e"].alias("e"), none.alias("path")), trade)
+        return F.struct(inner["e"].alias("e"), F.array_append(acc["paths"], inner["path"]).alias("paths"))
+
+    start = F.struct(F.lit(float(capital)).alias("e"), F.array().cast("array<array<double>>").alias("paths"))
+    return F.aggregate(slices, start, some, lambda acc: F.flatten(acc["paths"]))
+
+
 def priced_trades(
     rows: DataFrame, spread: str = "spread_median_pips", pip: float = 0.0001, slippage: float = 0.3, commission: float = 0.0, swap_long: float = 0.0, swap_short: float = 0.0,
-    risk: float = 0.01, mult: float = 2.0, cap: float = 0.1, capital: float = 10_000.0,
+    capital: float = 10_000.0, sizer: Sizer | None = None,
 ) -> DataFrame:
     """One trade for each run of one position sign in rows (pair, ts, close, signal, atr, spread): (pair, direction, entry_time, exit_time,
-    entry_price, exit_price, size, entry_equity, pnl_pips, cost_pips, pnl_dollars, cost_dollars).
+    entry_price, exit_price, size, entry_equity, entry_pips, pnl_pips, cost_pips, pnl_dollars, cost_dollars).
 
-    pnl_pips: signed pips less half the spread, slippage and commission at the exit and the swap of whole days held. A trade's size is the
-    equity at its entry times a share fixed by ATR and price, so equity is a running product of one factor a trade; the entry cost is
-    taken from equity before. No ATR: no size.
+    pnl_pips: signed pips less half the spread, slippage and commission at the exit and the swap of whole days held. size: the sizer's (by
+    default costs.atr_sizer()) for the equity before the trade; the entry cost is taken from the equity too.
     """
-    rows = rows.where("close is not null").withColumn("side", F.signum(position()))
+    rows = rows.where("close is not null").withColumn("raw", position()).withColumn("side", F.signum("raw"))
     rows = rows.withColumn("turn", F.coalesce(F.col("side") != F.lag("side").over(by_ts()), F.lit(True)).cast("int"))
     rows = rows.withColumns({"run": F.sum("turn").over(by_ts()), "n": F.row_number().over(by_ts()), "s": F.when(F.col(spread) > 0, F.col(spread)).otherwise(0.0)})
-    at = F.struct(F.col("ts").alias("time"), F.col("close").alias("price"), "s", "atr")
+    at = F.struct(F.col("ts").alias("time"), F.col("close").alias("price"), "s", "atr", "raw")
     runs = rows.groupBy("pair", "run", "side").agg(F.min_by(at, "ts").alias("a"), F.max_by(at, "ts").alias("z"), F.min("n").alias("from_n"))
     runs = runs.withColumn("e", F.coalesce(F.lead("a").over(W.partitionBy("pair").orderBy("run")), F.col("z"))).where("side <> 0 and from_n > 1")
-    share = F.when(F.col("a.atr") > 0, F.least(F.lit(risk) / (F.col("a.atr") * mult), F.lit(cap) / F.col("a.price"))).otherwise(0.0)
     swap = -F.when(F.col("side") > 0, swap_long).otherwise(swap_short) * F.floor((F.unix_timestamp("e.time") - F.unix_timestamp("a.time")) / 86400)
     cost = F.col("e.s") / 2 + slippage + commission + swap
-    runs = runs.withColumns({"share": share, "cost_pips": cost, "entry_pips": F.col("a.s") / 2 + slippage})
+    runs = runs.withColumns({"cost_pips": cost, "entry_pips": F.col("a.s") / 2 + slippage})
     runs = runs.withColumn("pnl_pips", F.col("side") * (F.col("e.price") - F.col("a.price")) / pip - F.col("cost_pips"))
-    # what one trade makes of the equity: its entry cost first, then its pnl
-    w = W.partitionBy("pair").orderBy("run")
-    runs = runs.withColumn("factor", 1 + (F.col("pnl_pips") - F.col("entry_pips")) * pip * F.col("share"))
-    runs = runs.withColumn("entry_equity", F.lit(capital) * F.coalesce(F.product("factor").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(1.0)))
-    size = F.col("entry_equity") * F.col("share")
+    # the trades of one series, a few numbers each
+    kept = ["run", "side", "a", "e", "cost_pips", "entry_pips", "pnl_pips"]
+    book = runs.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("book"))
+    gain = lambda t: (t["pnl_pips"] - t["entry_pips"]) * pip
+    narrow = F.transform("book", lambda t: F.struct(t["a"]["price"].alias("price"), t["a"]["atr"].alias("atr"), t["a"]["raw"].alias("signal"), gain(t).alias("gain")))
+    book = book.withColumn("narrow", narrow).withColumn("before", entry_equities(F.col("narrow"), capital, sizer or atr_sizer()))
+    runs = book.select("pair", F.explode_outer(F.arrays_zip("book", "before")).alias("t")).select("pair", "t.book.*", F.col("t.before").alias("entry_equity"))
+    size = (sizer or atr_sizer())(F.col("entry_equity"), F.col("a.price"), F.col("a.atr"), F.col("a.raw"))
     return runs.select(
         "pair", F.col("side").cast("int").alias("direction"), F.col("a.time").alias("entry_time"), F.col("e.time").alias("exit_time"), F.col("a.price").alias("entry_price"), F.col("e.price").alias("exit_price"),
         size.alias("size"), "entry_equity", "entry_pips", "pnl_pips", "cost_pips", (F.col("pnl_pips") * pip * size).alias("pnl_dollars"), (F.col("cost_pips") * pip * size).alias("cost_dollars"),

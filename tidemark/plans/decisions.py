@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, evidence, indicators as ind, joint, metrics, resample, signals, simulate, statistics as stats
+from tidemark.operators import costs, events, evidence, indicators as ind, joint, metrics, resample, signals, simulate, statistics as stats
 from tidemark.plans.market import BY, CUTOFF, DAILY, HOURLY, LEDGER, POS, SIMPLE, TR, _indicator, _ledger, _net, _returns, frame, full, r, register, rounded
 from tidemark.plans.research import ADMITTED, BANKS, EVENTS, PASTW, RESAMPLES, SHARPE, SWEPT, CELLS, _events
 from tidemark.sources import tables
@@ -155,7 +155,7 @@ PRICED = f"""t0 AS (SELECT *, {TR} AS tr FROM bars), a0 AS (SELECT *, round({ful
   sd AS (SELECT *, sign(position) AS side FROM p), tn AS (SELECT *, coalesce(side <> lag(side) OVER {BY}, true)::INT AS turn FROM sd), rn AS (SELECT *, sum(turn) OVER {BY} AS run, row_number() OVER {BY} AS n FROM tn),
   rs AS (SELECT pair, run, side, min(ts) AS entry_time, first(close ORDER BY ts) AS entry_price, first(spread_median_pips ORDER BY ts) AS s0, first(atr ORDER BY ts) AS atr, max(ts) AS z, last(close ORDER BY ts) AS zp, last(spread_median_pips ORDER BY ts) AS zs, min(n) AS from_n FROM rn GROUP BY pair, run, side),
   nx AS (SELECT *, coalesce(lead(entry_time) OVER w, z) AS exit_time, coalesce(lead(entry_price) OVER w, zp) AS exit_price, coalesce(lead(s0) OVER w, zs) AS s1 FROM rs WINDOW w AS (PARTITION BY pair ORDER BY run)),
-  cs AS (SELECT *, CASE WHEN atr > 0 THEN least(0.01 / (atr * 2), 0.1 / entry_price) ELSE 0 END AS share, s1 / 2 + 0.3 - CASE WHEN side > 0 THEN -0.4 ELSE 0.1 END * floor((epoch(exit_time) - epoch(entry_time)) / 86400) AS cost_pips, s0 / 2 + 0.3 AS entry_pips FROM nx WHERE side <> 0 AND from_n > 1),
+  cs AS (SELECT *, CASE WHEN atr > 0 THEN 0.01 / (atr * 2) ELSE 0.01 / (entry_price * 0.02) END AS share, s1 / 2 + 0.3 - CASE WHEN side > 0 THEN -0.4 ELSE 0.1 END * floor((epoch(exit_time) - epoch(entry_time)) / 86400) AS cost_pips, s0 / 2 + 0.3 AS entry_pips FROM nx WHERE side <> 0 AND from_n > 1),
   pn AS (SELECT *, side * (exit_price - entry_price) / 0.0001 - cost_pips AS pnl_pips FROM cs), fc AS (SELECT *, 10000 * coalesce(product(1 + (pnl_pips - entry_pips) * 0.0001 * share) OVER (PARTITION BY pair ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS entry_equity FROM pn),
   pt AS (SELECT pair, CAST(side AS INT) AS direction, entry_time, exit_time, entry_price, exit_price, entry_equity * share AS size, entry_equity, entry_pips, pnl_pips, cost_pips FROM fc)"""
 
@@ -177,6 +177,26 @@ def _(spark, sf):
     return rounded(simulate.discrete_equity(tables.daily_bars(spark, sf), _priced(spark, sf)), 4)
 
 
+SIZERS = {"fraction": costs.fraction_sizer(), "continuous": costs.continuous_sizer(most=2.2e-4, least=1e-4), "target": costs.target_sizer(2e-8, most=1e-4, least=1e-6)}
+UNITS = """CASE WHEN nxt <= 0 THEN 0 WHEN name = 'fraction' THEN CASE WHEN atr > 0 THEN least(nxt * 0.01 * 0.6 / (atr * 2), nxt * 0.1 / entry_price) ELSE 0 END
+  WHEN name = 'continuous' THEN CASE WHEN atr > 0 AND least(nxt * 0.01 / (atr * 2) * 0.6, 2.2e-4) >= 1e-4 THEN least(nxt * 0.01 / (atr * 2) * 0.6, 2.2e-4) ELSE 0 END
+  ELSE CASE WHEN side > 0 AND least(0.6 * 2e-8 * nxt, 1e-4) >= 1e-6 THEN least(0.6 * 2e-8 * nxt, 1e-4) ELSE 0 END END"""
+
+
+@register("bt3_sizers", f"""WITH RECURSIVE {DAILY}, {PRICED}, kn AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY run) AS k FROM pn), sz(name) AS (VALUES ('fraction'), ('continuous'), ('target')),
+  fe AS (SELECT pair, name, 0::BIGINT AS k, 10000::DOUBLE AS nxt, 0::DOUBLE AS entry_equity, 0::DOUBLE AS size FROM (SELECT DISTINCT pair FROM kn), sz
+  UNION ALL SELECT n.pair, name, n.k, nxt + ({UNITS}) * (pnl_pips - entry_pips) * 0.0001, nxt, {UNITS} FROM fe JOIN kn n ON n.pair = fe.pair AND n.k = fe.k + 1)
+  SELECT fe.pair, name AS sizer, entry_time, round(fe.size * 1e6, 4) AS micro_units, round(entry_equity, 4) AS entry_equity FROM fe JOIN kn ON fe.pair = kn.pair AND fe.k = kn.k""")
+def _(spark, sf):
+    rows = ind.atr_simple(tables.daily_bars(spark, sf)).withColumn("atr", F.round("atr", 6))
+    rows = signals.sma_cross(rows).withColumn("signal", F.col("signal") * 0.6)
+    out = None
+    for name, sizer in SIZERS.items():
+        one = simulate.priced_trades(rows, swap_long=-0.4, swap_short=0.1, sizer=sizer).select("pair", F.lit(name).alias("sizer"), "entry_time", F.round(F.col("size") * 1e6, 4).alias("micro_units"), F.round("entry_equity", 4).alias("entry_equity"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 SEASONAL = f"""sv AS (SELECT pair AS p, (isodow(ts) - 1) * 24 + hour(ts) AS k, greatest(quantile_cont(volume, 0.5), 1.0) AS nv, greatest(quantile_cont(high - low, 0.5), 1e-9) AS nr FROM bars GROUP BY ALL),
   n AS (SELECT bars.*, volume / nv AS relvol, (high - low) / nr AS relrng, nr AS usual_range, first_value(open) OVER (PARTITION BY pair, CAST(ts AS DATE) ORDER BY ts) AS so, row_number() OVER {BY} AS i, count(*) OVER (PARTITION BY pair) AS size FROM bars JOIN sv ON pair = p AND (isodow(ts) - 1) * 24 + hour(ts) = k)"""
 
