@@ -21,26 +21,21 @@ BROADCAST_HASHES, BROADCAST_TEXTS, BROADCAST_BYTES, SALTS = 500_000, 200_000, 16
 
 
 def _runs(values: Column, size: int, join) -> Column:
-    """join() of every `size` consecutive values, from joins of runs of 1, 2, 4, .. that overlap; shorter arrays give none."""
-    out, span = values, 1
-    while span < size:
-        step = min(span, size - span)
-        out = F.zip_with(out, F.slice(out, step + 1, F.greatest(F.size(values), F.lit(1))), join)
-        span += step
-    return F.slice(out, 1, F.greatest(F.lit(0), F.size(values) - (size - 1)))
+    """join(*values) of every `size` consecutive values; shorter arrays give none."""
+    each = F.transform(F.sequence(F.lit(0), F.size(values) - size), lambda i: join(*[F.get(values, i + j) for j in range(size)]))
+    return F.when(F.size(values) < size, F.array().cast("array<bigint>")).otherwise(each)
 
 
 def least_of_runs(grams: Column, run: int) -> Column:
     """Least of every `run` consecutive hashes, each value once."""
-    return F.array_distinct(_runs(grams, run, lambda x, y: F.least(x, y)))
+    return F.array_distinct(grams if run == 1 else _runs(grams, run, F.least))
 
 
 def _grams(df: DataFrame, sizes: list[int]) -> DataFrame:
-    """Adds g<k>, the hashes of all k consecutive words, to a table with words. Hashes of 1, 2, 4, .. words are joined, so one of k words
-    hangs on these words alone. What follows explodes these with explode_outer: a plain explode has Catalyst filter on the array's
-    size first, which would compute it anew inside every lambda."""
+    """Adds g<k>, the hashes of all k consecutive words, to a table with words. What follows explodes these with explode_outer: a plain
+    explode has Catalyst filter on the array's size first, which would compute it anew inside every lambda."""
     hashed = df.withColumn("hashed", F.transform("words", lambda x: F.xxhash64(x)))
-    return hashed.withColumns({f"g{k}": _runs(F.col("hashed"), k, lambda x, y: F.xxhash64(x, y)) for k in sizes})
+    return hashed.withColumns({f"g{k}": _runs(F.col("hashed"), k, F.xxhash64) for k in sizes})
 
 
 def _with(length: int):
