@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tidemark.operators import statistics as stats
-from tidemark.plans import decisions, market, reports, research  # noqa: F401
+from tidemark.plans import decisions, market, reports, research, studies  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 

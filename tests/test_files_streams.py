@@ -57,6 +57,6 @@ def test_ladders_and_reconciliation(spark):
     assert [(r.level, r.size) for r in steps.orderBy("ts").collect()] == [(0, 1.0), (0, 1.0), (2, 0.5)]
     both = jobs.compose(steps, steps.withColumn("size", F.lit(0.5))).orderBy("ts").collect()
     assert [(r.size, r.flat) for r in both] == [(0.5, False), (0.5, False), (0.5, False)]
-    rows = [("S", day[i], mid, 10.0, 0.0, 0.0, broker, False) for i, (mid, broker) in enumerate([(1.0, 100.0), (2.0, 110.0), (3.0, 150.0), (3.0, 150.0), (3.0, 120.0)])]
-    got = jobs.reconcile(spark.createDataFrame(rows, "pair string, ts timestamp, mid double, held double, cost double, swap double, broker double, is_mock boolean"), 5.0, 0.01).orderBy("ts").collect()
+    rows = [("S", i, "EURUSD", mid, 10.0, 0.0, 0.0, broker, False) for i, (mid, broker) in enumerate([(1.0, 100.0), (2.0, 110.0), (3.0, 150.0), (3.0, 150.0), (3.0, 120.0)])]
+    got = jobs.reconcile(spark.createDataFrame(rows, "strategy string, seq long, pair string, mid double, held double, cost double, swap double, broker double, is_mock boolean"), 5.0, 0.01).orderBy("seq").collect()
     assert [(r.residual, r.breach, r.in_a_row) for r in got] == [(0.0, False, 0), (0.0, False, 0), (30.0, True, 1), (30.0, True, 2), (0.0, False, 0)]

@@ -54,3 +54,43 @@ def summary(rows: DataFrame, group: str, x: str) -> DataFrame:
     """(group, events, sharpe, continued) and the pooled row (null group): rollup in one pass."""
     s = rows.rollup(group).agg(F.count(x).alias("events"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.avg((F.col(x) > 0).cast("double")).alias("continued"))
     return s.select(group, "events", F.when(F.col("s") > 0, F.col("m") / F.col("s")).otherwise(0.0).alias("sharpe"), "continued")
+
+
+def drift_trades(
+    bars: DataFrame, days: DataFrame, hold: int = 12, surprise: float = 1.5, trailing: int = 250, stop: float = 1.5, atr_n: int = 14, pip: float = 0.0001, overhead: float = 0.8
+) -> DataFrame:
+    """Trades after announcements: (pair, day, bar_ts, entry_ts, exit_ts, direction, reason, gross, cost, net) for event days (pair, day).
+
+    The announcement bar is the day's bar of greatest true range (of equals the first); it counts if that is over `surprise` times the
+    median of the `trailing` bars before. Entered at the open of the next bar in the announcement bar's direction; left at the close of
+    the first of the `hold` bars after it that goes beyond the stop, `stop` ATRs of the entry bar away (no ATR: no stop), else of the
+    last of them, or of the last bar there is. Bars without direction give no trade, nor do entry or exit bars without a usable spread."""
+    w = by_ts()
+    bar = F.struct("ts", "open", "high", "low", "close", "spread_median_pips", "atr")
+    rows = bars.withColumn("tr", true_range()).withColumn("day", F.date_trunc("day", "ts"))
+    past, held = w.rowsBetween(-trailing, -1), w.rowsBetween(-(atr_n - 1), 0)
+    rows = rows.withColumns({
+        "usual": F.when(F.count("tr").over(past) == trailing, F.percentile("tr", 0.5).over(past)),
+        "atr": F.when(F.count("tr").over(held) == atr_n, F.avg("tr").over(held)), "move": F.signum(F.col("close") - F.col("open")),
+    })
+    rows = rows.withColumns({"e": F.lead(bar).over(w), "after": F.collect_list(bar).over(w.rowsBetween(2, hold + 1))})
+    rows = rows.join(days.select("pair", "day").distinct(), ["pair", "day"], "left_semi")
+    top = rows.groupBy("pair", "day").agg(F.max_by(F.struct("ts", "tr", "usual", "move", "e", "after"), F.struct("tr", (-F.unix_timestamp("ts")).alias("k"))).alias("b")).select("pair", "day", "b.*")
+    top = top.where((F.col("usual") > 0) & (F.col("tr") > F.col("usual") * surprise) & (F.col("move") != 0) & (F.col("e.spread_median_pips") > 0))
+    level = F.col("e.open") - F.col("move") * F.col("e.atr") * stop
+    beyond = lambda b: F.when(F.col("move") > 0, b["low"] < F.col("level")).otherwise(b["high"] > F.col("level"))
+    top = top.withColumn("level", level).withColumn("hit", F.get(F.filter("after", beyond), F.lit(0)))
+    top = top.withColumn("x", F.coalesce("hit", F.try_element_at("after", F.lit(-1)), "e")).where("x.spread_median_pips > 0")
+    reason = F.when(F.col("hit").isNotNull(), "stop").when(F.size("after") == hold, "hold").otherwise("end_of_data")
+    top = top.withColumns({"gross": F.col("move") * (F.col("x.close") - F.col("e.open")) / pip, "cost": F.col("e.spread_median_pips") + F.col("x.spread_median_pips") + overhead})
+    return top.select(
+        "pair", "day", F.col("ts").alias("bar_ts"), F.col("e.ts").alias("entry_ts"), F.col("x.ts").alias("exit_ts"), F.col("move").alias("direction"), reason.alias("reason"), "gross", "cost", (F.col("gross") - F.col("cost")).alias("net")
+    )
+
+
+def drift_verdict(trades: DataFrame, kill: float, least: int = 15) -> DataFrame:
+    """(pair, fires, gross, cost, margin, spread, stops, verdict) of drift_trades(): FAIL with fewer than `least` trades or a mean gross of at
+    most `kill` pips, STRETCH up to a quarter over it, else PASS."""
+    s = trades.groupBy("pair").agg(F.count("*").alias("fires"), F.avg("gross").alias("gross"), F.avg("cost").alias("cost"), F.stddev_samp("gross").alias("spread"), F.count_if(F.col("reason") == "stop").alias("stops"))
+    verdict = F.when((F.col("fires") < least) | (F.col("gross") <= kill), "FAIL").when(F.col("gross") <= kill / 0.8, "STRETCH").otherwise("PASS")
+    return s.select("pair", "fires", "gross", "cost", (F.col("gross") - F.col("cost")).alias("margin"), "spread", "stops", verdict.alias("verdict"))

@@ -308,18 +308,24 @@ def _(spark, sf):
 RATES = "rates AS (SELECT l_returnflag AS currency, date_trunc('month', l_shipdate)::TIMESTAMP AS ts, avg(l_discount) * 100 AS rate FROM lineitem GROUP BY ALL)"
 
 
+#: The currency whose rate each series follows.
+LEGS = {"1-URGENT": "R", "2-HIGH": "A", "3-MEDIUM": "N", "4-NOT SPECIFIED": "R", "5-LOW": "A"}
+OWN_RATES = f"(SELECT pair, ts, rate FROM rates JOIN (VALUES {', '.join(map(str, LEGS.items()))}) g(pair, currency) USING (currency))"
+
+
 def _rate_rows(spark, sf):
-    rates = tables.rates(spark, sf).where("currency = 'R'")
-    pairs = tables.daily_ticks(spark, sf).select("pair").distinct()
-    return rates.crossJoin(F.broadcast(pairs)).select("pair", F.col("date").alias("ts"), F.col("rate_pct").alias("rate"))
+    """The rates of each series' currency; a currency of several series gives one row for each."""
+    of = {c: [p for p, own in LEGS.items() if own == c] for c in LEGS.values()}
+    pairs = F.create_map(*(x for c, ps in of.items() for x in (F.lit(c), F.array(*map(F.lit, ps)))))
+    return tables.rates(spark, sf).select(F.explode(F.try_element_at(pairs, F.col("currency"))).alias("pair"), F.col("date").alias("ts"), F.col("rate_pct").alias("rate"))
 
 
-@register("jn1_asof_rate", f"WITH {DAILY}, {RATES} SELECT b.pair, b.ts, round(r.rate, 6) AS rate FROM bars b ASOF LEFT JOIN (SELECT * FROM rates WHERE currency = 'R') r ON b.ts >= r.ts")
+@register("jn1_asof_rate", f"WITH {DAILY}, {RATES} SELECT b.pair, b.ts, round(r.rate, 6) AS rate FROM bars b ASOF LEFT JOIN {OWN_RATES} r ON b.pair = r.pair AND b.ts >= r.ts")
 def _(spark, sf):
     return rounded(joins.asof(tables.daily_bars(spark, sf).select("pair", "ts"), _rate_rows(spark, sf), "rate"))
 
 
-@register("jn3_forward_asof", f"WITH {DAILY}, {RATES} SELECT b.pair, b.ts, round(r.rate, 6) AS rate FROM bars b ASOF LEFT JOIN (SELECT * FROM rates WHERE currency = 'R') r ON b.ts <= r.ts")
+@register("jn3_forward_asof", f"WITH {DAILY}, {RATES} SELECT b.pair, b.ts, round(r.rate, 6) AS rate FROM bars b ASOF LEFT JOIN {OWN_RATES} r ON b.pair = r.pair AND b.ts <= r.ts")
 def _(spark, sf):
     return rounded(joins.asof(tables.daily_bars(spark, sf).select("pair", "ts"), _rate_rows(spark, sf), "rate", forward=True))
 
@@ -355,7 +361,7 @@ def _(spark, sf):
     return signals.band_reversal(tables.daily_bars(spark, sf)).select("pair", "ts", "signal")
 
 
-@register("sig6_carry", f"WITH {DAILY}, {RATES} SELECT b.pair, b.ts, round(CASE WHEN abs(r.rate - 5) >= 0.01 THEN greatest(-1, least(1, (r.rate - 5) / 0.1)) ELSE 0 END, 6) AS signal FROM bars b ASOF LEFT JOIN (SELECT * FROM rates WHERE currency = 'R') r ON b.ts >= r.ts")
+@register("sig6_carry", f"WITH {DAILY}, {RATES} SELECT b.pair, b.ts, round(CASE WHEN abs(r.rate - 5) >= 0.01 THEN greatest(-1, least(1, (r.rate - 5) / 0.1)) ELSE 0 END, 6) AS signal FROM bars b ASOF LEFT JOIN {OWN_RATES} r ON b.pair = r.pair AND b.ts >= r.ts")
 def _(spark, sf):
     rows = joins.asof(tables.daily_bars(spark, sf).select("pair", "ts"), _rate_rows(spark, sf), "rate").withColumn("diff", F.col("rate") - 5)
     return rounded(signals.carry(rows, "diff", 0.1, 0.01).select("pair", "ts", "signal"))

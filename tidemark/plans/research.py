@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import costs, events, gate, indicators as ind, joins, ledger, metrics, quality, resample, signals, simulate, statistics as stats
 from tidemark.plans.market import (
-    BY, DAILY, HOURLY, LEDGER, MACD, POS, QUERIES, RATES, RET, SESSION, SIMPLE, SLOTS, SQL, SMA_SIGNAL, TR, TRADES, _ema_sql, _indicator, _ledger, _net, _rate_rows, _returns, _trades,
+    BY, DAILY, HOURLY, LEDGER, MACD, OWN_RATES, POS, QUERIES, RATES, RET, SESSION, SIMPLE, SLOTS, SQL, SMA_SIGNAL, TR, TRADES, _ema_sql, _indicator, _ledger, _net, _rate_rows, _returns, _trades,
     frame, full, r, register, rounded,
 )
 from tidemark.sources import tables
@@ -173,7 +173,7 @@ def _(spark, sf):
 
 
 CARRY = f"""c AS (SELECT b.*, CASE WHEN abs(r.rate - 5) >= 0.01 THEN greatest(-1, least(1, (r.rate - 5) / 0.1)) ELSE 0 END AS carry
-  FROM bars b ASOF LEFT JOIN (SELECT * FROM rates WHERE currency = 'R') r ON b.ts >= r.ts)"""
+  FROM bars b ASOF LEFT JOIN {OWN_RATES} r ON b.pair = r.pair AND b.ts >= r.ts)"""
 
 
 def _carry(spark, sf):

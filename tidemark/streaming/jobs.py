@@ -28,36 +28,115 @@ def run_to_end(stream: DataFrame, folder: str) -> None:
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def ladder(rows: DataFrame, levels: tuple[float, ...] = (0.10, 0.15, 0.20), sizes: tuple[float, ...] = (1.0, 1.0, 0.5, 0.0)) -> DataFrame:
+def walked(rows: DataFrame, key: str, order: str, made: dict[str, str], kept: dict[str, str], step) -> DataFrame:
+    """A stateful stream: the rows of each key in order, each with the columns `made`. step(state, row) -> (state, values); state is a dict of
+    `kept` (None at first), values None drops the row. The state is kept with the query's checkpoint, so a restart goes on from it."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    names = rows.columns
+
+    def run(_, batches, state):
+        import pandas as pd
+
+        held, out = dict(zip(kept, state.get)) if state.exists else None, []
+        for row in pd.concat(list(batches)).sort_values(order, kind="stable").itertuples(index=False):
+            held, values = step(held, row)
+            if values is not None:
+                out.append((*row, *values))
+        state.update(tuple(held[c] for c in kept))
+        yield pd.DataFrame(out, columns=[*names, *made])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{c}` {t}" for c, t in made.items()])
+    return rows.groupBy(key).applyInPandasWithState(run, schema, ", ".join(f"{c} {t}" for c, t in kept.items()), "append", GroupStateTimeout.NoTimeout)
+
+
+def _rungs(rows: DataFrame, levels: tuple[float, ...], sizes: tuple[float, ...]) -> DataFrame:
+    """Level and size of rows with a drawdown; without one, neither."""
+    level = F.when(F.col("drawdown").isNotNull(), sum(((F.col("drawdown") >= x).cast("int") for x in levels), F.lit(0)))
+    return rows.withColumn("level", level).withColumn("size", F.get(F.array(*map(F.lit, sizes)), F.col("level")))
+
+
+LADDER, LADDER_SIZES = (0.10, 0.15, 0.20), (1.0, 1.0, 0.5, 0.0)
+
+
+def _drawn(rows: DataFrame, levels: tuple[float, ...], sizes: tuple[float, ...]) -> DataFrame:
+    from tidemark.operators.signals import clip
+
+    return _rungs(rows.withColumn("drawdown", F.coalesce(clip(1 - F.col("equity") / F.col("peak"), 0.0, 1.0), F.lit(0.0))), levels, sizes)
+
+
+def ladder(rows: DataFrame, levels: tuple[float, ...] = LADDER, sizes: tuple[float, ...] = LADDER_SIZES) -> DataFrame:
     """Rows (pair, ts, equity, is_mock) with peak, drawdown, level and size: at the first level no new positions are opened, at the second
-    they are halved, at the third flat. Mock rows never raise the peak. The batch twin of the live ladder."""
+    they are halved, at the third flat. Mock rows never raise the peak. The batch twin of live_ladder()."""
     from tidemark.operators.indicators import by_ts
-    from tidemark.operators.signals import clip
 
-    peak = F.max(F.when(~F.col("is_mock"), F.col("equity"))).over(by_ts())
-    rows = rows.withColumn("peak", peak).withColumn("drawdown", F.coalesce(clip(1 - F.col("equity") / F.col("peak"), 0.0, 1.0), F.lit(0.0)))
-    level = sum(((F.col("drawdown") >= x).cast("int") for x in levels), F.lit(0))
-    return rows.withColumn("level", level).withColumn("size", F.get(F.array(*map(F.lit, sizes)), F.col("level")))
+    return _drawn(rows.withColumn("peak", F.max(F.when(~F.col("is_mock"), F.col("equity"))).over(by_ts())), levels, sizes)
+
+
+def live_ladder(rows: DataFrame, levels: tuple[float, ...] = LADDER, sizes: tuple[float, ...] = LADDER_SIZES) -> DataFrame:
+    """ladder() of a stream: the state of a series is its peak and last stamp. Rows that are not newer than that are dropped."""
+    def step(held, row):
+        at, peak = int(row.ts.value // 1000), held["peak"] if held else float("-inf")
+        if held and at <= held["last"]:
+            return held, None
+        if not row.is_mock and row.equity == row.equity:
+            peak = max(peak, float(row.equity))
+        return {"last": at, "peak": peak}, (peak if peak > float("-inf") else None,)
+
+    narrow = rows.select("pair", "ts", "equity", "is_mock")
+    return _drawn(walked(narrow, "pair", "ts", {"peak": "double"}, {"last": "long", "peak": "double"}, step), levels, sizes)
 
 
 def compose(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(pair, ts, size, flat): the smaller size, flat when either is, of two ladders at shared times."""
+    """(pair, ts, size, flat): the smaller size, flat when either is, of two ladders at shared times; of streams too, with a watermark on
+    each."""
     rows = a.select("pair", "ts", F.col("size").alias("x")).join(b.select("pair", "ts", F.col("size").alias("y")), ["pair", "ts"])
     return rows.select("pair", "ts", F.least("x", "y").alias("size"), ((F.col("x") == 0) | (F.col("y") == 0)).alias("flat"))
 
 
 def reconcile(cycles: DataFrame, most: float, share: float) -> DataFrame:
-    """(pair, ts, modelled, residual, breach, in_a_row) of cycles (pair, ts, mid, held, cost, swap, broker, is_mock). Modelled equity starts at
-    the broker's and adds held * change of mid + swap - cost; a breach is a residual over the greater of `most` and `share` of the peak."""
-    from tidemark.operators.indicators import by_ts
-
-    rows = cycles.where("not is_mock")
-    step = F.coalesce(F.lag("held").over(by_ts()) * (F.col("mid") - F.lag("mid").over(by_ts())) + F.col("swap") - F.col("cost"), F.lit(0.0))
-    rows = rows.withColumn("step", step).withColumn("modelled", F.first("broker").over(by_ts()) + F.sum("step").over(by_ts()))
-    rows = rows.withColumn("residual", F.col("broker") - F.col("modelled")).withColumn("limit", F.greatest(F.lit(most), F.max("broker").over(by_ts()) * share))
-    rows = rows.withColumn("breach", F.abs("residual") > F.col("limit")).withColumn("island", F.count_if(~F.col("breach")).over(by_ts()))
-    run = F.count_if("breach").over(W.partitionBy("pair", "island").orderBy("ts"))
-    return rows.select("pair", "ts", "modelled", "residual", "breach", run.alias("in_a_row"))
+    """Cycles (strategy, seq, pair, mid, held, cost, swap, broker, is_mock) with modelled, residual, tolerance, breach, double_breach and in_a_row.
+
+    Modelled equity starts at the broker's of the first cycle and adds what is held times the change of the pair's mid since the pair's last
+    cycle (held in units of account currency: over that mid for pairs in JPY), plus swap, less cost. A breach is a residual over the
+    tolerance, the greater of `most` and `share` of the broker's peak; a double breach is one over twice that. in_a_row counts breaches
+    since the last cycle without one. Mock cycles move the model, but neither the peak nor the count. The batch twin of
+    live_reconcile()."""
+    w, own = W.partitionBy("strategy").orderBy("seq"), W.partitionBy("strategy", "pair").orderBy("seq")
+    before, real = F.lag("mid").over(own), ~F.col("is_mock")
+    units = F.when(F.col("pair").contains("JPY"), F.col("held") / F.nullif(before, F.lit(0.0))).otherwise(F.col("held"))
+    rows = cycles.withColumn("step", F.when((before > 0) & (F.col("held") > 0), units * (F.col("mid") - before)).otherwise(0.0) + F.col("swap") - F.col("cost"))
+    rows = rows.withColumn("modelled", F.first("broker").over(w) + F.sum("step").over(w)).withColumn("residual", F.col("broker") - F.col("modelled"))
+    rows = rows.withColumn("tolerance", F.greatest(F.lit(most), F.coalesce(F.max(F.when(real, F.col("broker"))).over(w), F.lit(0.0)) * share))
+    rows = rows.withColumns({"breach": real & (F.abs("residual") > F.col("tolerance")), "double_breach": real & (F.abs("residual") > F.col("tolerance") * 2)})
+    rows = rows.withColumn("island", F.count_if(real & ~F.col("breach")).over(w))
+    return rows.withColumn("in_a_row", F.count_if("breach").over(W.partitionBy("strategy", "island").orderBy("seq"))).drop("step", "island")
+
+
+def live_reconcile(cycles: DataFrame, most: float, share: float) -> DataFrame:
+    """reconcile() of a stream. The state of a strategy: its modelled equity, the broker's peak, breaches in a row, the last cycle's number and
+    the last mid of each pair. Cycles that are not newer than the last one are dropped; a negative holding is an error."""
+    def step(held, row):
+        if held and row.seq <= held["last"]:
+            return held, None
+        if row.held < 0:
+            raise ValueError("holdings are long only")
+        now = held or {"last": 0, "modelled": float(row.broker), "peak": 0.0, "in_a_row": 0, "pairs": [], "mids": []}
+        mids = dict(zip(now["pairs"], now["mids"]))
+        mid = mids.get(row.pair, 0.0)
+        gain = (row.held / mid if "JPY" in row.pair else row.held) * (row.mid - mid) if mid > 0 and row.held > 0 else 0.0
+        modelled = now["modelled"] + gain + row.swap - row.cost
+        peak = now["peak"] if row.is_mock else max(now["peak"], float(row.broker))
+        residual, tolerance = row.broker - modelled, max(most, share * peak)
+        breach, twice = (not row.is_mock and abs(residual) > k * tolerance for k in (1, 2))
+        in_a_row = now["in_a_row"] if row.is_mock else (now["in_a_row"] + 1) * breach
+        mids[row.pair] = float(row.mid)
+        state = {"last": int(row.seq), "modelled": float(modelled), "peak": peak, "in_a_row": int(in_a_row), "pairs": list(mids), "mids": list(mids.values())}
+        return state, (modelled, residual, tolerance, bool(breach), bool(twice), int(in_a_row))
+
+    made = {"modelled": "double", "residual": "double", "tolerance": "double", "breach": "boolean", "double_breach": "boolean", "in_a_row": "long"}
+    kept = {"last": "long", "modelled": "double", "peak": "double", "in_a_row": "long", "pairs": "array<string>", "mids": "array<double>"}
+    return walked(cycles.select("strategy", "seq", "pair", "mid", "held", "cost", "swap", "broker", "is_mock"), "strategy", "seq", made, kept, step)
 
 
 def swap_accrual(positions: DataFrame, per_day: float, suffix: str | None = None, price: str = "close") -> DataFrame:
@@ -72,23 +151,45 @@ def swap_accrual(positions: DataFrame, per_day: float, suffix: str | None = None
     return positions.withColumn("accrued", F.coalesce(earned, F.lit(0.0)))
 
 
-def aggregate_ladder(
-    snapshots: DataFrame, levels: tuple[float, ...] = (0.04, 0.08, 0.12, 0.15), sizes: tuple[float, ...] = (1.0, 1.0, 0.5, 0.0, 0.0), budget: float = 60.0
-) -> DataFrame:
+AGGREGATE, AGGREGATE_SIZES = (0.04, 0.08, 0.12, 0.15), (1.0, 1.0, 0.5, 0.0, 0.0)
+
+
+def _aggregate(rows: DataFrame, levels: tuple[float, ...], sizes: tuple[float, ...]) -> DataFrame:
+    """Rows with reason and peak, with the rest of aggregate_ladder()."""
+    rows = rows.withColumn("accepted", F.col("reason").isNull())
+    drop = F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("equity") / F.col("peak")), F.lit(0.0))
+    rows = _rungs(rows.withColumn("drawdown", F.when(F.col("accepted"), drop)).drop("peak"), levels, sizes)
+    return rows.withColumns({"dispatch": F.col("level") < 3, "flat": F.col("level") == 4})
+
+
+def aggregate_ladder(snapshots: DataFrame, levels: tuple[float, ...] = AGGREGATE, sizes: tuple[float, ...] = AGGREGATE_SIZES, budget: float = 60.0) -> DataFrame:
     """Rows (pair, seq, ts, received, equity, is_mock) of snapshots in order of arrival (seq), with accepted, reason, drawdown, level, size,
     dispatch and flat. A snapshot older than one accepted before is out of order, one received more than `budget` seconds after its stamp
-    is stale; neither changes the peak, and both get no level. New positions stop at the third level; the fourth is flat."""
+    is stale; neither changes the peak, and both get no level. New positions stop at the third level; the fourth is flat. The batch
+    twin of live_aggregate_ladder()."""
     arrival = W.partitionBy("pair").orderBy("seq")
     stale = (F.col("received").cast("double") - F.col("ts").cast("double")) > budget
     before = F.max(F.when(~stale, F.col("ts"))).over(arrival.rowsBetween(W.unboundedPreceding, -1))
     late = F.coalesce(F.col("ts") < before, F.lit(False))
-    rows = snapshots.withColumn("reason", F.when(stale, "stale").when(late, "out of order")).withColumn("accepted", F.col("reason").isNull())
-    peak = F.max(F.when(F.col("accepted") & ~F.col("is_mock"), F.col("equity"))).over(arrival)
-    drop = F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("equity") / peak), F.lit(0.0))
-    rows = rows.withColumn("drawdown", F.when(F.col("accepted"), drop))
-    level = sum(((F.col("drawdown") >= x).cast("int") for x in levels), F.lit(0))
-    rows = rows.withColumn("level", F.when(F.col("accepted"), level))
-    return rows.withColumns({"size": F.get(F.array(*map(F.lit, sizes)), F.col("level")), "dispatch": F.col("level") < 3, "flat": F.col("level") == 4})
+    rows = snapshots.withColumn("reason", F.when(stale, "stale").when(late, "out of order"))
+    return _aggregate(rows.withColumn("peak", F.max(F.when(F.col("reason").isNull() & ~F.col("is_mock"), F.col("equity"))).over(arrival)), levels, sizes)
+
+
+def live_aggregate_ladder(snapshots: DataFrame, levels: tuple[float, ...] = AGGREGATE, sizes: tuple[float, ...] = AGGREGATE_SIZES, budget: float = 60.0) -> DataFrame:
+    """aggregate_ladder() of a stream: the state of a series is its peak, the newest stamp that was not stale and the last number. Numbers
+    that came before are repeats, and dropped; stale and late snapshots stay as rows that name their reason."""
+    def step(held, row):
+        now = held or {"last": -(1 << 62), "newest": -(1 << 62), "peak": float("-inf")}
+        if row.seq <= now["last"]:
+            return now, None
+        at, stale = int(row.ts.value // 1000), (row.received.value - row.ts.value) / 1e9 > budget
+        reason = "stale" if stale else "out of order" if at < now["newest"] else None
+        newest = now["newest"] if stale else max(now["newest"], at)
+        peak = max(now["peak"], float(row.equity)) if reason is None and not row.is_mock else now["peak"]
+        return {"last": int(row.seq), "newest": newest, "peak": peak}, (reason, peak if peak > float("-inf") else None)
+
+    narrow = snapshots.select("pair", "seq", "ts", "received", "equity", "is_mock")
+    return _aggregate(walked(narrow, "pair", "seq", {"reason": "string", "peak": "double"}, {"last": "long", "newest": "long", "peak": "double"}, step), levels, sizes)
 
 
 def signal_log(bars: DataFrame, n: int = 20) -> DataFrame:
