@@ -21,7 +21,11 @@ def test_store_catalog_and_month_chunks(spark, tmp_path):
     got = files.assemble_months(chunks, F.col("_metadata.file_path"))
     assert sorted((r["pair"], r["ts"].hour, r["close"]) for r in got.collect()) == [("a", 0, 1.0), ("a", 1, 2.0), ("a", 2, 3.0), ("b", 0, 4.0)]
     files.write_bars(got.withColumn("timeframe", F.lit("1h")), str(tmp_path / "store"))
-    assert sorted(map(tuple, files.catalog(spark, str(tmp_path / "store")).collect())) == [("1h", "a"), ("1h", "b")]
+    for folder in (tmp_path / "store").glob("*/*"):  # no file is opened
+        (folder / "part-broken.parquet").write_bytes(b"not parquet")
+    assert sorted((r["timeframe"], r["pair"]) for r in files.catalog(spark, str(tmp_path / "store")).collect()) == [("1h", "a"), ("1h", "b")]
+    for broken in (tmp_path / "store").glob("*/*/part-broken.parquet"):
+        broken.unlink()
 
 
 def test_logs_and_their_queries(spark, tmp_path):

@@ -31,6 +31,24 @@ def _in_order():
     return W.partitionBy("pair").orderBy("__bucket", "__part")
 
 
+def running_sum(rows: DataFrame, x: str, out: str, length: int = ROWS, span: int = SPAN) -> DataFrame:
+    """Rows (pair, ts, ..) with the sum of x up to each row: within chunks, plus the sums of the chunks before."""
+    held = chunked(rows, length, span)
+    totals = held.groupBy(CHUNK).agg(F.coalesce(F.sum(x), F.lit(0.0)).alias("__own"))
+    before = F.coalesce(F.sum("__own").over(_in_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    held = held.join(totals.select(*CHUNK, before.alias("__before")), CHUNK)
+    inside = F.coalesce(F.sum(x).over(W.partitionBy(CHUNK).orderBy("__q").rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))
+    return held.withColumn(out, F.col("__before") + inside).select(*rows.columns, out)
+
+
+def numbered(rows: DataFrame, out: str = "i", length: int = ROWS, span: int = SPAN) -> DataFrame:
+    """Rows (pair, ts, ..) with their number in their series, from 0: their place in a chunk, plus the rows of the chunks before."""
+    held = chunked(rows, length, span)
+    sizes = held.groupBy(CHUNK).agg(F.count("*").alias("__size"))
+    start = F.coalesce(F.sum("__size").over(_in_order().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return held.join(sizes.select(*CHUNK, start.alias("__start")), CHUNK).withColumn(out, F.col("__start") + F.col("__q")).select(*rows.columns, out)
+
+
 def recursive_means(rows: DataFrame, spans: dict[str, tuple[str, float, int]], length: int = ROWS, span: int = SPAN) -> DataFrame:
     """Rows (pair, ts, ..) with recursive means {out: (column, alpha, least observations)}: y = (1 - alpha) * y before + alpha * x, started by
     the first value. Null (or NaN) values repeat y; the next value weighs as if y had decayed over them. Null until there are so many

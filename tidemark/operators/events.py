@@ -94,3 +94,14 @@ def drift_verdict(trades: DataFrame, kill: float, least: int = 15) -> DataFrame:
     s = trades.groupBy("pair").agg(F.count("*").alias("fires"), F.avg("gross").alias("gross"), F.avg("cost").alias("cost"), F.stddev_samp("gross").alias("spread"), F.count_if(F.col("reason") == "stop").alias("stops"))
     verdict = F.when((F.col("fires") < least) | (F.col("gross") <= kill), "FAIL").when(F.col("gross") <= kill / 0.8, "STRETCH").otherwise("PASS")
     return s.select("pair", "fires", "gross", "cost", (F.col("gross") - F.col("cost")).alias("margin"), "spread", "stops", verdict.alias("verdict"))
+
+
+def participation_trades(rows: DataFrame, hours: tuple[int, ...] = (7, 13), least_volume: float = 1.5, pip: float = 0.0001, overhead: float = 0.8) -> DataFrame:
+    """(pair, ts, entry_ts, exit_ts, direction, relvol, relrng, gross, cost, net) of bars (.., relvol, relrng) at session opens with a relative volume
+    of at least `least_volume`: with the bar's own move, entered at the next open, left at the close after that. Bars without a move give no
+    trade, nor do entry or exit bars without a usable spread."""
+    bar = F.struct("ts", "open", "close", "spread_median_pips")
+    r = rows.withColumns({"e": F.lead(bar, 1).over(by_ts()), "x": F.lead(bar, 2).over(by_ts()), "direction": F.signum(F.col("close") - F.col("open"))})
+    r = r.where(F.hour("ts").isin(*hours) & (F.col("relvol") >= least_volume) & (F.col("direction") != 0) & (F.col("e.spread_median_pips") > 0) & (F.col("x.spread_median_pips") > 0))
+    r = r.withColumns({"gross": F.col("direction") * (F.col("x.close") - F.col("e.open")) / pip, "cost": F.col("e.spread_median_pips") + F.col("x.spread_median_pips") + overhead})
+    return r.select("pair", "ts", F.col("e.ts").alias("entry_ts"), F.col("x.ts").alias("exit_ts"), "direction", "relvol", "relrng", "gross", "cost", (F.col("gross") - F.col("cost")).alias("net"))

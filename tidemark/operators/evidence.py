@@ -75,6 +75,18 @@ def deflated_sharpe(rows: DataFrame, per_year: float = 252.0, out: str = "dsr")
     return rows.withColumn(out, p).drop("__best", "__z")
 
 
+#: Benchmarks per observation of the best of a family of cells, and of the pooled event series.
+CELL_BENCHMARK, EVENT_BENCHMARK = 0.022906, 0.026861
+
+
+def deflated_against(rows: DataFrame, benchmark: float, per_year: float = 252.0, out: str = "dsr") -> DataFrame:
+    """rows (sharpe, n, skew, kurt) with the probability that the true Sharpe is over a benchmark that was fixed before, per observation; 0 and
+    null as in deflated_sharpe()."""
+    z, stands = deflated_sql("sharpe", "n", "skew", "kurt", f"(CAST({benchmark!r} AS DOUBLE) * sqrt(n - 1.0))", per_year)
+    rows = rows.withColumn("__z", F.when(F.expr(stands) & (F.col("n") > 1), F.expr(z)))
+    return rows.withColumn(out, F.when(F.col("n") > 1, F.when(F.col("__z").isNotNull(), F.expr(cdf_sql("__z"))).otherwise(0.0))).drop("__z")
+
+
 def moments(returns: DataFrame, key: str, x: str = "ret") -> DataFrame:
     """(key, n, skew, kurt): biased skewness and excess kurtosis."""
     return returns.where(F.col(x).isNotNull()).groupBy(key).agg(F.count(x).alias("n"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"))

@@ -23,9 +23,18 @@ def common_times(returns: DataFrame, cells: int) -> DataFrame:
     return returns.join(full, "ts", "left_semi")
 
 
-def outer_zero(returns: DataFrame) -> DataFrame:
-    """Every series at every time; a missing return is 0."""
-    grid = returns.select("pair").distinct().crossJoin(returns.select("ts").distinct())
+#: Names of series that one row of outer_zero()'s table holds, about.
+NAMES = 1000
+
+
+def outer_zero(returns: DataFrame, names: int = NAMES) -> DataFrame:
+    """Every series at every time; a missing return is 0. Times are laid out against lists of some `names` series each, which lie in one row
+    apiece: an equi-join on the number of the list."""
+    series = returns.select("pair").distinct()
+    lists = max(1, -(-series.count() // names))
+    listed = series.withColumn("list", F.pmod(F.xxhash64("pair"), F.lit(lists)).cast("int")).groupBy("list").agg(F.collect_set("pair").alias("pairs"))
+    times = returns.select("ts").distinct().withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))
+    grid = times.join(listed, "list").select(F.explode("pairs").alias("pair"), "ts")
     return grid.join(returns, ["pair", "ts"], "left").select("pair", "ts", F.coalesce("ret", F.lit(0.0)).alias("ret"))
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, Window as W
 
-from tidemark.operators.indicators import by_ts, last_n
+from tidemark.operators import chunks
+from tidemark.operators.indicators import bars_per_year as spacing, by_ts, last_n
 from tidemark.operators.signals import clip
 
 
@@ -22,6 +23,30 @@ def summary(rows: DataFrame, ret: str = "ret", bars_per_year: float = 252.0) ->
     return s.select("pair", "n", (F.exp("lg") - 1).alias("total"), sharpe.alias("sharpe"), F.when(F.col("d") > 0, F.col("m") / F.col("d") * root).otherwise(sharpe).alias("sortino"))
 
 
+def summary_by_spacing(rows: DataFrame, ret: str = "ret") -> DataFrame:
+    """summary() with the annual factor of each series taken from the median spacing of its own bars, and that factor (periods_per_year)."""
+    own = spacing(rows).select("pair", "periods_per_year")
+    root = F.sqrt("periods_per_year")
+    return summary(rows, ret, 1.0).join(own, "pair").withColumns({"sharpe": F.col("sharpe") * root, "sortino": F.col("sortino") * root})
+
+
+def sample_moments(rows: DataFrame, key: str, x: str = "ret") -> DataFrame:
+    """(key, n, skew, kurt): skewness and excess kurtosis corrected for the sample's size; null with fewer than 3 and 4 values."""
+    s = rows.where(F.col(x).isNotNull()).groupBy(key).agg(F.count(x).cast("double").alias("m"), F.skewness(x).alias("g"), F.kurtosis(x).alias("k"))
+    m = F.col("m")
+    skew = F.when(m > 2, F.sqrt(m * (m - 1)) / F.nullif(m - 2, F.lit(0.0)) * F.col("g"))
+    kurt = F.when(m > 3, (m - 1) / F.nullif((m - 2) * (m - 3), F.lit(0.0)) * ((m + 1) * F.col("k") + 6))
+    return s.select(key, m.cast("long").alias("n"), skew.alias("skew"), kurt.alias("kurt"))
+
+
+def cross_pair_aggregate(cells: DataFrame) -> DataFrame:
+    """(strategy, cells, sharpe, max_drawdown, trades, bars, skew, kurt) of cells (strategy, sharpe, max_drawdown, trades, bars, skew, kurt): mean
+    Sharpe, worst drawdown, summed trades, least bars and mean moments."""
+    return cells.groupBy("strategy").agg(
+        F.count("*").alias("cells"), F.avg("sharpe").alias("sharpe"), F.max("max_drawdown").alias("max_drawdown"), F.sum("trades").alias("trades"), F.min("bars").alias("bars"), F.avg("skew").alias("skew"), F.avg("kurt").alias("kurt")
+    )
+
+
 def drawdowns(rows: DataFrame) -> DataFrame:
     """Rows with the running peak and the share lost from it, held to [0, 1]."""
     peak = F.max("equity").over(by_ts())
@@ -58,9 +83,9 @@ def regime_blocks(rows: DataFrame, bars_per_year: float = 252.0) -> DataFrame:
 
 
 def portfolio(rows: DataFrame) -> DataFrame:
-    """(ts, ret, equity) of equal weights over the series at each time. One row a time: the running product is narrow."""
-    mean = rows.groupBy("ts").agg(F.avg("ret").alias("ret"))
-    return mean.withColumn("equity", F.exp(F.sum(F.log1p("ret")).over(W.orderBy("ts"))))
+    """(ts, ret, equity) of equal weights over the series at each time. The running product is summed within spans of time and over them."""
+    mean = rows.groupBy("ts").agg(F.avg("ret").alias("ret")).select(F.lit("all").alias("pair"), "ts", "ret", F.log1p("ret").alias("__lr"))
+    return chunks.running_sum(mean, "__lr", "__sum").select("ts", "ret", F.exp("__sum").alias("equity"))
 
 
 def concentration(trades: DataFrame) -> DataFrame:
@@ -130,6 +155,33 @@ def drawdown_catalogue(rows: DataFrame, least: float = 0.05) -> DataFrame:
     return runs.drop("island").withColumn("rank", F.row_number().over(W.partitionBy("pair").orderBy(F.desc("depth"), "peak_ts")))
 
 
+#: Depths between which drawdowns are counted.
+DEPTHS = (0.05, 0.07, 0.10, 0.15, 0.20, 0.50)
+
+
+def drawdown_details(rows: DataFrame, least: float = 0.05, at_peak: tuple[str, ...] = ()) -> DataFrame:
+    """drawdown_catalogue() with the equity at peak and trough, the whole days from peak to trough and from trough to recovery (null while
+    none), and the columns `at_peak` as they were at the peak."""
+    held = drawdowns(rows).withColumn("island", F.count_if(F.col("equity") >= F.col("peak")).over(by_ts()))
+    runs = held.groupBy("pair", "island").agg(
+        F.min("ts").alias("peak_ts"), F.min_by(F.struct("equity", *at_peak), "ts").alias("p"), F.max("drawdown").alias("depth"), F.max_by(F.struct("ts", "equity"), F.struct("drawdown", -F.unix_timestamp("ts"))).alias("t")
+    )
+    runs = runs.withColumn("recovery_ts", F.lead("peak_ts").over(W.partitionBy("pair").orderBy("island"))).where(F.col("depth") >= least)
+    days = lambda a, b: F.floor((F.unix_timestamp(b) - F.unix_timestamp(a)) / 86400)
+    runs = runs.select(
+        "pair", "peak_ts", F.col("t.ts").alias("trough_ts"), "recovery_ts", "depth", F.col("p.equity").alias("peak_equity"), F.col("t.equity").alias("trough_equity"),
+        days("peak_ts", "t.ts").alias("days_down"), days("t.ts", "recovery_ts").alias("days_up"), *[F.col(f"p.{c}").alias(c) for c in at_peak],
+    )
+    return runs.withColumn("rank", F.row_number().over(W.partitionBy("pair").orderBy(F.desc("depth"), "peak_ts")))
+
+
+def drawdown_histogram(details: DataFrame, depths: tuple[float, ...] = DEPTHS) -> DataFrame:
+    """(pair, over, upto, drawdowns, unrecovered, days): counts of drawdowns by depth, over one depth and up to the next."""
+    cells = F.array(*(F.struct(F.lit(a).alias("over"), F.lit(b).alias("upto")) for a, b in zip(depths, depths[1:])))
+    rows = details.select("pair", "depth", "recovery_ts", "days_down", F.explode(F.filter(cells, lambda c: (F.col("depth") > c["over"]) & (F.col("depth") <= c["upto"]))).alias("c"))
+    return rows.groupBy("pair", "c.over", "c.upto").agg(F.count("*").alias("drawdowns"), F.count_if(F.col("recovery_ts").isNull()).alias("unrecovered"), F.sum("days_down").alias("days"))
+
+
 def vol_weighted(rows: DataFrame, target: float, cap: float = 5.0) -> DataFrame:
     """(ts, ret) with weights least(target / volatility, cap), normalised over the series; one weight a series."""
     vol = rows.groupBy("pair").agg(F.stddev_samp("ret").alias("s")).withColumn("w", F.when(F.col("s") > 0, F.least(F.lit(target) / F.col("s"), F.lit(cap))).otherwise(0.0))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, indicators as ind, joins, signals, simulate, walkforward
-from tidemark.plans.decisions import PRICED
-from tidemark.plans.market import BY, DAILY, HOURLY, OWN_RATES, RATES, TR, _rate_rows, full, r, register, rounded
+from tidemark.functions import strategies
+from tidemark.operators import events, evidence, indicators as ind, joins, metrics, signals, simulate, statistics as stats, walkforward
+from tidemark.plans.decisions import MOMENTS, PRICED, SEASONAL, _seasonal
+from tidemark.plans.market import BY, DAILY, HOURLY, OWN_RATES, POS, RATES, SIMPLE, SMA_SIGNAL, TR, TRADES, _net, _rate_rows, _returns, _trades, full, r, register, rounded
 from tidemark.plans.research import SHARPE, md5u
-from tidemark.sources import tables
+from tidemark.sources import files, tables
 from tidemark.streaming import jobs
 
 # ---- drift trades ------------------------------------------------------------------------------------------------------------------
@@ -155,3 +156,110 @@ def _(spark, sf):
     )
     rows = jobs.reconcile(cycles, 50.0, 0.003)
     return rows.select("strategy", "seq", F.round("modelled", 4).alias("modelled"), F.round("residual", 4).alias("residual"), "breach", "double_breach", "in_a_row")
+
+
+# ---- fixed benchmarks, drawdowns, aggregates, spacing -----------------------------------------------------------------------------------
+
+
+def _fixed_sql() -> str:
+    out = []
+    for name, b in (("cells", evidence.CELL_BENCHMARK), ("events", evidence.EVENT_BENCHMARK)):
+        z, stands = evidence.deflated_sql("sharpe", "n", "skew", "kurt", f"({b!r} * sqrt(n - 1.0))", 252.0)
+        out.append(f"SELECT pair, '{name}' AS benchmark, CASE WHEN {stands} THEN {z} END AS z FROM s")
+    return f"""WITH {DAILY}{SIMPLE}, c AS (SELECT pair, ret, ret - avg(ret) OVER (PARTITION BY pair) AS d FROM x), s AS (SELECT pair, count(*) AS n, {SHARPE} AS sharpe, {MOMENTS} FROM c GROUP BY pair),
+  zs AS ({' UNION ALL '.join(out)}) SELECT pair, benchmark, round(coalesce({evidence.cdf_sql('z')}, 0), 6) AS dsr FROM zs"""
+
+
+@register("st9_fixed_benchmarks", _fixed_sql())
+def _(spark, sf):
+    rows = _returns(tables.daily_bars(spark, sf))
+    cells = rows.groupBy("pair").agg(F.round(stats.sharpe(), 6).alias("sharpe")).join(evidence.moments(rows, "pair"), "pair")
+    out = evidence.deflated_against(cells, evidence.CELL_BENCHMARK).withColumn("benchmark", F.lit("cells")).unionByName(evidence.deflated_against(cells, evidence.EVENT_BENCHMARK).withColumn("benchmark", F.lit("events")))
+    return rounded(out.select("pair", "benchmark", "dsr"))
+
+
+DETAILS = f"""b0 AS (SELECT b.*, round(r.rate, 6) AS rate FROM bars b ASOF LEFT JOIN {OWN_RATES} r ON b.pair = r.pair AND b.ts >= r.ts),
+  b1 AS (SELECT *, close AS equity, max(close) OVER {BY} AS peak, CASE WHEN {full('avg', 'close', 10)} > {full('avg', 'close', 40)} THEN 'UP' WHEN count(close) OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) = 40 THEN 'DOWN' ELSE '?' END AS trend FROM b0),
+  b2 AS (SELECT *, count_if(equity >= peak) OVER {BY} AS island, greatest(0, 1 - equity / peak) AS dd FROM b1),
+  b3 AS (SELECT pair, island, min(ts) AS peak_ts, first(equity ORDER BY ts) AS peak_equity, arg_min({{'r': rate}}, ts).r AS rate, first(trend ORDER BY ts) AS trend, max(dd) AS depth, first(ts ORDER BY dd DESC, ts) AS trough_ts, first(equity ORDER BY dd DESC, ts) AS trough_equity FROM b2 GROUP BY pair, island),
+  b4 AS (SELECT *, lead(peak_ts) OVER (PARTITION BY pair ORDER BY island) AS recovery_ts FROM b3), dt AS (SELECT *, floor((epoch(trough_ts) - epoch(peak_ts)) / 86400)::BIGINT AS days_down, floor((epoch(recovery_ts) - epoch(trough_ts)) / 86400)::BIGINT AS days_up,
+  row_number() OVER (PARTITION BY pair ORDER BY depth DESC, peak_ts) AS rank FROM b4 WHERE depth >= 0.05)"""
+
+
+def _details(spark, sf):
+    rows = joins.asof(tables.daily_bars(spark, sf), _rate_rows(spark, sf), "rate").withColumns({"rate": F.round("rate", 6), "equity": F.col("close"), "a": ind.sma("close", 10), "b": ind.sma("close", 40)})
+    trend = F.when(F.col("a") > F.col("b"), "UP").when(F.col("b").isNotNull(), "DOWN").otherwise("?")
+    return metrics.drawdown_details(rows.withColumn("trend", trend), 0.05, ("rate", "trend"))
+
+
+@register("met5_drawdown_details", f"WITH {DAILY}, {RATES}, {DETAILS} SELECT pair, peak_ts, trough_ts, recovery_ts, {r('depth', 'depth')}, {r('peak_equity', 'peak_equity')}, {r('trough_equity', 'trough_equity')}, days_down, days_up, rate, trend, CAST(rank AS INT) AS rank FROM dt")
+def _(spark, sf):
+    return rounded(_details(spark, sf))
+
+
+@register("met5_depth_histogram", f"""WITH {DAILY}, {RATES}, {DETAILS}, g(o, u) AS (VALUES {', '.join(map(str, zip(metrics.DEPTHS, metrics.DEPTHS[1:])))})
+  SELECT pair, o::DOUBLE AS over, u::DOUBLE AS upto, count(*) AS drawdowns, count_if(recovery_ts IS NULL) AS unrecovered, sum(days_down)::BIGINT AS days FROM dt JOIN g ON depth > o::DOUBLE AND depth <= u::DOUBLE GROUP BY pair, o, u""")
+def _(spark, sf):
+    return metrics.drawdown_histogram(_details(spark, sf))
+
+
+@register("met13_aggregate", f"""WITH {DAILY}, {POS}, {TRADES}, xr AS (SELECT pair, ts, ret / 100 AS ret FROM net), ee AS (SELECT *, exp(sum(ln(1 + ret)) OVER {BY}) AS equity, ret - avg(ret) OVER (PARTITION BY pair) AS d FROM xr),
+  kk AS (SELECT *, 1 - equity / max(equity) OVER {BY} AS dd FROM ee), mo AS (SELECT pair, count(*)::DOUBLE AS n, {SHARPE} AS sharpe, greatest(0, max(dd)) AS max_drawdown, {MOMENTS} FROM kk GROUP BY pair), tt AS (SELECT pair, count(*) AS trades FROM trades GROUP BY pair),
+  sm AS (SELECT *, sqrt(n * (n - 1)) / (n - 2) * skew AS sk, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurt + 6) AS ku FROM mo LEFT JOIN tt USING (pair))
+  SELECT 'sma' AS strategy, count(*) AS cells, round(avg(sharpe), 5) AS sharpe, {r('max(max_drawdown)', 'max_drawdown')}, sum(coalesce(trades, 0))::BIGINT AS trades, min(n)::BIGINT AS bars, {r('avg(sk)', 'skew')}, {r('avg(ku)', 'kurt')} FROM sm""")
+def _(spark, sf):
+    rows = _net(spark, sf).select("pair", "ts", (F.col("ret") / 100).alias("ret"))
+    cells = rows.groupBy("pair").agg(F.round(stats.sharpe(), 6).alias("sharpe"), F.count("*").alias("bars")).join(metrics.max_drawdown(metrics.equity_from_returns(rows)), "pair")
+    cells = cells.join(metrics.sample_moments(rows, "pair").select("pair", "skew", "kurt"), "pair").join(_trades(spark, sf).groupBy("pair").agg(F.count("*").alias("trades")), "pair", "left")
+    out = metrics.cross_pair_aggregate(cells.withColumn("strategy", F.lit("sma")).na.fill(0, ["trades"]))
+    return rounded(out.withColumn("sharpe", F.round("sharpe", 5)))
+
+
+def _spaced(bars: str, name: str) -> str:
+    return f"""(WITH {bars}, x AS (SELECT '{name} ' || pair AS pair, ret, (epoch(ts) - epoch(before)) / 3600 AS gap FROM (SELECT pair, ts, lag(ts) OVER {BY} AS before, close / lag(close) OVER {BY} - 1 AS ret FROM bars))
+  SELECT pair, count(ret) AS n, avg(ret) AS m, stddev_samp(ret) AS s, quantile_cont(gap, 0.5) AS h FROM x GROUP BY pair)"""
+
+
+@register("met1_by_spacing", f"""WITH u AS ({_spaced(HOURLY, 'hour')} UNION ALL {_spaced(DAILY, 'day')}), f AS (SELECT *, CASE WHEN h <= 1.5 THEN 6240.0 WHEN h <= 6 THEN 1560.0 ELSE 252.0 END::DOUBLE AS periods_per_year FROM u)
+  SELECT pair, n, periods_per_year, round(CASE WHEN s > 0 THEN m / s * sqrt(periods_per_year) ELSE 0 END, 6) AS sharpe FROM f""")
+def _(spark, sf):
+    both = [b.select(F.concat(F.lit(f"{k} "), "pair").alias("pair"), "ts", ind.momentum("close", 1).alias("ret")) for k, b in (("hour", tables.hourly_bars(spark, sf)), ("day", tables.daily_bars(spark, sf)))]
+    return rounded(metrics.summary_by_spacing(both[0].unionByName(both[1])).select("pair", "n", "periods_per_year", "sharpe"))
+
+
+@register("bt8_event_trades", f"""WITH {HOURLY}, {SEASONAL}, l AS (SELECT *, sign(close - open) AS direction, lead(ts) OVER {BY} AS ets, lead(open) OVER {BY} AS eo, lead(spread_median_pips) OVER {BY} AS es, lead(ts, 2) OVER {BY} AS xts, lead(close, 2) OVER {BY} AS xc, lead(spread_median_pips, 2) OVER {BY} AS xs FROM n)
+  SELECT pair, ts, ets AS entry_ts, xts AS exit_ts, direction::DOUBLE AS direction, {r('relvol', 'relvol')}, {r('relrng', 'relrng')}, round(direction * (xc - eo) / 0.0001, 2) AS gross, {r('es + xs + 0.8', 'cost')}, round(direction * (xc - eo) / 0.0001 - (es + xs + 0.8), 2) AS net
+  FROM l WHERE hour(ts) IN (7, 13) AND relvol >= 1.2 AND direction <> 0 AND es > 0 AND xs > 0""")
+def _(spark, sf):
+    rows = events.participation_trades(_seasonal(spark, sf), least_volume=1.2)
+    return rounded(rows).withColumns({c: F.round(c, 2) for c in ("gross", "net")})
+
+
+# ---- plug points, the store ------------------------------------------------------------------------------------------------------------
+
+
+@register("udf1_pandas_signal", f"WITH {DAILY} SELECT pair, ts, {SMA_SIGNAL}::DOUBLE AS signal FROM bars")
+def _(spark, sf):
+    """The crossover as a user's function on pandas frames, with a look-back of 19 bars."""
+    def crossover(bars):
+        gap = bars["close"].rolling(5).mean() - bars["close"].rolling(20).mean()
+        return (gap > 0).astype(float) - (gap < 0).astype(float)
+
+    return tables.daily_bars(spark, sf).transform(strategies.pandas_signal(crossover, 19)).select("pair", "ts", "signal")
+
+
+@register("udf2_registered_signal", f"WITH {DAILY} SELECT pair, ts, {SMA_SIGNAL}::DOUBLE AS signal FROM bars")
+def _(spark, sf):
+    return tables.daily_bars(spark, sf).transform(strategies.signal("sma_cross", fast=5, slow=20)).select("pair", "ts", "signal")
+
+
+@register("src4_store_catalog", f"WITH {HOURLY} SELECT DISTINCT pair, 'hour' AS timeframe FROM bars")
+def _(spark, sf):
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared}/src4-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)  # goes when the driver ends
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    files.write_bars(tables.hourly_bars(spark, sf).withColumn("timeframe", F.lit("hour")), folder)
+    return files.catalog(spark, folder).select("pair", "timeframe")

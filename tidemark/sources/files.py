@@ -86,8 +86,10 @@ def compressed_ticks(files: DataFrame, scale: float, pip: float) -> DataFrame:
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
-    """(timeframe, pair) of the partitions of a store that write_bars() made; only folders are looked at."""
-    return spark.read.parquet(path).select("timeframe", "pair").distinct()
+    """(timeframe, pair, files) of a store that write_bars() made, from the names of its folders: files are listed and none is opened."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path")
+    value = lambda name: F.url_decode(F.regexp_extract("path", f"/{name}=([^/]*)/", 1))
+    return listed.select(value("timeframe").alias("timeframe"), value("pair").alias("pair")).groupBy("timeframe", "pair").agg(F.count("*").alias("files"))
 
 
 def assemble_months(chunks: DataFrame, order: Column | None = None) -> DataFrame:
