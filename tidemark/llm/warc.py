@@ -278,7 +278,7 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
                     rows = _captures_of(zlib.decompress(view[b["offset"] : b["offset"] + b["length"]], 31))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return content.join(places.hint("shuffle_hash"), "path").select("blocks", "content").mapInArrow(unpacked, _CAPTURE)
+    return content.repartition(max(1, content.select("path").count()), "path").join(places.hint("shuffle_hash"), "path").select("blocks", "content").mapInArrow(unpacked, _CAPTURE)
 
 
 def fetch(found: DataFrame, folder: str) -> DataFrame:
@@ -301,7 +301,8 @@ def fetch(found: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["page", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     content = archives(found.sparkSession, f"{folder}/warc")
-    return content.join(ranges.hint("shuffle_hash"), "path").select("ranges", "content").mapInArrow(read, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    count = max(1, content.select("path").count())  # a listing; an archive or a few to a task, at any size
+    return content.repartition(count, "path").join(ranges.hint("shuffle_hash"), "path").select("ranges", "content").mapInArrow(read, "page string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def range_reader(spark: SparkSession) -> Callable[[str, int, int], bytes]:
