@@ -109,3 +109,40 @@ def test_structured_words_have_hashes_of_their_own():
     hashes, counts = shared.word_hashes(*shared.text_bytes(pa.array([" ".join(words), "AB - ba"])))
     assert counts.tolist() == [len(words), 2] and len(set(hashes[: len(words)].tolist())) == len(words)
     assert hashes[len(words) :].tolist() == hashes[6:8].tolist()
+
+
+@pytest.mark.parametrize("base", [suffix_dedup._P, suffix_dedup._Q])
+@pytest.mark.parametrize("shortest", [8, 200])
+def test_structured_ranges_have_hashes_of_their_own(base, shortest):
+    thue = np.zeros(1, np.uint8)
+    while len(thue) < 16384:
+        thue = np.concatenate([thue, 1 - thue])
+    data = np.concatenate([thue + 97, 98 - thue, np.zeros(64, np.uint8)]).astype(np.uint8)
+    ranges = suffix_dedup.RangeHash(data, shortest, base)
+    for n in (256, 512, 1024, 4096, 16384):
+        one, two, again = ranges.of(np.array([0, 16384, 16384 - n if n < 16384 else 0]), np.array([n, 16384 + n, 16384 if n < 16384 else n])).tolist()
+        assert one != two
+        tail = (thue[16384 - n :] == thue[:n]).all() if n < 16384 else True
+        assert (again == one) == tail
+    zeros = ranges.of(np.full(50, 32768), 32768 + np.arange(8, 58))
+    assert len(set(zeros.tolist())) == 50
+
+
+@pytest.mark.parametrize("length, k", [(1500, 32), (1200, 5), (40, 1), (32, 32)])
+def test_other_window_lengths(spark, length, k):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = word(2 * length)
+    texts = [word(70) + passage[: length + 30] + word(90), passage + word(20), passage[25:] + "q", "z" * (length + 3), word(length), None, ""] + ["z" * (length - 1)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), length=length, k=k).collect()
+    bodies, seen = [(t or "").encode() for t in texts], Counter()
+    for b in bodies:
+        seen.update(b[i : i + length] for i in range(len(b) - length + 1))
+    for doc_id, n_bytes, n_removed, *_ in got:
+        gone = np.zeros(n_bytes, bool)
+        for i in range(n_bytes - length + 1):
+            if seen[bodies[doc_id][i : i + length]] > 1:
+                gone[i : i + length] = True
+        assert (len(bodies[doc_id]), gone.sum()) == (n_bytes, n_removed)
+    with pytest.raises(ValueError):
+        suffix_dedup.repeated_spans(spark.createDataFrame([], "text string"), length=k - 1, k=k)

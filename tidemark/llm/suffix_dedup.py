@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.shared import BYTE, materialise, mix, release, slices, text_bytes, text_key
+from tidemark.llm.shared import materialise, mix, release, slices, text_bytes, text_key
 
 LENGTH, GRAM = 200, 32
 #: Around one anchor k-gram, the windows of more different stretches than this are counted one by one.
@@ -31,6 +31,10 @@ PART = 512 << 10
 #: Stretches in one collection; a collection ends only between two anchors.
 COLLECTION = 20_000
 
+#: Bits of a stretch's number of windows and of its anchor's place, beside its start, in one long.
+BITS = 17
+_FIELD = (1 << BITS) - 1
+
 _P, _Q = 0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F
 
 
@@ -41,14 +45,20 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
 
 
 class RangeHash:
-    """Hash of any byte range of a buffer in constant time, by an odd base."""
-
-    def __init__(self, data: np.ndarray, base: int = _P) -> None:
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * _power(np.uint64(base), max(len(data) - 1, 0))[: len(data)], dtype=np.uint64)])
+    """Hash of any byte range of a buffer, of `shortest` bytes at least, in constant time, by an odd base. What is summed at a place is mixed
+    from the (up to 8) bytes that begin there: sums of single bytes by powers modulo 2**64 agree on structured ranges whatever the base."""
+
+    def __init__(self, data: np.ndarray, shortest: int, base: int = _P) -> None:
+        unit, self.unit = data.astype(np.uint64), 1
+        while self.unit < 8 and 2 * self.unit <= shortest:
+            unit = unit[: -self.unit] | (unit[self.unit :] << np.uint64(8 * self.unit))
+            self.unit *= 2
+        terms = mix((unit + np.uint64(1)) * np.uint64(base)) * _power(np.uint64(base), len(data))[: len(unit)]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
         self.back = _power(np.uint64(pow(base, -1, 1 << 64)), len(data))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+        return mix((self.sums[end - (self.unit - 1)] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -66,7 +76,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple
     s = np.flatnonzero(starts_ok)
     if not len(s):
         return tuple(np.zeros(0, np.int64) for _ in range(6))
-    ranges = RangeHash(data)
+    ranges = RangeHash(data, k)
     m = n - k + 1
     grams = ranges.of(np.arange(m), np.arange(k, n + 1))
     keyed = (grams >> np.uint64(28) << np.uint64(28)) | np.arange(m, dtype=np.uint64)
@@ -188,8 +198,10 @@ def occurring_again(rows: DataFrame, key: list[str], count: str) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """(tid, size, z, spans) of every distinct text: spans = starts [from, to) of its windows that occur elsewhere too, as
-    array<struct<f:int,t:int>>, not in order."""
+    array<struct<f:int,t:int>>, not in order. length: k bytes at least, and less than 2**BITS - 1 more; else an error."""
     width = length - k + 1
+    if not 1 <= width <= _FIELD:
+        raise ValueError(f"a window of {length} bytes has to be as long as the anchor's {k}, and longer by less than {_FIELD}")
     texts = docs.select(text_key(F.col(text)).alias("tid"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = texts.groupBy("tid").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     texts = materialise(packed_texts(texts).withColumn("rid", F.monotonically_increasing_id()), "distinct")
@@ -201,7 +213,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
             for batch in slices(whole, ["z"], "size", PART):
                 row, anchor, content, lo, span, place = anchors(*text_bytes(unpacked(batch["z"])), length, k)
                 rid, n = (batch[c].to_numpy()[row] if len(row) else np.zeros(0, np.int64) for c in ("rid", "n"))
-                packed = (lo << 20) | (span << 10) | place
+                packed = (lo << 2 * BITS) | (span << BITS) | place
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (rid, n, anchor, content, packed)], names=["rid", "n", "ah", "ch", "packed"])
 
     every = materialise(texts.select("rid", "n", "size", "z").mapInArrow(cut, "rid long, n long, ah long, ch long, packed long"), "anchors")
@@ -231,7 +243,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
                 row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
                 flat = lists.flatten()
                 ah, ch, m, packed = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                lo, span, place = packed >> 20, (packed >> 10) & 1023, packed & 1023
+                lo, span, place = packed >> 2 * BITS, (packed >> BITS) & _FIELD, packed & _FIELD
                 column = width - 1 - place
                 start = offsets[row] + lo
                 end = start + span + length
@@ -253,11 +265,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
                 row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
                 flat = lists.flatten()
                 ah, ch, m, packed = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                number = ((packed >> 10) & 1023) + 1
+                number = ((packed >> BITS) & _FIELD) + 1
                 own = np.repeat(np.arange(len(row)), number)
                 f = np.arange(len(own)) - np.repeat(np.cumsum(number) - number, number)
-                start = (offsets[row] + (packed >> 20))[own] + f
-                one, two = (RangeHash(data, base).of(start, start + length).view(np.int64) for base in (_P, _Q))
+                start = (offsets[row] + (packed >> 2 * BITS))[own] + f
+                one, two = (RangeHash(data, length, base).of(start, start + length).view(np.int64) for base in (_P, _Q))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, ah[own], ch[own], m[own], f.astype(np.int32))], names=["one", "two", "ah", "ch", "m", "f"])
 
     def rounds(batches: Iterator) -> Iterator:
@@ -289,7 +301,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, k:
         spans = spans.unionByName(again)
     release(asked)
     spans = materialise(spans.groupBy("ah", "ch").agg(F.collect_list(F.struct("f", "t")).alias("ft")), "spans")
-    lo = F.shiftright("packed", 20).cast("int")
+    lo = F.shiftright("packed", 2 * BITS).cast("int")
     held, key = found.select("rid", "ah", "ch", "packed"), ["ah", "ch"]
     if hot.isEmpty():
         placed = held.join(spans, key)
