@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemark.plans import decisions, market, reports, research, studies  # noqa: F401
+from tidemark.plans import decisions, market, reports, research, stores, studies  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import decisions, market, reports, research, studies  # noqa: F401  all add their queries to the registry of market
+from tidemark.plans import decisions, market, reports, research, stores, studies  # noqa: F401  all add their queries to the registry of market
 
 flagship = market.flagship
 

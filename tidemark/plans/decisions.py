@@ -261,13 +261,17 @@ def _(spark, sf):
     return rounded(jobs.signal_log(tables.hourly_bars(spark, sf)))
 
 
+def snapshots(spark, sf):
+    return tables.read(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("pair"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_custkey") % 90).alias("received"),
+        F.col("o_totalprice").alias("equity"), (F.col("o_orderkey") % 5 == 0).alias("is_mock"),
+    )
+
+
 @register("str5_aggregate_ladder", """WITH s AS (SELECT o_orderpriority AS pair, o_orderkey AS seq, o_orderdate AS ts, o_custkey % 90 > 60 AS stale, o_totalprice AS equity, o_orderkey % 5 = 0 AS mock FROM orders), w AS (SELECT *, max(CASE WHEN NOT stale THEN ts END) OVER (PARTITION BY pair ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
   a AS (SELECT *, CASE WHEN stale THEN 'stale' WHEN coalesce(ts < before, false) THEN 'out of order' END AS reason FROM w), p AS (SELECT *, max(CASE WHEN reason IS NULL AND NOT mock THEN equity END) OVER (PARTITION BY pair ORDER BY seq) AS peak FROM a),
   d AS (SELECT *, CASE WHEN reason IS NULL THEN coalesce(greatest(0, 1 - equity / peak), 0) END AS dd FROM p), l AS (SELECT *, CASE WHEN reason IS NULL THEN (dd >= 0.04)::INT + (dd >= 0.08)::INT + (dd >= 0.12)::INT + (dd >= 0.15)::INT END AS level FROM d)
   SELECT pair, seq, reason, round(dd, 6) AS drawdown, level, CASE level WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0.5 WHEN 3 THEN 0 WHEN 4 THEN 0 END::DOUBLE AS size, level < 3 AS dispatch, level = 4 AS flat FROM l""")
 def _(spark, sf):
-    rows = tables.read(spark, sf, "orders").select(
-        F.col("o_orderpriority").alias("pair"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_custkey") % 90).alias("received"),
-        F.col("o_totalprice").alias("equity"), (F.col("o_orderkey") % 5 == 0).alias("is_mock"),
-    )
+    rows = snapshots(spark, sf)
     return rounded(jobs.aggregate_ladder(rows).select("pair", "seq", "reason", "drawdown", "level", "size", "dispatch", "flat"))

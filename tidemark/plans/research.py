@@ -565,15 +565,11 @@ def _(spark, sf):
 
 @register("str1_live_bars", f"WITH {HOURLY}, m AS (SELECT max(ts) AS z FROM ticks) SELECT pair, ts, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, {r('volume', 'volume')} FROM bars, m WHERE ts + INTERVAL 1 HOUR <= z - INTERVAL 10 MINUTE")
 def _(spark, sf):
-    import uuid
-
+    from tidemark.sources import files
     from tidemark.streaming import jobs
 
     raw = jobs.tick_stream(spark, sf, tables.read(spark, sf, "events").schema, "events.parquet")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared}/str1-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)  # goes when the driver ends
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    folder = files.scratch(spark, "str1")
     jobs.run_to_end(jobs.live_bars(tables.as_ticks(raw)), folder)
     return rounded(spark.read.parquet(f"{folder}/out"))
 

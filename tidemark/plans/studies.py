@@ -142,6 +142,14 @@ def _(spark, sf):
     return jobs.compose(jobs.ladder(rows), jobs.ladder(rows, (0.08, 0.25, 0.4)))
 
 
+def cycles(spark, sf):
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    return tables.read(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("strategy"), o.alias("seq"), F.when(k % 3 == 0, "USDJPY").otherwise("EURUSD").alias("pair"), (100 + (o % 50) * 0.1).alias("mid"), ((k % 4) * 10.0).alias("held"),
+        ((k % 7) * 0.5).alias("cost"), ((k % 5) * 0.75).alias("swap"), (100000 + (k % 200)).cast("double").alias("broker"), (o % 6 == 0).alias("is_mock"),
+    )
+
+
 @register("str7_reconciliation", """WITH c AS (SELECT o_orderpriority AS strategy, o_orderkey AS seq, CASE WHEN o_custkey % 3 = 0 THEN 'USDJPY' ELSE 'EURUSD' END AS pair, 100 + (o_orderkey % 50) * 0.1::DOUBLE AS mid, (o_custkey % 4) * 10::DOUBLE AS held,
   (o_custkey % 7) * 0.5::DOUBLE AS cost, (o_custkey % 5) * 0.75::DOUBLE AS swap, 100000 + (o_custkey % 200)::DOUBLE AS broker, o_orderkey % 6 = 0 AS mock FROM orders),
   p AS (SELECT *, lag(mid) OVER (PARTITION BY strategy, pair ORDER BY seq) AS b FROM c), s AS (SELECT *, CASE WHEN b > 0 AND held > 0 THEN CASE WHEN pair = 'USDJPY' THEN held / b ELSE held END * (mid - b) ELSE 0 END + swap - cost AS step FROM p),
@@ -149,12 +157,7 @@ def _(spark, sf):
   f AS (SELECT *, NOT mock AND abs(broker - modelled) > tol AS breach, NOT mock AND abs(broker - modelled) > 2 * tol AS double_breach FROM m), i AS (SELECT *, count_if(NOT mock AND NOT breach) OVER (PARTITION BY strategy ORDER BY seq) AS isl FROM f)
   SELECT strategy, seq, round(modelled, 4) AS modelled, round(broker - modelled, 4) AS residual, breach, double_breach, count_if(breach) OVER (PARTITION BY strategy, isl ORDER BY seq) AS in_a_row FROM i""")
 def _(spark, sf):
-    k, o = F.col("o_custkey"), F.col("o_orderkey")
-    cycles = tables.read(spark, sf, "orders").select(
-        F.col("o_orderpriority").alias("strategy"), o.alias("seq"), F.when(k % 3 == 0, "USDJPY").otherwise("EURUSD").alias("pair"), (100 + (o % 50) * 0.1).alias("mid"), ((k % 4) * 10.0).alias("held"),
-        ((k % 7) * 0.5).alias("cost"), ((k % 5) * 0.75).alias("swap"), (100000 + (k % 200)).cast("double").alias("broker"), (o % 6 == 0).alias("is_mock"),
-    )
-    rows = jobs.reconcile(cycles, 50.0, 0.003)
+    rows = jobs.reconcile(cycles(spark, sf), 50.0, 0.003)
     return rows.select("strategy", "seq", F.round("modelled", 4).alias("modelled"), F.round("residual", 4).alias("residual"), "breach", "double_breach", "in_a_row")
 
 
@@ -255,11 +258,6 @@ def _(spark, sf):
 
 @register("src4_store_catalog", f"WITH {HOURLY} SELECT DISTINCT pair, 'hour' AS timeframe FROM bars")
 def _(spark, sf):
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{shared}/src4-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)  # goes when the driver ends
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    folder = files.scratch(spark, "src4")
     files.write_bars(tables.hourly_bars(spark, sf).withColumn("timeframe", F.lit("hour")), folder)
     return files.catalog(spark, folder).select("pair", "timeframe")

@@ -8,8 +8,19 @@ TIME_NAMES = ("datetime", "date", "time", "timestamp")
 PRICES = ("open", "high", "low", "close")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, in spark.checkpoint.dir or else the warehouse; it goes when the driver ends."""
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return folder
+
+
 def csv_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Bars of CSV files named PAIR.csv. Headers in any case; the time column is the first named in TIME_NAMES, else the first column; a
+    """Bars of CSV files named PAIR.csv, or in folders pair=PAIR. Headers in any case; the time column is the first named in TIME_NAMES, else the first column; a
     missing volume is 0; a missing price column is an error."""
     raw = spark.read.csv(path, header=True)
     raw = raw.select("*", F.col("_metadata.file_name").alias("__file"))
@@ -18,8 +29,9 @@ def csv_bars(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"columns missing: {missing}")
     ts = next((names[t] for t in TIME_NAMES if t in names), raw.columns[0])
     volume = F.coalesce(F.col(f"`{names['volume']}`").cast("double"), F.lit(0.0)) if "volume" in names else F.lit(0.0)
+    pair = F.col(f"`{names['pair']}`").cast("string") if "pair" in names else F.regexp_replace("__file", r"\.csv$", "")
     return raw.select(
-        F.upper(F.regexp_replace("__file", r"\.csv$", "")).alias("pair"), F.to_timestamp(F.col(f"`{ts}`")).alias("ts"),
+        F.upper(pair).alias("pair"), F.to_timestamp(F.col(f"`{ts}`")).alias("ts"),
         *(F.col(f"`{names[c]}`").cast("double").alias(c) for c in PRICES), volume.alias("volume"),
     )
 
@@ -31,7 +43,8 @@ def parquet_bars(spark: SparkSession, path: str, pair: str, timeframe: str, star
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    bars.repartition("timeframe", "pair").write.mode("overwrite").partitionBy("timeframe", "pair").parquet(path)
+    """A store of bars in folders by timeframe and pair; a pair's years are written by different tasks."""
+    bars.repartition("timeframe", "pair", F.year("ts")).write.mode("overwrite").partitionBy("timeframe", "pair").parquet(path)
 
 
 BROKER = T.ArrayType(T.StructType([T.StructField("Time", T.TimestampType())] + [T.StructField(f"{c}{s}", T.DoubleType()) for c in ("Open", "High", "Low", "Close") for s in ("Bid", "Ask")]))
@@ -85,6 +98,31 @@ def compressed_ticks(files: DataFrame, scale: float, pip: float) -> DataFrame:
     return files.select("pair", "hour", "content").mapInPandas(decode, TICK)
 
 
+def tick_files(ticks: DataFrame, scale: float) -> DataFrame:
+    """(pair, hour, content) that compressed_ticks() reads, from ticks (pair, ts, ask, bid, ask_vol, bid_vol, seq): one row for each hour of a pair, in
+    order of time and seq; stamps are cut to milliseconds."""
+    fields, hour = ("ask", "bid", "ask_vol", "bid_vol"), F.date_trunc("hour", "ts")
+    ms = ((F.unix_micros(F.col("ts")) - F.unix_micros(hour)) / 1000).cast("int")
+    held = ticks.select("pair", hour.alias("hour"), F.struct(ms.alias("ms"), "seq", *fields).alias("t")).groupBy("pair", "hour").agg(F.sort_array(F.collect_list("t")).alias("ticks"))
+
+    def encode(batches):
+        import lzma
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, own in enumerate(batch["ticks"]):
+                rows = own.values
+                a = np.empty(len(rows), [("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("ask_vol", ">f4"), ("bid_vol", ">f4")])
+                for name in a.dtype.names:
+                    column = rows.field(name).to_numpy(zero_copy_only=False)
+                    a[name] = np.rint(column * scale) if name in ("ask", "bid") else column
+                yield pa.RecordBatch.from_arrays([batch["pair"].slice(i, 1), batch["hour"].slice(i, 1), pa.array([lzma.compress(a.tobytes())])], names=["pair", "hour", "content"])
+
+    return held.mapInArrow(encode, "pair string, hour timestamp, content binary")
+
+
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """(timeframe, pair, files) of a store that write_bars() made, from the names of its folders: files are listed and none is opened."""
     listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path")
