@@ -60,3 +60,52 @@ def test_ladders_and_reconciliation(spark):
     rows = [("S", i, "EURUSD", mid, 10.0, 0.0, 0.0, broker, False) for i, (mid, broker) in enumerate([(1.0, 100.0), (2.0, 110.0), (3.0, 150.0), (3.0, 150.0), (3.0, 120.0)])]
     got = jobs.reconcile(spark.createDataFrame(rows, "strategy string, seq long, pair string, mid double, held double, cost double, swap double, broker double, is_mock boolean"), 5.0, 0.01).orderBy("seq").collect()
     assert [(r.residual, r.breach, r.in_a_row) for r in got] == [(0.0, False, 0), (0.0, False, 0), (30.0, True, 1), (30.0, True, 2), (0.0, False, 0)]
+
+
+def test_tick_files_come_back(spark):
+    at = dt.datetime(2024, 1, 2, 5, 59, 59, 999_700)
+    rows = [("P", at, 1.10002, 1.1, 3.0, 1.0, 2), ("P", at, 1.10001, 1.10003, 2.0, 1.0, 1), ("P", at + dt.timedelta(milliseconds=1), 5e-5, 0.0, 0.0, 0.0, 0), ("Q", dt.datetime(2024, 1, 2), 42949.67295, 1.0, 1.5, 0.5, 9)]
+    ticks = spark.createDataFrame(rows, "pair string, ts timestamp, ask double, bid double, ask_vol double, bid_vol double, seq long")
+    made = files.tick_files(ticks, 1e5)
+    assert sorted((r.pair, r.hour.hour) for r in made.collect()) == [("P", 5), ("P", 6), ("Q", 0)]
+    got = sorted((r.pair, r.ts, r.seq, round(r.mid, 6), r.ask_vol, r.bid_vol, r.crossed) for r in files.compressed_ticks(made, 1e5, 1e-4).collect())
+    cut = at.replace(microsecond=999_000)
+    assert got == [
+        ("P", cut, 0, 1.10002, 2.0, 1.0, True), ("P", cut, 1, 1.10001, 3.0, 1.0, False), ("P", dt.datetime(2024, 1, 2, 6), 0, 0.000025, 0.0, 0.0, False), ("Q", dt.datetime(2024, 1, 2), 0, 21475.336475, 1.5, 0.5, False),
+    ]
+    assert files.compressed_ticks(files.tick_files(ticks.limit(0), 1e5), 1e5, 1e-4).count() == 0
+
+
+def test_csv_in_folders_by_pair(spark, tmp_path):
+    for pair, day in (("eurusd", 2), ("usdjpy", 3)):
+        (tmp_path / "csv" / f"pair={pair}").mkdir(parents=True)
+        (tmp_path / "csv" / f"pair={pair}" / "any.csv").write_text(f"time,open,high,low,close,Volume\n2024-01-0{day} 05:00:00,1,3,0.5,2,7\n")
+    rows = files.csv_bars(spark, f"file://{tmp_path}/csv").orderBy("pair").collect()
+    assert [(r.pair, r.ts, r.volume) for r in rows] == [("EURUSD", dt.datetime(2024, 1, 2, 5), 7.0), ("USDJPY", dt.datetime(2024, 1, 3, 5), 7.0)]
+
+
+def test_held_out_rows_are_used_once(spark, tmp_path):
+    path = f"file://{tmp_path}/burnt"
+    rows = spark.createDataFrame([("A", "day", dt.datetime(2024, 5, 1), 1.0), ("A", "day", dt.datetime(2024, 5, 2), 2.0), ("B", "day", dt.datetime(2023, 5, 2), 2.0)], "pair string, timeframe string, ts timestamp, close double")
+    assert files.used_before(spark, path).count() == 0
+    first = files.guard_holdout(rows, "2024-01-01", files.used_before(spark, path), after=True)
+    assert first.count() == 2
+    files.record_use(first, path)
+    files.record_use(first, path)
+    assert [(r.pair, r.timeframe, r.uses) for r in files.used_before(spark, path).collect()] == [("A", "day", 2)]
+    with pytest.raises(ValueError, match="used before"):
+        files.guard_holdout(rows, "2024-01-01", files.used_before(spark, path), after=True)
+    assert files.guard_holdout(rows.where("pair = 'B'"), "2024-01-01", files.used_before(spark, path), after=True).count() == 0
+
+
+def test_ladders_of_two_logs_meet_in_a_stream(spark, tmp_path):
+    """Two logs that grow at different speeds; the join keeps what waits for its partner through a restart."""
+    kind, day = "pair string, ts timestamp, size double", [dt.datetime(2024, 1, d) for d in range(1, 7)]
+    arrivals = [([(d, 1.0) for d in day[:4]], [(day[0], 0.5)]), ([(day[4], 0.0)], [(d, 0.5) for d in day[1:4]]), ([(day[5], 0.5)], [(day[4], 1.0), (day[5], 0.0)])]
+    for one, two in arrivals:
+        for name, rows in (("one", one), ("two", two)):
+            spark.createDataFrame([("S", *r) for r in rows], kind).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/{name}")
+        logs = [spark.readStream.schema(kind).parquet(f"file://{tmp_path}/{name}").withWatermark("ts", "7 days") for name in ("one", "two")]
+        jobs.run_to_end(jobs.compose(*logs), f"file://{tmp_path}/run")
+    got = [(r.ts, r.size, r.flat) for r in spark.read.parquet(f"file://{tmp_path}/run/out").orderBy("ts").collect()]
+    assert got == [(d, 0.5, False) for d in day[:4]] + [(day[4], 0.0, True), (day[5], 0.0, True)]

@@ -113,7 +113,7 @@ def _trials(spark, sf) -> DataFrame:
     """A log of trials, read back."""
     folder, k = files.scratch(spark, "trials"), F.col("o_custkey")
     files.log_trials(_orders(spark, sf).select(
-        "ts", F.col("o_orderkey").alias("trial_id"), F.col("o_orderpriority").alias("strategy"), F.create_map(F.lit("sharpe"), F.col("o_totalprice") / 1e5, F.lit("n"), (k % 50).cast("double")).alias("metrics"),
+        "ts", F.col("o_orderkey").alias("trial_id"), F.col("o_orderpriority").alias("strategy"), F.create_map(F.lit("sharpe"), F.col("o_totalprice"), F.lit("n"), (k % 50).cast("double")).alias("metrics"),
         F.create_map(F.lit("n"), k % 5, F.lit("lag"), k % 2).alias("params"), F.when(k % 3 == 0, F.array("o_orderstatus")).otherwise(F.array("o_orderstatus", F.lit("retest"))).alias("tags"),
     ), folder)
     return spark.read.parquet(folder)
@@ -122,15 +122,15 @@ def _trials(spark, sf) -> DataFrame:
 CONFIG = _digest(" || ',' || ".join((_entry("__strategy", "o_orderpriority"), _entry("lag", "o_custkey % 2"), _entry("n", "o_custkey % 5"))))
 
 
-@register("src11_experiment_table", f"SELECT o_orderkey AS trial_id, o_orderdate AS ts, o_orderpriority AS strategy, {r('o_totalprice / 1e5', 'sharpe')}, o_custkey % 5 AS n, 1 + (o_custkey % 3 > 0)::INT AS n_tags, {CONFIG} AS config_hash, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
+@register("src11_experiment_table", f"SELECT o_orderkey AS trial_id, o_orderdate AS ts, o_orderpriority AS strategy, o_totalprice AS sharpe, o_custkey % 5 AS n, 1 + (o_custkey % 3 > 0)::INT AS n_tags, {CONFIG} AS config_hash, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
 def _(spark, sf):
     rows = _trials(spark, sf).select("trial_id", "ts", "strategy", F.col("metrics")["sharpe"].alias("sharpe"), F.col("params")["n"].alias("n"), F.size("tags").alias("n_tags"), "config_hash", "month")
     return rounded(rows)
 
 
-@register("flt7_stored_trials", f"SELECT o_orderkey AS trial_id, o_orderdate AS ts, {r('o_totalprice / 1e5', 'sharpe')} FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-10' AND o_orderdate < TIMESTAMP '2000-07-15' AND o_orderpriority = '2-HIGH' AND o_totalprice / 1e5 >= 1.5 AND o_orderstatus = 'O' AND o_custkey % 3 > 0")
+@register("flt7_stored_trials", f"SELECT o_orderkey AS trial_id, o_orderdate AS ts, o_totalprice AS sharpe FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-10' AND o_orderdate < TIMESTAMP '2000-07-15' AND o_orderpriority = '2-HIGH' AND o_totalprice >= 150000 AND o_orderstatus = 'O' AND o_custkey % 3 > 0")
 def _(spark, sf):
-    found = files.query_log(_trials(spark, sf), "1995-03-10", "2000-07-15", strategy="2-HIGH", least_sharpe=1.5, tags=["retest", "O"])
+    found = files.query_log(_trials(spark, sf), "1995-03-10", "2000-07-15", strategy="2-HIGH", least_sharpe=150000.0, tags=["retest", "O"])
     return rounded(found.select("trial_id", "ts", F.col("metrics")["sharpe"].alias("sharpe")))
 
 

@@ -73,11 +73,12 @@ def append_log(rows: DataFrame, path: str, at: Column | None = None) -> None:
 
 
 TICK = "pair string, ts timestamp, mid double, ask_vol double, bid_vol double, spread_pips double, crossed boolean, seq long"
+MANY = 100_000
 
 
 def compressed_ticks(files: DataFrame, scale: float, pip: float) -> DataFrame:
     """Ticks of (pair, hour timestamp, content): LZMA of 20-byte big-endian records (ms, ask, bid as uint32; volumes as float32). The spread
-    of a crossed tick is 0. One file is an hour of one pair, so a task holds one at a time."""
+    of a crossed tick is 0. One file is an hour of one pair; small ones are decoded together, MANY ticks at a time."""
     def decode(batches):
         import lzma
 
@@ -85,15 +86,28 @@ def compressed_ticks(files: DataFrame, scale: float, pip: float) -> DataFrame:
         import pandas as pd
 
         kind = np.dtype([("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("av", ">f4"), ("bv", ">f4")])
+
+        def frame(held):
+            pairs, hours, arrays = zip(*held)
+            a, sizes = np.concatenate(arrays), np.array([len(x) for x in arrays])
+            ask, bid = a["ask"] / scale, a["bid"] / scale
+            return pd.DataFrame({
+                "pair": np.repeat(np.array(pairs, object), sizes), "ts": pd.Series(hours).repeat(sizes).reset_index(drop=True) + pd.to_timedelta(a["ms"].astype("int64"), unit="ms"), "mid": (ask + bid) / 2,
+                "ask_vol": a["av"].astype(float), "bid_vol": a["bv"].astype(float), "spread_pips": np.maximum(ask - bid, 0) / pip, "crossed": ask < bid,
+                "seq": np.arange(len(a), dtype="int64") - np.repeat(np.cumsum(sizes) - sizes, sizes),
+            })
+
         for batch in batches:
+            held, n = [], 0
             for pair, hour, content in zip(batch["pair"], batch["hour"], batch["content"]):
                 raw = lzma.decompress(content) if content else b""
-                a = np.frombuffer(raw[: len(raw) // 20 * 20], kind)
-                ask, bid = a["ask"] / scale, a["bid"] / scale
-                yield pd.DataFrame({
-                    "pair": pair, "ts": hour + pd.to_timedelta(a["ms"].astype("int64"), unit="ms"), "mid": (ask + bid) / 2, "ask_vol": a["av"].astype(float),
-                    "bid_vol": a["bv"].astype(float), "spread_pips": np.maximum(ask - bid, 0) / pip, "crossed": ask < bid, "seq": np.arange(len(a), dtype="int64"),
-                })
+                held.append((pair, hour, np.frombuffer(raw[: len(raw) // 20 * 20], kind)))
+                n += len(raw) // 20
+                if n >= MANY:
+                    yield frame(held)
+                    held, n = [], 0
+            if n:
+                yield frame(held)
 
     return files.select("pair", "hour", "content").mapInPandas(decode, TICK)
 
@@ -112,13 +126,14 @@ def tick_files(ticks: DataFrame, scale: float) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for i, own in enumerate(batch["ticks"]):
-                rows = own.values
-                a = np.empty(len(rows), [("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("ask_vol", ">f4"), ("bid_vol", ">f4")])
-                for name in a.dtype.names:
-                    column = rows.field(name).to_numpy(zero_copy_only=False)
-                    a[name] = np.rint(column * scale) if name in ("ask", "bid") else column
-                yield pa.RecordBatch.from_arrays([batch["pair"].slice(i, 1), batch["hour"].slice(i, 1), pa.array([lzma.compress(a.tobytes())])], names=["pair", "hour", "content"])
+            ends, rows, bodies = batch["ticks"].offsets.to_numpy(), batch["ticks"].values, []
+            a = np.empty(len(rows), [("ms", ">u4"), ("ask", ">u4"), ("bid", ">u4"), ("ask_vol", ">f4"), ("bid_vol", ">f4")])
+            for name in a.dtype.names:
+                column = rows.field(name).to_numpy(zero_copy_only=False)
+                a[name] = np.rint(column * scale) if name in ("ask", "bid") else column
+            for x, y in zip(ends[:-1], ends[1:]):
+                bodies.append(lzma.compress(a[x:y].tobytes(), preset=0))
+            yield pa.RecordBatch.from_arrays([batch["pair"], batch["hour"], pa.array(bodies, pa.binary())], names=["pair", "hour", "content"])
 
     return held.mapInArrow(encode, "pair string, hour timestamp, content binary")
 
@@ -191,7 +206,7 @@ def holdout(rows: DataFrame, cutoff: str, at: str = "ts", after: bool = False) -
 
 def guard_holdout(rows: DataFrame, cutoff: str, burnt: DataFrame | None = None, after: bool = False) -> DataFrame:
     """rows, if they keep to their side of the cutoff. Before it (the standard), any row on or after is an error. After it, a (pair,
-    timeframe) that is in `burnt`, the record of those used once, is an error."""
+    timeframe) that is in `burnt`, the record of those used once, is an error; record_use() adds to that record."""
     if not after:
         late = rows.agg(F.bool_or(F.col("ts") >= F.lit(cutoff).cast("timestamp"))).first()[0]
         if late:
@@ -201,3 +216,17 @@ def guard_holdout(rows: DataFrame, cutoff: str, burnt: DataFrame | None = None,
     if used:
         raise ValueError(f"held-out data was used before: {[tuple(r) for r in used]}")
     return holdout(rows, cutoff, after=True)
+
+
+def record_use(rows: DataFrame, path: str) -> None:
+    """Appends the (pair, timeframe) of held-out rows that are used now, and when, to the record of a store at `path`."""
+    rows.select("pair", "timeframe").distinct().withColumn("used_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def used_before(spark: SparkSession, path: str) -> DataFrame:
+    """(pair, timeframe, first_use, uses) of the record; no rows where nothing was used yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    kind = "pair string, timeframe string, used_at timestamp"
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    record = spark.read.schema(kind).parquet(path) if there else spark.createDataFrame([], kind)
+    return record.groupBy("pair", "timeframe").agg(F.min("used_at").alias("first_use"), F.count("*").alias("uses"))
