@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +240,42 @@ def test_a_short_holding_is_an_error(spark, tmp_path):
         jobs.run_to_end(jobs.live_reconcile(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 1.0, 0.1), str(tmp_path / "job"))
 
 
+def test_ordered_rows_from_many_runs():
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"seq": rng.integers(0, 40, 200), "ts": [MONDAY + timedelta(hours=int(h)) if h else None for h in rng.integers(0, 30, 200)], "x": range(200)})
+    for order in ("seq", "ts"):
+        want = frame.sort_values(order, kind="stable")["x"].tolist()
+        for run, block in ((9, 4), (50, 50), (1000, 10)):
+            kept = [r.x for r in jobs.ordered((frame[i : i + 6] for i in range(0, 200, 6)), order, run, block)]
+            firsts = frame.loc[kept].dropna(subset=[order]).drop_duplicates(order)["x"].tolist()
+            assert sorted(kept) == list(range(200)) and frame.loc[kept, order].tolist()[:150] == frame.loc[want, order].tolist()[:150]
+            assert firsts == frame.loc[want].dropna(subset=[order]).drop_duplicates(order)["x"].tolist() and (block < run or kept == want)
+    assert list(jobs.ordered(iter([]), "seq")) == []
+
+
+def test_rows_of_a_key_wait_outside_memory(spark, monkeypatch):
+    """The function that Spark calls for one key with 300,000 rows out of order: it holds few of them at a time."""
+    import tracemalloc
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    n, made, state = 300_000, [], State()
+    rows = spark.createDataFrame([], "pair string, seq long")
+    monkeypatch.setattr(type(rows.groupBy("pair")), "applyInPandasWithState", lambda self, f, *_: made.append(f))
+    jobs.walked(rows, "pair", "seq", {"next": "boolean"}, {"last": "long"}, lambda held, row: ({"last": row.seq}, (row.seq == (held["last"] + 1 if held else 0),)))
+    batches = (pd.DataFrame({"pair": "a", "seq": np.arange(i, i + 10_000) * 7919 % n}) for i in range(0, n, 10_000))
+    tracemalloc.start()
+    sizes = [(len(f), int(f["next"].sum())) for f in made[0](("a",), batches, state)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(k for _, k in sizes) == n and max(k for k, _ in sizes) <= 10_000 and state.value == (n - 1,)
+    assert peak < 15e6, peak
+
+
 def test_sizers_ask_for_the_raw_signal(spark):
     rows = spark.createDataFrame([("a", MONDAY + timedelta(days=i), 100.0 + i, s, 2.0, 1.0) for i, s in enumerate([0.0, 0.4, 0.9, 0.0])], "pair string, ts timestamp, close double, signal double, atr double, spread_median_pips double")
     trade = simulate.priced_trades(rows, pip=0.01, sizer=costs.target_sizer(0.01, most=1e9, least=0.0)).collect()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T, Window as W
 
+from tidemark.functions.shipping import ship
+
 
 def tick_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
@@ -28,9 +30,53 @@ def run_to_end(stream: DataFrame, folder: str) -> None:
     stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
+#: Rows of a sorted run, of a block in which it is read back, and of a frame that is sent.
+RUN, BLOCK, SENT = 100_000, 1_000, 10_000
+
+
+def ordered(batches, order: str, run: int = RUN, block: int = BLOCK):
+    """The rows of pandas frames, as named tuples in order; equal ones as they came, nulls last. In memory are one run of rows and one block of
+    each run: sorted runs wait in a file of Spark's local folder that has no name and goes with the task."""
+    import heapq
+    import os
+    import pickle
+    import tempfile
+
+    import pandas as pd
+
+    def rank(row):
+        at = getattr(row, order)
+        return at != at, at
+
+    def arranged():
+        frame = pd.concat(held).sort_values(order, kind="stable")
+        held.clear()
+        return frame
+
+    def put(frame):
+        for i in range(0, len(frame), block):
+            yield file.tell()
+            pickle.dump(frame.iloc[i : i + block], file)
+
+    def read(places):
+        for place in places:
+            file.seek(place)
+            yield from pickle.load(file).itertuples(index=False)
+
+    runs, held = [], []
+    with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as file:
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= run:
+                runs.append(list(put(arranged())))
+        rest = [arranged().itertuples(index=False)] if held else []
+        yield from heapq.merge(*map(read, runs), *rest, key=rank)
+
+
 def walked(rows: DataFrame, key: str, order: str, made: dict[str, str], kept: dict[str, str], step) -> DataFrame:
     """A stateful stream: the rows of each key in order, each with the columns `made`. step(state, row) -> (state, values); state is a dict of
-    `kept` (None at first), values None drops the row. The state is kept with the query's checkpoint, so a restart goes on from it."""
+    `kept` (None at first), values None drops the row. The state is kept with the query's checkpoint, so a restart goes on from it. However
+    many rows of a key a micro-batch has, they are sorted outside memory and sent on in frames of SENT rows."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     names = rows.columns
@@ -39,13 +85,17 @@ def walked(rows: DataFrame, key: str, order: str, made: dict[str, str], kept: di
         import pandas as pd
 
         held, out = dict(zip(kept, state.get)) if state.exists else None, []
-        for row in pd.concat(list(batches)).sort_values(order, kind="stable").itertuples(index=False):
+        for row in ordered(batches, order):
             held, values = step(held, row)
             if values is not None:
                 out.append((*row, *values))
+            if len(out) == SENT:
+                yield pd.DataFrame(out, columns=[*names, *made])
+                out = []
         state.update(tuple(held[c] for c in kept))
         yield pd.DataFrame(out, columns=[*names, *made])
 
+    ship(rows.sparkSession)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"`{c}` {t}" for c, t in made.items()])
     return rows.groupBy(key).applyInPandasWithState(run, schema, ", ".join(f"{c} {t}" for c, t in kept.items()), "append", GroupStateTimeout.NoTimeout)
 
@@ -217,7 +267,7 @@ def live_signals(bars: DataFrame, n: int = 20) -> DataFrame:
 
         seen, stamps, closes = state.get if state.exists else (0, [], [])
         stamps, closes, out = list(stamps), list(closes), []
-        for row in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
+        for row in ordered(batches, "ts"):
             at = int(row.ts.value // 1000)
             if stamps and at <= stamps[-1]:
                 continue
@@ -225,10 +275,14 @@ def live_signals(bars: DataFrame, n: int = 20) -> DataFrame:
                 seen += 1
                 if seen >= n + 2:
                     out.append((key[0], pd.Timestamp(stamps[-1] * 1000), closes[-1], closes[-1] / closes[-1 - n] - 1))
+                    if len(out) == SENT:
+                        yield pd.DataFrame(out, columns=["pair", "ts", "close", "momentum"])
+                        out = []
             stamps, closes = [*stamps[-n:], at], [*closes[-n:], float(row.close)]
         state.update((seen, stamps, closes))
         yield pd.DataFrame(out, columns=["pair", "ts", "close", "momentum"])
 
+    ship(bars.sparkSession)
     narrow = bars.select("pair", "ts", "close")
     found = narrow.groupBy("pair").applyInPandasWithState(
         run, "pair string, ts timestamp, close double, momentum double", "seen long, stamps array<long>, closes array<double>", "append", GroupStateTimeout.NoTimeout
