@@ -88,3 +88,21 @@ def test_annual_growth_and_static_carry(spark):
     assert {r["pair"]: r["signal"] for r in signals.static_carry(rows, "long", "short").collect()} == {"a": 1, "b": -1, "c": 0}
     held = spark.createDataFrame([("USDJPY", DAY, 2.0, 100.0), ("USDJPY", DAY + timedelta(days=1), 0.0, 100.0), ("EURUSD", DAY, 2.0, 1.0), ("EURUSD", DAY + timedelta(days=1), 0.0, 1.0)], "pair string, ts timestamp, held double, close double")
     assert {r["pair"]: r["accrued"] for r in jobs.swap_accrual(held, 0.5, "JPY").where("accrued > 0").collect()} == pytest.approx({"USDJPY": 0.01, "EURUSD": 1.0})
+
+
+def test_family_summary_counts_none_where_no_sharpe_stands(spark, tmp_path):
+    """A spread that never changes: the rule for narrow spreads never trades, no series has a Sharpe, and none of them is over 0."""
+    import duckdb
+
+    from tidemark.plans import market, research  # noqa: F401
+
+    rng = np.random.default_rng(9)
+    rows = [(i, DAY + timedelta(hours=i // 8), 1, ("click", "view")[i % 2], float(v), '{"k": 3}') for i, v in enumerate(np.round(50 + rng.random(240) * 9, 2))]
+    ticks = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    ticks.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    df = market.QUERIES["met22_family_summary"](spark, str(tmp_path))
+    got, want = (sorted(tuple(r) for r in rows) for rows in (df.collect(), con.sql(f"SELECT {', '.join(df.columns)} FROM ({market.SQL['met22_family_summary']})").fetchall()))
+    assert got == want and {r[0]: r[1:] for r in got}["spread_filtered_reversal"] == (None, None, None, 0, None, None) and any(r[1] is not None for r in got)

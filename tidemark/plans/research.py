@@ -226,7 +226,7 @@ def _shared_sharpe(name: str, where: str) -> str:
 
 @register("met22_family_summary", f"""WITH {HOURLY}, {FAMILIES}, {SCREEN}, c AS (SELECT pair, family, round({NET_SHARPE}, 9) AS x FROM n GROUP BY pair, family),
   {_shared_sharpe('portfolio', '')}, {_shared_sharpe('portfolio_subset', "WHERE pair IN ('click', 'view')")}
-  SELECT family, {r('min(x)', 'least')}, {r('quantile_cont(x, 0.5)', 'middle')}, {r('max(x)', 'most')}, count_if(x > 0)::BIGINT AS positive, any_value(portfolio) AS portfolio, any_value(portfolio_subset) AS portfolio_subset
+  SELECT family, {r('min(x)', 'least')}, {r('quantile_cont(x, 0.5)', 'middle')}, {r('max(x)', 'most')}, (count(*) FILTER (WHERE x > 0))::BIGINT AS positive, any_value(portfolio) AS portfolio, any_value(portfolio_subset) AS portfolio_subset
   FROM c LEFT JOIN portfolio USING (family) LEFT JOIN portfolio_subset USING (family) GROUP BY family""")
 def _(spark, sf):
     return rounded(metrics.family_summary(signals.intraday_families(tables.hourly_bars(spark, sf)), ["click", "view"]))
