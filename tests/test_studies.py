@@ -276,6 +276,37 @@ def test_rows_of_a_key_wait_outside_memory(spark, monkeypatch):
     assert peak < 15e6, peak
 
 
+def test_snapshots_of_a_key_wait_outside_memory(spark, monkeypatch):
+    """The aggregate ladder and the signal log of one series with 250,000 rows in one micro-batch."""
+    import tracemalloc
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    n, made = 250_000, []
+    rows = spark.createDataFrame([], "pair string, seq long, ts timestamp, received timestamp, equity double, is_mock boolean, close double")
+    monkeypatch.setattr(type(rows.groupBy("pair")), "applyInPandasWithState", lambda self, f, schema, *_: made.append(f) or spark.createDataFrame([], schema))
+    jobs.live_aggregate_ladder(rows)
+    jobs.live_signals(rows)
+
+    def batches():
+        for i in range(0, n, 10_000):
+            k = np.arange(i, i + 10_000) * 7919 % n
+            at = pd.Timestamp(MONDAY) + pd.to_timedelta(k, "s")
+            yield pd.DataFrame({"pair": "a", "seq": k, "ts": at, "received": at + pd.to_timedelta(k % 90, "s"), "equity": 100.0 + k % 7, "is_mock": k % 5 == 0, "close": 100.0 + k % 7})
+
+    for f, columns, count in zip(made, (["pair", "seq", "ts", "received", "equity", "is_mock"], ["pair", "ts", "close"]), (n, n - 22)):
+        tracemalloc.start()
+        sizes = [len(x) for x in f(("a",), (b[columns] for b in batches()), State())]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(sizes) == count and peak < 35e6, (sum(sizes), peak)
+        assert max(sizes) <= 10_000
+
+
 def test_sizers_ask_for_the_raw_signal(spark):
     rows = spark.createDataFrame([("a", MONDAY + timedelta(days=i), 100.0 + i, s, 2.0, 1.0) for i, s in enumerate([0.0, 0.4, 0.9, 0.0])], "pair string, ts timestamp, close double, signal double, atr double, spread_median_pips double")
     trade = simulate.priced_trades(rows, pip=0.01, sizer=costs.target_sizer(0.01, most=1e9, least=0.0)).collect()
