@@ -307,6 +307,36 @@ def test_snapshots_of_a_key_wait_outside_memory(spark, monkeypatch):
         assert max(sizes) <= 10_000
 
 
+def test_snapshots_of_many_runs_keep_their_order_and_state(spark, monkeypatch):
+    """The aggregate ladder of one series over two micro-batches of 250,000 rows out of order, row by row against running maxima."""
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    n, made, state = 250_000, [], State()
+    rows = spark.createDataFrame([], "pair string, seq long, ts timestamp, received timestamp, equity double, is_mock boolean")
+    monkeypatch.setattr(type(rows.groupBy("pair")), "applyInPandasWithState", lambda self, f, schema, *_: made.append(f) or spark.createDataFrame([], schema))
+    jobs.live_aggregate_ladder(rows)
+
+    seq = np.arange(2 * n)
+    at = pd.Timestamp(MONDAY) + pd.to_timedelta(seq - 40 * (seq % 11 == 0), "s")
+    whole = pd.DataFrame({"pair": "a", "seq": seq, "ts": at, "received": at + pd.to_timedelta(seq * 7919 % 90, "s"), "equity": 100.0 + seq * 104729 % 9973 + seq // 5000, "is_mock": seq % 5 == 0})
+    got = []
+    for part in (whole[:n], whole[n:]):
+        frames = (part.iloc[np.arange(i, i + 10_000) * 7919 % n] for i in range(0, n, 10_000))
+        got += made[0](("a",), frames, state)
+    stale = whole["received"] - whole["ts"] > pd.Timedelta(60, "s")
+    late = whole["ts"] < whole["ts"].where(~stale).cummax().ffill().shift()
+    reason = np.where(stale, "stale", np.where(late, "out of order", None))
+    peak = whole["equity"].where(~stale & ~late & ~whole["is_mock"]).cummax().ffill()
+    assert max(map(len, got)) <= 10_000
+    got = pd.concat([f for f in got if len(f)])
+    assert got["seq"].tolist() == seq.tolist() and got["reason"].tolist() == reason.tolist() and set(reason) == {None, "stale", "out of order"}
+    assert got["peak"].astype(float).fillna(-1.0).tolist() == peak.fillna(-1.0).tolist() and peak.nunique() > 30
+
+
 def test_sizers_ask_for_the_raw_signal(spark):
     rows = spark.createDataFrame([("a", MONDAY + timedelta(days=i), 100.0 + i, s, 2.0, 1.0) for i, s in enumerate([0.0, 0.4, 0.9, 0.0])], "pair string, ts timestamp, close double, signal double, atr double, spread_median_pips double")
     trade = simulate.priced_trades(rows, pip=0.01, sizer=costs.target_sizer(0.01, most=1e9, least=0.0)).collect()
